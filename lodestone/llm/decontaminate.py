@@ -86,8 +86,8 @@ def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
     return both.select(*key, F.size(places).cast("long").alias("n_hit"), F.array_distinct(F.transform("found", lambda c: c["win"])).alias("wins")).dropDuplicates(key)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, more: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs; more: also h, the text's MD5."""
     docs = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     wins = keep(windows(benchmark, window), "windows")
     held = keep(occurrences(docs, wins), "occurrences")
@@ -103,4 +103,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *(["h"] if more else []),
     )

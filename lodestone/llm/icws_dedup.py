@@ -197,8 +197,11 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id and kept (the one row of its class that stays, in a table without repeated ids) for each row."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: bool = False) -> DataFrame:
+    """doc_id, class_id and kept (the one row of its class that stays, in a table without repeated ids) for each row.
+
+    more: also h and root, the MD5 of the row's text and the least one of its class.
+    """
     docs = pick(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.unhex(F.md5("text")))
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequency(docs))
@@ -224,5 +227,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         roots = keep(components(links.union(more)), "roots")
     ids = nodes.select("h", "first").join(roots, "h")
     least = ids.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = nodes.select("h", "first").join(ids.join(least, "root").select("h", "class_id"), "h", "left").select("h", F.coalesce("class_id", "first").alias("class_id"))
-    return signed.select("doc_id", "h").join(named, "h").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    named = nodes.select("h", "first").join(ids.join(least, "root").select("h", "root", "class_id"), "h", "left")
+    named = named.select("h", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("root", "h").alias("root"))
+    out = signed.select("doc_id", "h").join(named, "h")
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), *(["h", "root"] if more else []))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textmath as tm
-from .common import keep, map_arrow, pick
+from .common import keep, map_arrow, pick, steps
 
 SAMPLE_ROWS, LEXICON_WORDS = 12_000, 400
 TREES, DEPTH, RATE, BINS, LEAST = 80, 3, 0.15, 32, 8
@@ -236,6 +236,24 @@ def score(docs: DataFrame, model) -> DataFrame:
     return map_arrow(rows, step, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")
 
 
+def not_toxic(docs: DataFrame, model, columns: list[str]) -> DataFrame:
+    """The rows, with the named columns, that are not predicted toxic."""
+    rows = pick(docs, *columns)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = shipped.value
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in steps([len(t) if t else 0 for t in text.to_pylist()]):
+                s = np.full(b - a, m) if isinstance(m, float) else m[1].score(features(text.slice(a, b - a), m[0]))
+                yield batch.slice(a, b - a).filter(pa.array(s < 0.5))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
