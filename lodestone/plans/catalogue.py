@@ -2,5 +2,753 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as X
+from ..operators import evalkit, filters, fusion, graph, incremental, message, navigation, report, segment, text, vectors
+from ..sources import relations as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+CHUNKS = r"""chunks AS (SELECT doc_id AS id, source||'/'||lang||'/'||doc_id||'.txt' AS path, source||'/'||lang AS dir, lang AS language,
+ regexp_extract(text,'^[^\p{L}\p{N}]*([\p{L}\p{N}]+)',1) AS name, text AS content, 1 AS start_line, length(text)-length(replace(text,chr(10),''))+1 AS end_line FROM documents)"""
+REFS = """refs AS (SELECT 'c'||o_custkey AS from_id, 'p'||l_partkey AS to_id, CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'R' THEN 'imports' ELSE 'mentions' END AS edge_type
+ FROM lineitem JOIN orders ON l_orderkey=o_orderkey)"""
+RANK = "CASE edge_type WHEN 'mentions' THEN 3 WHEN 'associated' THEN 2 WHEN 'xlang' THEN 1 ELSE 0 END"
+EDGES = f"{REFS}, edges AS (SELECT from_id, to_id, substr(min(({RANK})||edge_type),2) AS edge_type FROM refs GROUP BY from_id, to_id)"
+MODULES = "modules AS (SELECT 'c'||c_custkey AS id, 'nation'||c_nationkey AS module FROM customer UNION ALL SELECT 'p'||p_partkey, p_brand FROM part)"
+COSINE = "list_dot_product(a::DOUBLE[],b::DOUBLE[])/sqrt(list_dot_product(a::DOUBLE[],a::DOUBLE[])*list_dot_product(b::DOUBLE[],b::DOUBLE[]))"
+SCORES = f"scored AS (SELECT v.vec_id AS id, v.label AS family, round({COSINE.replace('a::', 'v.embedding::').replace('b::', 'q.embedding::')},9) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id=7) q)"
+TERMS = ["the", "with", "tion"]
+WHOLE = r"list_transform(embedding, lambda x: CASE WHEN x<0 THEN -floor(-x::DOUBLE*127+0.5) ELSE floor(x::DOUBLE*127+0.5) END)"
+GRAPH = f"""whole AS (SELECT vec_id AS id, {WHOLE} AS w FROM embeddings),
+ graph AS (SELECT id, neighbor_id, distance FROM (SELECT a.id, b.id AS neighbor_id, 1-list_dot_product(a.w,b.w)/16129.0 AS distance,
+ row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.w,b.w) DESC, b.id) AS place FROM whole a JOIN whole b ON a.id<>b.id) WHERE place<=10)"""
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """Whole numbers as long, doubles to six places."""
+    kinds = {"int": "bigint", "smallint": "bigint", "tinyint": "bigint"}
+    return df.select(*[F.col(c).cast(kinds[k]).alias(c) if k in kinds else F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+def bm25_sql(terms: list[str], every: bool, weights: dict[str, float], limit: int | None = 20, prefix: str = "") -> str:
+    """CTEs that end in {prefix}hits(id, score)."""
+    p, held = prefix, (" AND " if every else " OR ").join(f"t{i}>0" for i in range(len(terms)))
+    bag = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
+    count = lambda i, c: f"len(list_filter(b_{c}, lambda x: x='{terms[i]}'))"
+    tf = ", ".join(f"{'+'.join(f'{w}*{count(i, c)}' for c, w in weights.items())} AS t{i}" for i in range(len(terms)))
+    n = "+".join(f"len(b_{c})" for c in weights)
+    dfs = ", ".join(f"count(*) FILTER (t{i}>0) AS d{i}" for i in range(len(terms)))
+    idf = lambda i: f"greatest(ln((r-d{i}+0.5)/(d{i}+0.5)),1e-6)"
+    score = "+".join(f"(CASE WHEN t{i}>0 THEN {idf(i)}*t{i}*2.2/(t{i}+1.2*(0.25+0.75*n/m)) ELSE 0 END)" for i in range(len(terms)))
+    cut = f"ORDER BY score, id LIMIT {limit}" if limit else ""
+    return f"""{p}bags AS (SELECT id, {', '.join(f'{bag(c)} AS b_{c}' for c in weights)} FROM chunks), {p}counted AS (SELECT id, {n} AS n, {tf} FROM {p}bags),
+ {p}stats AS (SELECT count(*) AS r, avg(n) AS m, {dfs} FROM {p}counted), {p}hits AS (SELECT id, -({score}) AS score FROM {p}counted, {p}stats WHERE {held} {cut})"""
+
+
+# filters and scalars
+
+
+@query("scope_filter", f"WITH {CHUNKS} SELECT id, path FROM chunks WHERE path='src1/en' OR starts_with(path,'src1/en/')")
+def scope_filter(spark, d):
+    return filters.scope(R.chunks(spark, d), "src1/en").select("id", "path")
+
+
+@query("kind_filter", f"WITH {CHUNKS} SELECT id, language FROM chunks WHERE language IS NULL OR language NOT IN ('en','de')")
+def kind_filter(spark, d):
+    return filters.kind(R.chunks(spark, d), "docs", R.CODE).select("id", "language")
+
+
+@query("regex_scan", f"WITH {CHUNKS} SELECT id FROM chunks WHERE regexp_matches(content,'idiot|scum') OR regexp_matches(name,'idiot|scum') ORDER BY id LIMIT 50")
+def regex_scan(spark, d):
+    return filters.regex(R.chunks(spark, d), "idiot|scum", 50).select("id")
+
+
+@query("substring_scan", f"WITH {CHUNKS} SELECT id, path FROM chunks WHERE contains(content,'License')")
+def substring_scan(spark, d):
+    return filters.substring(R.chunks(spark, d), "License").select("id", "path")
+
+
+@query("whole_word", f"WITH {CHUNKS} SELECT id FROM chunks WHERE regexp_matches(content,'(^|[^A-Za-z0-9_])token($|[^A-Za-z0-9_])')")
+def whole_word(spark, d):
+    return filters.word(R.chunks(spark, d), "token").select("id")
+
+
+@query("line_range", f"WITH {CHUNKS} SELECT id, end_line FROM chunks WHERE path='src3/fr/3.txt' AND end_line>1 AND start_line<=5")
+def line_range(spark, d):
+    return whole(filters.line_range(R.chunks(spark, d), "src3/fr/3.txt", 1, 5).select("id", "end_line"))
+
+
+@query("chunk_ids", f"WITH {CHUNKS} SELECT id, substr(sha256(path||':1:'||content),1,16) AS chunk_id, sha256(content) AS content_hash FROM chunks")
+def chunk_ids(spark, d):
+    return R.chunks(spark, d).select("id", X.chunk_id(F.col("path"), F.col("start_line"), F.col("content")).alias("chunk_id"), X.content_hash(F.col("content")).alias("content_hash"))
+
+
+@query("path_parts", f"WITH {CHUNKS} SELECT path, dir AS dirname, id||'.txt' AS basename, '.txt' AS ext, id::VARCHAR AS stem, split_part(path,'/',1) AS family, 'docs' AS role FROM chunks")
+def path_parts(spark, d):
+    p = F.col("path")
+    return R.chunks(spark, d).select("path", X.dirname(p).alias("dirname"), X.basename(p).alias("basename"), X.extension(p).alias("ext"), X.stem(p).alias("stem"), X.path_family(p).alias("family"), X.file_role(p).alias("role"))
+
+
+@query("name_parts", "SELECT p_partkey, p_brand||'::'||p_type AS name, CASE WHEN length(p_type)>=3 THEN p_type END AS bare, p_brand AS qualifier FROM part")
+def name_parts(spark, d):
+    n = F.concat("p_brand", F.lit("::"), "p_type")
+    return R.table(spark, d, "part").select("p_partkey", n.alias("name"), X.bare_name(n).alias("bare"), X.qualifier(n).alias("qualifier"))
+
+
+@query("message_shape", "SELECT item_id, split_part(text,chr(10),1) AS first_line, (contains(text,' ') OR length(text)>=20) AS shaped FROM benchmark")
+def message_shape(spark, d):
+    return R.table(spark, d, "benchmark").select("item_id", X.first_line(F.col("text")).alias("first_line"), X.message_shaped(F.col("text")).alias("shaped"))
+
+
+# statistics
+
+
+@query(
+    "path_family_stats",
+    f"""WITH {CHUNKS}, f AS (SELECT split_part(path,'/',1) AS family, path, count(*) AS n, count(*) FILTER (language IS NULL OR language NOT IN ('en','de')) AS docs FROM chunks GROUP BY ALL)
+ SELECT family, sum(n)::BIGINT AS n_chunks, count(*) AS n_files, sum(docs)::BIGINT AS n_docs, arg_min(path, {{'a':-n,'b':path}}) AS top_file, max(n) AS top_chunks FROM f GROUP BY family""",
+)
+def path_family_stats(spark, d):
+    return report.family_stats(R.chunks(spark, d), R.CODE)
+
+
+@query(
+    "dominance_flags",
+    f"""WITH {CHUNKS}, f AS (SELECT split_part(path,'/',1) AS family, path, count(*) AS n, count(*) FILTER (language IS NULL OR language NOT IN ('en','de')) AS docs FROM chunks GROUP BY ALL),
+ s AS (SELECT family, sum(n)::BIGINT AS n_chunks, sum(docs) AS n_docs, max(n) AS top FROM f GROUP BY family), t AS (SELECT sum(n_chunks) AS total FROM s)
+ SELECT family, n_chunks, round(n_chunks/total,6) AS share, n_chunks/total>=0.8 AS dominates, n_docs/total>=0.4 AS docs_heavy, (top/n_chunks>=0.5 AND n_chunks>1) AS one_file FROM s, t""",
+)
+def dominance_flags(spark, d):
+    return whole(report.dominance(report.family_stats(R.chunks(spark, d), R.CODE)))
+
+
+@query("dotdir_stats", "SELECT '.'||source||'/'||lang AS dotdir, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_files FROM documents GROUP BY ALL")
+def dotdir_stats(spark, d):
+    return report.dotdir_stats(R.chunks(spark, d).withColumn("path", F.concat(F.lit("."), "path")))
+
+
+@query("folder_hash", f"WITH {CHUNKS} SELECT dir AS folder, substr(sha256(string_agg(sha256(content), chr(10) ORDER BY sha256(content))||chr(10)),1,16) AS folder_hash, count(*) AS n FROM chunks GROUP BY dir")
+def folder_hash(spark, d):
+    return report.folder_hash(R.chunks(spark, d))
+
+
+@query("language_counts", "SELECT lang AS language, count(*) AS n FROM documents GROUP BY lang")
+def language_counts(spark, d):
+    return report.language_counts(R.chunks(spark, d))
+
+
+@query("vitals", f"WITH {CHUNKS} SELECT count(*) AS n_chunks, count(DISTINCT path) AS n_files, count(DISTINCT language) AS n_languages, sum(length(content))::BIGINT AS n_chars, max(end_line) AS longest FROM chunks")
+def vitals(spark, d):
+    return whole(report.vitals(R.chunks(spark, d)))
+
+
+@query("coverage", "SELECT source||'/'||lang||'/'||doc_id||'.txt' AS path, round(least(strlen(text)/(n_chars+1),1.0),6) AS coverage, strlen(text)/(n_chars+1)<0.7 AS low FROM documents")
+def coverage(spark, d):
+    files = R.table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), (F.col("n_chars") + 1).alias("size"))
+    return whole(report.coverage(R.chunks(spark, d), files))
+
+
+@query(
+    "extension_histogram",
+    """WITH e AS (SELECT CASE WHEN strpos(x,'.')>0 THEN '.'||lower(split_part(x,'.',2)) ELSE '' END AS ext FROM (SELECT regexp_extract(regexp_extract(url,'://[^/?#]*([^?#]*)',1),'([^/]*)$',1) AS x FROM pages))
+ SELECT ext, count(*) AS n FROM e WHERE ext<>'.txt' GROUP BY ext""",
+)
+def extension_histogram(spark, d):
+    path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
+    return report.extension_histogram(R.table(spark, d, "pages").select(path.alias("path")), [".txt"])
+
+
+# full text
+
+
+def _bm25(name: str, terms, every, weights, limit=20):
+    @query(name, f"WITH {CHUNKS}, {bm25_sql(terms, every, weights, limit)} SELECT id, round(score,6) AS score FROM hits")
+    def run(spark, d):
+        return whole(text.bm25(R.chunks(spark, d), terms, every, weights, limit))
+
+
+_bm25("fts_and_bm25", TERMS[:2], True, {"content": 1.0})
+_bm25("fts_or_bm25", TERMS, False, {"content": 1.0}, None)
+_bm25("fts_weighted_bm25", ["the", "is"], True, {"name": 5.0, "content": 1.0}, None)
+
+
+@query(
+    "fts_phrase",
+    rf"""WITH {CHUNKS}, bags AS (SELECT id, regexp_extract_all(lower(content),'[\p{{L}}\p{{N}}]+') AS b FROM chunks),
+ counted AS (SELECT id, len(b) AS n, len(list_filter(range(1,len(b)), lambda i: b[i]='of' AND b[i+1]='the')) AS t FROM bags), s AS (SELECT count(*) AS r, avg(n) AS m, count(*) FILTER (t>0) AS d FROM counted)
+ SELECT id, round(-greatest(ln((r-d+0.5)/(d+0.5)),1e-6)*t*2.2/(t+1.2*(0.25+0.75*n/m)),6) AS score FROM counted, s WHERE t>0 ORDER BY score, id LIMIT 5000""",
+)
+def fts_phrase(spark, d):
+    return whole(text.search(R.chunks(spark, d), '"of the"', {"content": 1.0}, 5000))
+
+
+@query(
+    "fts_boolean",
+    rf"""WITH {CHUNKS}, bags AS (SELECT id, regexp_extract_all(lower(content),'[\p{{L}}\p{{N}}]+') AS b FROM chunks),
+ counted AS (SELECT id, len(b) AS n, len(list_filter(b, lambda x: x='license')) AS t0, len(list_filter(b, lambda x: starts_with(x,'apach'))) AS t1, len(list_filter(b, lambda x: x='version')) AS t2 FROM bags),
+ s AS (SELECT count(*) AS r, avg(n) AS m, count(*) FILTER (t0>0) AS d0, count(*) FILTER (t1>0) AS d1 FROM counted)
+ SELECT id, round(-((CASE WHEN t0>0 THEN greatest(ln((r-d0+0.5)/(d0+0.5)),1e-6)*t0*2.2/(t0+1.2*(0.25+0.75*n/m)) ELSE 0 END)+(CASE WHEN t1>0 THEN greatest(ln((r-d1+0.5)/(d1+0.5)),1e-6)*t1*2.2/(t1+1.2*(0.25+0.75*n/m)) ELSE 0 END)),6) AS score
+ FROM counted, s WHERE (t0>0 OR t1>0) AND NOT t2>0 ORDER BY score, id LIMIT 5000""",
+)
+def fts_boolean(spark, d):
+    return whole(text.search(R.chunks(spark, d), "(license OR apach*) NOT version", {"content": 1.0}, 5000))
+
+
+@query("fts_or_any", f"WITH {CHUNKS}, {bm25_sql(['idiot', 'zzzz'], False, {'content': 1.0}, 20)} SELECT id, round(score,6) AS score FROM hits")
+def fts_or_any(spark, d):
+    return whole(text.fts_or_any(R.chunks(spark, d), "idiot zzzz", weights={"content": 1.0}, top_k=20)[0])
+
+
+@query(
+    "keyword_fill",
+    f"""WITH {CHUNKS}, {bm25_sql(['idiot', 'scum'], True, {'name': 5.0, 'content': 1.0}, 30, 'a_')}, {bm25_sql(['idiot', 'scum'], False, {'name': 5.0, 'content': 1.0}, 30, 'o_')},
+ u AS (SELECT id, score, 0 AS branch FROM a_hits UNION ALL SELECT id, score, 1 FROM o_hits WHERE id NOT IN (SELECT id FROM a_hits)) SELECT id, round(score,6) AS score, branch::BIGINT AS branch FROM u ORDER BY branch, score, id LIMIT 30""",
+)
+def keyword_fill(spark, d):
+    return whole(text.keyword_fill(R.chunks(spark, d), ["idiot", "scum"], 30).select("id", "score", "branch"))
+
+
+@query("postings_stats", rf"""WITH {CHUNKS}, w AS (SELECT id, unnest(regexp_extract_all(lower(content),'[\p{{L}}\p{{N}}]+')) AS term FROM chunks) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM w GROUP BY term""")
+def postings_stats(spark, d):
+    p = text.postings(R.chunks(spark, d), ("content",))
+    return whole(p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf")))
+
+
+# vectors
+
+
+def _seed(spark, d) -> list[float]:
+    return R.vectors(spark, d).where("id = 7").first().embedding
+
+
+@query("knn_query", f"WITH {SCORES} SELECT id, round(score,6) AS score FROM scored ORDER BY score DESC, id LIMIT 10")
+def knn_query(spark, d):
+    return whole(vectors.knn(R.vectors(spark, d), _seed(spark, d), 10))
+
+
+@query("knn_scoped", f"WITH {SCORES} SELECT id, round(score,6) AS score FROM scored WHERE family IN (1,2,3) ORDER BY score DESC, id LIMIT 10")
+def knn_scoped(spark, d):
+    return whole(vectors.knn(R.vectors(spark, d), _seed(spark, d), 10, F.col("family").isin(1, 2, 3)))
+
+
+@query("min_score", f"WITH {SCORES} SELECT id, round(score,6) AS score FROM scored WHERE score>=0.2")
+def min_score(spark, d):
+    q = F.array(*[F.lit(float(x)) for x in _seed(spark, d)])
+    return whole(R.vectors(spark, d).select("id", F.round(X.cosine(F.col("embedding"), q), 9).alias("score")).where("score >= 0.2"))
+
+
+def _ranked(spark, d) -> DataFrame:
+    hits = R.vectors(spark, d).join(vectors.knn(R.vectors(spark, d), _seed(spark, d), 100), "id")
+    return fusion.ranked(hits.select("id", F.col("family").cast("string").alias("path"), "score"), F.desc("score"), "id")
+
+
+RANKED = f"{SCORES}, ranked AS (SELECT id, family::VARCHAR AS path, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 100))"
+
+
+@query("file_cap", f"WITH {RANKED} SELECT id, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank, id) AS place FROM ranked) WHERE place<=3 ORDER BY rank LIMIT 20")
+def file_cap(spark, d):
+    return whole(fusion.file_cap(_ranked(spark, d), 3, 20).select("id", "path", "rank"))
+
+
+@query("file_ranking", f"WITH {RANKED} SELECT path, round(max(score),6) AS best, count(*) AS hits, min(rank) AS first_rank FROM ranked GROUP BY path")
+def file_ranking(spark, d):
+    return whole(fusion.file_ranking(_ranked(spark, d)))
+
+
+@query("knn_graph", f"WITH {GRAPH} SELECT id, neighbor_id, round(distance,6) AS distance FROM graph")
+def knn_graph(spark, d):
+    return whole(vectors.knn_graph(R.vectors(spark, d)))
+
+
+@query("worst_neighbour", f"WITH {GRAPH} SELECT id, neighbor_id, round(distance,6) AS distance, n FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY distance DESC, neighbor_id DESC) AS place FROM graph) WHERE place=1")
+def worst_neighbour(spark, d):
+    return whole(vectors.worst_neighbour(vectors.knn_graph(R.vectors(spark, d))))
+
+
+@query("near_dup_pairs", f"WITH {RANKED}, t AS (SELECT r.id, e.embedding FROM ranked r JOIN embeddings e ON e.vec_id=r.id WHERE rank<=50) SELECT x.id AS a, y.id AS b, round({COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')},6) AS cosine FROM t x JOIN t y ON x.id<y.id WHERE {COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')}>=0.5")
+def near_dup_pairs(spark, d):
+    top = _ranked(spark, d).where("rank <= 50").join(R.vectors(spark, d).select("id", "embedding"), "id")
+    return whole(vectors.near_pairs(top, 0.5))
+
+
+@query(
+    "wall_share",
+    f"""WITH RECURSIVE {RANKED}, t AS (SELECT r.id, e.embedding FROM ranked r JOIN embeddings e ON e.vec_id=r.id WHERE rank<=50),
+ p AS (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.id<>y.id WHERE {COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')}>=0.5),
+ reach AS (SELECT id AS a, id AS b FROM t UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b=p.a) SELECT round(max(n)/50.0,6) AS share FROM (SELECT a, count(*) AS n FROM reach GROUP BY a)""",
+)
+def wall_share(spark, d):
+    top = _ranked(spark, d).join(R.vectors(spark, d).select("id", "embedding"), "id")
+    return spark.createDataFrame([(round(vectors.wall_share(top, 0.5), 6),)], "share double")
+
+
+@query("family_centroids", "WITH x AS (SELECT label AS family, generate_subscripts(embedding,1)-1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT family::BIGINT AS family, pos::BIGINT AS pos, round(avg(v),6) AS v FROM x GROUP BY ALL")
+def family_centroids(spark, d):
+    return whole(vectors.family_centroids(R.vectors(spark, d)).select("family", F.posexplode("centroid").alias("pos", "v")))
+
+
+@query("suggest_clusters")
+def suggest_clusters(spark, d):
+    return vectors.average_linkage(vectors.family_centroids(R.vectors(spark, d)), 0.9)
+
+
+# fusion
+
+
+@query(
+    "folder_blend",
+    f"WITH {RANKED}, f AS (SELECT path, avg(score) AS fs FROM ranked GROUP BY path) SELECT id, path AS dirname, round(score+0.2*fs,6) AS score FROM ranked JOIN f USING (path)",
+)
+def folder_blend(spark, d):
+    hits = _ranked(spark, d)
+    folders = hits.groupBy("path").agg(F.avg("score").alias("score"))
+    return whole(fusion.folder_blend(hits.select("id", F.col("path").alias("dirname"), "score"), folders))
+
+
+HYBRID = f"""{SCORES}, s AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 40)),
+ {CHUNKS}, {bm25_sql(['the', 'with'], True, {'content': 1.0}, 40)}, k AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM hits),
+ fused AS (SELECT coalesce(s.id,k.id) AS id, coalesce(1.0/(60+s.rank),0)+coalesce(1.0/(60+k.rank),0) AS score FROM s FULL OUTER JOIN k ON s.id=k.id)"""
+
+
+def _branches(spark, d):
+    sem = fusion.ranked(vectors.knn(R.vectors(spark, d), _seed(spark, d), 40), F.desc("score"), "id")
+    key = fusion.ranked(text.bm25(R.chunks(spark, d), ["the", "with"], True, {"content": 1.0}, 40), "score", "id")
+    return sem, key
+
+
+@query("hybrid_search", f"WITH {HYBRID} SELECT id, round(score,6) AS score FROM (SELECT id, round(score,12) AS score FROM fused) ORDER BY score DESC, id LIMIT 20")
+def hybrid_search(spark, d):
+    sem, key = _branches(spark, d)
+    return whole(fusion.rrf(sem, key, None, 20))
+
+
+@query(
+    "rerank_fuse",
+    f"WITH {HYBRID}, a AS (SELECT id, row_number() OVER (ORDER BY rs) AS i FROM (SELECT id, rank AS rs FROM s)), r AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM s) SELECT id, round(1.0/(60+i)+coalesce(2.0/(60+r),0),6) AS score FROM a LEFT JOIN r USING (id)",
+)
+def rerank_fuse(spark, d):
+    sem, _ = _branches(spark, d)
+    return whole(fusion.rerank_fuse(sem, fusion.ranked(sem.select("id"), "id")))
+
+
+LINKS = f"{RANKED}, {GRAPH}, links AS (SELECT g.neighbor_id AS id, g.id AS donor, 1-g.distance AS weight, r.score AS seed FROM graph g JOIN ranked r ON r.id=g.id WHERE r.rank<=30)"
+BOOSTED = f"{LINKS}, boosted AS (SELECT r.id, r.path, r.rank, 0.5*coalesce(b.x,0) AS boost, r.score+0.5*coalesce(b.x,0) AS score FROM ranked r LEFT JOIN (SELECT id, max(weight*seed) AS x FROM links GROUP BY id) b USING (id))"
+
+
+def _boosted(spark, d):
+    hits = _ranked(spark, d)
+    seeds = hits.where("rank <= 30").select(F.col("id").alias("donor"), F.col("score").alias("seed_score"))
+    links = vectors.knn_graph(R.vectors(spark, d)).select(F.col("id").alias("donor"), F.col("neighbor_id").alias("id"), (1 - F.col("distance")).alias("weight")).join(seeds, "donor")
+    return fusion.boost(hits, links)
+
+
+@query("struct_boost", f"WITH {BOOSTED} SELECT id, round(boost,6) AS boost, round(score,6) AS score FROM boosted")
+def struct_boost(spark, d):
+    return whole(_boosted(spark, d).select("id", "boost", "score"))
+
+
+@query(
+    "interleave",
+    f"""WITH {BOOSTED}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank, id) AS own FROM boosted) WHERE own<=3), win AS (SELECT * FROM kept ORDER BY rank, id LIMIT 15),
+ saved AS (SELECT * FROM kept WHERE own=1 AND path NOT IN (SELECT path FROM win) AND boost>0 ORDER BY boost DESC, rank, id LIMIT 40),
+ u AS (SELECT id, path, rank, boost, CASE WHEN own=1 THEN 0 ELSE 2 END AS part FROM win UNION ALL SELECT id, path, rank, boost, 1 FROM saved) SELECT id, path, part::BIGINT AS part FROM u ORDER BY part, CASE WHEN part=1 THEN -boost END, rank, id LIMIT 15""",
+)
+def interleave(spark, d):
+    return whole(fusion.interleave(_boosted(spark, d), 15).select("id", "path", "part"))
+
+
+@query("scope_merge", f"WITH {SCORES}, l AS (SELECT * FROM (SELECT id, score, family, row_number() OVER (PARTITION BY family ORDER BY score DESC, id) AS n FROM scored WHERE family IN (1,2,3)) WHERE n<=5) SELECT id, round(score,6) AS score, family::VARCHAR AS scope FROM l ORDER BY score DESC, id LIMIT 10")
+def scope_merge(spark, d):
+    lists = None
+    for f in (1, 2, 3):
+        part = vectors.knn(R.vectors(spark, d), _seed(spark, d), 5, F.col("family") == f).withColumn("scope", F.lit(str(f)))
+        lists = part if lists is None else lists.unionByName(part)
+    return whole(fusion.best_of_scopes(lists, 10))
+
+
+# graph
+
+
+@query("edges_merge", f"WITH {EDGES} SELECT from_id, to_id, edge_type FROM edges")
+def edges_merge(spark, d):
+    return graph.merge(R.typed_refs(spark, d))
+
+
+@query("indegree", f"WITH {EDGES} SELECT to_id, edge_type, count(*) AS n FROM edges GROUP BY ALL")
+def indegree(spark, d):
+    return graph.indegree(graph.merge(R.typed_refs(spark, d)))
+
+
+@query("provenance_counts", f"WITH {EDGES} SELECT CASE WHEN edge_type='mentions' THEN 'inferred' ELSE 'extracted' END AS provenance, count(*) AS n FROM edges GROUP BY ALL")
+def provenance_counts(spark, d):
+    return graph.provenance_counts(graph.merge(R.typed_refs(spark, d)))
+
+
+@query("hubs", f"WITH {EDGES} SELECT to_id AS id, count(*) AS in_degree, 0.0::DOUBLE AS score FROM edges GROUP BY to_id ORDER BY in_degree DESC, id LIMIT 20")
+def hubs(spark, d):
+    return graph.hubs(graph.indegree(graph.merge(R.typed_refs(spark, d))), None, 20)
+
+
+@query("hubs_scoped_typed", f"WITH {EDGES} SELECT to_id AS id, count(*) AS in_degree, 0.0::DOUBLE AS score FROM edges JOIN part ON to_id='p'||p_partkey WHERE edge_type IN ('calls','imports') AND p_brand='Brand#1' GROUP BY to_id ORDER BY in_degree DESC, id LIMIT 20")
+def hubs_scoped_typed(spark, d):
+    deg = graph.indegree(graph.merge(R.typed_refs(spark, d)))
+    scoped = deg.join(R.modules(spark, d).where("module = 'Brand#1'").select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    return graph.hubs(scoped, None, 20, ["calls", "imports"])
+
+
+@query("module_edges", f"WITH {EDGES}, {MODULES} SELECT a.module AS from_module, b.module AS to_module, edge_type, count(*) AS n FROM edges JOIN modules a ON from_id=a.id JOIN modules b ON to_id=b.id WHERE a.module<>b.module GROUP BY ALL")
+def module_edges(spark, d):
+    return graph.module_edges(graph.merge(R.typed_refs(spark, d)), R.modules(spark, d))
+
+
+@query("orphan_refs", f"WITH {EDGES} SELECT from_id, to_id FROM edges WHERE from_id NOT IN (SELECT 'c'||c_custkey FROM customer WHERE c_custkey%10<>0) OR to_id NOT IN (SELECT 'p'||p_partkey FROM part WHERE p_partkey%10<>0)")
+def orphan_refs(spark, d):
+    m = R.modules(spark, d).where(~F.col("id").endswith("0"))
+    return graph.orphans(graph.merge(R.typed_refs(spark, d)), m).select("from_id", "to_id")
+
+
+NAMES = f"{CHUNKS}, own AS (SELECT DISTINCT name, id FROM chunks WHERE length(name)>=3), idx AS (SELECT name, id FROM (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM own) WHERE n<=8)"
+WORDS = r"words AS (SELECT DISTINCT id, unnest(regexp_extract_all(content,'[\p{L}\p{N}_]+')) AS name FROM chunks)"
+MENTIONS = f"{NAMES}, {WORDS}, ment AS (SELECT w.id AS from_id, i.id AS to_id, w.name FROM words w JOIN idx i ON w.name=i.name WHERE w.id<>i.id AND NOT EXISTS (SELECT 1 FROM own o WHERE o.id=w.id AND o.name=w.name))"
+
+
+def _mentions(spark, d):
+    c = R.chunks(spark, d)
+    own = c.select("id", "name").where(F.char_length("name") >= 3)
+    return graph.mentions(c, graph.name_index(own), own)
+
+
+@query("name_index", f"WITH {NAMES} SELECT name, id FROM idx")
+def name_index(spark, d):
+    return graph.name_index(R.chunks(spark, d).select("id", "name"))
+
+
+@query("mentions_join", f"WITH {MENTIONS} SELECT from_id, to_id, name FROM ment")
+def mentions_join(spark, d):
+    return _mentions(spark, d)
+
+
+PAIRS = f"{MENTIONS}, pairs AS (SELECT DISTINCT from_id AS id, name FROM ment), sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, count(*) OVER (PARTITION BY name) AS df, count(*) OVER () AS t FROM pairs)"
+PMI = f"{PAIRS}, top AS (SELECT id, name, score FROM (SELECT id, name, log2(t::DOUBLE/(n*df)) AS score, t, row_number() OVER (ORDER BY n*df, name, id) AS place FROM sized) WHERE place<=floor(0.02*t))"
+
+
+@query("pmi_top", f"WITH {PMI} SELECT id, name, round(score,6) AS score FROM top")
+def pmi_top(spark, d):
+    return whole(graph.pmi(_mentions(spark, d).select(F.col("from_id").alias("id"), "name")))
+
+
+@query("associated_relabel", f"WITH {PMI} SELECT m.from_id, m.to_id, CASE WHEN t.id IS NULL THEN 'mentions' ELSE 'associated' END AS edge_type FROM ment m LEFT JOIN top t ON m.from_id=t.id AND m.name=t.name")
+def associated_relabel(spark, d):
+    m = _mentions(spark, d)
+    return graph.associated(m, graph.pmi(m.select(F.col("from_id").alias("id"), "name")))
+
+
+@query("xlang_pairs", f"WITH {CHUNKS}, dd AS (SELECT name, id, language, count(*) OVER (PARTITION BY name) AS n FROM (SELECT DISTINCT name, id, language FROM chunks)) SELECT DISTINCT a.id AS from_id, b.id AS to_id FROM dd a JOIN dd b ON a.name=b.name WHERE a.n BETWEEN 2 AND 8 AND a.language<>b.language AND a.id<>b.id")
+def xlang_pairs(spark, d):
+    return graph.xlang(R.chunks(spark, d).select("name", "id", "language"))
+
+
+@query("bare_alias_cap", "WITH n AS (SELECT DISTINCT p_brand||'::'||p_type AS name, 'p'||p_partkey AS id, CASE WHEN length(p_type)>=3 THEN p_type END AS bare FROM part), u AS (SELECT name, id FROM n UNION SELECT bare, id FROM n WHERE bare IS NOT NULL) SELECT name, id FROM (SELECT *, count(*) OVER (PARTITION BY name) AS c FROM u) WHERE c<=8")
+def bare_alias_cap(spark, d):
+    p = R.table(spark, d, "part")
+    return graph.name_index(p.select(F.concat("p_brand", F.lit("::"), "p_type").alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id")))
+
+
+@query("typed_edges", "WITH e AS (SELECT 'c'||o_custkey AS id, CASE WHEN o_orderstatus='F' THEN 'calls' WHEN o_orderstatus='O' THEN 'imports' ELSE 'inherits' END AS edge_type, 'n'||(o_custkey%25) AS name FROM orders), d AS (SELECT 'n'||n_nationkey AS name, 'd'||n_nationkey AS to_id FROM nation WHERE n_regionkey<3) SELECT id AS from_id, to_id, CASE min(CASE edge_type WHEN 'calls' THEN 0 WHEN 'imports' THEN 1 ELSE 2 END) WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' ELSE 'inherits' END AS edge_type FROM e JOIN d USING (name) GROUP BY id, to_id")
+def typed_edges(spark, d):
+    kind = F.when(F.col("o_orderstatus") == "F", "calls").when(F.col("o_orderstatus") == "O", "imports").otherwise("inherits")
+    e = R.table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"), F.lit("a").alias("language"), kind.alias("edge_type"), F.concat(F.lit("n"), (F.col("o_custkey") % 25).cast("string")).alias("name"))
+    n = R.table(spark, d, "nation")
+    defs = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("id"), F.when(F.col("n_regionkey") < 3, "b").otherwise("c").alias("language"))
+    return graph.typed_edges(e, defs, spark.createDataFrame([("a", "b")], "language string, target string"))
+
+
+def _pagerank_sql(steps: int) -> str:
+    out = f"{EDGES}, nodes AS (SELECT id FROM ({MODULES.removeprefix('modules AS (')[:-1]})), outs AS (SELECT from_id, count(*) AS n FROM edges GROUP BY from_id), links AS (SELECT e.from_id, e.to_id, 1.0::DOUBLE/n AS share FROM edges e JOIN outs USING (from_id)), total AS (SELECT count(*) AS t FROM nodes), x0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE/t AS s FROM nodes, total)"
+    for i in range(steps):
+        out += f""", x{i + 1} AS MATERIALIZED (SELECT n.id, 0.85*(coalesce(g.got,0)+l.lost/t)+0.15/t AS s FROM nodes n LEFT JOIN (SELECT to_id, sum(s*share) AS got FROM links JOIN x{i} ON from_id=id GROUP BY to_id) g ON n.id=g.to_id,
+ (SELECT coalesce(sum(s),0) AS lost FROM x{i} WHERE id NOT IN (SELECT from_id FROM outs)) l, total)"""
+    return out
+
+
+@query("pagerank_20", f"WITH {_pagerank_sql(20)} SELECT id, round(s,9) AS score FROM x20")
+def pagerank_20(spark, d):
+    return graph.pagerank(graph.merge(R.typed_refs(spark, d)), R.modules(spark, d).select("id"), iterations=20).select("id", F.round("score", 9).alias("score"))
+
+
+# hierarchy
+
+
+@query("hierarchy_nodes", "WITH p AS (SELECT source||'/'||lang||'/'||doc_id||'.txt' AS path, source, source||'/'||lang AS dir FROM documents) SELECT 'file:'||path AS id, 'file' AS kind, path, 'dir:'||dir AS parent_id FROM p UNION ALL SELECT DISTINCT 'dir:'||dir, 'dir', dir, 'dir:'||source FROM p UNION ALL SELECT DISTINCT 'dir:'||source, 'dir', source, 'dir:.' FROM p UNION ALL SELECT 'dir:.', 'dir', '.', NULL")
+def hierarchy_nodes(spark, d):
+    return graph.hierarchy(R.chunks(spark, d).select("path").distinct())
+
+
+@query("subtree_counts", "SELECT source||'/'||lang AS dir, count(*) AS n_files FROM documents GROUP BY ALL UNION ALL SELECT source, count(*) FROM documents GROUP BY source UNION ALL SELECT '.', count(*) FROM documents")
+def subtree_counts(spark, d):
+    return graph.subtree_counts(R.chunks(spark, d).select("path").distinct())
+
+
+@query("paired_files", "WITH f AS (SELECT p_brand||'/'||(p_partkey//2) AS s, CASE WHEN p_partkey%2=0 THEN '.h' ELSE '.cpp' END AS e FROM part), b AS (SELECT h.s||'.h' AS x, c.s||'.cpp' AS y FROM f h JOIN f c ON h.s=c.s AND h.e='.h' AND c.e='.cpp') SELECT x AS from_path, y AS to_path FROM b UNION ALL SELECT y, x FROM b")
+def paired_files(spark, d):
+    p = R.table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.expr("p_partkey div 2").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".h").otherwise(".cpp")).alias("path"))
+    return graph.paired_files(p, [".h"], [".cpp"])
+
+
+# navigation
+
+
+@query("definitions_first", "WITH s AS (SELECT 'p'||p_partkey AS chunk_id, p_brand||'::'||regexp_extract(p_type,'([^ ]+)$',1) AS name, CASE WHEN p_partkey%2=1 THEN 'definition' ELSE 'forward_declaration' END AS kind FROM part) SELECT chunk_id, name, kind FROM (SELECT *, bool_or(kind<>'forward_declaration') OVER (PARTITION BY name) AS def FROM s) WHERE kind<>'forward_declaration' OR NOT def")
+def definitions_first(spark, d):
+    return filters.definitions_first(R.symbols(spark, d)).select("chunk_id", "name", "kind")
+
+
+@query("symbol_lookup", "WITH s AS (SELECT 'p'||p_partkey AS chunk_id, p_brand||'::'||regexp_extract(p_type,'([^ ]+)$',1) AS name, CASE WHEN p_partkey%2=1 THEN 'definition' ELSE 'forward_declaration' END AS kind FROM part), h AS (SELECT * FROM s WHERE name LIKE 'Brand#1::%') SELECT chunk_id, name, kind FROM (SELECT *, bool_or(kind<>'forward_declaration') OVER (PARTITION BY name) AS def FROM h) WHERE kind<>'forward_declaration' OR NOT def")
+def symbol_lookup(spark, d):
+    return navigation.find_symbol(R.symbols(spark, d), "Brand#1::", prefix=True).select("chunk_id", "name", "kind")
+
+
+TARGETS = "targets AS (SELECT 'p'||p_partkey AS id FROM part WHERE p_brand='Brand#1')"
+
+
+def _targets(spark, d):
+    return R.modules(spark, d).where("module = 'Brand#1'").select("id")
+
+
+@query("usages_collapse", f"WITH {EDGES}, {TARGETS} SELECT from_id, substr(min(({RANK})||edge_type),2) AS edge_type, count(DISTINCT to_id) AS n_targets FROM edges WHERE to_id IN (SELECT id FROM targets) GROUP BY from_id")
+def usages_collapse(spark, d):
+    return navigation.usages(graph.merge(R.typed_refs(spark, d)), _targets(spark, d)).select("from_id", "edge_type", "n_targets")
+
+
+@query("outgoing_collapse", f"WITH {EDGES} SELECT to_id, substr(min(({RANK})||edge_type),2) AS edge_type, count(*) AS n_edges FROM edges WHERE from_id IN (SELECT 'c'||c_custkey FROM customer WHERE c_nationkey=3) GROUP BY to_id")
+def outgoing_collapse(spark, d):
+    return navigation.outgoing(graph.merge(R.typed_refs(spark, d)), R.modules(spark, d).where("module = 'nation3'").select("id")).select("to_id", "edge_type", "n_edges")
+
+
+IMPACT = f"{EDGES}, {TARGETS}, h AS (SELECT 'nation'||c_nationkey AS path, from_id, count(*) AS n, count(*) FILTER (edge_type='calls') AS calls, count(*) FILTER (edge_type='imports') AS imports, count(*) FILTER (edge_type='mentions') AS mentions, max(c_acctbal) AS score FROM edges JOIN customer ON from_id='c'||c_custkey WHERE to_id IN (SELECT id FROM targets) GROUP BY ALL)"
+
+
+@query("impact_files", f"WITH {IMPACT} SELECT path, sum(n)::BIGINT AS n_edges, count(*) AS n_chunks, round(sum(score),2) AS pagerank_sum, sum(calls)::BIGINT AS calls, sum(imports)::BIGINT AS imports, sum(mentions)::BIGINT AS mentions, array_to_string((list(from_id ORDER BY n DESC, score DESC, from_id))[1:3],',') AS top FROM h GROUP BY path")
+def impact_files(spark, d):
+    chunks = R.modules(spark, d).select("id", F.col("module").alias("path"))
+    score = R.table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_acctbal").alias("score"))
+    got = navigation.impact(graph.merge(R.typed_refs(spark, d)), _targets(spark, d), chunks, score)
+    return got.withColumn("pagerank_sum", F.round("pagerank_sum", 2))
+
+
+@query(
+    "trace_bfs",
+    f"""WITH RECURSIVE {EDGES}, b AS (SELECT from_id AS a, to_id AS b, edge_type FROM edges UNION ALL SELECT to_id, from_id, edge_type FROM edges),
+ f AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY r, b) AS place FROM (SELECT a, b, min(CASE edge_type WHEN 'mentions' THEN 2 ELSE 0 END) AS r FROM b GROUP BY a, b)) WHERE place<=25),
+ l0 AS (SELECT 'c1' AS id), l1 AS (SELECT DISTINCT b AS id FROM f JOIN l0 ON a=id WHERE b NOT IN (SELECT id FROM l0)), l2 AS (SELECT DISTINCT b AS id FROM f JOIN l1 ON a=id WHERE b NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1)),
+ l3 AS (SELECT DISTINCT b AS id FROM f JOIN l2 ON a=id WHERE b NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1 UNION SELECT id FROM l2))
+ SELECT id, 0::BIGINT AS depth FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2 UNION ALL SELECT id, 3 FROM l3""",
+)
+def trace_bfs(spark, d):
+    one = spark.createDataFrame([("c1",)], "id string")
+    none = spark.createDataFrame([("nowhere",)], "id string")
+    return whole(graph.trace(graph.merge(R.typed_refs(spark, d)), one, none, most=3).select("id", "depth"))
+
+
+@query("bases_closure", "WITH RECURSIVE b AS (SELECT 'k'||p_partkey AS owner, 'k'||(p_partkey//3) AS base FROM part WHERE p_partkey>2 AND p_partkey<=300), r AS (SELECT owner, base FROM b UNION SELECT r.owner, b.base FROM r JOIN b ON r.base=b.owner) SELECT owner, base FROM r")
+def bases_closure(spark, d):
+    p = R.table(spark, d, "part").where("p_partkey > 2 AND p_partkey <= 300")
+    b = p.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("owner"), F.concat(F.lit("k"), F.expr("p_partkey div 3").cast("string")).alias("base"))
+    return navigation.bases_closure(b).select("owner", "base")
+
+
+@query(
+    "definition_stitch",
+    """WITH c AS (SELECT l_orderkey AS path, l_linenumber AS n, 'line'||l_linenumber||' part'||l_partkey AS content, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS k FROM lineitem WHERE l_returnflag='R'),
+ m AS (SELECT path, n, CASE WHEN n*10 > lag(n*10+4) OVER (PARTITION BY path ORDER BY n)+1 THEN '…'||chr(10)||content ELSE content END AS t FROM c WHERE k=1)
+ SELECT path::VARCHAR AS path, string_agg(t, chr(10) ORDER BY n) AS source, (min(n)*10)::BIGINT AS start_line, (max(n)*10+4)::BIGINT AS end_line FROM m GROUP BY path""",
+)
+def definition_stitch(spark, d):
+    li = R.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    k = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
+    one = li.withColumn("k", k).where("k = 1")
+    pieces = one.select(F.col("l_orderkey").cast("string").alias("path"), F.lit("x").alias("name"), (F.col("l_linenumber") * 10).alias("start_line"), (F.col("l_linenumber") * 10 + 4).alias("end_line"), F.concat(F.lit("line"), F.col("l_linenumber").cast("string"), F.lit(" part"), F.col("l_partkey").cast("string")).alias("content"))
+    return whole(navigation.stitch(pieces).select("path", "source", "start_line", "end_line"))
+
+
+# messages
+
+
+@query("message_exact", "SELECT doc_id AS id, item_id AS literal_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text) AND length(benchmark.text)>=24")
+def message_exact(spark, d):
+    lits = R.table(spark, d, "benchmark").select(F.col("item_id").alias("literal_id"), "text")
+    return message.occurrences(lits, R.chunks(spark, d).select("id", "content"))
+
+
+@query("skeletons", "SELECT event_id, 'value ␀* of ␀* at {k}' AS skeleton, ' at {k}' AS longest FROM events")
+def skeletons(spark, d):
+    t = F.lit("value %0.2f of ${name} at {{k}}")
+    return R.table(spark, d, "events").select("event_id", X.skeleton(F.concat(t, F.substring("props", 1, 0))).alias("skeleton"), X.longest_fragment(X.skeleton(F.concat(t, F.substring("props", 1, 0)))).alias("longest"))
+
+
+# maps and reports
+
+
+@query("file_scores", f"WITH {CHUNKS}, s AS (SELECT doc_id AS id, quality::DOUBLE AS score FROM labels), m AS (SELECT avg(score) AS mean FROM s) SELECT path, round(coalesce(score, mean, 1.0),6) AS score FROM chunks LEFT JOIN s USING (id), m")
+def file_scores(spark, d):
+    s = R.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"))
+    return whole(report.file_scores(R.chunks(spark, d), s))
+
+
+@query("repomap_budget", f"WITH {CHUNKS}, r AS (SELECT row_number() OVER (ORDER BY length(content) DESC, path) AS rank, path FROM chunks), u AS (SELECT rank, path, sum(greatest(ceil(length(path)/4.0),1)) OVER (ORDER BY rank) AS used FROM r) SELECT rank, path, used::BIGINT AS used FROM u WHERE used<=400 OR rank=1")
+def repomap_budget(spark, d):
+    top = R.chunks(spark, d).orderBy(F.desc(F.char_length("content")), "path").limit(400)
+    r = fusion.ranked(top.select(F.char_length("content").alias("n"), F.col("path").alias("text")), F.desc("n"), "text")
+    return whole(report.budgeted(r, 400).select("rank", F.col("text").alias("path"), F.col("used").cast("bigint").alias("used")))
+
+
+@query("report_top", f"WITH {EDGES}, {MODULES}, g AS (SELECT to_id AS id, count(*) AS in_degree FROM edges GROUP BY to_id) SELECT module, place, id, in_degree FROM (SELECT module, id, in_degree, row_number() OVER (PARTITION BY module ORDER BY in_degree DESC, id) AS place FROM g JOIN modules USING (id)) WHERE place<=8")
+def report_top(spark, d):
+    deg = graph.indegree(graph.merge(R.typed_refs(spark, d))).groupBy(F.col("to_id").alias("id")).agg(F.sum("n").alias("in_degree"))
+    return whole(report.top_report(deg, R.modules(spark, d)))
+
+
+@query("folder_summary", f"WITH {CHUNKS}, b AS (SELECT dir AS folder, name, max(length(content))::DOUBLE AS score FROM chunks WHERE name<>'' GROUP BY ALL) SELECT folder, array_to_string((list(name ORDER BY score DESC, name))[1:12],', ') AS summary FROM b GROUP BY folder")
+def folder_summary(spark, d):
+    c = R.chunks(spark, d)
+    return report.folder_summary(c, c.select("id", F.char_length("content").cast("double").alias("score")))
+
+
+@query("md_sections", r"SELECT 'd'||doc_id AS path, (2*generate_subscripts(w,1)-1)::BIGINT AS line, 2::BIGINT AS level, unnest(w) AS title, generate_subscripts(w,1)::BIGINT AS section FROM (SELECT doc_id, regexp_extract_all(text,'[\p{L}\p{N}]+')[1:5] AS w FROM documents)")
+def md_sections(spark, d):
+    w = F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 5)
+    made = R.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.array_join(F.transform(w, lambda x: F.concat(F.lit("## "), x, F.lit(" ##\nbody"))), "\n").alias("content"))
+    return whole(text.headings(made))
+
+
+@query("tile_lines")
+def tile_lines(spark, d):
+    return segment.segment_files(R.chunks(spark, d).select("path", "content")).select("path", "chunk_type", "name", "start_line", "end_line", "content")
+
+
+# changes
+
+STATES = """e AS (SELECT user_id||'/'||event_type AS path, ts, event_id, sha256(event_id||'|'||props) AS h FROM events), mid AS (SELECT epoch_us(min(ts))+(epoch_us(max(ts))-epoch_us(min(ts)))//2 AS m FROM e),
+ a AS (SELECT path, arg_max(h, {'a':ts,'b':event_id}) AS h FROM e, mid WHERE epoch_us(ts)<=m GROUP BY path), b AS (SELECT path, arg_max(h, {'a':ts,'b':event_id}) AS h FROM e, mid WHERE epoch_us(ts)>m GROUP BY path)"""
+
+
+@query("file_changes", f"WITH {STATES} SELECT coalesce(a.path,b.path) AS path, CASE WHEN a.h IS NULL THEN 'insert' WHEN b.h IS NULL THEN 'delete' ELSE 'update' END AS change FROM a FULL OUTER JOIN b ON a.path=b.path WHERE a.h IS DISTINCT FROM b.h")
+def file_changes(spark, d):
+    return incremental.changes(*R.states(spark, d))
+
+
+@query("merge_upsert", f"WITH {STATES} SELECT coalesce(a.path,b.path) AS path, coalesce(b.h,a.h) AS content_hash FROM a FULL OUTER JOIN b ON a.path=b.path")
+def merge_upsert(spark, d):
+    old, new = R.states(spark, d)
+    return incremental.upsert(old, new, ["path"])
+
+
+@query("knn_incremental_eq", f"WITH {GRAPH.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id%17<>0)')} SELECT id, neighbor_id, round(distance,6) AS distance FROM graph")
+def knn_incremental_eq(spark, d):
+    v = R.vectors(spark, d)
+    gone, changed = v.where("id % 17 = 0").select("id"), v.where("id % 13 = 0 AND id % 17 <> 0").select("id")
+    old = vectors.knn_graph(v.where("id % 13 <> 0 OR id % 17 = 0"))  # before: without those that come, with those that go
+    return whole(vectors.knn_incremental(old, v.where("id % 17 <> 0"), changed, gone))
+
+
+@query("indegree_refresh", f"WITH {EDGES} SELECT to_id, edge_type, count(*) AS n FROM edges WHERE from_id NOT IN (SELECT 'c'||c_custkey FROM customer WHERE c_custkey%11=0) GROUP BY ALL")
+def indegree_refresh(spark, d):
+    edges = graph.merge(R.typed_refs(spark, d))
+    gone = F.pmod(F.substring("from_id", 2, 20).cast("bigint"), F.lit(11)) == 0
+    return incremental.indegree_refresh(graph.indegree(edges), edges.where(~gone), edges.where(gone).select("to_id"))
+
+
+@query("edge_delta", f"WITH {EDGES}, o AS (SELECT * FROM edges WHERE substr(from_id,2)::BIGINT%7<>1), n AS (SELECT from_id, to_id, CASE WHEN substr(to_id,2)::BIGINT%5=0 THEN 'associated' ELSE edge_type END AS edge_type FROM edges WHERE substr(from_id,2)::BIGINT%7<>2) SELECT coalesce(o.from_id,n.from_id) AS from_id, coalesce(o.to_id,n.to_id) AS to_id, coalesce(n.edge_type,o.edge_type) AS edge_type, CASE WHEN o.edge_type IS NULL THEN 'add' WHEN n.edge_type IS NULL THEN 'drop' ELSE 'retype' END AS op FROM o FULL OUTER JOIN n ON o.from_id=n.from_id AND o.to_id=n.to_id WHERE o.edge_type IS DISTINCT FROM n.edge_type")
+def edge_delta(spark, d):
+    e = graph.merge(R.typed_refs(spark, d))
+    num = lambda c: F.substring(c, 2, 20).cast("bigint")
+    new = e.where(num("from_id") % 7 != 2).withColumn("edge_type", F.when(num("to_id") % 5 == 0, "associated").otherwise(F.col("edge_type")))
+    return incremental.edge_delta(e.where(num("from_id") % 7 != 1), new)
+
+
+@query("refs_incremental_eq", f"WITH {NAMES.replace('FROM documents)', 'FROM documents WHERE doc_id%19<>0)')}, {WORDS} SELECT w.id AS from_id, i.id AS to_id, w.name FROM words w JOIN idx i ON w.name=i.name WHERE w.id<>i.id")
+def refs_incremental_eq(spark, d):
+    c = R.chunks(spark, d)
+    old, new = c.where("id % 23 <> 0 OR id % 19 = 0"), c.where("id % 19 <> 0")
+    index = lambda x: graph.name_index(x.select("id", "name"))
+    full = graph.words(old).join(index(old).withColumnRenamed("id", "to_id"), "name").withColumnRenamed("id", "from_id").where("from_id <> to_id").select("from_id", "to_id", "name")
+    changed = c.where("id % 23 = 0 OR id % 19 = 0").select("id")
+    kept = full.join(changed.select(F.col("id").alias("to_id")), "to_id", "left_anti").select("from_id", "to_id", "name")
+    return incremental.mentions_refresh(kept, graph.words(new), index(old), index(new), changed)
+
+
+# measures
+
+
+def _results(spark, d):
+    """Two modes of ranked neighbours of every 25th vector as queries; rows of the same label are relevant."""
+    g = vectors.knn_graph(R.vectors(spark, d), 10, R.vectors(spark, d).where("id % 25 = 0"))
+    a = g.select(F.col("id").alias("query_id"), F.lit("near").alias("mode"), F.col("neighbor_id").alias("id"), F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor_id")).alias("rank"))
+    b = g.select(F.col("id").alias("query_id"), F.lit("byid").alias("mode"), F.col("neighbor_id").alias("id"), F.row_number().over(Window.partitionBy("id").orderBy("neighbor_id")).alias("rank"))
+    v = R.vectors(spark, d)
+    q = v.where("id % 25 = 0").select(F.col("id").alias("query_id"), "family")
+    gold = q.join(v.select("id", "family"), "family").where("query_id <> id").select("query_id", "id")
+    return a.unionByName(b), gold
+
+
+RESULTS = f"""{GRAPH}, res AS (SELECT id AS query_id, 'near' AS mode, neighbor_id AS id, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor_id) AS rank FROM graph WHERE id%25=0
+ UNION ALL SELECT id, 'byid', neighbor_id, row_number() OVER (PARTITION BY id ORDER BY neighbor_id) FROM graph WHERE id%25=0),
+ gold AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.label=v.label AND q.vec_id<>v.vec_id WHERE q.vec_id%25=0),
+ fh AS (SELECT r.query_id, r.mode, min(CASE WHEN g.id IS NOT NULL THEN r.rank END) AS rank FROM res r LEFT JOIN gold g ON r.query_id=g.query_id AND r.id=g.id GROUP BY ALL)"""
+
+
+@query("recall_mrr", f"WITH {RESULTS} SELECT mode, count(*) AS n, round(avg(CASE WHEN rank<=1 THEN 1.0 ELSE 0 END),6) AS recall_1, round(avg(CASE WHEN rank<=5 THEN 1.0 ELSE 0 END),6) AS recall_5, round(avg(CASE WHEN rank<=10 THEN 1.0 ELSE 0 END),6) AS recall_10, round(avg(coalesce(1.0/rank,0)),6) AS mrr FROM fh GROUP BY mode")
+def recall_mrr(spark, d):
+    return whole(evalkit.recall_mrr(evalkit.first_hits(*_results(spark, d))))
+
+
+@query("mode_consolidation", f"WITH {RESULTS} SELECT mode, count(*) AS covered, count(*) FILTER (n=1) AS unique_wins FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM fh WHERE rank<=3) GROUP BY mode")
+def mode_consolidation(spark, d):
+    return evalkit.consolidation(evalkit.first_hits(*_results(spark, d)), 3)
+
+
+@query("set_recall", f"WITH {RESULTS} SELECT g.query_id, count(DISTINCT g.id) AS n_gold, round(count(DISTINCT CASE WHEN r.id IS NOT NULL THEN g.id END)/count(DISTINCT g.id),6) AS recall FROM gold g LEFT JOIN (SELECT * FROM res WHERE mode='near') r ON g.query_id=r.query_id AND g.id=r.id GROUP BY g.query_id")
+def set_recall(spark, d):
+    res, gold = _results(spark, d)
+    return whole(evalkit.set_recall(res.where("mode = 'near'"), gold))
+
+
+@query("edge_precision", f"WITH {EDGES}, truth AS (SELECT DISTINCT from_id, to_id FROM refs WHERE edge_type='calls') SELECT edge_type, count(*) AS n, count(t.to_id) AS n_true, round(count(t.to_id)/count(*),6) AS precision FROM edges e LEFT JOIN truth t ON e.from_id=t.from_id AND e.to_id=t.to_id GROUP BY edge_type")
+def edge_precision(spark, d):
+    refs = R.typed_refs(spark, d)
+    return whole(evalkit.edge_precision(graph.merge(refs), refs.where("edge_type = 'calls'")))
+
+
+@query("interval_union", "WITH s AS (SELECT user_id AS key, epoch(date_trunc('second',ts))::BIGINT AS a, epoch(date_trunc('second',ts))::BIGINT+(value::BIGINT*60)%7200+1 AS b FROM events), m AS (SELECT key, a, b, max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM s) SELECT key, sum(greatest(b-greatest(a,coalesce(reached,a)),0))::BIGINT AS covered, count(*) AS n_spans FROM m GROUP BY key")
+def interval_union(spark, d):
+    e = R.table(spark, d, "events")
+    start = F.unix_timestamp("ts")
+    return evalkit.interval_union(e.select(F.col("user_id").alias("key"), start.alias("start"), (start + F.pmod(F.rint("value").cast("bigint") * 60, F.lit(7200)) + 1).alias("end")))
+
+
+@query("gold_resolution", "WITH c AS (SELECT p_partkey AS id, p_brand AS path, p_type AS name, p_size%3 AS ct FROM part), g AS (SELECT p_partkey AS key_id, p_brand AS path, p_type AS name, p_size%3 AS ct FROM part WHERE p_partkey%7=0), j AS (SELECT g.key_id, c.id, g.ct=c.ct AS ok, count(*) OVER (PARTITION BY key_id) AS n, bool_or(g.ct=c.ct) OVER (PARTITION BY key_id) AS any_ok FROM g LEFT JOIN c ON g.path=c.path AND g.name=c.name), k AS (SELECT * FROM j WHERE n<=1 OR NOT any_ok OR ok), l AS (SELECT *, count(*) OVER (PARTITION BY key_id) AS m, bool_or(id=key_id) OVER (PARTITION BY key_id) AS s2 FROM k) SELECT key_id, count(*) AS n, CASE WHEN count(*)=1 THEN min(id) END AS id FROM l WHERE m<=1 OR NOT s2 OR id=key_id GROUP BY key_id")
+def gold_resolution(spark, d):
+    p = R.table(spark, d, "part")
+    row = lambda k: p.select(F.col("p_partkey").alias(k), F.col("p_brand").alias("path"), F.col("p_type").alias("name"), (F.col("p_size") % 3).cast("string").alias("chunk_type"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("content_hash"))
+    return evalkit.resolve_gold(row("key_id").where("key_id % 7 = 0"), row("id"))
+
+
+@query("sample_targets", f"WITH {CHUNKS} SELECT id, language, place FROM (SELECT id, language, row_number() OVER (PARTITION BY language ORDER BY path, id) AS place FROM chunks) WHERE (place-1)%10=0")
+def sample_targets(spark, d):
+    return whole(evalkit.sample_targets(R.chunks(spark, d), "language", 10).select("id", "language", "place"))
