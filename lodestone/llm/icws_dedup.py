@@ -1,14 +1,14 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-* Shingles are five words. A shingle weighs its count in the text times an inverse document frequency from 1 to 2,
+* Shingles are five words. A shingle weighs its count in the text times an inverse document frequency from 1 to 2.5,
   counted over all documents in 2^20 hashed buckets, which is the same share of the documents at any size.
-* ICWS draws, for each of 64 samples, one shingle of the text with a chance in proportion to its weight, the same
+* ICWS draws, for each of 80 samples, one shingle of the text with a chance in proportion to its weight, the same
   one in texts where it weighs the same. Two texts agree in a sample with their weighted Jaccard similarity.
-* 16 bands of 4 samples: texts of similarity 0.8 share a band key with a chance of 0.9998.
+* 16 bands of 5 samples: texts of similarity 0.8 share a band key with a chance of 0.998, those of 0.9 with 1 - 1e-6.
 * Texts of one band key are linked to one of them, the hub; a link holds if the texts' weighted Jaccard similarity,
   or that of plain shingle sets (a large group's own shingles are frequent, and must not dissolve it), is 0.8 or
-  more. Then all pairs of a key that no link has joined, directly or by others, are verified too, so that no link
-  between different texts is lost to the choice of hubs.
+  more. Then all pairs of a key that no link has joined, directly or by others, and whose texts' whole weights allow
+  a similarity of 0.8, are verified too, so that no link between different texts is lost to the choice of hubs.
 * Classes are the connected components; a class's id is the least doc_id in it.
 
 Equal texts are one class, also those without words. A null is an empty text. Repeated rows are each returned.
@@ -25,9 +25,12 @@ from . import textmath as tm
 from .common import keep, map_arrow, pick
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 16, 5
 BUCKET_BITS, CHUNK_BITS = 20, 14
 DRAWS = 1 << 16
+#: What a shingle in hardly any document weighs more than one in all, and the share from which on it is that rare.
+RARE_WEIGHT, RARE_SHARE = 1.5, 1 / 2048
+_BLOCK = 1 << 14
 
 
 def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -80,9 +83,9 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """1 for a bucket in all documents, 2 for one in none."""
+    """1 for a bucket in all documents, 2.5 for a rare one; the resolution of the buckets is about RARE_SHARE at any size."""
     table, n = _frequencies(docs)
-    return (1 + np.log((1 + n) / (1 + table)) / np.log(2 + n)).astype(np.float32)
+    return (1 + RARE_WEIGHT * np.minimum(1, np.log((1 + n) / (1 + table)) / np.log(1 / RARE_SHARE))).astype(np.float32)
 
 
 def weighted(column, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,32 +121,37 @@ def _drawn() -> tuple[np.ndarray, ...]:
 def band_keys(s: np.ndarray, w: np.ndarray, per: np.ndarray) -> np.ndarray:
     """Keys of each text's bands, as int64; a text without shingles has none that count."""
     r, over_r, log_c_r, beta, a, b = _drawn()
-    log_w = np.log(w)
     out = np.empty((len(per), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(per), band + 1, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            h = tm.mix(s * a[k] + b[k])
-            i = (h >> np.uint64(48)).astype(np.int32)
-            rk, bk = r[i], beta[i]
-            t = np.floor(log_w * over_r[i] + bk)
-            # log a of the ICWS paper; the low bits of the hash keep apart shingles that picked the same entry
-            value = log_c_r[i] - rk * (t - bk) + (h & np.uint64(0xFFFFFFFF)).astype(np.float64) * 1e-13
-            least = tm.segment_reduce(np.minimum, value, per, np.inf)
-            key = tm.mix(key * np.uint64(0x9E3779B97F4A7C15) + least.view(np.uint64))
-        out[:, band] = key
+    log_w, ends = np.log(w), np.cumsum(per)
+    first = 0
+    while first < len(per):  # blocks of whole texts that stay in the cache; a longer text is one block
+        last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _BLOCK, "right")), first + 1)
+        x, y, n = slice(ends[first] - per[first], ends[last - 1]), slice(first, last), last - first
+        for band in range(BANDS):
+            key = np.full(n, band + 1, np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                h = s[x] * a[k] + b[k]
+                i = (h >> np.uint64(48)).astype(np.int32)
+                rk, bk = r[i], beta[i]
+                t = np.floor(log_w[x] * over_r[i] + bk)
+                # log a of the ICWS paper; lower bits of the hash keep apart shingles that picked the same entry
+                value = log_c_r[i] - rk * (t - bk) + (h & np.uint64(0xFFFFFFFFFFFF)).astype(np.float64) * 1e-18
+                key = tm.mix(key * np.uint64(0x9E3779B97F4A7C15) + tm.segment_reduce(np.minimum, value, per[y], np.inf).view(np.uint64))
+            out[y, band] = key
+        first = last
     return out.view(np.int64)
 
 
 def _signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, h (hash of the text) and the band keys; no keys for a text without words."""
+    """doc_id, h (hash of the text), size (class of the whole weight, a step for each factor of 0.8) and the band keys; no keys for a text without words."""
 
     def step(batch):
         s, w, per = weighted(batch.column("text"), idf.value)
         keys = band_keys(s, w, per).tolist()
-        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "keys": [k if n else [] for k, n in zip(keys, per.tolist(), strict=True)]}
+        total = np.log(np.maximum(tm.segment_reduce(np.add, w, per, 0.0), 1.0)) / np.log(1 / SIMILAR)
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "size": np.floor(total).astype(np.int32), "keys": [k if n else [] for k, n in zip(keys, per.tolist(), strict=True)]}
 
-    return map_arrow(docs, step, f"doc_id {dict(docs.dtypes)['doc_id']}, h binary, keys array<bigint>")
+    return map_arrow(docs, step, f"doc_id {dict(docs.dtypes)['doc_id']}, h binary, size int, keys array<bigint>")
 
 
 def _similar(pairs: DataFrame, idf) -> DataFrame:
@@ -206,10 +214,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mor
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequency(docs))
     signed = keep(_signatures(docs, idf), "signatures")
-    nodes = keep(signed.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "texts")
-    rows = nodes.select("h", "first", F.explode("keys").alias("key"))
+    nodes = keep(signed.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "texts")
+    rows = nodes.select("h", "first", "size", F.explode("keys").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("h").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    shared = keep(rows.join(hubs, "key").select("key", "h", "first", "hub"), "shared")
+    shared = keep(rows.join(hubs, "key").select("key", "h", "first", "size", "hub"), "shared")
     ends = shared.select("h", F.col("first").alias("doc_id")).distinct()
     same: Column = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))
     texts = keep(docs.join(ends.toDF("h2", "d2"), same, "left_semi").select("h", "text").dropDuplicates(["h"]), "candidates")
@@ -217,14 +225,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mor
     links = keep(_similar(_with_texts(tried, texts), idf), "links")
     roots = keep(components(links), "roots")
     # pairs of a key that are not joined yet; those tried already are known to differ
-    labelled = shared.join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    labelled = shared.join(roots, "h", "left").select("key", "h", "size", F.coalesce("root", "h").alias("root"))
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     left = keep(labelled.join(open_keys, "key"), "open")
-    p, q = left.select("key", F.col("h").alias("a"), F.col("root").alias("ra")), left.select("key", F.col("h").alias("b"), F.col("root").alias("rb"))
-    rest = p.join(q, "key").where("ra <> rb AND a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = keep(_similar(_with_texts(keep(rest, "rest"), texts), idf), "more")
-    if more.limit(1).count():
-        roots = keep(components(links.union(more)), "roots")
+    # sizes of similar texts are of one class or of neighbouring ones, so each row meets its own and the next class
+    p = left.select("key", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("size").alias("own"), F.col("h").alias("x"), F.col("root").alias("rx"))
+    q = left.select("key", "size", F.col("h").alias("y"), F.col("root").alias("ry"))
+    rest = p.join(q, ["key", "size"]).where("rx <> ry AND (own <> size OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    found = keep(_similar(_with_texts(keep(rest, "rest"), texts), idf), "found")
+    if found.limit(1).count():
+        roots = keep(components(links.union(found)), "roots")
     ids = nodes.select("h", "first").join(roots, "h")
     least = ids.groupBy("root").agg(F.min("first").alias("class_id"))
     named = nodes.select("h", "first").join(ids.join(least, "root").select("h", "root", "class_id"), "h", "left")
