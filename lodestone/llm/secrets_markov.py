@@ -5,7 +5,7 @@ scored by two first-order character models, one of random strings and one of ord
 secret if the log-likelihood ratio favours the random one by enough, in total and for each character.
 
 The random model learns from hashes, spelt in hex and base 64, and from values that the patterns find; the ordinary
-one from the other tokens of a bounded sample of documents. Offsets are code points, the end exclusive.
+one from a list of identifiers and the other tokens of a bounded sample of documents. Offsets are code points, the end exclusive.
 Null and empty texts have no spans; repeated rows get the same result each; other columns are ignored.
 """
 
@@ -27,6 +27,26 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 WIDE = len(ALPHABET) + 1
+# Labelled ordinary identifiers in the usual styles; each counts ORDINARY_TIMES times.
+ORDINARY = """
+addEventListener application_settings authenticationManager background-color-primary buildConfiguration calculateTotalAmount
+charactersRemaining com/example/service/Controller component_registry ConnectionPoolManager content-security-policy
+createElementFromTemplate current_user_session DatabaseMigrationRunner default_timeout_seconds deserializeMessage
+documentationUrl environment_variables EventDispatcherFactory exception_handling_policy fetchRemoteResources
+first_name_last_name formatDateWithTimezone getElementById getNextAvailableIndex hello_world_example HttpResponseStatusCode
+identifier_of_some_length index_of_last_element initializeComponents InputStreamReader internationalization isAuthenticated
+javascript/typescript/modules keyboardShortcutHandler language_identification lastModifiedTimestamp loadBalancerEndpoint
+max_connections_per_host MessageQueueConsumer navigation-bar-container notificationPreferences NumberFormatException
+onConfigurationChanged operating_system_version organization_settings parseCommandLineArguments password_reset_required
+performance_monitoring playbackRateControl PropertyChangeListener quantity_available_in_stock queryParameterBuilder
+readOnlyRepository registered_domain_suffix RequestValidationError responsibilities scheduleBackgroundTask
+SerializationContext session_expiration_date shoppingCartContents sourceCodeRepository StringBuilderUtilities
+subscription_renewal_date supportedLanguages synchronizeFileSystem table_of_contents temporaryDirectory
+transaction_isolation_level TransformationMatrix unexpectedEndOfInput updateInventoryRecord user_interface_language
+validateEmailAddress verificationToken visibleColumnHeaders windows-registry-editor workspaceConfiguration
+""".split()
+ORDINARY_TIMES = 20
+
 #: Rows of the documents, and strings of either spelling, that the models learn from at most.
 SAMPLE_ROWS, RANDOM_STRINGS = 2000, 4000
 #: Nats that must favour the random model: for each pair of characters, and for the token.
@@ -40,7 +60,7 @@ def _bind(value: Column, f) -> Column:
 
 
 def _shifted(d: int):
-    return lambda a: F.when(F.size(a) <= d, a).otherwise(F.zip_with(a, F.concat(F.array_repeat(F.lit(0), d), F.slice(a, 1, F.size(a) - d)), lambda x, y: x + y))
+    return lambda a: F.when(F.size(a) <= d, a).otherwise(F.transform(a, lambda x, i: x + F.coalesce(F.get(a, i - d), F.lit(0))))
 
 
 def _running(numbers: Column) -> Column:
@@ -134,7 +154,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
     other = sample.select(F.explode(F.regexp_extract_all(_rest(F.col("text")), F.lit("[A-Za-z0-9+/_=-]{4,}+"), F.lit(0))).alias("token"), F.lit(0).alias("random"))
     digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256)
     made = spark.range(RANDOM_STRINGS).select(F.explode(F.array(digest, F.base64(F.unhex(digest)))).alias("token"), F.lit(1).alias("random"))
-    counts = found.unionByName(other).unionByName(made).select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
+    known = spark.range(1).select(F.explode(F.flatten(F.array_repeat(F.split(F.lit(" ".join(ORDINARY)), " "), ORDINARY_TIMES))).alias("token"), F.lit(0).alias("random"))
+    counts = found.unionByName(other).unionByName(made).unionByName(known).select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
     table = [[0.5] * (WIDE * WIDE), [0.5] * (WIDE * WIDE)]
     for r in counts.collect():  # two numbers for each pair of characters at most
         table[r.random][r.pair] += r["count"]
