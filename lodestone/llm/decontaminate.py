@@ -61,7 +61,7 @@ def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """One row for each document text that holds a window: doc_id, h (of the text), n_hit and wins (distinct)."""
     key = ["doc_id", "h"]
     wins = wins.withColumn("q", F.least(F.lit(TOKEN), "len"))
-    sizes = [r.q for r in wins.select("q").distinct().collect()]
+    sizes = [r.q for r in wins.select("q").distinct().collect()] or [TOKEN]
     toks = None
     for q in sizes:
         part = wins.where(F.col("q") == q).select("win", "len", "q", F.posexplode(_tokens(F.split("win", " "), q)).alias("off", "token"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import textmath as tm
 from .common import map_arrow, pick
 
-SAMPLE_ROWS, BITS, EPOCHS, BATCH, RATE, DECAY = 5000, 16, 6, 128, 0.05, 1e-4
+SAMPLE_ROWS, BITS, EPOCHS, BATCH, RATE, DECAY = 5000, 16, 12, 64, 0.3, 1e-2
 _WORD, _UPPER, _SIGN = tm._WORD, np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = True
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 95), 96, *range(123, 127)]] = True
