@@ -27,11 +27,11 @@ def skeleton_pattern(skel: Column) -> Column:
 
 def by_skeleton(literals: DataFrame, message: str) -> DataFrame:
     """Literals whose template matches within the message, the longest fragment first; its longest fragment must occur as it is."""
-    if len(message) > MOST_SKELETON:
-        return literals.limit(0)
     s = literals.withColumn("skeleton", X.skeleton(F.col("text"))).where("skeleton IS NOT NULL").withColumn("longest", X.longest_fragment(F.col("skeleton")))
+    if len(message) > MOST_SKELETON:
+        return s.limit(0)
     s = s.where((F.char_length("longest") >= LEAST) & F.lit(message).contains(F.col("longest")))
-    return s.where(F.lit(message).rlike(skeleton_pattern(F.col("skeleton"))))
+    return s.where(F.rlike(F.lit(message), skeleton_pattern(F.col("skeleton"))))
 
 
 def dedupe(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def scan(spark: SparkSession, root: str, includes: list[str] = (), excludes: lis
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     below = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(re.sub(r"^file:/+", "/", base)) + "/", "")
     files = files.withColumn("path", below).where(allowed(F.col("path"), list(includes), list(excludes)))
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("content_hash"))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
 
 
 def rebuilt(chunks: DataFrame) -> DataFrame:
@@ -78,9 +78,9 @@ class Catalog:
 
     def versions(self) -> dict[str, str]:
         fs, path = self._fs()
-        if not fs.exists(path(f"{self.folder}/_current")):
+        if not fs.exists(path(f"{self.folder}/current.json")):
             return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/_current").collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/current.json").collect()))
 
     def has(self, name: str) -> bool:
         return name in self.versions()
@@ -95,12 +95,12 @@ class Catalog:
             now[name] = f"{name}/{uuid.uuid4().hex}"
             df.write.parquet(f"{self.folder}/{now[name]}")
         fs, path = self._fs()
-        fresh = path(f"{self.folder}/_next-{uuid.uuid4().hex}")
+        fresh = path(f"{self.folder}/next-{uuid.uuid4().hex}")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        fs.delete(path(f"{self.folder}/_current"), False)
-        fs.rename(fresh, path(f"{self.folder}/_current"))
+        fs.delete(path(f"{self.folder}/current.json"), False)
+        fs.rename(fresh, path(f"{self.folder}/current.json"))
 
     def meta(self) -> dict[str, str]:
         return {r.key: r.value for r in self.read("meta").collect()} if self.has("meta") else {}
