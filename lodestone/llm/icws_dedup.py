@@ -7,8 +7,11 @@
 * 16 bands of 5 samples: texts of similarity 0.8 share a band key with a chance of 0.998, those of 0.9 with 1 - 1e-6.
 * Texts of one band key are linked to one of them, the hub; a link holds if the texts' weighted Jaccard similarity,
   or that of plain shingle sets (a large group's own shingles are frequent, and must not dissolve it), is 0.8 or
-  more. Then all pairs of a key that no link has joined, directly or by others, and whose texts' whole weights allow
-  a similarity of 0.8, are verified too, so that no link between different texts is lost to the choice of hubs.
+  more. Keys whose texts no link has joined, directly or by others, get a second hub, the one with the least that no
+  other text has. Then the pairs that are still not joined are verified too, so that no link between different texts
+  is lost to the choice of hubs; but for those that can't be similar, for a text shares at most what it has in common
+  with any text of a key left open, and this is counted exactly. Bounds for each text against the smallest of its key
+  close most keys before any pair is made.
 * Classes are the connected components; a class's id is the least doc_id in it.
 
 Equal texts are one class, also those without words. A null is an empty text. Repeated rows are each returned.
@@ -143,15 +146,15 @@ def band_keys(s: np.ndarray, w: np.ndarray, per: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, h (hash of the text), size (class of the whole weight, a step for each factor of 0.8) and the band keys; no keys for a text without words."""
+    """doc_id, h (hash of the text), n and weight of its shingles, and the band keys; no keys for a text without words."""
 
     def step(batch):
         s, w, per = weighted(batch.column("text"), idf.value)
         keys = band_keys(s, w, per).tolist()
-        total = np.log(np.maximum(tm.segment_reduce(np.add, w, per, 0.0), 1.0)) / np.log(1 / SIMILAR)
-        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "size": np.floor(total).astype(np.int32), "keys": [k if n else [] for k, n in zip(keys, per.tolist(), strict=True)]}
+        weight = tm.segment_reduce(np.add, w, per, 0.0)
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n": per, "weight": weight, "keys": [k if n else [] for k, n in zip(keys, per.tolist(), strict=True)]}
 
-    return map_arrow(docs, step, f"doc_id {dict(docs.dtypes)['doc_id']}, h binary, size int, keys array<bigint>")
+    return map_arrow(docs, step, f"doc_id {dict(docs.dtypes)['doc_id']}, h binary, n bigint, weight double, keys array<bigint>")
 
 
 def _similar(pairs: DataFrame, idf) -> DataFrame:
@@ -181,6 +184,37 @@ def _similar(pairs: DataFrame, idf) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def _alone(texts: DataFrame, idf) -> DataFrame:
+    """h with the number and weight of its shingles that no other of these texts has."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from .common import steps
+
+        for batch in batches:
+            text = batch.column("text")
+            for x, y in steps([len(t) for t in text.to_pylist()]):
+                s, w, per = weighted(text.slice(x, y - x), idf.value)
+                h = batch.column("h").slice(x, y - x).take(pa.array(np.repeat(np.arange(y - x), per)))
+                yield pa.record_batch([h, pa.array(s.view(np.int64)), pa.array(w)], names=["h", "s", "w"])
+
+    rows = texts.select("h", "text").mapInArrow(run, "h binary, s bigint, w double")
+    one = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("h").alias("h"), F.min("w").alias("w")).where("n = 1")
+    return one.groupBy("h").agg(F.count("*").alias("alone_n"), F.sum("w").alias("alone_w"))
+
+
+def _can(common: Column, own: Column, other: Column) -> Column:
+    """Whether texts of these sizes, of which one has so much in common with any other, can be similar enough."""
+    return common >= SIMILAR / (1 + SIMILAR) * (own + other) - 1e-6
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of keys with more than one root."""
+    keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return rows.join(keys, "key")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """h and root (the least of its component) for each end of an edge (a, b), by alternating large and small stars."""
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -214,10 +248,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mor
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequency(docs))
     signed = keep(_signatures(docs, idf), "signatures")
-    nodes = keep(signed.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "texts")
-    rows = nodes.select("h", "first", "size", F.explode("keys").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("h").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    shared = keep(rows.join(hubs, "key").select("key", "h", "first", "size", "hub"), "shared")
+    nodes = keep(signed.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")), "texts")
+    rows = nodes.select("h", "first", "n", "weight", F.explode("keys").alias("key"))
+    hubs = rows.groupBy("key").agg(F.min("h").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
+    shared = keep(rows.join(hubs, "key").select("key", "h", "first", "n", "weight", "hub"), "shared")
     ends = shared.select("h", F.col("first").alias("doc_id")).distinct()
     same: Column = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))
     texts = keep(docs.join(ends.toDF("h2", "d2"), same, "left_semi").select("h", "text").dropDuplicates(["h"]), "candidates")
@@ -225,13 +259,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mor
     links = keep(_similar(_with_texts(tried, texts), idf), "links")
     roots = keep(components(links), "roots")
     # pairs of a key that are not joined yet; those tried already are known to differ
-    labelled = shared.join(roots, "h", "left").select("key", "h", "size", F.coalesce("root", "h").alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = keep(labelled.join(open_keys, "key"), "open")
-    # sizes of similar texts are of one class or of neighbouring ones, so each row meets its own and the next class
-    p = left.select("key", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("size").alias("own"), F.col("h").alias("x"), F.col("root").alias("rx"))
-    q = left.select("key", "size", F.col("h").alias("y"), F.col("root").alias("ry"))
-    rest = p.join(q, ["key", "size"]).where("rx <> ry AND (own <> size OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    left = keep(_open(shared.join(roots, "h", "left").select("key", "h", "n", "weight", F.coalesce("root", "h").alias("root"))), "open")
+    alone = _alone(texts.join(left.select("h").distinct(), "h", "left_semi"), idf)
+    left = left.join(alone, "h", "left").withColumn("common_n", F.col("n") - F.coalesce("alone_n", F.lit(0))).withColumn("common_w", F.col("weight") - F.coalesce("alone_w", F.lit(0.0)))
+    left = keep(left.drop("alone_n", "alone_w"), "bounded")
+    centre = left.groupBy("key").agg(F.min_by("h", F.struct(F.col("n") - F.col("common_n"), "h")).alias("hub"))
+    again = left.join(centre, "key").where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
+    again = keep(again.join(tried, ["a", "b"], "left_anti"), "again")
+    tried = tried.union(again)
+    links = links.union(keep(_similar(_with_texts(again, texts), idf), "links"))
+    roots = keep(components(links), "roots")
+    left = _open(left.drop("root").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
+    least = left.groupBy("key").agg(F.min("n").alias("least_n"), F.min("weight").alias("least_w"))
+    left = left.join(least, "key").where(_can(F.col("common_n"), F.col("n"), F.col("least_n")) | _can(F.col("common_w"), F.col("weight"), F.col("least_w")))
+    left = keep(_open(left.drop("least_n", "least_w")), "still")
+    p, q = (left.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("h", "root", "n", "weight", "common_n", "common_w")]) for side in "pq")
+    both = lambda common, size: _can(F.col(f"{common}_p"), F.col(f"{size}_p"), F.col(f"{size}_q")) & _can(F.col(f"{common}_q"), F.col(f"{size}_q"), F.col(f"{size}_p"))
+    q = q.withColumnRenamed("key", "key_q")
+    rest = p.join(q, (F.col("key") == F.col("key_q")) & (F.col("h_p") < F.col("h_q")) & (F.col("root_p") != F.col("root_q")) & (both("common_n", "n") | both("common_w", "weight")))
+    rest = rest.select(F.col("h_p").alias("a"), F.col("h_q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = keep(_similar(_with_texts(keep(rest, "rest"), texts), idf), "found")
     if found.limit(1).count():
         roots = keep(components(links.union(found)), "roots")
