@@ -82,3 +82,36 @@ def interval_owner(points: DataFrame, spans: DataFrame) -> DataFrame:
 def judge_medians(rows: DataFrame) -> DataFrame:
     """Of each condition: runs, median turns and cost, and verdicts that hold when the sides are swapped."""
     return rows.groupBy("condition").agg(F.count("*").alias("n"), F.median("num_turns").alias("turns"), F.median("cost_usd").alias("cost"), F.count_if(F.col("verdict") == F.col("swapped_verdict")).alias("consistent"))
+
+
+def neighbourhood(returned: DataFrame, gold: DataFrame, anchors: DataFrame, ks=(10, 20, 50)) -> DataFrame:
+    """Of each mode (query_id, mode, id, rank): mean share of the gold set within k, and share of queries whose anchor is found."""
+    hit = returned.join(gold, ["query_id", "id"], "left_semi").groupBy("query_id", "mode").agg(*[F.count_if(F.col("rank") <= k).alias(f"f{k}") for k in ks])
+    found = returned.join(anchors, ["query_id", "id"], "left_semi").select("query_id", "mode").distinct().withColumn("anchor", F.lit(1))
+    size = gold.groupBy("query_id").agg(F.countDistinct("id").alias("n_gold"))
+    rows = returned.select("query_id", "mode").distinct().join(size, "query_id").join(hit, ["query_id", "mode"], "left").join(found, ["query_id", "mode"], "left")
+    return rows.groupBy("mode").agg(F.count("*").alias("n"), *[F.avg(F.coalesce(F.col(f"f{k}"), F.lit(0)) / F.col("n_gold")).alias(f"recall_{k}") for k in ks], F.avg(F.coalesce("anchor", F.lit(0))).alias("anchor_rate"))
+
+
+def definition_of(references: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Each reference (ref_id, symbol, path, line) with one definition of its symbol: of the same file first, then the nearest line."""
+    d = definitions.select("symbol", F.col("path").alias("def_path"), F.col("line").alias("def_line"), "def_id")
+    both = references.join(d, "symbol")
+    order = Window.partitionBy("ref_id").orderBy(F.desc(F.col("path") == F.col("def_path")), F.abs(F.col("line") - F.col("def_line")), "def_id")
+    return both.withColumn("place", F.row_number().over(order)).where("place = 1").select("ref_id", "def_id")
+
+
+def equal_graphs(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Rows of two neighbour graphs that differ, with both distances."""
+    x, y = a.select("id", "neighbor_id", F.col("distance").alias("a")), b.select("id", "neighbor_id", F.col("distance").alias("b"))
+    return x.join(y, ["id", "neighbor_id"], "full_outer").where(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) > tolerance))
+
+
+def relational_targets(edges: DataFrame, modules: DataFrame, degrees: DataFrame, hub: int = 50, stride: int = 5) -> DataFrame:
+    """Callees in another module than their caller's that are no hubs, every stride-th of each module."""
+    m = modules.select("id", "module")
+    e = edges.where("edge_type = 'calls'").join(m.toDF("from_id", "fm"), "from_id").join(m.toDF("to_id", "module"), "to_id").where("fm <> module")
+    big = degrees.groupBy("to_id").agg(F.sum("n").alias("n")).where(F.col("n") > hub)
+    t = e.select("to_id", "module").distinct().join(big, "to_id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("module").orderBy("to_id"))
+    return t.withColumn("place", place).where(F.pmod(F.col("place") - 1, F.lit(stride)) == 0)

@@ -140,3 +140,18 @@ def doctor(chunks: DataFrame, edges: DataFrame, vectors: DataFrame, meta: dict[s
     if bad:
         out.append(f"{bad} edge ends are missing")
     return out
+
+
+def omitted_subtrees(left_out: DataFrame, top: int = 5) -> DataFrame:
+    """The groups (first two path segments) with most files that a map leaves out, and the rest as one row."""
+    g = left_out.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("subtree")).groupBy("subtree").agg(F.count("*").alias("n"))
+    g = g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "subtree")))  # one row for each subtree of two segments
+    return g.groupBy(F.when(F.col("place") <= top, F.col("subtree")).otherwise("(rest)").alias("subtree")).agg(F.sum("n").alias("n"))
+
+
+def idle_entries(entries: list[str], paths: DataFrame) -> list[str]:
+    """Include or exclude entries that fit no path."""
+    from ..sources.files import glob_pattern
+
+    flags = paths.agg(*[F.max(F.col("path").rlike(glob_pattern(e)).cast("int")).alias(f"e{i}") for i, e in enumerate(entries)]).first() if entries else []
+    return [e for e, hit in zip(entries, flags, strict=True) if not hit]

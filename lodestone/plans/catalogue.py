@@ -281,10 +281,10 @@ def worst_neighbour(spark, d):
     return whole(vectors.worst_neighbour(vectors.knn_graph(R.vectors(spark, d))))
 
 
-@query("near_dup_pairs", f"WITH {RANKED}, t AS (SELECT r.id, e.embedding FROM ranked r JOIN embeddings e ON e.vec_id=r.id WHERE rank<=50) SELECT x.id AS a, y.id AS b, round({COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')},6) AS cosine FROM t x JOIN t y ON x.id<y.id WHERE {COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')}>=0.5")
+@query("near_dup_pairs", f"WITH {RANKED}, t AS (SELECT r.id, e.embedding FROM ranked r JOIN embeddings e ON e.vec_id=r.id WHERE rank<=50) SELECT x.id AS a, y.id AS b, round({COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')},6) AS cosine FROM t x JOIN t y ON x.id<y.id WHERE {COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')}>=0.3")
 def near_dup_pairs(spark, d):
     top = _ranked(spark, d).where("rank <= 50").join(R.vectors(spark, d).select("id", "embedding"), "id")
-    return whole(vectors.near_pairs(top, 0.5))
+    return whole(vectors.near_pairs(top, 0.3))
 
 
 @query(
@@ -752,3 +752,40 @@ def gold_resolution(spark, d):
 @query("sample_targets", f"WITH {CHUNKS} SELECT id, language, place FROM (SELECT id, language, row_number() OVER (PARTITION BY language ORDER BY path, id) AS place FROM chunks) WHERE (place-1)%10=0")
 def sample_targets(spark, d):
     return whole(evalkit.sample_targets(R.chunks(spark, d), "language", 10).select("id", "language", "place"))
+
+
+@query("neighbourhood_recall", f"WITH {RESULTS}, g AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id), f AS (SELECT r.query_id, r.mode, count(*) FILTER (o.id IS NOT NULL AND r.rank<=3) AS f3, count(o.id) AS f10, max(CASE WHEN r.id=r.query_id+1 THEN 1 ELSE 0 END) AS a FROM res r LEFT JOIN gold o ON r.query_id=o.query_id AND r.id=o.id GROUP BY ALL) SELECT mode, count(*) AS n, round(avg(f3/g.n),6) AS recall_3, round(avg(f10/g.n),6) AS recall_10, round(avg(a),6) AS anchor_rate FROM f JOIN g USING (query_id) GROUP BY mode")
+def neighbourhood_recall(spark, d):
+    res, gold = _results(spark, d)
+    anchors = res.select("query_id").distinct().select("query_id", (F.col("query_id") + 1).alias("id"))
+    return whole(evalkit.neighbourhood(res, gold, anchors, (3, 10)))
+
+
+@query("definition_of", "SELECT l_rowid AS ref_id, def_id FROM (SELECT *, row_number() OVER (PARTITION BY l_rowid ORDER BY (path=def_path) DESC, abs(line-def_line), def_id) AS place FROM (SELECT o_orderkey AS l_rowid, 's'||(o_custkey%50) AS symbol, o_orderpriority AS path, o_orderkey%1000 AS line FROM orders) r JOIN (SELECT 's'||(s_suppkey%50) AS symbol, CASE s_nationkey%2 WHEN 0 THEN '1-URGENT' ELSE '5-LOW' END AS def_path, s_suppkey%1000 AS def_line, s_suppkey AS def_id FROM supplier) q USING (symbol)) WHERE place=1")
+def definition_of(spark, d):
+    refs = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("ref_id"), F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"), F.col("o_orderpriority").alias("path"), (F.col("o_orderkey") % 1000).alias("line"))
+    defs = R.table(spark, d, "supplier").select(F.concat(F.lit("s"), (F.col("s_suppkey") % 50).cast("string")).alias("symbol"), F.when(F.col("s_nationkey") % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("path"), (F.col("s_suppkey") % 1000).alias("line"), F.col("s_suppkey").alias("def_id"))
+    return evalkit.definition_of(refs, defs)
+
+
+@query("relational_targets", f"WITH {EDGES}, {MODULES}, big AS (SELECT to_id FROM edges GROUP BY to_id HAVING count(*)>35), t AS (SELECT DISTINCT e.to_id, b.module FROM edges e JOIN modules a ON e.from_id=a.id JOIN modules b ON e.to_id=b.id WHERE e.edge_type='calls' AND a.module<>b.module AND e.to_id NOT IN (SELECT to_id FROM big)) SELECT to_id, module, place FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY to_id) AS place FROM t) WHERE (place-1)%5=0")
+def relational_targets(spark, d):
+    e = graph.merge(R.typed_refs(spark, d))
+    return whole(evalkit.relational_targets(e, R.modules(spark, d), graph.indegree(e), 35).select("to_id", "module", "place"))
+
+
+@query("omitted_subtrees", "WITH g AS (SELECT source||'/'||lang AS subtree, count(*) AS n FROM documents WHERE n_chars<2000 GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, subtree) AS place FROM g) SELECT CASE WHEN place<=5 THEN subtree ELSE '(rest)' END AS subtree, sum(n)::BIGINT AS n FROM r GROUP BY 1")
+def omitted_subtrees(spark, d):
+    rows = R.table(spark, d, "documents").where("n_chars < 2000").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    return report.omitted_subtrees(rows)
+
+
+@query("equal_graphs", f"WITH {GRAPH} SELECT id, neighbor_id FROM graph WHERE false")
+def equal_graphs(spark, d):
+    v = R.vectors(spark, d)
+    return evalkit.equal_graphs(vectors.knn_graph(v), vectors.knn_graph(v, block_rows=100)).select("id", "neighbor_id")
+
+
+@query("postings_join", rf"""WITH {CHUNKS}, w AS (SELECT id, unnest(regexp_extract_all(lower(name),'[\p{{L}}\p{{N}}]+')) AS term FROM chunks) SELECT term, id, count(*) AS tf FROM w GROUP BY ALL""")
+def postings_join(spark, d):
+    return whole(text.postings(R.chunks(spark, d), ("name",)).select("term", "id", F.size("positions").alias("tf")))
