@@ -59,15 +59,26 @@ def find_by_message(literals: DataFrame, chunks: DataFrame, message: str, limit:
     return both.limit(limit).drop("o"), notes
 
 
-def occurrences(literals: DataFrame, messages: DataFrame, anchor: int = 24) -> DataFrame:
-    """id and literal_id of all messages that hold a literal whole, in one pass over the messages.
+def occurrences(literals: DataFrame, messages: DataFrame, most_short: int = 1000) -> DataFrame:
+    """id and literal_id of all messages (id, content) that hold a literal (literal_id, text) whole.
 
-    A literal's first ``anchor`` characters are looked up at each place of a message by their hash; the rest is verified.
+    A message that holds a literal has its inner words (all but the first and the last, which may be parts of longer
+    ones) as words of its own: the longest is joined, the rest verified. Literals without an inner word are held
+    against each message; there may be most_short of them.
     """
-    lits = literals.where(F.char_length("text") >= anchor).select("literal_id", F.col("text").alias("literal"), F.xxhash64(F.substring("text", 1, anchor)).alias("key"))
-    first = F.regexp_extract(F.substring("literal", 1, anchor), r"^([\p{L}\p{N}]+)", 1)
-    words = lits.withColumn("word", F.lower(first))
-    seen = messages.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    pairs = seen.join(words.select("literal_id", "word"), "word").select("id", "literal_id").distinct()
-    both = pairs.join(lits.select("literal_id", "literal"), "literal_id").join(messages.select("id", "content"), "id")
-    return both.where(F.col("content").contains(F.col("literal"))).select("id", "literal_id")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    lits = literals.where("text <> ''").select("literal_id", F.col("text").alias("literal"), words(F.col("text")).alias("w"))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = F.aggregate(inner, F.lit(""), lambda a, x: F.when(F.char_length(x) > F.char_length(a), x).otherwise(a))
+    lits = lits.withColumn("word", F.nullif(longest, F.lit("")))
+    seen = messages.select("id", F.explode(F.array_distinct(words(F.col("content")))).alias("word"))
+    pairs = seen.join(lits.where("word IS NOT NULL").select("literal_id", "literal", "word"), "word").select("id", "literal_id", "literal")
+    found = pairs.join(messages.select("id", "content"), "id").where(F.col("content").contains(F.col("literal"))).select("id", "literal_id")
+    short = lits.where("word IS NULL").select("literal_id", "literal").limit(most_short + 1).collect()
+    if len(short) > most_short:
+        raise ValueError(f"more than {most_short} literals without an inner word")
+    if short:
+        table = F.array(*[F.struct(F.lit(r.literal_id).alias("literal_id"), F.lit(r.literal).alias("literal")) for r in short])
+        held = messages.select("id", F.explode(F.filter(table, lambda s: F.col("content").contains(s["literal"]))).alias("s"))
+        found = found.unionByName(held.select("id", F.col("s.literal_id").alias("literal_id")))
+    return found

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from .filters import definitions_first
+from .graph import keep
 
 
 def find_symbol(symbols: DataFrame, name: str, prefix: bool = False) -> DataFrame:
@@ -76,11 +77,12 @@ def omitted(hits: DataFrame, limit: int) -> DataFrame:
 
 def bases_closure(bases: DataFrame, most: int = 16) -> DataFrame:
     """owner, base, depth: all bases of each class, breadth first."""
-    level = bases.select("owner", "base", F.lit(1).alias("depth")).distinct()
+    bases = keep(bases.select("owner", "base").distinct())
+    level = bases.withColumn("depth", F.lit(1))
     out = level
     for depth in range(2, most + 1):
         level = level.select("owner", F.col("base").alias("mid")).join(bases.select(F.col("owner").alias("mid"), "base"), "mid").select("owner", "base", F.lit(depth).alias("depth")).distinct()
-        level = level.join(out.select("owner", "base"), ["owner", "base"], "left_anti")
+        level = keep(level.join(out.select("owner", "base"), ["owner", "base"], "left_anti"))
         if not level.limit(1).count():
             break
         out = out.unionByName(level)

@@ -183,7 +183,7 @@ def bm25(df: DataFrame, terms: list[str], every: bool = True, weights: dict[str,
     return out.orderBy("score", "id").limit(top_k) if top_k else out
 
 
-def search(df: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, top_k: int = 20) -> DataFrame:
+def search(df: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, top_k: int | None = 20) -> DataFrame:
     """id and score for a query in the boolean language; leaves count as terms of BM25."""
     q = parse(query)
     leaves = _leaves(q)
@@ -191,7 +191,8 @@ def search(df: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, top_k
     n = sum((F.size(f"bag_{c}") for c in weights), F.lit(0)).alias("n")
     tf = [_leaf_count(F.col(f"bag_{c}"), leaf).alias(f"tf{i}_{c}") for i, leaf in enumerate(leaves) for c in weights]
     counted = bags.select("id", n, _holds(q, [F.col(f"bag_{c}") for c in weights]).alias("holds"), *tf)
-    return _scored(counted, len(leaves), weights).where("holds").select("id", "score").orderBy("score", "id").limit(top_k)
+    out = _scored(counted, len(leaves), weights).where("holds").select("id", "score")
+    return out.orderBy("score", "id").limit(top_k) if top_k else out
 
 
 def fts(df: DataFrame, query: str, **kw) -> tuple[DataFrame, list[str]]:
