@@ -98,3 +98,38 @@ def commit_gold(log: str, known: dict[str, str], least: int = 2, most: int = 20)
         elif now is not None and (m := re.match(r"(?:\d+|-)\t(?:\d+|-)\t(.+)", line)) and os.path.splitext(m[1])[1].lower() in known:
             now["gold_files"].append(m[1])
     return [c for c in out if least <= len(c["gold_files"]) <= most]
+
+
+#: Edge weights for exploring: typed edges first.
+EXPLORE = {"calls": 8.0, "imports": 8.0, "inherits": 8.0, "xlang": 8.0, "associated": 1.0, "mentions": 1.0}
+
+
+def embed_timeout(n_texts: int) -> float:
+    """Seconds that a batch of texts may take: one for each, 120 at least and 900 at most."""
+    return float(min(max(120, n_texts), 900))
+
+
+def worth_a_retry(status: int | None) -> bool:
+    """Whether a service's answer may differ next time: no answer, or an error on its side."""
+    return status is None or status >= 500
+
+
+def without_meta(text: str, markers: tuple[str, ...] = ("## Meta", "## Notes", "---")) -> str:
+    """The text up to a closing section about itself, if one starts in its last two fifths."""
+    cuts = [i for i in (text.rfind("\n" + m) for m in markers) if i >= 0.6 * len(text)]
+    return text[: min(cuts)].rstrip() if cuts else text
+
+
+class Projects:
+    """Engines of named projects, opened when first asked for."""
+
+    def __init__(self, folders: dict[str, str], open_):
+        self.folders, self.open, self.engines = folders, open_, {}
+
+    def get(self, name: str | None = None):
+        if name is None and len(self.folders) == 1:
+            name = next(iter(self.folders))
+        check(name in self.folders, f"no project {name!r}; known: {', '.join(sorted(self.folders))}")
+        if name not in self.engines:
+            self.engines[name] = self.open(self.folders[name])
+        return self.engines[name]
