@@ -98,5 +98,7 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
                 for a, b in steps(lengths):
                     got = f(batch.slice(a, b - a))
                     yield pa.RecordBatch.from_arrays([pa.array(got[c.name], c.type) for c in out], schema=out)
+                del got
+            pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
 
     return df.mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -242,11 +243,22 @@ def find(texts: list[str | None], params) -> list[tuple[list, list]]:
                 out[-1] = (k, out[-1][1], b)
             else:
                 out.append((k, a, b))
-    return [(base, [x for x in sorted(extra) if not _overlaps(x, base)]) for base, extra in zip(g.base, added, strict=True)]
+    return [(base, _apart(extra, base)) for base, extra in zip(g.base, added, strict=True)]
 
 
-def _overlaps(x, base) -> bool:
-    return any(s < x[2] and x[1] < e for _, s, e in base)
+def _apart(extra: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of the spans that overlap none of base, in order."""
+    starts = sorted((a, b) for _, a, b in base)
+    reach, most = [], -1
+    for _, b in starts:
+        most = max(most, b)
+        reach.append(most)
+    out = []
+    for k, a, b in sorted(extra):
+        i = bisect_left(starts, (b, -1))  # those that start before the span ends
+        if not i or reach[i - 1] <= a:
+            out.append((k, a, b))
+    return out
 
 
 def train(docs: DataFrame):

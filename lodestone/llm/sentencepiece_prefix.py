@@ -27,7 +27,7 @@ from .common import map_arrow, pick
 
 MARK = "▁"
 #: A worker remembers this many encoded units, and as many of the time before.
-MEMORY = 200_000
+MEMORY = 50_000
 FOREVER = 1 << 60
 #: Longer units are encoded one by one.
 WIDE = 24
@@ -240,7 +240,7 @@ class PrefixTable:
         """Ids of a text of known characters without runs of the space mark."""
         last: list[int] = [-1] * (len(text) + 1)
         paired, apart, size = self.paired, self._apart, len(self.piece)
-        if len(paired) > 1_000_000:
+        if len(paired) > 200_000:
             paired.clear()
         for end, (t, n) in self.automaton.iter(text):
             end += 1
