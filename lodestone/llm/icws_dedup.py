@@ -2,9 +2,11 @@
 
 * Shingles are five words. A shingle weighs its count in the text times an inverse document frequency from 1 to 2.5,
   counted over all documents in 2^20 hashed buckets, which is the same share of the documents at any size.
-* ICWS draws, for each of 80 samples, one shingle of the text with a chance in proportion to its weight, the same
+* ICWS draws, for each of 64 samples, one shingle of the text with a chance in proportion to its weight, the same
   one in texts where it weighs the same. Two texts agree in a sample with their weighted Jaccard similarity.
-* 16 bands of 5 samples: texts of similarity 0.8 share a band key with a chance of 0.998, those of 0.9 with 1 - 1e-6.
+* 16 bands of 4 samples: texts of weighted similarity 0.8 share a band key with a chance of 0.9998. As a link also
+  holds by plain shingle sets, however low the weighted similarity is then (counts, or edits that weigh more than what
+  a large group shares), 16 more bands of 4 samples are drawn with equal weights, with the same chance for that rule.
 * Texts of one band key are linked to one of them, the hub; a link holds if the texts' weighted Jaccard similarity,
   or that of plain shingle sets (a large group's own shingles are frequent, and must not dissolve it), is 0.8 or
   more. Keys whose texts no link has joined, directly or by others, get a second hub, the one with the least that no
@@ -28,7 +30,8 @@ from . import textmath as tm
 from .common import keep, map_arrow, pick
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 16, 5
+#: Bands and samples of each, of the weighted rule and again of the plain one.
+BANDS, ROWS = 16, 4
 BUCKET_BITS, CHUNK_BITS = 20, 14
 DRAWS = 1 << 16
 #: What a shingle in hardly any document weighs more than one in all, and the share from which on it is that rare.
@@ -107,6 +110,8 @@ def weighted(column, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 _draws = None
+_g = np.random.default_rng(20240811)
+_PLAIN = _g.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _g.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 
 
 def _drawn() -> tuple[np.ndarray, ...]:
@@ -121,19 +126,25 @@ def _drawn() -> tuple[np.ndarray, ...]:
     return _draws
 
 
+def _blocks(per: np.ndarray):
+    """Slices of the shingles and of the texts: blocks of whole texts that stay in the cache; a longer text is one block."""
+    ends, first = np.cumsum(per), 0
+    while first < len(per):
+        last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _BLOCK, "right")), first + 1)
+        yield slice(ends[first] - per[first], ends[last - 1]), slice(first, last)
+        first = last
+
+
 def band_keys(s: np.ndarray, w: np.ndarray, per: np.ndarray) -> np.ndarray:
     """Keys of each text's bands, as int64; a text without shingles has none that count."""
     r, over_r, log_c_r, beta, a, b = _drawn()
     out = np.empty((len(per), BANDS), np.uint64)
-    log_w, ends = np.log(w), np.cumsum(per)
-    first = 0
-    while first < len(per):  # blocks of whole texts that stay in the cache; a longer text is one block
-        last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _BLOCK, "right")), first + 1)
-        x, y, n = slice(ends[first] - per[first], ends[last - 1]), slice(first, last), last - first
+    log_w = np.log(w)
+    for x, y in _blocks(per):
         for band in range(BANDS):
-            key = np.full(n, band + 1, np.uint64)
+            key = np.full(y.stop - y.start, band + 1, np.uint64)
             for k in range(band * ROWS, (band + 1) * ROWS):
-                h = s[x] * a[k] + b[k]
+                h = tm.mix(s[x] * a[k] + b[k])
                 i = (h >> np.uint64(48)).astype(np.int32)
                 rk, bk = r[i], beta[i]
                 t = np.floor(log_w[x] * over_r[i] + bk)
@@ -141,7 +152,19 @@ def band_keys(s: np.ndarray, w: np.ndarray, per: np.ndarray) -> np.ndarray:
                 value = log_c_r[i] - rk * (t - bk) + (h & np.uint64(0xFFFFFFFFFFFF)).astype(np.float64) * 1e-18
                 key = tm.mix(key * np.uint64(0x9E3779B97F4A7C15) + tm.segment_reduce(np.minimum, value, per[y], np.inf).view(np.uint64))
             out[y, band] = key
-        first = last
+    return out.view(np.int64)
+
+
+def plain_keys(s: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Keys of each text's bands where all distinct shingles weigh the same (MinHash); none equals a weighted key but by chance."""
+    a, b = _PLAIN
+    out = np.empty((len(per), BANDS), np.uint64)
+    for x, y in _blocks(per):
+        for band in range(BANDS):
+            key = np.full(y.stop - y.start, BANDS + band + 1, np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                key = tm.mix(key * np.uint64(0x9E3779B97F4A7C15) + tm.segment_reduce(np.minimum, s[x] * a[k] + b[k], per[y], 2**64 - 1))
+            out[y, band] = key
     return out.view(np.int64)
 
 
@@ -150,7 +173,7 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
 
     def step(batch):
         s, w, per = weighted(batch.column("text"), idf.value)
-        keys = band_keys(s, w, per).tolist()
+        keys = np.concatenate([band_keys(s, w, per), plain_keys(s, per)], 1).tolist()
         weight = tm.segment_reduce(np.add, w, per, 0.0)
         return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n": per, "weight": weight, "keys": [k if n else [] for k, n in zip(keys, per.tolist(), strict=True)]}
 

@@ -289,6 +289,16 @@ def test_near_dedup_sampling_follows_weighted_jaccard():
     assert abs(np.mean(share) - j**icws.ROWS) < 0.05
 
 
+def test_near_dedup_plain_links_of_low_weighted_similarity(spark):
+    """Equal shingle sets are links, also where counts keep the weighted similarity at about a tenth."""
+    rows = []
+    for i in range(8):
+        base = prose(60, 7000 + i)
+        rows += [(2 * i, base + " q" * 6, "en", "s", 0), (2 * i + 1, base + " q" * 500, "en", "s", 0)]
+    got = {r.doc_id: r.class_id for r in icws.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(16)}
+
+
 def test_components(spark):
     edges = [(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(60) if i not in (20, 40)]
     got = icws.components(spark.createDataFrame(edges, "a binary, b binary")).collect()
