@@ -2,8 +2,11 @@
 
 The patterns find e-mail and IP addresses, card and phone numbers. The field labels every token that holds a digit or
 an @ (email, ip, card, phone or none). Neighbouring tokens share a chain potential; tokens of one document that repeat
-(the same digits, or the same letters and signs), however far apart, share a skip potential with their next repetition.
-Loopy message passing carries what the patterns found (clamped) to repetitions that the patterns did not match, so that
+(the same digits, or the same letters and signs), however far apart, share a skip potential with their next repetition
+and, in inference, with the first of them that the patterns found, so that no repetition is more than one step from it.
+A repetition of six digits or more of a found address or number, or of a whole found e-mail address, shares that one's
+label outright, at any distance; shorter parts (a country code) only by the potential.
+Loopy message passing, until no message moves by SETTLED (or, should they not settle, MOST_ROUNDS), carries what the patterns found (clamped) to repetitions that the patterns did not match, so that
 an entity has one label in the whole document. Tokens of a marginal of 0.9 or more become spans of their own; neighbours
 of one kind are joined. Spans of the patterns always stay, and no other span overlaps them.
 
@@ -29,7 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 LABELS = NONE + 1
 #: Documents that the weights are fitted to at most, sizes of the tables, and steps.
-SAMPLE_ROWS, WIDTH, ROUNDS, SURE = 4000, 1 << 12, 8, 0.9
+SAMPLE_ROWS, WIDTH, SURE = 4000, 1 << 12, 0.9
+SETTLED, MOST_ROUNDS = 1e-3, 2000
 
 # The patterns of the contract; lookbehinds and possessive quantifiers only spare time.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -124,8 +128,8 @@ class Graph:
     """Nodes and edges of the fields of several documents."""
 
     def __init__(self, texts: list[str]):
-        self.text, self.spans, self.given, self.base = [], [], [], []
-        rows, cols, chain, skip = [], [], [], []
+        self.text, self.spans, self.given, self.tied, self.base = [], [], [], [], []
+        rows, cols, chain, skip, star = [], [], [], [], []
         for n, text in enumerate(texts):
             base = base_spans(text) if text else []
             self.base.append(base)
@@ -134,6 +138,7 @@ class Graph:
             spans, features, forms, places = nodes(text)
             first = len(self.spans)
             last: dict = {}
+            found: dict = {}  # the first token of each form that the patterns found
             cover = sorted((s, e, k) for k, s, e in base)
             c = 0
             reach = -1  # the widest end so far, as kinds may overlap
@@ -152,11 +157,22 @@ class Graph:
                 if form in last:
                     skip.append((last[form], here))
                 last[form] = here
+                if self.given[here] < NONE:
+                    found.setdefault(form, here)
+            for i, form in enumerate(forms):
+                hub, here = found.get(form), first + i
+                self.tied.append(self.given[here])
+                if hub is not None and self.given[here] == NONE:
+                    star.append((hub, here))
+                    if "@" in form[1] if self.given[hub] == 0 else form[0] == "d":
+                        self.tied[here] = self.given[hub]
             self.spans += spans
             self.text += [n] * len(spans)
         self.rows, self.cols = np.array(rows, np.int64), np.array(cols, np.int64)
-        self.chain, self.skip = (np.array(x, np.int64).reshape(-1, 2) for x in (chain, skip))
-        self.given = np.array(self.given, np.int64)
+        beside = set(skip)
+        star = [(a, b) for a, b in star if (a, b) not in beside and (b, a) not in beside]
+        self.chain, self.skip, self.star = (np.array(x, np.int64).reshape(-1, 2) for x in (chain, skip, star))
+        self.given, self.tied = np.array(self.given, np.int64), np.array(self.tied, np.int64)
 
     def unary(self, weights: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.spans), LABELS))
@@ -164,27 +180,31 @@ class Graph:
         return out
 
     def marginals(self, weights, chain, skip) -> np.ndarray:
-        """Of each node and label, by loopy message passing; what the patterns found is clamped."""
+        """Of each node and label, by loopy message passing; what the patterns found is clamped, and what is tied to it."""
         n = len(self.spans)
         own = self.unary(weights)
-        found = self.given < NONE
+        found = self.tied < NONE
         own[found] = -50.0
-        own[found, self.given[found]] = 50.0
-        edges = np.concatenate([self.chain, self.skip])
+        own[found, self.tied[found]] = 50.0
+        repeats = np.concatenate([self.skip, self.star])
+        edges = np.concatenate([self.chain, repeats])
         if not len(edges):
             return _softmax(own)
-        pot = np.concatenate([np.broadcast_to(chain, (len(self.chain), LABELS, LABELS)), np.broadcast_to(skip, (len(self.skip), LABELS, LABELS))])
+        pot = np.concatenate([np.broadcast_to(chain, (len(self.chain), LABELS, LABELS)), np.broadcast_to(skip, (len(repeats), LABELS, LABELS))])
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
         m = len(edges)
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
         message = np.zeros((2 * m, LABELS))
-        for _ in range(ROUNDS):
+        for _ in range(MOST_ROUNDS):
             belief = own.copy()
             np.add.at(belief, dst, message)
             new = np.logaddexp.reduce((belief[src] - message[back])[:, :, None] + pot, axis=1)
             new -= new.max(1, keepdims=True)
+            moved = np.abs(new - message).max()
             message = 0.5 * message + 0.5 * new
+            if moved < SETTLED:
+                break
         belief = own.copy()
         np.add.at(belief, dst, message)
         return _softmax(belief)

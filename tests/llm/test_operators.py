@@ -105,6 +105,24 @@ def test_pii_repetition_shares_a_label():
     assert len(base) == 1 and [k for k, *_ in added] == [3]
 
 
+def test_pii_far_repetitions_share_a_label():
+    """A number that the patterns find once has its label at each of 50 repetitions that they don't find."""
+    r = random.Random(11)
+    number = lambda: f"+49{r.randint(10**8, 10**9 - 1)}"
+    train = []
+    for i in range(120):
+        n = number()
+        order = r.randint(10**10, 10**11 - 1)
+        train.append(f"call {n} now {prose(20, 3000 + i)} or {n} and {order} or {order} items")
+    params = pii.fit(train)
+    text = "call +49123456789 now " + " ".join(f"{prose(12, 4000 + i)} or 49123456789 and" for i in range(50))
+    base, added = pii.find([text], params)[0]
+    assert len(base) == 1
+    assert [text[a:b] for _, a, b in added] == ["49123456789"] * 50
+    clean = text.replace("+49123456789", "nobody")
+    assert pii.find([clean], params)[0] == ([], [])
+
+
 def test_pii_query_and_redaction(spark, docs, empty):
     got = pii.detect(docs)
     assert got.count() == docs.count()
