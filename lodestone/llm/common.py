@@ -33,15 +33,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where none is named."""
+    """The folder that all executors share, as the session names it.
+
+    Where none is named, a local session takes one under the warehouse; a cluster's session is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "/tmp/lodestone-checkpoints"
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodestone-checkpoints"
     return named.rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -49,18 +53,30 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*kept: DataFrame) -> None:
+    """Deletes what keep() wrote, once all that is read from it is itself kept."""
+    for df in kept:
+        if (path := getattr(df, "kept_at", None)) in _written:
+            _delete(path)
 
 
 def drop_kept() -> None:
-    """Deletes what keep() wrote; runs by itself when the driver ends."""
+    """Deletes what keep() wrote and is still there; runs by itself when the driver ends."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(next(iter(_written)))
         except Exception:  # noqa: BLE001  the JVM may be gone already; then the folder's owner cleans up
             return
 
@@ -80,6 +96,30 @@ def steps(n_bytes: Iterable[int], most: int = STEP_BYTES) -> Iterator[tuple[int,
         yield start, i + 1
 
 
+def lengths(column) -> list[int]:
+    """Bytes of each text of a string column, 0 for null, without making Python strings."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
+_trim = None
+
+
+def release() -> None:
+    """Gives back memory that a batch took; workers live on."""
+    global _trim
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _trim is None:
+        import ctypes
+
+        _trim = getattr(ctypes.CDLL(None), "malloc_trim", False)  # glibc only
+    if _trim:
+        _trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """mapInArrow where ``f`` takes a RecordBatch of a bounded number of text bytes (the column ``text``) and returns a dict of columns."""
     import pyarrow as pa
@@ -90,15 +130,12 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         for batch in batches:
-            if batch.num_rows:
-                lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-                for a, b in steps(lengths):
-                    got = f(batch.slice(a, b - a))
-                    yield pa.RecordBatch.from_arrays([pa.array(got[c.name], c.type) for c in out], schema=out)
+            for a, b in steps(lengths(batch.column("text"))):
+                got = f(batch.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(got[c.name], c.type) for c in out], schema=out)
                 del got
-            pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
+            del batch
+            release()
 
     return df.mapInArrow(run, schema)

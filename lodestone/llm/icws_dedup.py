@@ -1,20 +1,24 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-* Shingles are five words. A shingle weighs its count in the text times an inverse document frequency from 1 to 2.5,
-  counted over all documents in 2^20 hashed buckets, which is the same share of the documents at any size.
+* Shingles are five words. A shingle weighs its count in the text times a normalised inverse document frequency: 1 for
+  one in all documents, 2 for one in less than 1 of 2,048, the logarithm between. It is counted over all documents in
+  2^20 hashed buckets, whose resolution is the same share of the documents at any size. The usual unbounded logarithm
+  would let a group of thousands of near copies make its own shingles common, weigh an edit ten times what the group
+  shares, and fall apart; here an edit weighs twice that at most.
 * ICWS draws, for each of 64 samples, one shingle of the text with a chance in proportion to its weight, the same
   one in texts where it weighs the same. Two texts agree in a sample with their weighted Jaccard similarity.
-* 16 bands of 4 samples: texts of weighted similarity 0.8 share a band key with a chance of 0.9998. As a link also
-  holds by plain shingle sets, however low the weighted similarity is then (counts, or edits that weigh more than what
-  a large group shares), 16 more bands of 4 samples are drawn with equal weights, with the same chance for that rule.
-* Texts of one band key are linked to one of them, the hub; a link holds if the texts' weighted Jaccard similarity,
-  or that of plain shingle sets (a large group's own shingles are frequent, and must not dissolve it), is 0.8 or
-  more. Keys whose texts no link has joined, directly or by others, get a second hub, the one with the least that no
-  other text has. Then the pairs that are still not joined are verified too, so that no link between different texts
-  is lost to the choice of hubs; but for those that can't be similar, for a text shares at most what it has in common
-  with any text of a key left open, and this is counted exactly. Bounds for each text against the smallest of its key
-  close most keys before any pair is made.
-* Classes are the connected components; a class's id is the least doc_id in it.
+* 16 bands of 4 samples: texts of weighted similarity 0.8 share a band key with a chance of 0.9998.
+* A link holds if the weighted Jaccard similarity of two texts of one band key is 0.8 or more; nothing else decides.
+* Each key's hub is the text that meets most others over all its keys. All texts of a key are verified against the hub,
+  which is linear in the key's size.
+* No other pair of a key is made unless it can hold. Let dx be the signed difference of x's weights from the hub's.
+  x and y are linked only if dx and dy agree in weight by o = (|dx| + |dy| - (Wx + Wy) / 9) / 2. Where both are far
+  from the hub that is about half of either difference, so by the prefix filter (differences in order: own shingles
+  first, by rarity, then the hub's that are missing) the pair shares one of the first tokens, up to the last behind which
+  o is left. The shared prefix weight plus what lies behind the prefixes bounds the agreement, and prunes pairs
+  before their texts are verified. The filter is exact: it drops no link between texts of one key that the hub has not joined.
+
+Classes are the connected components; a class's id is the least doc_id in it.
 
 Equal texts are one class, also those without words. A null is an empty text. Repeated rows are each returned.
 A null doc_id counts as the largest for the class id. Other columns are ignored.
@@ -27,15 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textmath as tm
-from .common import keep, map_arrow, pick
+from .common import forget, keep, lengths, map_arrow, pick, release
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Bands and samples of each, of the weighted rule and again of the plain one.
+#: Bands and samples of each.
 BANDS, ROWS = 16, 4
 BUCKET_BITS, CHUNK_BITS = 20, 14
 DRAWS = 1 << 16
 #: What a shingle in hardly any document weighs more than one in all, and the share from which on it is that rare.
-RARE_WEIGHT, RARE_SHARE = 1.5, 1 / 2048
+RARE_WEIGHT, RARE_SHARE = 1.0, 1 / 2048
 _BLOCK = 1 << 14
 
 
@@ -51,14 +55,14 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
         table, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
         for batch in batches:
-            lengths = [len(x) if x else 0 for x in batch.column("text").to_pylist()]
-            n += len(lengths)
-            for a, b in steps(lengths):
+            n += batch.num_rows
+            for a, b in steps(lengths(batch.column("text"))):
                 words, counts, _, _ = tm.word_hashes(batch.column("text").slice(a, b - a))
                 s, per = tm.shingles(words, counts, SHINGLE)
                 bucket = (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
                 once = np.unique(np.repeat(np.arange(len(per)), per) << BUCKET_BITS | bucket)
                 table += np.bincount(once & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
+            release()
         if n:
             parts = table.reshape(-1, 1 << CHUNK_BITS)
             used = [i for i, p in enumerate(parts) if p.any()]
@@ -89,7 +93,7 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """1 for a bucket in all documents, 2.5 for a rare one; the resolution of the buckets is about RARE_SHARE at any size."""
+    """1 for a bucket in all documents, 2 for a rare one; the resolution of the buckets is about RARE_SHARE at any size."""
     table, n = _frequencies(docs)
     return (1 + RARE_WEIGHT * np.minimum(1, np.log((1 + n) / (1 + table)) / np.log(1 / RARE_SHARE))).astype(np.float32)
 
@@ -110,8 +114,6 @@ def weighted(column, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 _draws = None
-_g = np.random.default_rng(20240811)
-_PLAIN = _g.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _g.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 
 
 def _drawn() -> tuple[np.ndarray, ...]:
@@ -155,60 +157,58 @@ def band_keys(s: np.ndarray, w: np.ndarray, per: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def plain_keys(s: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """Keys of each text's bands where all distinct shingles weigh the same (MinHash); none equals a weighted key but by chance."""
-    a, b = _PLAIN
-    out = np.empty((len(per), BANDS), np.uint64)
-    for x, y in _blocks(per):
-        for band in range(BANDS):
-            key = np.full(y.stop - y.start, BANDS + band + 1, np.uint64)
-            for k in range(band * ROWS, (band + 1) * ROWS):
-                key = tm.mix(key * np.uint64(0x9E3779B97F4A7C15) + tm.segment_reduce(np.minimum, s[x] * a[k] + b[k], per[y], 2**64 - 1))
-            out[y, band] = key
-    return out.view(np.int64)
-
-
 def _signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, h (hash of the text), n and weight of its shingles, and the band keys; no keys for a text without words."""
+    """doc_id, h (hash of the text) and the band keys; no keys for a text without words."""
 
     def step(batch):
         s, w, per = weighted(batch.column("text"), idf.value)
-        keys = np.concatenate([band_keys(s, w, per), plain_keys(s, per)], 1).tolist()
-        weight = tm.segment_reduce(np.add, w, per, 0.0)
-        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n": per, "weight": weight, "keys": [k if n else [] for k, n in zip(keys, per.tolist(), strict=True)]}
-
-    return map_arrow(docs, step, f"doc_id {dict(docs.dtypes)['doc_id']}, h binary, n bigint, weight double, keys array<bigint>")
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "keys": [k if n else [] for k, n in zip(band_keys(s, w, per).tolist(), per.tolist(), strict=True)]}
 
+    return map_arrow(docs, step, f"doc_id {dict(docs.dtypes)['doc_id']}, h binary, keys array<bigint>")
 
-def _similar(pairs: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b with texts ta, tb) that are similar enough."""
 
-    def run(batches):
-        import pyarrow as pa
+def differences(hubs, texts, idf: np.ndarray) -> dict[str, np.ndarray]:
+    """How each text differs from the hub beside it, for many pairs at once.
 
-        from .common import steps
-
-        for batch in batches:
-            texts = [batch.column("ta").to_pylist(), batch.column("tb").to_pylist()]
-            for x, y in steps([len(p) + len(q) for p, q in zip(*texts, strict=True)]):
-                n = y - x
-                s, w, per = weighted(pa.concat_arrays([batch.column("ta").slice(x, n), batch.column("tb").slice(x, n)]), idf.value)
-                pair = np.repeat(np.arange(2 * n) % n, per)
-                order = np.lexsort((s, pair))
-                s, w, pair = s[order], w[order], pair[order]
-                both = np.flatnonzero((s[1:] == s[:-1]) & (pair[1:] == pair[:-1]))
-                low = np.bincount(pair[both], np.minimum(w[both], w[both + 1]), minlength=n)
-                total = np.bincount(pair, w, minlength=n)
-                shared = np.bincount(pair[both], minlength=n)
-                plain = shared >= SIMILAR * (per[:n] + per[n:] - shared) - 1e-9
-                good = (low >= SIMILAR * (total - low) - 1e-9) | plain
-                yield pa.record_batch([batch.column("a").slice(x, n), batch.column("b").slice(x, n)], names=["a", "b"]).filter(pa.array(good & (shared > 0)))
-
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
-
-
-def _alone(texts: DataFrame, idf) -> DataFrame:
-    """h with the number and weight of its shingles that no other of these texts has."""
+    good: whether they are linked. token, weight: the first differences in the common order, ``many`` for each pair,
+    of which the first ``short`` are enough against texts whose side is not known to be near the hub (all, for linked ones);
+    rest_short and rest: the weight behind them; u: the pair's part of the agreement that a link needs.
+    """
+    import pyarrow as pa
+
+    n = len(hubs)
+    s, w, per = weighted(pa.concat_arrays([hubs, texts]), idf)
+    row = np.repeat(np.arange(2 * n), per)
+    total = np.bincount(row, w, minlength=2 * n)
+    hub, own = total[:n], total[n:]
+    v, pair = np.where(row < n, -w, w), row % n if n else row
+    order = np.lexsort((s, pair))
+    s, v, pair = s[order], v[order], pair[order]
+    second = np.zeros(len(s), bool)
+    second[1:] = (s[1:] == s[:-1]) & (pair[1:] == pair[:-1])
+    at = np.flatnonzero(second)
+    v[at - 1] += v[at]
+    some = ~second & (np.abs(v) > 1e-9)
+    s, v, pair = s[some], v[some], pair[some]
+    d = np.bincount(pair, np.abs(v), minlength=n)
+    good = (d <= (hub + own) / 9 * (1 + 1e-9)) & (hub > 0) & (own > 0)
+    rare, gone = idf[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], v < 0
+    order = np.lexsort((s, np.where(gone, rare, -rare), gone, pair))
+    s, v, pair, gone = s[order], np.abs(v[order]), pair[order], gone[order]
+    before = np.cumsum(v) - v
+    starts = np.searchsorted(pair, np.arange(n))
+    behind = d[pair] - (before - before[np.minimum(starts[pair], max(len(v) - 1, 0))] if len(v) else before)
+    slack = 1e-6 * (1 + d)
+    needed = (d + (hub - own) / 9) / 2 - slack
+    least = np.where(good, needed, (d - (own + hub) / 9) / 2 - slack)
+    short, long = behind >= needed[pair], behind >= least[pair]
+    count = lambda mask, x=None: np.bincount(pair[mask], None if x is None else x[mask], minlength=n)
+    token = np.where(gone, tm.mix(s ^ np.uint64(0x5851F42D4C957F2D)), s)
+    return {"good": good, "token": token[long].view(np.int64), "weight": v[long], "many": count(long), "short": count(short), "rest_short": d - count(short, v), "rest": d - count(long, v), "u": (d - own / 9) / 2}
+
+
+def _judged(pairs: DataFrame, idf, tokens: bool) -> DataFrame:
+    """a (the hub), b and good for each pair with texts ta and tb; with ``tokens`` also what differences() has."""
 
     def run(batches):
         import pyarrow as pa
@@ -216,26 +216,34 @@ def _alone(texts: DataFrame, idf) -> DataFrame:
         from .common import steps
 
         for batch in batches:
-            text = batch.column("text")
-            for x, y in steps([len(t) for t in text.to_pylist()]):
-                s, w, per = weighted(text.slice(x, y - x), idf.value)
-                h = batch.column("h").slice(x, y - x).take(pa.array(np.repeat(np.arange(y - x), per)))
-                yield pa.record_batch([h, pa.array(s.view(np.int64)), pa.array(w)], names=["h", "s", "w"])
-
-    rows = texts.select("h", "text").mapInArrow(run, "h binary, s bigint, w double")
-    one = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("h").alias("h"), F.min("w").alias("w")).where("n = 1")
-    return one.groupBy("h").agg(F.count("*").alias("alone_n"), F.sum("w").alias("alone_w"))
-
-
-def _can(common: Column, own: Column, other: Column) -> Column:
-    """Whether texts of these sizes, of which one has so much in common with any other, can be similar enough."""
-    return common >= SIMILAR / (1 + SIMILAR) * (own + other) - 1e-6
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows of keys with more than one root."""
-    keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return rows.join(keys, "key")
+            ta, tb = batch.column("ta"), batch.column("tb")
+            for x, y in steps((p + q for p, q in zip(lengths(ta), lengths(tb), strict=True))):
+                got = differences(ta.slice(x, y - x), tb.slice(x, y - x), idf.value)
+                columns = {"a": batch.column("a").slice(x, y - x), "b": batch.column("b").slice(x, y - x), "good": pa.array(got["good"])}
+                if tokens:
+                    at = pa.array(np.concatenate(([0], np.cumsum(got["many"]))), pa.int32())
+                    columns |= {k: pa.ListArray.from_arrays(at, pa.array(got[k])) for k in ("token", "weight")}
+                    columns |= {k: pa.array(got[k]) for k in ("short", "rest_short", "rest", "u")}
+                yield pa.RecordBatch.from_pydict(columns)
+            del ta, tb, batch
+            release()
+
+    more = ", token array<bigint>, weight array<double>, short bigint, rest_short double, rest double, u double" if tokens else ""
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, good boolean" + more)
+
+
+def _possible(judged: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts with one hub, in different components, that may be linked, by the prefix filter on their differences."""
+    rows = judged.join(roots.withColumnsRenamed({"h": "b"}), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    rows = rows.select("a", "b", "root", "good", "short", "rest_short", "rest", "u", F.posexplode(F.arrays_zip("token", "weight")).alias("pos", "t"))
+    rows = rows.select("a", "b", "root", "good", "rest_short", "rest", "u", (F.col("pos") < F.col("short")).alias("first"), "t.token", "t.weight")
+    p, q = rows.where("NOT good").alias("p"), rows.where("first").alias("q")
+    same = (F.col("p.a") == F.col("q.a")) & (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root"))
+    both = p.join(q, same & (F.col("q.good") | (F.col("p.first") & (F.col("p.b") < F.col("q.b")))))
+    behind = F.greatest(F.when(F.col("q.good"), F.col("p.rest")).otherwise(F.col("p.rest_short")), F.col("q.rest_short"))
+    both = both.select("p.a", F.col("p.b").alias("x"), F.col("q.b").alias("y"), F.least("p.weight", "q.weight").alias("shared"), behind.alias("behind"), (F.col("p.u") + F.col("q.u")).alias("needed"))
+    both = both.groupBy("a", "x", "y").agg(F.sum("shared").alias("shared"), F.first("behind").alias("behind"), F.first("needed").alias("needed"))
+    return both.where(F.col("shared") + F.col("behind") >= F.col("needed") * (1 - 1e-9) - 1e-5).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,6 +253,7 @@ def components(edges: DataFrame) -> DataFrame:
     size = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(30,0)"))).first())
     seen = size(edges)
     while True:
+        before = edges
         all_ = both(edges)
         m = all_.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = all_.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -253,6 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(m, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b")))
         edges = keep(small.distinct(), "small")
         now = size(edges)
+        forget(large, before)
         if now == seen:
             return edges.select(F.col("a").alias("h"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("h"), F.col("b").alias("root"))).distinct()
         seen = now
@@ -271,39 +281,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mor
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequency(docs))
     signed = keep(_signatures(docs, idf), "signatures")
-    nodes = keep(signed.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")), "texts")
-    rows = nodes.select("h", "first", "n", "weight", F.explode("keys").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("h").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
-    shared = keep(rows.join(hubs, "key").select("key", "h", "first", "n", "weight", "hub"), "shared")
-    ends = shared.select("h", F.col("first").alias("doc_id")).distinct()
+    nodes = keep(signed.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "texts")
+    rows = nodes.select("h", "first", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keep(rows.join(sizes, "key"), "shared")
+    # how often a text meets others, over all its keys: texts with few edits of their own lead
+    met = keep(shared.groupBy("h").agg(F.sum("size").alias("met"), F.min("first").alias("first")), "met")
+    hubs = shared.select("key", "h").join(met.select("h", "met"), "h").groupBy("key").agg(F.max_by("h", F.struct("met", "h")).alias("hub"))
+    tried = keep(shared.select("key", "h").join(hubs, "key").where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "tried")
+    ends = met.select(F.col("h").alias("h2"), F.col("first").alias("d2"))
     same: Column = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))
-    texts = keep(docs.join(ends.toDF("h2", "d2"), same, "left_semi").select("h", "text").dropDuplicates(["h"]), "candidates")
-    tried = keep(shared.where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "tried")
-    links = keep(_similar(_with_texts(tried, texts), idf), "links")
-    roots = keep(components(links), "roots")
-    # pairs of a key that are not joined yet; those tried already are known to differ
-    left = keep(_open(shared.join(roots, "h", "left").select("key", "h", "n", "weight", F.coalesce("root", "h").alias("root"))), "open")
-    alone = _alone(texts.join(left.select("h").distinct(), "h", "left_semi"), idf)
-    left = left.join(alone, "h", "left").withColumn("common_n", F.col("n") - F.coalesce("alone_n", F.lit(0))).withColumn("common_w", F.col("weight") - F.coalesce("alone_w", F.lit(0.0)))
-    left = keep(left.drop("alone_n", "alone_w"), "bounded")
-    centre = left.groupBy("key").agg(F.min_by("h", F.struct(F.col("n") - F.col("common_n"), "h")).alias("hub"))
-    again = left.join(centre, "key").where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
-    again = keep(again.join(tried, ["a", "b"], "left_anti"), "again")
-    tried = tried.union(again)
-    links = links.union(keep(_similar(_with_texts(again, texts), idf), "links"))
+    texts = keep(docs.join(ends, same, "left_semi").select("h", "text").dropDuplicates(["h"]), "candidates")
+    judged = keep(_judged(_with_texts(tried, texts), idf, True), "judged")
+    forget(shared, met, tried)
+    links = judged.where("good").select("a", "b")
     roots = keep(components(links), "roots")
-    left = _open(left.drop("root").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
-    least = left.groupBy("key").agg(F.min("n").alias("least_n"), F.min("weight").alias("least_w"))
-    left = left.join(least, "key").where(_can(F.col("common_n"), F.col("n"), F.col("least_n")) | _can(F.col("common_w"), F.col("weight"), F.col("least_w")))
-    left = keep(_open(left.drop("least_n", "least_w")), "still")
-    p, q = (left.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("h", "root", "n", "weight", "common_n", "common_w")]) for side in "pq")
-    both = lambda common, size: _can(F.col(f"{common}_p"), F.col(f"{size}_p"), F.col(f"{size}_q")) & _can(F.col(f"{common}_q"), F.col(f"{size}_q"), F.col(f"{size}_p"))
-    q = q.withColumnRenamed("key", "key_q")
-    rest = p.join(q, (F.col("key") == F.col("key_q")) & (F.col("h_p") < F.col("h_q")) & (F.col("root_p") != F.col("root_q")) & (both("common_n", "n") | both("common_w", "weight")))
-    rest = rest.select(F.col("h_p").alias("a"), F.col("h_q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    found = keep(_similar(_with_texts(keep(rest, "rest"), texts), idf), "found")
+    rest = keep(_possible(judged, roots), "possible")
+    found = keep(_judged(_with_texts(rest, texts), idf, False).where("good").select("a", "b"), "found")
+    forget(judged, texts, rest)
     if found.limit(1).count():
-        roots = keep(components(links.union(found)), "roots")
+        roots = keep(components(roots.select(F.col("h").alias("a"), F.col("root").alias("b")).union(found)), "roots")
     ids = nodes.select("h", "first").join(roots, "h")
     least = ids.groupBy("root").agg(F.min("first").alias("class_id"))
     named = nodes.select("h", "first").join(ids.join(least, "root").select("h", "root", "class_id"), "h", "left")

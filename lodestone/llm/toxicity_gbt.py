@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textmath as tm
-from .common import keep, map_arrow, pick, steps
+from .common import keep, lengths, map_arrow, pick, release, steps
 
 SAMPLE_ROWS, LEXICON_WORDS = 12_000, 400
 TREES, DEPTH, RATE, BINS, LEAST = 80, 3, 0.15, 32, 8
@@ -247,9 +247,11 @@ def not_toxic(docs: DataFrame, model, columns: list[str]) -> DataFrame:
         m = shipped.value
         for batch in batches:
             text = batch.column("text")
-            for a, b in steps([len(t) if t else 0 for t in text.to_pylist()]):
+            for a, b in steps(lengths(text)):
                 s = np.full(b - a, m) if isinstance(m, float) else m[1].score(features(text.slice(a, b - a), m[0]))
                 yield batch.slice(a, b - a).filter(pa.array(s < 0.5))
+            del text, batch
+            release()
 
     return rows.mapInArrow(run, rows.schema)
 

@@ -268,28 +268,94 @@ def test_fingerprint_search(docs):
 # 6 near-duplicates
 
 
-def test_near_dedup(docs, empty):
-    got = {r.doc_id: r.class_id for r in icws.classes(docs.where("doc_id < 905")).collect()}
-    rows = [(i, t) for i, t in texts(docs) if i is not None and i < 905]
-    root = {i: i for i, _ in rows}
+def weighted_classes(rows, idf):
+    """Brute force: all pairs of distinct texts by exact weighted Jaccard similarity, as {text: least id of its class}."""
+    import numpy as np
+    import pyarrow as pa
+
+    distinct = sorted({t or "" for _, t in rows})
+    s, w, per = icws.weighted(pa.array(distinct, pa.large_string()), idf)
+    ends = np.cumsum(per)
+    bags = [dict(zip(s[e - n : e].tolist(), w[e - n : e].tolist())) for e, n in zip(ends, per)]
+    root = list(range(len(distinct)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    sets = {i: shingle_set(t or "") for i, t in rows}
-    text = {i: t or "" for i, t in rows}
-    for i in sets:
-        for j in sets:
-            if i < j and (text[i] == text[j] or sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert got == {i: find(i) for i in root}
-    assert icws.classes(docs).count() == docs.count()
+    for i, a in enumerate(bags):
+        for j in range(i):
+            b = bags[j]
+            low = sum(min(x, b[k]) for k, x in a.items() if k in b)
+            if low and low >= 0.8 * (sum(a.values()) + sum(b.values()) - low) - 1e-9:
+                root[find(i)] = find(j)
+    place = {t: find(i) for i, t in enumerate(distinct)}
+    least = {}
+    for i, t in rows:
+        k = place[t or ""]
+        if i is not None and (k not in least or i < least[k]):
+            least[k] = i
+    return {t: least.get(k) for t, k in place.items()}
+
+
+def test_near_dedup(docs, empty):
+    rows = [(i, t) for i, t in texts(docs)]
+    want = weighted_classes(rows, icws.inverse_frequency(docs.select("text")))
+    assert keyed(icws.classes(docs).collect(), "doc_id", "class_id") == collections.Counter((i, want[t or ""]) for i, t in rows)
     assert icws.classes(empty).count() == 0
 
 
+def test_near_dedup_group_with_few_links(spark):
+    """A group in which most pairs share a band key and few are links: classes are those of brute force over all pairs."""
+    r = random.Random(11)
+    base = prose(120, 4242).split(" ")
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([[], [VOCAB[r.randrange(6)]], [w[at], VOCAB[r.randrange(3)]]])
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    want = weighted_classes(rows, icws.inverse_frequency(df.select("text")))
+    got = {x.doc_id: x.class_id for x in icws.classes(df).collect()}
+    assert 10 < len(set(want.values())) < 250
+    assert got == {i: want[t] for i, t in rows}
+
+
+def test_near_dedup_differences_bound_every_link():
+    """The prefix filter keeps every linked pair that is not linked to the hub, and its agreement is bounded from above."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(3)
+    idf = (1 + np.random.default_rng(1).random(1 << icws.BUCKET_BITS)).astype(np.float32)
+    base = prose(80, 99).split(" ")
+    group = []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(r.randint(0, 8)):
+            w[r.randrange(0, 80, 9)] = VOCAB[r.randrange(2)]
+        group.append(" ".join(w))
+    n = len(group)
+    hub = pa.array([" ".join(base)] * n, pa.large_string())
+    got = icws.differences(hub, pa.array(group, pa.large_string()), idf)
+    ends = np.cumsum(got["many"])
+    tokens = [dict(zip(got["token"][e - m : e].tolist(), range(m))) for e, m in zip(ends, got["many"])]
+    checked = 0
+    for i in range(n):
+        linked = icws.differences(pa.array([group[i]] * n, pa.large_string()), pa.array(group, pa.large_string()), idf)["good"]
+        for j in np.flatnonzero(linked).tolist():
+            if got["good"][i] and got["good"][j] or group[i] == group[j]:
+                continue
+            x, y = (i, j) if not got["good"][i] else (j, i)
+            most = got["many"][x] if got["good"][y] else got["short"][x]
+            assert any(k < most and tokens[y].get(t, n**3) < got["short"][y] for t, k in tokens[x].items())
+            checked += 1
+    assert checked > 20
+
+
 def test_near_dedup_sampling_follows_weighted_jaccard():
     import numpy as np
     import pyarrow as pa
@@ -307,16 +373,6 @@ def test_near_dedup_sampling_follows_weighted_jaccard():
     assert abs(np.mean(share) - j**icws.ROWS) < 0.05
 
 
-def test_near_dedup_plain_links_of_low_weighted_similarity(spark):
-    """Equal shingle sets are links, also where counts keep the weighted similarity at about a tenth."""
-    rows = []
-    for i in range(8):
-        base = prose(60, 7000 + i)
-        rows += [(2 * i, base + " q" * 6, "en", "s", 0), (2 * i + 1, base + " q" * 500, "en", "s", 0)]
-    got = {r.doc_id: r.class_id for r in icws.classes(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {i: i // 2 * 2 for i in range(16)}
-
-
 def test_components(spark):
     edges = [(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(60) if i not in (20, 40)]
     got = icws.components(spark.createDataFrame(edges, "a binary, b binary")).collect()
