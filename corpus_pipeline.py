@@ -45,11 +45,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages of a twentieth of their words or more."""
+    """Documents in which no window of a benchmark item occurs, however long they are."""
     from lodestone.llm.decontaminate import decontaminate
 
     docs = _documents(docs)
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), more=True).where("contaminated")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), more=True).where("n_hit > 0")
     found = keep(found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "h"), "contaminated")
     return _keyed(docs).join(found, ["k", "h"], "left_anti").select(*COLUMNS)
 
