@@ -123,6 +123,25 @@ def test_pii_far_repetitions_share_a_label():
     assert pii.find([clean], params)[0] == ([], [])
 
 
+def test_pii_similar_forms_share_a_label():
+    """Other spellings of a found number are labelled; numbers that only share fewer digits are not."""
+    train = [f"{prose(10, i)} call +1 ({200 + i}) 555-{4000 + 7 * i} {prose(9, i + 1)} item {i * 37 + 11} of {i} or {1_000_003 + i * 7919}" for i in range(150)]
+    params = pii.fit(train)
+    text = "call +1 (826) 555-4081 now. " + prose(30, 1) + " dial 826 555 4081 at home; later 1 826 5554081 and 18265554081. Not 5554999 or 4081."
+    base, added = pii.find([text], params)[0]
+    assert [text[a:b] for _, a, b in base] == ["+1 (826) 555-4081"]
+    assert [text[a:b] for _, a, b in added] == ["826 555 4081", "1 826 5554081", "18265554081"]
+
+
+def test_pii_field_recovers_held_back_forms(sf):
+    """On documents that were not fitted to, without clamps and without the patterns' own tests."""
+    import pyarrow.parquet as pq
+
+    rows = [t or "" for t in pq.read_table(sf.replace("0.001", "0.1") + "/documents.parquet", columns=["text"])["text"].to_pylist()]
+    found, alike, others = pii.recovered(rows[4000:], pii.fit(rows[:4000]))
+    assert found > 400 and alike >= 0.75 * found and others <= 0.02 * found
+
+
 def test_pii_query_and_redaction(spark, docs, empty):
     got = pii.detect(docs)
     assert got.count() == docs.count()
