@@ -4,7 +4,8 @@ In a merge-type model the encoding of a text's prefix ends with one token that n
 once the prefix's own end is a token end. So one pass finds, for each prefix, the one vocabulary match that ends
 there and goes with the last token of the prefix before it; the ids are then read off backwards.
 
-* Matches come from an Aho-Corasick automaton over the reachable tokens.
+* Matches come from an Aho-Corasick automaton over the reachable tokens, one pass over the new words of a batch. Words
+  that a worker remembers are not encoded again.
 * Two tokens go together if undoing their merges along the seam, latest first, never shows a pair that would have
   merged across the seam earlier.
 * Runs of the space mark merge after everything else and from the left, so they are cut off by rule.
@@ -20,18 +21,18 @@ import hashlib
 import re
 from itertools import chain
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, pick
 
 MARK = "▁"
 #: A worker remembers this many encoded units, and as many of the time before.
-MEMORY = 50_000
+MEMORY = 100_000
+#: Units in one pass of the automaton.
+AT_ONCE = 4096
 FOREVER = 1 << 60
-#: Longer units are encoded one by one.
-WIDE = 24
-STEP = np.uint64(0x100000001B3)
+#: Stands between units in one pass of the automaton; no token of a supported model holds it.
+GAP = "\0"
 
 
 class PrefixTable:
@@ -65,13 +66,19 @@ class PrefixTable:
         self.left, self.right = [-1] * len(self.rank), [-1] * len(self.rank)
         self.piece = [p.piece for p in proto.pieces]
         self.join: dict[tuple[int, int], int] = {}
-        self.paired: dict[int, bool] = {}
         self._reach(sorted(merged, key=lambda t: rank[t[0]]))
         self.automaton = ahocorasick.Automaton()
         for s, i in self.id.items():
-            self.automaton.add_word(s, (i, len(s)))
+            if len(s) > 1:
+                self.automaton.add_word(s, i)
         self.automaton.make_automaton()
         self.known = {s for s in self.id if len(s) == 1}
+        if any(GAP in x for x in self.id):
+            raise ValueError("a token of this model holds the character that stands between units")
+        self.size = [len(p) for p in self.piece]
+        self.lone = {GAP: -1, **{s: i for s, i in self.id.items() if len(s) == 1}}.__getitem__
+        self.paired: list[dict[int, bool] | None] = [None] * len(self.piece)
+        self.tested = 0
         self.spelling = [b""] * len(self.piece)
         for i, s in enumerate(self.piece):
             self.spelling[i] = s.replace(MARK, " ").encode()
@@ -86,108 +93,6 @@ class PrefixTable:
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self._arrays()
-
-    def _arrays(self) -> None:
-        """What _together() looks tokens and pairs up in: two hash tables of tokens and a memory of tested pairs."""
-        self.code = np.zeros(0x110000, np.uint64)
-        for n, c in enumerate(sorted(self.known)):
-            self.code[ord(c)] = n + 1
-        self.length = np.array([len(p) for p in self.piece])
-        self.tables = []
-        left = dict(self.id)
-        while left:
-            salt = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables))
-            keys, ids = np.zeros(1 << 18, np.uint64), np.full(1 << 18, -1, np.int32)
-            later = {}
-            for s, i in left.items():
-                h = 0
-                for c in s:
-                    h = (h * int(STEP) + int(self.code[ord(c)])) % 2**64
-                at, h = (h * int(salt) % 2**64) >> 46, np.uint64(h)
-                if ids[at] < 0:
-                    keys[at], ids[at] = h, i
-                elif keys[at] == h:
-                    raise ValueError("two tokens of one hash")
-                else:
-                    later[s] = i
-            self.tables.append((salt, keys, ids))
-            left = later
-        self.seen = np.full(1 << 20, -1, np.int64)
-        self.fits = np.zeros(1 << 20, bool)
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Token of each hash, -1 if there is none."""
-        out = np.full(len(h), -1, np.int32)
-        for salt, keys, ids in self.tables:
-            at = (h * salt) >> np.uint64(46)
-            hit = keys[at] == h
-            out[hit] = ids[at[hit]]
-        return out
-
-    def _fit(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
-        key = before * np.int64(len(self.piece)) + token
-        at = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        new = self.seen[at] != key
-        if new.any():
-            size = len(self.piece)
-            pairs = np.unique(key[new])
-            fits = np.array([self._apart(k // size, k % size) for k in pairs.tolist()])
-            out = self.fits[at]
-            out[new] = fits[np.searchsorted(pairs, key[new])]
-            self.seen[at[new]], self.fits[at[new]] = key[new], out[new]
-            return out
-        return self.fits[at]
-
-    def _together(self, units: list[str]) -> list[tuple[int, ...] | None]:
-        """Ids of many units at once, position by position; None for those with an unknown character or that are long.
-
-        The matches that end at a position are found by hashes of its last characters, longest first.
-        """
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.code[flat]
-        at = np.concatenate(([0], np.cumsum(lengths)))
-        good = (np.minimum.reduceat(codes, at[:-1]) > 0) & (lengths <= WIDE)
-        order = np.flatnonzero(good)
-        order = order[np.argsort(-lengths[order], kind="stable")]
-        n, size = len(order), lengths[order]
-        wide = int(size[0]) if n else 0
-        chars = np.zeros((wide, n), np.uint64)
-        for i in range(wide):
-            m = np.searchsorted(-size, -i, "left")
-            chars[i, :m] = codes[at[order[:m]] + i]
-        last = np.full((wide + 1, n), -1, np.int64)
-        most = int(self.length[list(self.id.values())].max())
-        power = [np.uint64(pow(int(STEP), k, 2**64)) for k in range(most + 1)]
-        prefix = np.zeros((wide + 1, n), np.uint64)
-        for i in range(1, wide + 1):
-            m = int(np.searchsorted(-size, -i, "right"))
-            prefix[i, :m] = prefix[i - 1, :m] * STEP + chars[i - 1, :m]
-            todo = np.arange(m)
-            for k in range(min(i, most), 0, -1):
-                h = prefix[i, todo] - prefix[i - k, todo] * power[k]
-                token = self._find(h)
-                hit = np.flatnonzero(token >= 0)
-                if k < i and len(hit):
-                    hit = hit[self._fit(last[i - k, todo[hit]], token[hit])]
-                if len(hit):
-                    last[i, todo[hit]] = token[hit]
-                    left = np.ones(len(todo), bool)
-                    left[hit] = False
-                    todo = todo[left]
-        ids, end, cols = [], size.copy(), np.arange(n)
-        count = np.zeros(n, np.int64)
-        while (end > 0).any():
-            token = last[end, cols]
-            ids.append(token)
-            count += end > 0
-            end = end - np.where(end > 0, self.length[token], 0)
-        out: list[tuple[int, ...] | None] = [None] * len(units)
-        if n:
-            for u, row, c in zip(order.tolist(), np.stack(ids, 1).tolist(), count.tolist()):
-                out[u] = tuple(row[c - 1 :: -1])
-        return out
 
     def _run(self, n: int) -> list[int]:
         """Ids of n space marks by merging as the model does: all merges rank alike, so the leftmost goes first."""
@@ -236,32 +141,46 @@ class PrefixTable:
             else:
                 limit, b = rank[b] + 1, left[b]
 
-    def _units(self, text: str) -> list[int]:
-        """Ids of a text of known characters without runs of the space mark."""
-        last: list[int] = [-1] * (len(text) + 1)
-        paired, apart, size = self.paired, self._apart, len(self.piece)
-        if len(paired) > 200_000:
-            paired.clear()
-        for end, (t, n) in self.automaton.iter(text):
-            end += 1
-            if last[end] < 0:
-                if n == end:
-                    last[end] = t
-                    continue
-                before = last[end - n]
-                key = before * size + t
-                ok = paired.get(key)
-                if ok is None:
-                    ok = paired[key] = apart(before, t)
-                if ok:
-                    last[end] = t
-        ids, end = [], len(text)
-        while end:
-            t = last[end]
-            ids.append(t)
-            end -= len(self.piece[t])
-        ids.reverse()
-        return ids
+    def _units(self, units: list[str]) -> list[list[int]]:
+        """Ids of many units of known characters, none empty and without runs of the space mark.
+
+        One pass of the automaton over all of them yields the tokens of two or more characters that end at each place,
+        the longest first. The prefix table keeps the first that stands at the unit's start or goes with the last token
+        of the prefix before it; where none does, the character's own token is the last one.
+        """
+        text = GAP + GAP.join(units)
+        last = [*map(self.lone, text)]  # token that ends the prefix up to each place; -1 for the empty prefix
+        ends, at = [], 0
+        for u in units:
+            at += len(u) + 1
+            ends.append(at - 1)
+        paired, size, done = self.paired, self.size, 0
+        if self.tested > 300_000:
+            paired[:], self.tested = [None] * len(paired), 0
+        for end, t in self.automaton.iter(text):
+            if end != done:
+                before = last[end - size[t]]
+                if before >= 0:
+                    row = paired[before]
+                    if row is None:
+                        row = paired[before] = {}
+                    ok = row.get(t)
+                    if ok is None:
+                        ok = row[t] = self._apart(before, t)
+                        self.tested += 1
+                    if ok:
+                        last[end], done = t, end
+                else:
+                    last[end], done = t, end
+        out = []
+        for end in ends:
+            ids = []
+            while (t := last[end]) >= 0:
+                ids.append(t)
+                end -= size[t]
+            ids.reverse()
+            out.append(ids)
+        return out
 
     def _unit(self, unit: str) -> tuple[int, ...]:
         marks = len(unit) - len(unit.lstrip(MARK))
@@ -272,12 +191,12 @@ class PrefixTable:
             for b, c in enumerate(body):
                 if c not in self.known:
                     if b > a:
-                        ids += self._units(body[a:b])
+                        ids += self._units([body[a:b]])[0]
                     spelt = [self.byte_ids.get(x) for x in c.encode()]
                     ids += spelt if None not in spelt else [self.unk]
                     a = b + 1
         if a < len(body):
-            ids += self._units(body[a:])
+            ids += self._units([body[a:]])[0]
         if marks > 1:
             free = ids[0] == self.runs[1]
             n = marks if free else marks - 1
@@ -289,20 +208,21 @@ class PrefixTable:
         """Puts the ids of all words into the younger memory. A word that begins with NUL has no space mark before it."""
         if len(self.young) >= MEMORY:
             self.old, self.young = self.young, {}
-        new = []
+        plain, places = [], []
         for w in words - self.young.keys():
             got = self.old.get(w)
             if got is None:
-                new.append(w)
+                u = w[1:] if w[:1] == "\0" else w if w == "\n" else MARK + w
+                if u and self.known.issuperset(u):
+                    plain.append(u)
+                    places.append(w)
+                else:
+                    self.young[w] = self._unit(u) if u else ()
             else:
                 self.young[w] = got
-        if new:
-            units = [w[1:] if w[:1] == "\0" else w if w == "\n" else MARK + w for w in new]
-            some = [u for u in units if u]
-            got = dict(zip(some, self._together(some))) if some else {}
-            for w, u in zip(new, units):
-                ids = got.get(u)
-                self.young[w] = self._unit(u) if ids is None and u else ids or ()
+        for a in range(0, len(plain), AT_ONCE):
+            for w, ids in zip(places[a : a + AT_ONCE], self._units(plain[a : a + AT_ONCE])):
+                self.young[w] = tuple(ids)
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text; words that several texts share are encoded once."""
