@@ -5,9 +5,11 @@ shrunk through a beta-binomial prior towards the rate of the level above (host,
 prior's strength is fitted to the spread of the level's rates by moments. A page whose host is bad with a posterior
 lower bound above one half is blocked.
 
-The outcomes come with the pages: a page is bad if what it shows has no letters, or more than a tenth of it
-without space is signs that prose does not use. A null url has an empty host and path, no rule, and the verdict of the
-reputation of the empty host. A null html has no outcome. Repeated rows are judged, and count, each.
+Outcomes are given by the caller (page_id, bad), or else are weak labels that the pages carry: a page is bad if a word of
+its url is one that advertising, betting, pharmacy and adult pages use (BAD_WORDS), or if what it shows has no letters, or
+more than a tenth of it without space is signs that prose does not use. A null url has an empty host and path, no rule,
+and the verdict of the reputation of the empty host. A page with null url words and null html has no outcome, nor has one
+that the caller does not list; hosts without outcomes take the rate of their domain. Repeated rows are judged, and count, each.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import keep, pick
 
 # The rules of the contract, verdict, host and beginning of the path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Second-level suffixes under which domains are registered.
 SECOND_LEVEL = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Url words of pages that are not wanted.
+BAD_WORDS = ("adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "pharmacy", "pills", "poker", "porn", "sex", "slots", "spam", "tracker", "viagra", "xxx")
 #: Standard deviations below the posterior mean, and the bad share above which a host is blocked.
 BOUND, BAD = 1.645, 0.5
 
@@ -51,18 +55,36 @@ def domain_of(host: Column) -> Column:
     return F.when(F.substring_index(host, ".", -2).isin(*SECOND_LEVEL), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
-def outcome(html: Column) -> Column:
-    """1 for a bad page, 0 for a good one, null for none."""
-    shown = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    solid = F.char_length(F.regexp_replace(shown, r"\s+", ""))
-    odd = F.char_length(F.regexp_replace(shown, r"""[\p{L}\p{M}\p{N}\s.,;:!?'"()\-]+""", ""))
-    return F.when(html.isNotNull(), ((~shown.rlike(r"\p{L}")) | (odd > 0.1 * solid)).cast("int"))
+def _without(text: Column, start: str, end: str) -> Column:
+    """The text without what stands from each start to the next end, in one pass over it; an open start reaches to the end."""
+    return F.array_join(F.transform(F.split(text, end), lambda x: F.regexp_replace(x, f"(?is){start}.*", " ")), " ")
+
+
+def shown(html: Column) -> Column:
+    """What a page shows, about: without scripts, styles, comments and tags."""
+    for start, end in (("<!--", "-->"), (r"<script\b", r"(?i)</script\s*+>"), (r"<style\b", r"(?i)</style\s*+>")):
+        html = F.when(html.rlike(f"(?i){start}"), _without(html, start, end)).otherwise(html)
+    return F.regexp_replace(html, r"<[^>]*+>", " ")
+
+
+def outcome(url: Column, html: Column) -> Column:
+    """1 for a bad page, 0 for a good one, null for none: the weak labels."""
+    named = F.arrays_overlap(F.split(F.lower(url), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in BAD_WORDS]))
+    poor = F.element_at(
+        F.transform(
+            F.array(shown(html)),
+            lambda s: ~s.rlike(r"\p{L}") | (F.char_length(F.regexp_replace(s, r"""[\p{L}\p{M}\p{N}\s.,;:!?'"()\-]++""", "")) > 0.1 * F.char_length(F.regexp_replace(s, r"\s++", ""))),
+        ),
+        1,
+    )
+    return F.when(F.coalesce(named, F.lit(False)), 1).when(html.isNotNull(), poor.cast("int")).when(url.isNotNull(), 0)
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
     """host, bad and n, with the posterior mean (p) and its lower bound (low); outcomes has host and bad (0, 1 or null)."""
     hosts = outcomes.groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count("bad").cast("double").alias("n"))
-    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host")))
+    # a row for each host, written once: the levels above are summed from it
+    hosts = keep(hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"))), "hosts")
     top = hosts.agg((F.sum("bad") + 0.5).alias("b"), (F.sum("n") + 1.0).alias("t")).select((F.col("b") / F.col("t")).alias("prior"))
     level = None
     for name, above in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
@@ -75,14 +97,26 @@ def reputations(outcomes: DataFrame) -> DataFrame:
         rho = F.greatest(F.least(F.coalesce(F.col("more") / F.nullif(F.col("most"), F.lit(0.0)), F.lit(0.1)), F.lit(0.5)), F.lit(0.002))
         here = here.crossJoin(F.broadcast(fit.select((1 / rho - 1).alias("strength"))))  # one row
         level = here.withColumn("p", (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength")))
+        if name != "host":
+            level = keep(level.select(*keys, "p"), name)
     spread = F.sqrt(F.col("p") * (1 - F.col("p")) / (F.col("n") + F.col("strength") + 1))
     return level.select("host", "bad", "n", "p", (F.col("p") - BOUND * spread).alias("low"))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and the host's posterior mean and bound for each page."""
+def judge(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and the host's posterior mean and bound for each page.
+
+    outcomes: page_id and bad (0, 1 or null) of labelled pages, in place of the weak labels; a page that is listed
+    more than once counts for each.
+    """
     rows = pick(pages, "page_id", "url", "html")
-    rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    seen = reputations(rows.select("host", outcome(F.col("html")).alias("bad"))).select("host", F.col("p").alias("bad_rate"), F.col("low").alias("bad_bound"))
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    if outcomes is None:
+        seen = rows.select(host.alias("host"), outcome(F.col("url"), F.col("html")).alias("bad"))
+    else:
+        listed = pick(outcomes, "page_id", "bad").select(F.col("page_id").alias("labelled"), F.col("bad").cast("int").alias("bad"))
+        seen = rows.select("page_id", host.alias("host")).join(listed, F.col("page_id") == F.col("labelled"), "left").select("host", "bad")
+    seen = keep(reputations(seen).select("host", F.col("p").alias("bad_rate"), F.col("low").alias("bad_bound")), "reputations")
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r")).join(seen, "host")
     return rows.select("page_id", "host", "path", "r.rule", F.coalesce("r.verdict", F.when(F.col("bad_bound") > BAD, "block").otherwise("allow")).alias("verdict"), "bad_rate", "bad_bound")

@@ -491,6 +491,75 @@ def test_url_reputation(spark):
     assert {got[i] for i in range(300)} == {"allow"} and {got[1000 + i] for i in range(40)} == {"block"} and got[2000] == "allow"
 
 
+def plain_reputations(outcomes):
+    """The chain of beta-binomial priors, host by host: {host: (mean, lower bound)}."""
+    levels = {"suffix": lambda h: (suffix(h),), "domain": lambda h: (suffix(h), domain(h)), "host": lambda h: (suffix(h), domain(h), h)}
+
+    def suffix(h):
+        return ".".join(h.split(".")[-2:]) if ".".join(h.split(".")[-2:]) in url.SECOND_LEVEL else h.split(".")[-1]
+
+    def domain(h):
+        return ".".join(h.split(".")[-3 if ".".join(h.split(".")[-2:]) in url.SECOND_LEVEL else -2 :])
+
+    marked = [(h, b) for h, b in outcomes if b is not None]
+    above = {(): (sum(b for _, b in marked) + 0.5) / (len(marked) + 1)}
+    for key in levels.values():
+        here = {key(h): [0, 0] for h, _ in outcomes}
+        for h, b in marked:
+            here[key(h)][0] += b
+            here[key(h)][1] += 1
+        prior = {k: above[k[:-1]] for k in here}
+        more = sum((b - n * prior[k]) ** 2 - n * prior[k] * (1 - prior[k]) for k, (b, n) in here.items() if n > 1)
+        most = sum(n * (n - 1) * prior[k] * (1 - prior[k]) for k, (b, n) in here.items() if n > 1)
+        strength = 1 / max(min(more / most if most else 0.1, 0.5), 0.002) - 1
+        above = {k: (b + strength * prior[k]) / (n + strength) for k, (b, n) in here.items()}
+    n_of = {k[-1]: n for k, (_, n) in here.items()}
+    return {k[-1]: (p, p - 1.645 * (p * (1 - p) / (n_of[k[-1]] + strength + 1)) ** 0.5) for k, p in above.items()}
+
+
+def test_url_reputation_chain_against_plain_python(spark):
+    r = random.Random(21)
+    hosts = {f"{a}{i}.{b}": q for i, (a, b, q) in enumerate([(x, y, z) for x in ("", "w.", "v.u.") for y, z in (("good.org", 0.05), ("bad.net", 0.8), ("shop.co.uk", 0.4), ("net", 0.2), ("x.bad.net", 0.95))])} | {"": 0.3, "one.solo": 1.0}
+    rows = [(h, None if r.random() < 0.1 else int(r.random() < q)) for h, q in hosts.items() for _ in range(1 if h == "one.solo" else r.randint(1, 60))]
+    got = {x.host: (x.p, x.low) for x in url.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    want = plain_reputations(rows)
+    assert got.keys() == want.keys()
+    for h in want:
+        assert got[h] == pytest.approx(want[h], abs=1e-9), h
+    labelled = [(i, f"http://{h}/", "<p>fine words</p>", b) for i, (h, b) in enumerate(rows)]
+    df = spark.createDataFrame(labelled, "page_id long, url string, html string, bad int")
+    for x in url.judge(df.drop("bad"), outcomes=df.select("page_id", "bad").withColumn("BAD2", F.lit(9))).collect():
+        assert x.bad_bound == pytest.approx(want[x.host][1], abs=1e-9)
+
+
+def test_url_weak_labels(spark):
+    made = [
+        ("http://casino-win.a.net/1", "<p>words</p>", 1),
+        ("http://a.net/free/BETS.html", None, 1),
+        ("http://a.net/alphabets", "<p>words</p>", 0),
+        ("http://a.net/1", None, 0),
+        (None, None, None),
+        (None, "<p>words</p>", 0),
+        ("", "", 1),
+        ("http://a.net/", "<script>%%% ### $$$ </SCRIPT ><style>{}{}{}</style><!-- %%%% --><p>good words</p>", 0),
+        ("http://a.net/", "<p>good words</p><script>%%% ### $$$ %%% ###", 0),
+        ("http://a.net/", "<p>%%% ### $$$ a</p>", 1),
+        ("http://a.net/", "<script>" * 200_000 + "<!--" * 200_000 + "<" * 200_000, 1),
+        ("http://a.net/", "<script></script>" * 50_000 + "<p>good words</p>", 0),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(made)], "i long, url string, html string")
+    assert {r.i: r.bad for r in df.select("i", url.outcome(F.col("url"), F.col("html")).alias("bad")).collect()} == {i: b for i, (*_, b) in enumerate(made)}
+
+
+def test_url_method_blocks_hosts_of_the_tables(spark, sf):
+    """Hosts of unwanted pages are blocked where no rule decides, and no other host is."""
+    pages = spark.read.parquet(sf.replace("0.001", "0.1") + "/pages.parquet")
+    rows = url.judge(pages, rules=()).collect()
+    blocked = {r.host for r in rows if r.verdict == "block"}
+    assert blocked and all(set(re.split("[^a-z0-9]+", h)) & set(url.BAD_WORDS) for h in blocked)
+    assert blocked == {r.host for r in rows if set(re.split("[^a-z0-9]+", r.host)) & set(url.BAD_WORDS)}
+
+
 # 9 toxicity
 
 
