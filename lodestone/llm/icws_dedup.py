@@ -12,11 +12,11 @@
 * Each key's hub is the text that meets most others over all its keys. All texts of a key are verified against the hub,
   which is linear in the key's size.
 * No other pair of a key is made unless it can hold. Let dx be the signed difference of x's weights from the hub's.
-  x and y are linked only if dx and dy agree in weight by o = (|dx| + |dy| - (Wx + Wy) / 9) / 2. Where both are far
-  from the hub that is about half of either difference, so by the prefix filter (differences in order: own shingles
-  first, by rarity, then the hub's that are missing) the pair shares one of the first tokens, up to the last behind which
-  o is left. The shared prefix weight plus what lies behind the prefixes bounds the agreement, and prunes pairs
-  before their texts are verified. The filter is exact: it drops no link between texts of one key that the hub has not joined.
+  x and y are linked only if dx and dy agree in weight by o = (|dx| + |dy| - (Wx + Wy) / 9) / 2. Differences that no other
+  text of the hub has can't agree; the others are put in order, those of fewest texts first. By the prefix filter a
+  pair that can hold shares a difference that has o or more at and behind it on both sides, which is the condition of
+  the join; what the pair shares, and the least that lies behind the last of it, bounds the agreement and prunes pairs
+  before their texts are verified. The filter is exact: it drops no link between texts that were tried with one hub.
 
 Classes are the connected components; a class's id is the least doc_id in it.
 
@@ -27,7 +27,7 @@ A null doc_id counts as the largest for the class id. Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textmath as tm
@@ -124,7 +124,7 @@ def _drawn() -> tuple[np.ndarray, ...]:
         r = g.gamma(2.0, 1.0, DRAWS)
         a = g.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         b = g.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
-        _draws = r, 1 / r, np.log(g.gamma(2.0, 1.0, DRAWS)) - r, g.random(DRAWS), a, b
+        _draws = r, np.log(g.gamma(2.0, 1.0, DRAWS)) - r, g.random(DRAWS), a, b
     return _draws
 
 
@@ -139,7 +139,7 @@ def _blocks(per: np.ndarray):
 
 def band_keys(s: np.ndarray, w: np.ndarray, per: np.ndarray) -> np.ndarray:
     """Keys of each text's bands, as int64; a text without shingles has none that count."""
-    r, over_r, log_c_r, beta, a, b = _drawn()
+    r, log_c_r, beta, a, b = _drawn()
     out = np.empty((len(per), BANDS), np.uint64)
     log_w = np.log(w)
     for x, y in _blocks(per):
@@ -147,11 +147,17 @@ def band_keys(s: np.ndarray, w: np.ndarray, per: np.ndarray) -> np.ndarray:
             key = np.full(y.stop - y.start, band + 1, np.uint64)
             for k in range(band * ROWS, (band + 1) * ROWS):
                 h = tm.mix(s[x] * a[k] + b[k])
-                i = (h >> np.uint64(48)).astype(np.int32)
-                rk, bk = r[i], beta[i]
-                t = np.floor(log_w[x] * over_r[i] + bk)
-                # log a of the ICWS paper; lower bits of the hash keep apart shingles that picked the same entry
-                value = log_c_r[i] - rk * (t - bk) + (h & np.uint64(0xFFFFFFFFFFFF)).astype(np.float64) * 1e-18
+                i = (h >> np.uint64(48)).view(np.int64)
+                rk, bk, value = r.take(i), beta.take(i), log_c_r.take(i)
+                # log a of the ICWS paper: log c - r - r (t - beta), t = floor(log w / r + beta)
+                t = log_w[x] / rk
+                t += bk
+                np.floor(t, out=t)
+                t -= bk
+                t *= rk
+                value -= t
+                # lower bits of the hash keep apart shingles that picked the same entry
+                value += (h & np.uint64(0xFFFFFFFFFFFF)).view(np.int64) * 1e-18
                 key = tm.mix(key * np.uint64(0x9E3779B97F4A7C15) + tm.segment_reduce(np.minimum, value, per[y], np.inf).view(np.uint64))
             out[y, band] = key
     return out.view(np.int64)
@@ -170,9 +176,10 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
 def differences(hubs, texts, idf: np.ndarray) -> dict[str, np.ndarray]:
     """How each text differs from the hub beside it, for many pairs at once.
 
-    good: whether they are linked. token, weight: the first differences in the common order, ``many`` for each pair,
-    of which the first ``short`` are enough against texts whose side is not known to be near the hub (all, for linked ones);
-    rest_short and rest: the weight behind them; u: the pair's part of the agreement that a link needs.
+    good: whether they are linked. token, weight: the differences, ``many`` for each pair; a shingle that the text lacks
+    has another token than one that it has besides. u: the text's part of the agreement that a link to another text
+    needs. need: the least agreement of any link that the hub has not made (with texts that are not linked to the hub, for
+    a text that is).
     """
     import pyarrow as pa
 
@@ -181,7 +188,7 @@ def differences(hubs, texts, idf: np.ndarray) -> dict[str, np.ndarray]:
     row = np.repeat(np.arange(2 * n), per)
     total = np.bincount(row, w, minlength=2 * n)
     hub, own = total[:n], total[n:]
-    v, pair = np.where(row < n, -w, w), row % n if n else row
+    v, pair = np.where(row < n, -w, w), row % max(n, 1)
     order = np.lexsort((s, pair))
     s, v, pair = s[order], v[order], pair[order]
     second = np.zeros(len(s), bool)
@@ -192,19 +199,9 @@ def differences(hubs, texts, idf: np.ndarray) -> dict[str, np.ndarray]:
     s, v, pair = s[some], v[some], pair[some]
     d = np.bincount(pair, np.abs(v), minlength=n)
     good = (d <= (hub + own) / 9 * (1 + 1e-9)) & (hub > 0) & (own > 0)
-    rare, gone = idf[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], v < 0
-    order = np.lexsort((s, np.where(gone, rare, -rare), gone, pair))
-    s, v, pair, gone = s[order], np.abs(v[order]), pair[order], gone[order]
-    before = np.cumsum(v) - v
-    starts = np.searchsorted(pair, np.arange(n))
-    behind = d[pair] - (before - before[np.minimum(starts[pair], max(len(v) - 1, 0))] if len(v) else before)
-    slack = 1e-6 * (1 + d)
-    needed = (d + (hub - own) / 9) / 2 - slack
-    least = np.where(good, needed, (d - (own + hub) / 9) / 2 - slack)
-    short, long = behind >= needed[pair], behind >= least[pair]
-    count = lambda mask, x=None: np.bincount(pair[mask], None if x is None else x[mask], minlength=n)
-    token = np.where(gone, tm.mix(s ^ np.uint64(0x5851F42D4C957F2D)), s)
-    return {"good": good, "token": token[long].view(np.int64), "weight": v[long], "many": count(long), "short": count(short), "rest_short": d - count(short, v), "rest": d - count(long, v), "u": (d - own / 9) / 2}
+    need = np.where(good, d + (hub - own) / 9, d - (own + hub) / 9) / 2
+    token = np.where(v < 0, tm.mix(s ^ np.uint64(0x5851F42D4C957F2D)), s).view(np.int64)
+    return {"good": good, "token": token, "weight": np.abs(v), "many": np.bincount(pair, minlength=n), "need": need, "u": (d - own / 9) / 2}
 
 
 def _judged(pairs: DataFrame, idf, tokens: bool) -> DataFrame:
@@ -223,27 +220,31 @@ def _judged(pairs: DataFrame, idf, tokens: bool) -> DataFrame:
                 if tokens:
                     at = pa.array(np.concatenate(([0], np.cumsum(got["many"]))), pa.int32())
                     columns |= {k: pa.ListArray.from_arrays(at, pa.array(got[k])) for k in ("token", "weight")}
-                    columns |= {k: pa.array(got[k]) for k in ("short", "rest_short", "rest", "u")}
+                    columns |= {k: pa.array(got[k]) for k in ("need", "u")}
                 yield pa.RecordBatch.from_pydict(columns)
             del ta, tb, batch
             release()
 
-    more = ", token array<bigint>, weight array<double>, short bigint, rest_short double, rest double, u double" if tokens else ""
+    more = ", token array<bigint>, weight array<double>, need double, u double" if tokens else ""
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, good boolean" + more)
 
 
 def _possible(judged: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts with one hub, in different components, that may be linked, by the prefix filter on their differences."""
-    rows = judged.join(roots.withColumnsRenamed({"h": "b"}), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    rows = rows.select("a", "b", "root", "good", "short", "rest_short", "rest", "u", F.posexplode(F.arrays_zip("token", "weight")).alias("pos", "t"))
-    rows = rows.select("a", "b", "root", "good", "rest_short", "rest", "u", (F.col("pos") < F.col("short")).alias("first"), "t.token", "t.weight")
-    p, q = rows.where("NOT good").alias("p"), rows.where("first").alias("q")
-    same = (F.col("p.a") == F.col("q.a")) & (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root"))
-    both = p.join(q, same & (F.col("q.good") | (F.col("p.first") & (F.col("p.b") < F.col("q.b")))))
-    behind = F.greatest(F.when(F.col("q.good"), F.col("p.rest")).otherwise(F.col("p.rest_short")), F.col("q.rest_short"))
-    both = both.select("p.a", F.col("p.b").alias("x"), F.col("q.b").alias("y"), F.least("p.weight", "q.weight").alias("shared"), behind.alias("behind"), (F.col("p.u") + F.col("q.u")).alias("needed"))
-    both = both.groupBy("a", "x", "y").agg(F.sum("shared").alias("shared"), F.first("behind").alias("behind"), F.first("needed").alias("needed"))
-    return both.where(F.col("shared") + F.col("behind") >= F.col("needed") * (1 - 1e-9) - 1e-5).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = judged.select("a", "b", "good", "need", "u", F.explode(F.arrays_zip("token", "weight")).alias("t")).select("a", "b", "good", "need", "u", "t.*")
+    often = rows.groupBy("a", "token").agg(F.count("*").alias("often")).where("often > 1")
+    rarest = Window.partitionBy("a", "b").orderBy(F.desc("often"), F.desc("token"))
+    first = rows.join(often, ["a", "token"]).withColumn("behind", F.sum("weight").over(rarest.rowsBetween(Window.unboundedPreceding, 0)))
+    first = first.where(F.col("behind") >= F.col("need") * (1 - 1e-9) - 1e-6).select("a", "token", "b", "good", "u", "weight", "behind")
+    first = keep(first.join(roots.withColumnsRenamed({"h": "b"}), "b", "left").withColumn("root", F.coalesce("root", "b")), "first")
+    p, q = first.where("NOT good").alias("p"), first.alias("q")
+    needed = (F.col("p.u") + F.col("q.u")) * (1 - 1e-9) - 1e-6
+    on = (F.col("p.a") == F.col("q.a")) & (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root")) & (F.col("q.good") | (F.col("p.b") < F.col("q.b")))
+    both = p.join(q, on & (F.least("p.behind", "q.behind") >= needed))
+    rest = F.least(F.col("p.behind") - F.col("p.weight"), F.col("q.behind") - F.col("q.weight"))
+    both = both.select("p.a", F.col("p.b").alias("x"), F.col("q.b").alias("y"), F.least("p.weight", "q.weight").alias("shared"), rest.alias("rest"), needed.alias("needed"))
+    both = both.groupBy("a", "x", "y").agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"), F.first("needed").alias("needed"))
+    return both.where("shared + rest >= needed").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
