@@ -5,13 +5,17 @@ scored by two first-order character models, one of random strings and one of ord
 secret if the log-likelihood ratio favours the random one by enough, in total and for each character.
 
 The random model learns from hashes, spelt in hex and base 64, and from values that the patterns find; the ordinary
-one from a list of identifiers and the other tokens of a bounded sample of documents. Offsets are code points, the end exclusive.
+one from a list of identifiers, from identifiers made of the words of a bounded sample of documents, and from the sample's
+other tokens. Every second labelled token, by hash, is held out: the margin a character pair is the largest that 99 of
+100 held-out random tokens of 20 characters or more reach, or a larger one if more than one in a thousand of the
+held-out ordinary ones would reach that; what either kind reaches is reported (Model.recall, Model.passed). Offsets are code points, the end exclusive.
 Null and empty texts have no spans; repeated rows get the same result each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +53,10 @@ ORDINARY_TIMES = 20
 
 #: Rows of the documents, and strings of either spelling, that the models learn from at most.
 SAMPLE_ROWS, RANDOM_STRINGS = 2000, 4000
-#: Nats that must favour the random model: for each pair of characters, and for the token.
-MARGIN, TOTAL = 1.0, 24.0
+#: Nats that must favour the random model in a token: as if one candidate in a million were a secret.
+TOTAL = math.log(1e6)
+#: Share of held-out ordinary tokens that may pass the margin, share of random ones that should, and the least margin.
+PASS, FIND, LEAST_MARGIN = 0.001, 0.99, 0.1
 OPEN, CLOSE = "", ""
 
 
@@ -139,9 +145,23 @@ def _pairs(token: Column) -> Column:
     return _bind(_classes(token), of)
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
-    """Log-likelihood ratio of each character pair, random over ordinary; learnt from labelled tokens."""
-    docs = pick(docs, "doc_id", "text")
+class Model(NamedTuple):
+    """ratio: log-likelihood ratio of each character pair, random over ordinary. The rest is measured on held-out tokens."""
+
+    ratio: list[float]
+    margin: float  # nats for each pair of characters
+    recall: float  # share of the random tokens that are told, null without any
+    passed: float  # share of the ordinary tokens that are taken for random
+    tokens: tuple[int, int]  # held-out ordinary and random tokens
+
+
+def _score(pairs: Column, ratio: list[float]) -> Column:
+    model = F.split(F.lit(",".join(f"{x:.5f}" for x in ratio)), ",").cast("array<double>")
+    return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.get(model, p))
+
+
+def labelled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """token, random (1 or 0) and weight of the tokens that the models learn from; docs has doc_id and text."""
     spark = docs.sparkSession
     total = max(docs.count(), 1)
     share = min(1.0, sample_rows / total)
@@ -150,12 +170,24 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
         F.transform(F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(0)), _long_value), lambda m: F.regexp_extract(m, ASSIGN, 2)),
         F.regexp_extract_all("text", F.lit(f"{ACCESS}|{HEX}"), F.lit(0)),
     )
-    found = sample.select(F.explode(values).alias("token"), F.lit(1).alias("random"))
-    other = sample.select(F.explode(F.regexp_extract_all(_rest(F.col("text")), F.lit("[A-Za-z0-9+/_=-]{4,}+"), F.lit(0))).alias("token"), F.lit(0).alias("random"))
+    found = sample.select(F.explode(values).alias("token"), F.lit(1).alias("random"), F.lit(1).alias("weight"))
+    other = sample.select(F.regexp_extract_all(_rest(F.col("text")), F.lit("[A-Za-z0-9+/_=-]{4,}+"), F.lit(0)).alias("t"))
+    # every word with the two behind it: an identifier in one of four styles, by hash
+    styles = lambda three: F.element_at(F.array(F.array_join(three, "_"), F.array_join(F.transform(three, F.initcap), ""), F.array_join(three, "-"), F.upper(F.array_join(three, "_"))), F.pmod(F.xxhash64(three), F.lit(4)).cast("int") + 1)
+    threes = F.transform(F.filter(F.sequence(F.lit(1), F.size("t") - 2, F.lit(3)), lambda i: i > 0), lambda i: styles(F.slice("t", i, 3)))
+    made = other.where(F.size("t") > 2).select(F.explode(threes).alias("token"), F.lit(0).alias("random"), F.lit(1).alias("weight"))
+    other = other.select(F.explode("t").alias("token"), F.lit(0).alias("random"), F.lit(1).alias("weight"))
     digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256)
-    made = spark.range(RANDOM_STRINGS).select(F.explode(F.array(digest, F.base64(F.unhex(digest)))).alias("token"), F.lit(1).alias("random"))
-    known = spark.range(1).select(F.explode(F.flatten(F.array_repeat(F.split(F.lit(" ".join(ORDINARY)), " "), ORDINARY_TIMES))).alias("token"), F.lit(0).alias("random"))
-    counts = found.unionByName(other).unionByName(made).unionByName(known).select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
+    random = spark.range(RANDOM_STRINGS).select(F.explode(F.array(digest, F.base64(F.unhex(digest)))).alias("token"), F.lit(1).alias("random"), F.lit(1).alias("weight"))
+    known = spark.range(1).select(F.explode(F.split(F.lit(" ".join(ORDINARY)), " ")).alias("token"), F.lit(0).alias("random"), F.lit(ORDINARY_TIMES).alias("weight"))
+    return found.unionByName(other).unionByName(made).unionByName(random).unionByName(known)
+
+
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model, learnt from half of the labelled tokens; the margin is set, and measured, on the other half."""
+    tokens = labelled(pick(docs, "doc_id", "text"), sample_rows)
+    held = F.pmod(F.xxhash64("token", F.lit("held")), F.lit(2)) == 1
+    counts = tokens.where(~held).select("random", "weight", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").agg(F.sum("weight").alias("count"))
     table = [[0.5] * (WIDE * WIDE), [0.5] * (WIDE * WIDE)]
     for r in counts.collect():  # two numbers for each pair of characters at most
         table[r.random][r.pair] += r["count"]
@@ -164,16 +196,26 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
         rows = [t[a * WIDE : (a + 1) * WIDE] for t in table]
         sums = [sum(r) for r in rows]
         ratio += [math.log(y / sums[1]) - math.log(x / sums[0]) for x, y in zip(*rows, strict=True)]
-    return ratio
-
-
-def scan(docs: DataFrame, ratio: list[float] | None = None) -> DataFrame:
+    tests = tokens.where(held & (F.char_length("token") >= 20)).select("random", _bind(_pairs(F.col("token")), lambda p: F.struct(_score(p, ratio).alias("score"), F.size(p).alias("n"))).alias("s")).select("random", "s.*")
+    tests = tests.groupBy("random", F.floor(F.col("score") / F.col("n") * 100).alias("bin"), (F.col("score") >= TOTAL).alias("sure")).count().collect()  # bins of a hundredth of a nat
+    n = [sum(r["count"] for r in tests if r.random == k) for k in (0, 1)]
+    margin = LEAST_MARGIN
+    for kind, share in ((1, FIND), (0, PASS)):
+        over = 0
+        for r in sorted((r for r in tests if r.random == kind and r.sure), key=lambda r: -r.bin):
+            over += r["count"]
+            if over > share * n[kind]:
+                margin = max(margin, (r.bin + (1 - kind)) / 100)
+                break
+    above = [sum(r["count"] for r in tests if r.random == k and r.sure and r.bin >= round(margin * 100)) for k in (0, 1)]
+    return Model(ratio, margin, above[1] / max(n[1], 1), above[0] / max(n[0], 1), (n[0], n[1]))
+
+
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, counts of each kind, base_sha256, spans and n_markov for each row of docs."""
     docs = pick(docs, "doc_id", "text")
-    ratio = train(docs) if ratio is None else ratio
-    model = F.split(F.lit(",".join(f"{x:.5f}" for x in ratio)), ",").cast("array<double>")
-    score = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.get(model, p))
-    random = lambda m: _bind(_pairs(m), lambda p: _bind(score(p), lambda s: (s >= TOTAL) & (s >= MARGIN * F.size(p))))
+    model = train(docs) if model is None else model
+    random = lambda m: _bind(_pairs(m), lambda p: _bind(_score(p, model.ratio), lambda s: (s >= TOTAL) & (s >= model.margin * F.size(p))))
     docs = docs.select("doc_id", _clean(F.col("text")).alias("text"))
     assign, access, hexes = _base(F.col("text"))
     docs = docs.select("doc_id", "text", assign.alias("a"), access.alias("k"), hexes.alias("x"))

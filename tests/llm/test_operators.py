@@ -233,8 +233,8 @@ def test_secrets(spark, docs, empty):
     made = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(600)]
     made += ["key Zk3pQ9vX2mL8tR5wY1bN7cJ4hG6dS0fA end", "anOrdinaryIdentifierOfSomeLength here", prose(3000, 2).replace(" ", " token=abcdef1 ")]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(made)], DOCS)
-    ratio = sec.train(docs.select("doc_id", "text"))
-    got = {x.doc_id: x for x in sec.scan(df, ratio).collect()}
+    model = sec.train(docs.select("doc_id", "text"))
+    got = {x.doc_id: x for x in sec.scan(df, model).collect()}
     for i, t in enumerate(made):
         base = plain_secrets(t)
         shown = [f"{sec.KINDS[k]}:{a}:{b}" for a, k, b in base]
@@ -248,6 +248,22 @@ def test_secrets(spark, docs, empty):
     assert sec.scan(empty).count() == 0
 
 
+def test_secrets_models_on_held_out_tokens(spark, sf):
+    """Precision and recall of the ratio on labelled tokens that the models did not see, and on made ones."""
+    real = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    model = sec.train(real)
+    assert min(model.tokens) > 500 and model.recall >= 0.98 and model.passed <= 0.002
+    r = random.Random(8)
+    letters = sec.ALPHABET
+    secret = ["".join(r.choice(letters) for _ in range(r.randint(24, 48))) for _ in range(300)]
+    words = sorted({w for x in real.select("text").limit(200).collect() for w in re.findall("[a-z]{4,}", x.text or "")})
+    plain = ["_".join(r.choice(words) for _ in range(r.randint(5, 9))) for _ in range(150)] + ["".join(w.capitalize() for w in r.choice(sec.ORDINARY).split("_")) for _ in range(150)]
+    rows = [(i, f"see {t} here", "en", "s", 1) for i, t in enumerate(secret + plain)]
+    got = {x.doc_id: x.n_markov for x in sec.scan(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert sum(got[i] for i in range(300)) >= 285 and sum(got[300 + i] for i in range(300)) <= 15
+    assert sec.scan(real, model).where("n_markov > 0").count() == 0  # the tables hold no secrets but those of the patterns
+
+
 # 5 fingerprints
 
 
@@ -361,17 +377,16 @@ def test_near_dedup_differences_bound_every_link():
     hub = pa.array([" ".join(base)] * n, pa.large_string())
     got = icws.differences(hub, pa.array(group, pa.large_string()), idf)
     ends = np.cumsum(got["many"])
-    tokens = [dict(zip(got["token"][e - m : e].tolist(), range(m))) for e, m in zip(ends, got["many"])]
+    diff = [dict(zip(got["token"][e - m : e].tolist(), got["weight"][e - m : e].tolist())) for e, m in zip(ends, got["many"])]
     checked = 0
     for i in range(n):
         linked = icws.differences(pa.array([group[i]] * n, pa.large_string()), pa.array(group, pa.large_string()), idf)["good"]
-        for j in np.flatnonzero(linked).tolist():
-            if got["good"][i] and got["good"][j] or group[i] == group[j]:
-                continue
-            x, y = (i, j) if not got["good"][i] else (j, i)
-            most = got["many"][x] if got["good"][y] else got["short"][x]
-            assert any(k < most and tokens[y].get(t, n**3) < got["short"][y] for t, k in tokens[x].items())
-            checked += 1
+        for j in range(n):
+            agree = sum(min(x, diff[j][t]) for t, x in diff[i].items() if t in diff[j])
+            assert linked[j] == (agree >= got["u"][i] + got["u"][j] - 1e-6)
+            if linked[j] and not (got["good"][i] and got["good"][j]):
+                assert agree >= got["need"][i] - 1e-6
+                checked += 1
     assert checked > 20
 
 
