@@ -291,13 +291,30 @@ def test_fingerprints(spark, docs, empty):
     assert mh.edits(one).first().near_next == 1.0
 
 
-def test_fingerprint_search(docs):
-    unique = docs.where("doc_id < 900")
-    got = {(r.query_id, r.doc_id) for r in mh.search(unique, unique).collect()}
-    rows = texts(unique)
-    sets = {i: shingle_set(t) for i, t in rows}
-    true = {(i, j) for i in sets for j in sets if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert got == true
+def test_fingerprint_search(docs, spark):
+    queries = docs.where("doc_id % 2 = 0 OR doc_id IS NULL")
+    got = keyed(mh.search(queries, docs).collect(), "query_id", "doc_id", "copies")
+    rows = [(i, t or "") for i, t in texts(docs)]
+    sets = {t: shingle_set(t) for _, t in rows}
+    ids = {t: [i for i, u in rows if u == t] for t in sets}
+    want = collections.Counter()
+    for i, t in rows:
+        if i is None or i % 2 == 0:
+            for u in sets:
+                if t == u or sets[t] and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u]):
+                    want[i, min((x for x in ids[u] if x is not None), default=None), len(ids[u])] += 1
+    assert got == want
+    blank = spark.createDataFrame([(i, None, "en", "s", 0) for i in range(300)], DOCS)
+    assert keyed(mh.search(blank, blank).collect(), "doc_id", "copies", "jaccard") == {(0, 300, 1.0): 300}
+
+
+def test_fingerprints_of_text_ids(spark):
+    rows = [(f"id {i * 37 % 101:03d}", prose(20 + i, i)) for i in range(101)] + [(None, "first of all")]
+    got = {r.doc_id: r for r in mh.edits(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    rows.sort(key=lambda r: r[0] or "")
+    for n, (i, t) in enumerate(rows):
+        u = rows[(n + 1) % len(rows)][1]
+        assert got[i].edited_sha256 == sha(t[: len(t) - len(t) // 2] + u[: len(t) // 2])
 
 
 # 6 near-duplicates
