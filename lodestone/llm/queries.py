@@ -76,9 +76,94 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_pii that SQL can state."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_secrets that SQL can state."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_fingerprints that SQL can state."""
+    return op5_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_url_filter that SQL can state; verdict where a rule decides."""
+    return op8_url_filter(spark, sf_dir).selectExpr("page_id", "host", "path", "rule", "CASE WHEN rule IS NOT NULL THEN verdict END AS verdict")
+
+
+def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands and the verified Jaccard similarity of the fingerprint operator: documents whose id is divisible by 50 against all."""
+    from .minhash_fingerprint import search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(docs.where("doc_id % 50 = 0"), docs)
+
+
+_TEXT = "doc_id, coalesce(text, '') AS t FROM documents"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES = {
+    "op10_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
+        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+g AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+      FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT rid, g.k AS k, i, item FROM g JOIN win ON g.s = win.s AND g.k = win.k),
+places AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)""",
+    "pii_counts": rf"""
+SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+       CAST(len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda m: list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS DOUBLE))) <= 255)) AS BIGINT) AS n_ip,
+       CAST(len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')),
+                lambda m: length(m) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, length(m)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(m[length(m) - i] AS INT)
+                     ELSE CAST(m[length(m) - i] AS INT) * 2 // 10 + CAST(m[length(m) - i] AS INT) * 2 % 10 END)) % 10 = 0)) AS BIGINT) AS n_card,
+       CAST(len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone
+FROM (SELECT {_TEXT})""",
+    "secret_counts": rf"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda m: length(m) >= 6)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda m: length(m) >= 20)) AS BIGINT) AS n_access,
+       CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda m: length(m) >= 24)) AS BIGINT) AS n_hex
+FROM (SELECT {_TEXT})""",
+    "edited_texts": f"""
+WITH d AS (SELECT {_TEXT}),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER o, first_value(t) OVER o) AS u FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, t))
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(u, length(t) // 2)) AS edited_sha256 FROM n""",
+    "url_rules": r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(rule, of_host, start, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+                                         ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+      FROM p JOIN r ON (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, start) GROUP BY page_id)
+SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN m USING (page_id)""",
+    "similar_texts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT t, min(doc_id) AS doc_id, count(*) AS copies, regexp_extract_all(lower(t), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM d GROUP BY t),
+s AS (SELECT DISTINCT t, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT t, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM u WHERE len(w) > 0)),
+n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+q AS (SELECT DISTINCT t FROM d WHERE doc_id % 50 = 0),
+b AS (SELECT a.t AS q, c.t AS t, count(*) AS m FROM s a JOIN q ON a.t = q.t JOIN s c ON a.x = c.x WHERE a.t <> c.t GROUP BY a.t, c.t),
+j AS (SELECT b.q AS q, b.t AS t, CAST(m AS DOUBLE) / CAST(n1.n + n2.n - m AS DOUBLE) AS jaccard FROM b JOIN n n1 ON n1.t = b.q JOIN n n2 ON n2.t = b.t UNION ALL SELECT t, t, 1.0 FROM q)
+SELECT d.doc_id AS query_id, u.doc_id AS doc_id, u.copies AS copies, jaccard FROM d JOIN j ON d.t = j.q JOIN u ON u.t = j.t WHERE d.doc_id % 50 = 0 AND jaccard >= 0.8""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    ops = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return ops | {f.__name__: f for f in (pii_counts, secret_counts, edited_texts, url_rules, similar_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can state: one query whole, and columns of others by a query beside them that reads the operator's own result."""
+    return dict(ORACLES)
