@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 
 LEAST, MOST_SUBSTRING, MOST_SKELETON, GAP = 6, 2000, 600, 80
+#: First characters that literals without an inner word are found by.
+START = 3
 
 
 def exact(literals: DataFrame, message: str) -> DataFrame:
@@ -59,12 +61,12 @@ def find_by_message(literals: DataFrame, chunks: DataFrame, message: str, limit:
     return both.limit(limit).drop("o"), notes
 
 
-def occurrences(literals: DataFrame, messages: DataFrame, most_short: int = 1000) -> DataFrame:
+def occurrences(literals: DataFrame, messages: DataFrame) -> DataFrame:
     """id and literal_id of all messages (id, content) that hold a literal (literal_id, text) whole.
 
     A message that holds a literal has its inner words (all but the first and the last, which may be parts of longer
-    ones) as words of its own: the longest is joined, the rest verified. Literals without an inner word are held
-    against each message; there may be most_short of them.
+    ones) as words of its own: the longest is joined, the rest verified. Literals without an inner word are joined by
+    their first START characters (or all, of shorter ones) to the messages' runs of as many.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     lits = literals.where("text <> ''").select("literal_id", F.col("text").alias("literal"), words(F.col("text")).alias("w"))
@@ -73,12 +75,9 @@ def occurrences(literals: DataFrame, messages: DataFrame, most_short: int = 1000
     lits = lits.withColumn("word", F.nullif(longest, F.lit("")))
     seen = messages.select("id", F.explode(F.array_distinct(words(F.col("content")))).alias("word"))
     pairs = seen.join(lits.where("word IS NOT NULL").select("literal_id", "literal", "word"), "word").select("id", "literal_id", "literal")
-    found = pairs.join(messages.select("id", "content"), "id").where(F.col("content").contains(F.col("literal"))).select("id", "literal_id")
-    short = lits.where("word IS NULL").select("literal_id", "literal").limit(most_short + 1).collect()
-    if len(short) > most_short:
-        raise ValueError(f"more than {most_short} literals without an inner word")
-    if short:
-        table = F.array(*[F.struct(F.lit(r.literal_id).alias("literal_id"), F.lit(r.literal).alias("literal")) for r in short])
-        held = messages.select("id", F.explode(F.filter(table, lambda s: F.col("content").contains(s["literal"]))).alias("s"))
-        found = found.unionByName(held.select("id", F.col("s.literal_id").alias("literal_id")))
-    return found
+    short = lits.where("word IS NULL").select("literal_id", "literal", F.substring("literal", 1, START).alias("start"))
+    for n in sorted(r.n for r in short.select(F.char_length("start").alias("n")).distinct().collect()):  # START numbers at most
+        runs = F.transform(F.sequence(F.lit(1), F.char_length("content") - (n - 1)), lambda i: F.substring(F.col("content"), i, F.lit(n)))
+        held = messages.where(F.char_length("content") >= n).select("id", F.explode(F.array_distinct(runs)).alias("start"))
+        pairs = pairs.unionByName(held.join(short.where(F.char_length("start") == n), "start").select("id", "literal_id", "literal"))
+    return pairs.join(messages.select("id", "content"), "id").where(F.col("content").contains(F.col("literal"))).select("id", "literal_id")

@@ -35,15 +35,6 @@ def postings(df: DataFrame, columns=("name", "content")) -> DataFrame:
     return out.groupBy("term", "id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def _counted(df: DataFrame, terms: list[str], columns) -> DataFrame:
-    """id, n (tokens of all columns) and for each term its count in each column, without exploding the texts."""
-    bags = [tokens(F.col(c)).alias(f"bag_{c}") for c in columns]
-    df = df.select("id", *bags)
-    n = sum((F.size(f"bag_{c}") for c in columns), F.lit(0)).alias("n")
-    tf = [F.size(F.filter(f"bag_{c}", _is(t))).alias(f"tf{i}_{c}") for i, t in enumerate(terms) for c in columns]
-    return df.select("id", n, *tf)
-
-
 def _is(term: str):
     return lambda x: x == term
 
@@ -159,40 +150,58 @@ def _holds(q: Query, bags: list[Column]) -> Column:
     return out
 
 
-def _scored(counted: DataFrame, n_terms: int, weights: dict[str, float]) -> DataFrame:
-    """id and score (negative, the best first) from counts tf{i}_{column} and lengths n."""
-    any_ = [F.greatest(*[F.col(f"tf{i}_{c}") for c in weights], F.lit(0)) > 0 for i in range(n_terms)]
-    stats = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *[F.sum(a.cast("int")).alias(f"df{i}") for i, a in enumerate(any_)])
+def _facts(df: DataFrame, columns, leaves: list[Query], holds) -> DataFrame:
+    """id, n (tokens of all columns), holds, and the count of each leaf in each column (tf{i}_{column}).
+
+    A text is tokenised once for all of them: the generator keeps conditions on its result from being pushed below it.
+    """
+
+    def of(b: Column) -> Column:
+        bags = [b[c] for c in columns]
+        counts = [_leaf_count(b[c], leaf).alias(f"tf{i}_{c}") for i, leaf in enumerate(leaves) for c in columns]
+        return F.struct(sum((F.size(x) for x in bags), F.lit(0)).alias("n"), holds(bags).alias("holds"), *counts)
+
+    bags = F.array(F.struct(*[tokens(F.col(c)).alias(c) for c in columns]))
+    return df.select("id", F.explode(F.transform(bags, of)).alias("f")).select("id", "f.*")
+
+
+def _may_hold(leaves: list[Query], columns, every: bool = False) -> Column:
+    """Whether a row has the first word of any (every) leaf somewhere, be it within a longer word: cheap, and never false for a row that holds."""
+    out = F.lit(every)
+    for leaf in leaves:
+        has = F.lit(False)
+        for c in columns:
+            has = has | F.lower(F.coalesce(F.col(c), F.lit(""))).contains(leaf.parts[0])
+        out = out & has if every else out | has
+    return out
+
+
+def _ranked(df: DataFrame, leaves: list[Query], holds, weights: dict[str, float], every: bool, top_k: int | None) -> DataFrame:
+    """id and score (negative, the best first) of the rows that hold. The corpus's statistics are one row, read first."""
+    columns = list(weights)
+    has = [F.greatest(*[F.col(f"tf{i}_{c}") for c in columns], F.lit(0)) > 0 for i in range(len(leaves))]
+    stats = _facts(df, columns, leaves, holds).agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *[F.sum(h.cast("int")).alias(f"df{i}") for i, h in enumerate(has)]).first()
     total = F.lit(0.0)
-    for i in range(n_terms):
-        idf = F.log((F.col("rows") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+    for i in range(len(leaves)):
+        rows, held = F.lit(stats["rows"]), F.lit(stats[f"df{i}"])
+        idf = F.log((rows - held + 0.5) / (held + 0.5))
         f = sum((F.col(f"tf{i}_{c}") * w for c, w in weights.items()), F.lit(0.0))
-        total = total + F.when(f > 0, F.when(idf > 0, idf).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.col("mean")))).otherwise(0.0)
-    return counted.crossJoin(F.broadcast(stats)).withColumn("score", -total)  # stats is one row
+        total = total + F.when(f > 0, F.when(idf > 0, idf).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.lit(stats["mean"])))).otherwise(0.0)
+    out = _facts(df.where(_may_hold(leaves, columns, every)), columns, leaves, holds).where("holds").select("id", (-total).alias("score"))
+    return out.orderBy("score", "id").limit(top_k) if top_k else out
 
 
 def bm25(df: DataFrame, terms: list[str], every: bool = True, weights: dict[str, float] = WEIGHTS, top_k: int | None = 20) -> DataFrame:
     """id and score of rows that hold all (or any) terms, the best first."""
-    counted = _counted(df, terms, list(weights))
-    scored = _scored(counted, len(terms), weights)
-    held = F.lit(every)
-    for i in range(len(terms)):
-        has = F.greatest(*[F.col(f"tf{i}_{c}") for c in weights], F.lit(0)) > 0
-        held = held & has if every else held | has
-    out = scored.where(held).select("id", "score")
-    return out.orderBy("score", "id").limit(top_k) if top_k else out
+    leaves = [Query("term", [t]) for t in terms]
+    q = Query("and" if every else "or", leaves)
+    return _ranked(df, leaves, lambda bags: _holds(q, bags), weights, every, top_k)
 
 
 def search(df: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, top_k: int | None = 20) -> DataFrame:
     """id and score for a query in the boolean language; leaves count as terms of BM25."""
     q = parse(query)
-    leaves = _leaves(q)
-    bags = df.select("id", *[tokens(F.col(c)).alias(f"bag_{c}") for c in weights])
-    n = sum((F.size(f"bag_{c}") for c in weights), F.lit(0)).alias("n")
-    tf = [_leaf_count(F.col(f"bag_{c}"), leaf).alias(f"tf{i}_{c}") for i, leaf in enumerate(leaves) for c in weights]
-    counted = bags.select("id", n, _holds(q, [F.col(f"bag_{c}") for c in weights]).alias("holds"), *tf)
-    out = _scored(counted, len(leaves), weights).where("holds").select("id", "score")
-    return out.orderBy("score", "id").limit(top_k) if top_k else out
+    return _ranked(df, _leaves(q), lambda bags: _holds(q, bags), weights, False, top_k)
 
 
 def fts(df: DataFrame, query: str, **kw) -> tuple[DataFrame, list[str]]:

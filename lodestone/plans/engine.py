@@ -102,7 +102,7 @@ class Engine:
         if narrow:
             vecs = vecs.join(chunks.select("id"), "id", "left_semi")
         if request.mode == "fts":
-            hits, more = text.fts(self._t("chunks"), request.query, top_k=1_000_000 if narrow else k * times)
+            hits, more = text.fts(self._t("chunks"), request.query, top_k=None if narrow else k * times)
             hits = inside(hits).orderBy("score", "id").limit(k * times).withColumn("score", -F.col("score"))
             notes += more
         else:

@@ -67,7 +67,10 @@ def rebuilt(chunks: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Tables of one project in a folder; a write makes a new version, and a pointer names the one that holds."""
+    """Tables of one project in a folder; a write makes a new version, and the pointer file of the largest number names what holds.
+
+    A pointer is written under another name, then renamed to a number of its own: at any moment there is a whole one.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -76,11 +79,18 @@ class Catalog:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> dict[str, str]:
+    def _pointers(self) -> list[int]:
+        """Numbers of the pointer files, ascending; the last holds."""
         fs, path = self._fs()
-        if not fs.exists(path(f"{self.folder}/current.json")):
+        if not fs.exists(path(self.folder)):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(path(self.folder))]
+        return sorted(int(m[1]) for m in (re.fullmatch(r"current-(\d+)\.json", n) for n in names) if m)
+
+    def versions(self) -> dict[str, str]:
+        if not (at := self._pointers()):
             return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/current.json").collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/current-{at[-1]}.json").collect()))
 
     def has(self, name: str) -> bool:
         return name in self.versions()
@@ -99,8 +109,12 @@ class Catalog:
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        fs.delete(path(f"{self.folder}/current.json"), False)
-        fs.rename(fresh, path(f"{self.folder}/current.json"))
+        at = self._pointers()
+        number = at[-1] + 1 if at else 1
+        if not fs.rename(fresh, path(f"{self.folder}/current-{number}.json")):
+            raise RuntimeError(f"another writer has moved the pointer of {self.folder}")
+        for old in at[:-1]:  # the one before stays for readers that have just listed it
+            fs.delete(path(f"{self.folder}/current-{old}.json"), False)
 
     def meta(self) -> dict[str, str]:
         return {r.key: r.value for r in self.read("meta").collect()} if self.has("meta") else {}

@@ -83,3 +83,30 @@ def test_requests(tmp_path):
     assert got == {"a": 1} and len(problems) == 1
     log = "commit:1:Add loader\n1\t2\ta.py\n3\t0\tb.py\n1\t1\tc.png\ncommit:2:Merge x\n1\t1\ta.py\n1\t1\tb.py\ncommit:3:One\n1\t1\ta.py\n"
     assert commit_gold(log, {".py": "python"}) == [{"sha": "1", "query": "Add loader", "gold_files": ["a.py", "b.py"]}]
+
+
+def test_catalog_always_has_a_whole_pointer(spark, tmp_path):
+    """A write that stops before its pointer is in place leaves the tables that held; old pointers don't pile up."""
+    from lodestone.sources.files import Catalog
+
+    c = Catalog(spark, str(tmp_path / "project"))
+    assert c.versions() == {}
+    for i in range(4):
+        c.write(numbers=spark.range(i + 1))
+        assert c.read("numbers").count() == i + 1
+    (tmp_path / "project" / "next-unfinished").write_text("{")
+    assert c.read("numbers").count() == 4 and len(c._pointers()) == 2
+
+
+def test_scoped_keyword_search_reads_all_hits(spark):
+    from lodestone.operators import message, text
+
+    rows = [(f"{i:04d}", "a/x.py" if i % 7 else "b/y.py", "n", "common words here" + " more" * (i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, path string, name string, content string")
+    assert text.search(df, "common", top_k=None).count() == 300
+    assert text.search(df, '"words here" NOT more', top_k=None).count() == 60
+    lits = spark.createDataFrame([(i, f"w{i}") for i in range(1500)] + [(5000, "é"), (5001, "a b")], "literal_id long, text string")
+    msgs = spark.createDataFrame([("m1", "see w77 and w1499x"), ("m2", "é"), ("m3", "xa bx"), ("m4", "")], "id string, content string")
+    got = {(r.id, r.literal_id) for r in message.occurrences(lits, msgs).collect()}
+    want = {(m.id, x.literal_id) for m in msgs.collect() for x in lits.collect() if x.text in m.content}
+    assert got == want
