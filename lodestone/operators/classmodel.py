@@ -116,3 +116,21 @@ def resolve_calls(calls: DataFrame, members_: DataFrame, closure: DataFrame) ->
     n = m.select("name", "cls").distinct().groupBy("name").agg(F.count("*").alias("n"), F.min("cls").alias("one"))
     loose = rest.join(n, "name", "left").select("call_id", F.when(F.col("n") == 1, F.col("one")).alias("cls"), F.when(F.col("n") == 1, "unique").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("outcome"))
     return hit.unionByName(loose)
+
+
+def within(members_: DataFrame, spans: DataFrame) -> DataFrame:
+    """Members (path, line) that stand within a span (path, start_line, end_line) of their file."""
+    s = spans.select(F.col("path").alias("in_path"), "start_line", "end_line")
+    return members_.join(s, (F.col("path") == F.col("in_path")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left_semi")
+
+
+def owners(members_: DataFrame, spans: DataFrame, bases_: DataFrame) -> DataFrame:
+    """Distinct owner of members within class spans, and of base clauses."""
+    return within(members_, spans).select("owner").union(bases_.select("owner")).distinct()
+
+
+def to_classes(edges: DataFrame, classes: DataFrame, kinds: tuple[str, ...] = ("inherits", "constructs")) -> DataFrame:
+    """Edges without those of the kinds that end outside the class symbols (id)."""
+    held = classes.select(F.col("id").alias("to_id")).distinct()
+    typed = F.col("edge_type").isin(*kinds)
+    return edges.where(~typed | F.col("edge_type").isNull()).unionByName(edges.where(typed).join(held, "to_id", "left_semi").select(*edges.columns))

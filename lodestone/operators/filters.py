@@ -60,3 +60,9 @@ def suggest_scopes(df: DataFrame, typed: str, most: int = 3) -> DataFrame:
     head = F.array_join(F.slice(F.split("path", "/"), 1, depth), "/")
     last = typed.strip("/").split("/")[-1].lower()
     return df.select(head.alias("scope")).distinct().where(F.lower("scope").contains(last) | F.lower("scope").startswith(typed.lower()[:3])).orderBy(F.levenshtein("scope", F.lit(typed)), "scope").limit(most)
+
+
+def with_entry(df: DataFrame, key: str, names: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Rows whose metadata, a map of lists, has one of the names (name) in its list of that key; null lists have none."""
+    own = df.select("id", F.explode(F.col(metadata)[key]).alias("name"))
+    return df.join(own.join(names.select("name"), "name", "left_semi").select("id"), "id", "left_semi")

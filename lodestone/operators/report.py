@@ -155,3 +155,12 @@ def idle_entries(entries: list[str], paths: DataFrame) -> list[str]:
 
     flags = paths.agg(*[F.max(F.col("path").rlike(glob_pattern(e)).cast("int")).alias(f"e{i}") for i, e in enumerate(entries)]).first() if entries else []
     return [e for e, hit in zip(entries, flags, strict=True) if not hit]
+
+
+def subsystems(paths: DataFrame, named: DataFrame) -> DataFrame:
+    """path and subsystem: the name of the longest prefix (prefix, name) that the path is in, else the path's first segment."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    hit = paths.select("path", F.explode(above).alias("prefix")).join(named.select("prefix", "name"), "prefix")
+    best = hit.groupBy("path").agg(F.max_by("name", F.struct(F.char_length("prefix"), "name")).alias("name"))
+    return paths.select("path").join(best, "path", "left").select("path", F.coalesce("name", F.element_at(parts, 1)).alias("subsystem"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import evalkit, filters, fusion, graph, incremental, message, navigation, report, segment, text, vectors
+from ..operators import classmodel, evalkit, filters, fusion, graph, incremental, message, navigation, report, segment, text, vectors
 from ..sources import relations as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,12 +575,12 @@ def bases_closure(spark, d):
 
 @query(
     "definition_stitch",
-    """WITH c AS (SELECT l_orderkey AS path, l_linenumber AS n, 'line'||l_linenumber||' part'||l_partkey AS content, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS k FROM lineitem WHERE l_returnflag='R'),
+    """WITH c AS (SELECT l_orderkey AS path, l_linenumber AS n, 'line'||l_linenumber||' part'||l_partkey AS content, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
  m AS (SELECT path, n, CASE WHEN n*10 > lag(n*10+4) OVER (PARTITION BY path ORDER BY n)+1 THEN '…'||chr(10)||content ELSE content END AS t FROM c WHERE k=1)
  SELECT path::VARCHAR AS path, string_agg(t, chr(10) ORDER BY n) AS source, (min(n)*10)::BIGINT AS start_line, (max(n)*10+4)::BIGINT AS end_line FROM m GROUP BY path""",
 )
 def definition_stitch(spark, d):
-    li = R.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    li = R.table(spark, d, "lineitem")
     k = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
     one = li.withColumn("k", k).where("k = 1")
     pieces = one.select(F.col("l_orderkey").cast("string").alias("path"), F.lit("x").alias("name"), (F.col("l_linenumber") * 10).alias("start_line"), (F.col("l_linenumber") * 10 + 4).alias("end_line"), F.concat(F.lit("line"), F.col("l_linenumber").cast("string"), F.lit(" part"), F.col("l_partkey").cast("string")).alias("content"))
@@ -596,10 +596,15 @@ def message_exact(spark, d):
     return message.occurrences(lits, R.chunks(spark, d).select("id", "content"))
 
 
-@query("skeletons", "SELECT event_id, 'value ␀* of ␀* at {k}' AS skeleton, ' at {k}' AS longest FROM events")
+@query(
+    "skeletons",
+    """SELECT event_id, CASE event_id%4 WHEN 0 THEN 'value ␀* of ␀* at {k}' WHEN 1 THEN event_type||' failed: ␀*' WHEN 2 THEN '␀* of ␀* '||event_type END AS skeleton,
+ CASE event_id%4 WHEN 0 THEN ' at {k}' WHEN 1 THEN event_type||' failed: ' WHEN 2 THEN CASE WHEN length(event_type)+1>4 THEN ' '||event_type ELSE ' of ' END END AS longest FROM events""",
+)
 def skeletons(spark, d):
-    t = F.lit("value %0.2f of ${name} at {{k}}")
-    return R.table(spark, d, "events").select("event_id", X.skeleton(F.concat(t, F.substring("props", 1, 0))).alias("skeleton"), X.longest_fragment(X.skeleton(F.concat(t, F.substring("props", 1, 0)))).alias("longest"))
+    kind, four = F.col("event_type"), F.col("event_id") % 4
+    t = F.when(four == 0, "value %0.2f of ${name} at {{k}}").when(four == 1, F.concat(kind, F.lit(" failed: %s"))).when(four == 2, F.concat(F.lit("{0} of {name} "), kind)).otherwise(F.concat(kind, F.lit(" 100%% done")))
+    return R.table(spark, d, "events").select("event_id", X.skeleton(t).alias("skeleton"), X.longest_fragment(X.skeleton(t)).alias("longest"))
 
 
 # maps and reports
@@ -775,9 +780,9 @@ def relational_targets(spark, d):
     return whole(evalkit.relational_targets(e, R.modules(spark, d), graph.indegree(e), 35).select("to_id", "module", "place"))
 
 
-@query("omitted_subtrees", "WITH g AS (SELECT source||'/'||lang AS subtree, count(*) AS n FROM documents WHERE n_chars<2000 GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, subtree) AS place FROM g) SELECT CASE WHEN place<=5 THEN subtree ELSE '(rest)' END AS subtree, sum(n)::BIGINT AS n FROM r GROUP BY 1")
+@query("omitted_subtrees", "WITH g AS (SELECT source||'/'||lang AS subtree, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, subtree) AS place FROM g) SELECT CASE WHEN place<=5 THEN subtree ELSE '(rest)' END AS subtree, sum(n)::BIGINT AS n FROM r GROUP BY 1")
 def omitted_subtrees(spark, d):
-    rows = R.table(spark, d, "documents").where("n_chars < 2000").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    rows = R.table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
     return report.omitted_subtrees(rows)
 
 
@@ -790,3 +795,47 @@ def equal_graphs(spark, d):
 @query("postings_join", rf"""WITH {CHUNKS}, w AS (SELECT id, unnest(regexp_extract_all(lower(name),'[\p{{L}}\p{{N}}]+')) AS term FROM chunks) SELECT term, id, count(*) AS tf FROM w GROUP BY ALL""")
 def postings_join(spark, d):
     return whole(text.postings(R.chunks(spark, d), ("name",)).select("term", "id", F.size("positions").alias("tf")))
+
+
+# entries, class model and subsystems
+
+
+@query("entry_filter", "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linestatus='F' AND 'b'||(l_suppkey%50) IN ('b3','b7')")
+def entry_filter(spark, d):
+    li = R.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linestatus") == "F", "calls").otherwise("imports").alias("key"), F.concat(F.lit("b"), (F.col("l_suppkey") % 50).cast("string")).alias("name"))
+    lists = li.groupBy("id", "key").agg(F.collect_set("name").alias("names"))
+    rows = lists.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "names"))).alias("metadata"))
+    return filters.with_entry(rows, "calls", spark.createDataFrame([("b3",), ("b7",), ("none",)], "name string")).select("id")
+
+
+MEMBERS = "m AS (SELECT p_brand||'/'||p_partkey||'.h' AS path, l_quantity::BIGINT*11 AS line, 's'||l_suppkey AS owner FROM lineitem JOIN part ON l_partkey=p_partkey), s AS (SELECT p_brand||'/'||p_partkey||'.h' AS path, p_partkey%500+1 AS start_line, p_partkey%500+1+p_size AS end_line FROM part)"
+
+
+def _members(spark, d):
+    parts = R.table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".h")).alias("path"))
+    li = R.table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return li.select("path", (F.col("l_quantity").cast("bigint") * 11).alias("line"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("owner"))
+
+
+@query("members_within", f"WITH {MEMBERS} SELECT path, line, owner FROM m WHERE EXISTS (SELECT 1 FROM s WHERE s.path=m.path AND m.line BETWEEN start_line AND end_line)")
+def members_within(spark, d):
+    return classmodel.within(_members(spark, d), R.symbols(spark, d))
+
+
+@query("class_owners", f"WITH {MEMBERS} SELECT owner FROM m WHERE EXISTS (SELECT 1 FROM s WHERE s.path=m.path AND m.line BETWEEN start_line AND end_line) UNION SELECT 's'||s_suppkey FROM supplier WHERE s_acctbal<0")
+def class_owners(spark, d):
+    bases = R.table(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("owner"))
+    return classmodel.owners(_members(spark, d), R.symbols(spark, d), bases)
+
+
+@query("edges_to_classes", f"WITH {REFS} SELECT from_id, to_id, edge_type FROM refs WHERE edge_type<>'imports' OR substr(to_id,2)::BIGINT IN (SELECT p_partkey FROM part WHERE p_partkey%2=1)")
+def edges_to_classes(spark, d):
+    classes = R.symbols(spark, d).where("kind = 'definition'").select(F.col("chunk_id").alias("id"))
+    return classmodel.to_classes(R.typed_refs(spark, d), classes, ("imports",)).select("from_id", "to_id", "edge_type")
+
+
+@query("subsystem_of_path", f"WITH {CHUNKS} SELECT path, CASE WHEN dir='src1/en' THEN 'english' WHEN starts_with(dir,'src1/') THEN 'first' WHEN dir='src2/de' THEN 'german' ELSE split_part(path,'/',1) END AS subsystem FROM chunks")
+def subsystem_of_path(spark, d):
+    named = spark.createDataFrame([("src1", "first"), ("src1/en", "english"), ("src2/de", "german"), ("src", "no segment")], "prefix string, name string")
+    doc = R.table(spark, d, "documents")
+    return report.subsystems(doc.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path")), named)
