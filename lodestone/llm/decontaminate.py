@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import keep, pick
 
 WINDOW, TOKEN = 13, 3
-#: Rows of a table of the benchmark up to which it is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of their strings, of a table up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 1 << 25
+#: Stands before each text's tokens, so that one pass over the texts also counts their words.
+MARK = -(2**63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,18 +36,27 @@ def _raw_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
 
 
-def _tokens(ws: Column, n: int) -> Column:
-    """Hash of each shingle of n words. Lower case here may join more than A-Z does; the verification decides."""
-    one = lambda w: F.when(
+def _hashed(w: Column, n: int) -> Column:
+    """Hash of each shingle of n words of an array."""
+    return F.when(
         F.size(w) >= n,
-        F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.lower(F.get(w, i + k)) for k in range(n)])),
+        F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    return F.element_at(F.transform(F.array(ws), one), 1)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is proven small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _tokens(text: Column, n: int) -> Column:
+    """size: words of the text; t: MARK, then the hash of each shingle of n words.
+
+    Lower case here may join more than A-Z does; the verification decides. It leaves the words at their places.
+    """
+    one = lambda w: F.struct(F.size(w).alias("size"), F.concat(F.array(F.lit(MARK)), _hashed(w, n)).alias("t"))
+    return F.element_at(F.transform(F.array(_raw_words(F.lower(text))), one), 1)
+
+
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """df, to be broadcast if it is proven small: size is about the bytes of a row beyond its numbers."""
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -57,44 +68,51 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return b.groupBy(F.array_join("w", " ").alias("win"), F.size("w").alias("len")).agg(F.collect_set("item").alias("items"))
 
 
-def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """One row for each document text that holds a window: doc_id, h (of the text), n_hit and wins (distinct)."""
+def occurrences(docs: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of docs: doc_id, h (of the text), n_words; and one for each text that holds a window: doc_id, h, n_hit and wins (distinct)."""
     key = ["doc_id", "h"]
     wins = wins.withColumn("q", F.least(F.lit(TOKEN), "len"))
-    sizes = [r.q for r in wins.select("q").distinct().collect()] or [TOKEN]
+    sizes = sorted(r.q for r in wins.select("q").distinct().collect()) or [TOKEN]  # TOKEN numbers at most
     toks = None
     for q in sizes:
-        part = wins.where(F.col("q") == q).select("win", "len", "q", F.posexplode(_tokens(F.split("win", " "), q)).alias("off", "token"))
+        part = wins.where(F.col("q") == q).select("win", "len", "q", F.posexplode(_hashed(F.split(F.lower("win"), " "), q)).alias("off", "token"))
         toks = part if toks is None else toks.union(part)
     toks = keep(toks, "tokens")
     hits = None
     for q in sizes:
-        d = docs.select("doc_id", F.md5("text").alias("h"), _tokens(_raw_words(F.col("text")), q).alias("t")).select(*key, F.size("t").alias("n"), F.posexplode("t").alias("pos", "token"))
-        d = d.join(_small(toks.where(F.col("q") == q).select("token").distinct()), "token", "left_semi").select(*key, F.lit(q).alias("q"), (F.col("n") + (q - 1)).alias("n"), "pos", "token")
+        asked = toks.where(F.col("q") == q).select("token")
+        if hits is None:
+            asked = asked.union(docs.sparkSession.range(1).select(F.lit(MARK).alias("token")))
+        d = docs.select("doc_id", F.md5("text").alias("h"), _tokens(F.col("text"), q).alias("s"))
+        d = d.select(*key, F.col("s.size").alias("n"), F.posexplode("s.t").alias("pos", "token"))
+        d = d.join(_small(asked.distinct(), F.lit(8)), "token", "left_semi").select(*key, F.lit(q).alias("q"), "n", (F.col("pos") - 1).alias("pos"), "token")
         hits = d if hits is None else hits.union(d)
     hits = keep(hits, "hits")
+    rows = hits.where((F.col("token") == MARK) & (F.col("pos") == -1)).select(*key, F.col("n").cast("long").alias("n_words"))
+    hits = hits.where("pos >= 0")
     frequency = hits.groupBy("q", "token").count()
     rarest = toks.join(frequency, ["q", "token"], "left").groupBy("win", "len", "q").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "off", "token")).alias("r"))
     prefix = keep(rarest.where("r.count > 0").select("win", "len", "q", "r.off", "r.token"), "prefix")
-    found = hits.join(_small(prefix), ["q", "token"]).select(*key, "n", (F.col("pos") - F.col("off")).alias("start"), "len", "win").where("start >= 0 AND start + len <= n")
-    found = found.groupBy(*key).agg(F.collect_set(F.struct("start", "len", "win")).alias("found"))
+    found = hits.join(_small(prefix, F.octet_length("win")), ["q", "token"]).select(*key, "n", (F.col("pos") - F.col("off")).alias("start"), "len", "win").where("start >= 0 AND start + len <= n")
+    found = keep(found.groupBy(*key).agg(F.collect_set(F.struct("start", "len", "win")).alias("found")), "found")
     texts = docs.select("doc_id", F.md5("text").alias("h"), "text")
-    both = texts.join(found.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "found"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
+    found = _small(found.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "found"), F.aggregate("found", F.lit(0), lambda n, c: n + F.octet_length(c["win"])))
+    both = texts.join(found, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
     true = lambda w: F.filter("found", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["len"]), " ") == c["win"])
     both = both.select(*key, F.element_at(F.transform(F.array(words(F.col("text"))), true), 1).alias("found")).where(F.size("found") > 0)
     places = F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
-    return both.select(*key, F.size(places).cast("long").alias("n_hit"), F.array_distinct(F.transform("found", lambda c: c["win"])).alias("wins")).dropDuplicates(key)
+    return rows, both.select(*key, F.size(places).cast("long").alias("n_hit"), F.array_distinct(F.transform("found", lambda c: c["win"])).alias("wins")).dropDuplicates(key)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, more: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs; more: also h, the text's MD5."""
     docs = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     wins = keep(windows(benchmark, window), "windows")
-    held = keep(occurrences(docs, wins), "occurrences")
-    items = held.select("doc_id", "h", F.explode("wins").alias("win")).join(_small(wins.select("win", "items")), "win").select("doc_id", "h", F.explode("items").alias("item"))
+    rows, held = occurrences(docs, wins)
+    held = keep(held, "occurrences")
+    items = held.select("doc_id", "h", F.explode("wins").alias("win")).join(_small(wins.select("win", "items"), F.octet_length("win") + F.octet_length(F.array_join("items", ","))), "win").select("doc_id", "h", F.explode("items").alias("item"))
     items = items.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = held.select(F.col("doc_id").alias("d1"), F.col("h").alias("h1"), "n_hit").join(items.withColumnsRenamed({"doc_id": "d2", "h": "h2"}), F.col("d1").eqNullSafe(F.col("d2")) & (F.col("h1") == F.col("h2"))).drop("d2", "h2")
-    rows = docs.select("doc_id", F.md5("text").alias("h"), F.size(_raw_words(F.col("text"))).cast("long").alias("n_words"))
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(found, F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("h") == F.col("h1")), "left").select(
         "doc_id",
