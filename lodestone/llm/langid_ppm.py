@@ -21,35 +21,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textmath as tm
-from .common import map_arrow, pick
+from .common import lengths, map_arrow, pick, release, steps
 
 ORDER = 3
-#: Texts, and characters of each, that a language's tree learns from at most. Only the sample is cut.
-SAMPLE_TEXTS, SAMPLE_CHARS = 400, 4000
+#: About so many texts, whole, are what a language's tree learns from at most; they are drawn by hash.
+SAMPLE_TEXTS = 400
+#: Digits of a counted context: 0 stands before a text's first byte, else it is the byte and 1.
+BASE = 257
 UNKNOWN = "und"
 _letter = re.compile(r"[^\W\d_]").search
 
 
+def _keys(column) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte with the ORDER bytes before it as one number, and bytes of each text (count)."""
+    data, offsets = tm.buffers(tm.lowered(column))
+    counts = np.diff(offsets)
+    inner = np.arange(len(data)) - np.repeat(offsets[:-1], counts)
+    one = data.astype(np.int64) + 1
+    key = one.copy()
+    for k in range(1, ORDER + 1):
+        before = np.zeros(len(one), np.int64)
+        before[k:] = one[: len(one) - k]
+        key += np.where(inner >= k, before, 0) * BASE**k
+    return key, counts
+
+
 class ContextTrees:
     """Frozen trees of all languages: symbol of each byte, state of each context, bits of each state and symbol."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.languages = sorted(samples)
-        coded = {k: [np.frombuffer(t.lower().encode(), np.uint8) for t in v] for k, v in samples.items()}
-        seen = np.unique(np.concatenate([np.zeros(0, np.uint8), *(x for v in coded.values() for x in v)]))
+    @classmethod
+    def of(cls, samples: dict[str, list[str]]) -> ContextTrees:
+        import pyarrow as pa
+
+        return cls({k: np.unique(_keys(pa.array(v, pa.large_string()))[0], return_counts=True) for k, v in samples.items()})
+
+    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """counted: contexts (as _keys() has them) and their counts for each language."""
+        self.languages = sorted(counted)
+        seen = np.unique(np.concatenate([np.zeros(0, np.int64), *(keys % BASE for keys, _ in counted.values())])) - 1
         self.symbol = np.full(256, len(seen) + 1, np.int32)  # the last symbol: bytes never seen
         self.symbol[seen] = np.arange(1, len(seen) + 1)  # 0 stands before a text's first byte
         n = self.size = len(seen) + 2
+        digit = np.concatenate([[0], self.symbol]).astype(np.int64)
         trees = []
         for name in self.languages:
-            joined = np.concatenate([np.concatenate([np.zeros(ORDER, np.int64), self.symbol[x].astype(np.int64)]) for x in coded[name]])
+            keys, counts = counted[name]
+            own = np.zeros(len(keys), np.int64)
+            for k in range(ORDER, -1, -1):
+                own = own * n + digit[keys // BASE**k % BASE]
             tree = []
             for order in range(ORDER + 1):
-                key = np.zeros(len(joined) - order, np.int64)
-                for k in range(order + 1):
-                    key = key * n + joined[k : k + len(key)]
-                key = key[joined[order:] > 0]
-                tree.append(np.unique(key, return_counts=True))
+                some, at = np.unique(own % n ** (order + 1), return_inverse=True)
+                tree.append((some, np.bincount(at, counts, len(some))))
             trees.append(tree)
         # states: all contexts that some language saw, shorter ones first; 0 is the empty context
         states = [np.unique(np.concatenate([t[order][0] // n for t in trees])) for order in range(ORDER + 1)]
@@ -109,15 +132,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Trees from a sample of the rows whose language is given; the sample is chosen by hash of the id."""
     rows = pick(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    samples: dict[str, list[str]] = {}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000_000))
     some = F.lit(False)
     for lang, n in counts.items():
-        some = some | ((F.col("lang") == lang) & (draw < int(min(1.0, 1.1 * SAMPLE_TEXTS / n) * 1_000_000_000)))
-    for r in rows.where(some).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
-        samples.setdefault(r.lang, []).append(r.text)
-    samples = {k: v for k, v in samples.items() if any(v)}
-    return ContextTrees(samples) if samples else None
+        some = some | ((F.col("lang") == lang) & (draw < int(min(1.0, SAMPLE_TEXTS / n) * 1_000_000_000)))
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a, b in steps(lengths(batch.column("text"))):
+                part = batch.slice(a, b - a)
+                names = np.array(part.column("lang").to_pylist(), object)
+                keys, per = _keys(part.column("text"))
+                of = np.repeat(names, per)
+                for name in sorted(set(names)):
+                    k, n = np.unique(keys[of == name], return_counts=True)
+                    yield pa.record_batch([pa.array([name] * len(k), pa.string()), pa.array(k), pa.array(n)], names=["lang", "context", "n"])
+            release()
+
+    # a row for each context of ORDER bytes and its byte: as many as a language's spelling has, however long the texts
+    rows = rows.where(some).select("lang", "text").mapInArrow(count, "lang string, context bigint, n bigint").groupBy("lang", "context").agg(F.sum("n").alias("n"))
+    counted: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.collect():
+        counted.setdefault(r.lang, []).append((r.context, r.n))
+    return ContextTrees({k: tuple(np.array(sorted(v), np.int64).T) for k, v in counted.items()}) if counted else None
 
 
 def predict(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
