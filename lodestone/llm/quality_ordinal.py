@@ -4,7 +4,8 @@ P(grade <= k) = sigmoid(threshold_k - w . x) with one weight vector for all grad
 groups of hashed features of the whole text, each scaled to unit length: words, runs of signs, and shapes of words
 (case and length). Expected grade and the chance of the top grades follow and select documents.
 
-Learns from a bounded sample of rated rows, chosen by hash. Ratings are any integers; grades are their ranks. With ratings
+Learns from a bounded sample of rated rows, chosen by hash; rows that repeat an id and a text count once. Ratings are any
+integers, of MOST_GRADES values at most (more is an error); grades are their ranks. With ratings
 of one value only, or none, every row is expected at that value (null without any) with tail probability 1.
 A null is an empty text. Repeated rows are scored each. Other columns are ignored. Texts are scored whole.
 """
@@ -19,6 +20,7 @@ from . import textmath as tm
 from .common import map_arrow, pick
 
 SAMPLE_ROWS, BITS, EPOCHS, BATCH, RATE, DECAY = 5000, 16, 12, 64, 0.3, 1e-2
+MOST_GRADES = 100
 _WORD, _UPPER, _SIGN = tm._WORD, np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = True
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 95), 96, *range(123, 127)]] = True
@@ -104,17 +106,23 @@ class Ordinal:
 def train(docs: DataFrame, ratings: DataFrame, rating: str = "quality"):
     """The model, or the only rating there is (None without any)."""
     ratings = pick(ratings, "doc_id", rating).toDF("doc_id", "grade").where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
-    grades = sorted(r.grade for r in ratings.select("grade").distinct().collect())
+    grades = sorted(r.grade for r in ratings.select("grade").distinct().limit(MOST_GRADES + 1).collect())
+    if len(grades) > MOST_GRADES:
+        raise ValueError(f"more than {MOST_GRADES} grades: give ratings in steps")
     if len(grades) < 2:
         return grades[0] if grades else None
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1_000_000_000))
     some = ratings.where(draw < int(min(1.0, SAMPLE_ROWS / ratings.count()) * 1_000_000_000)).limit(2 * SAMPLE_ROWS)
-    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # a bounded number of ratings
-    step = lambda b: {"doc_id": b.column("doc_id"), "grade": b.column("grade"), **_packed(b)}
-    got = map_arrow(rows, step, "doc_id bigint, grade int, keys array<int>, vals array<float>").collect()
+    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "h"]).select("h", "text", "grade")  # a bounded number of ratings
+    many = rows.select("h").count()
+    if many > 2 * SAMPLE_ROWS:  # rated ids of many different texts
+        rows = rows.where(F.pmod(F.xxhash64("h", F.lit("quality")), F.lit(1_000_000_000)) < int(SAMPLE_ROWS / many * 1_000_000_000))
+    step = lambda b: {"h": b.column("h"), "grade": b.column("grade"), **_packed(b)}
+    got = map_arrow(rows, step, "h bigint, grade int, keys array<int>, vals array<float>").collect()
     if len({r.grade for r in got}) < 2:
         return grades[0]
-    got.sort(key=lambda r: (r.doc_id, r.grade, r["keys"]))
+    got.sort(key=lambda r: (r.h, r.grade, r["keys"]))
     f = np.concatenate([np.array(r["keys"], np.int64) for r in got]), np.concatenate([np.array(r["vals"], float) for r in got]), np.array([len(r["keys"]) for r in got])
     return Ordinal(grades).fit(f, np.array([grades.index(r.grade) for r in got]))
 

@@ -4,8 +4,8 @@ Features of a text: density and weight of lexicon words, their nearness to words
 capitals and of signs, exclamation, and words that turn into lexicon words when look-alike signs are read as letters.
 The lexicon is learnt: words whose document frequency among toxic labelled texts exceeds that among the others by far.
 
-Learning uses a bounded sample of labelled rows, chosen by hash. Trees are fitted on three quarters of it, the isotonic
-calibration on the rest. With no labels, or one kind only, each score is the share of toxic labels (0 without any).
+Learning uses a bounded sample of labelled rows, chosen by hash; a label above 0 is toxic, documents that repeat an id and
+a text count once. The lexicon and the trees are fitted on three quarters of it, the isotonic calibration on the rest. With no labels, or one kind only, each score is the share of toxic labels (0 without any).
 A null is an empty text. Repeated rows are scored each. Other columns are ignored. Texts are scored whole.
 """
 
@@ -161,7 +161,7 @@ class Trees:
         return self.base + sum(self._values(t, bins) for t in self.trees)
 
     def _isotonic(self, raw: np.ndarray, y: np.ndarray) -> None:
-        """Pools neighbours until the means ascend; one row of either label is added at the ends."""
+        """Pools neighbours until the means ascend, and those of equal sums."""
         blocks: list[list[float]] = []
         for x, v in zip(raw, y, strict=True):
             blocks.append([v, 1.0, x])
@@ -185,15 +185,22 @@ class Trees:
 
 def train(docs: DataFrame, labels: DataFrame):
     """(lexicon, trees), or the share of toxic labels where there is nothing to tell apart."""
-    labels = pick(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = pick(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     total = labels.count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000_000))
-    some = labels.where(draw < int(min(1.0, SAMPLE_ROWS / max(total, 1)) * 1_000_000_000)).limit(2 * SAMPLE_ROWS)
-    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = keep(rows.join(F.broadcast(some), "doc_id"), "toxicity-sample")  # a bounded number of labels
-    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(sizes) < 2 or min(sizes.values()) < 10:
-        return sum(n for k, n in sizes.items() if k) / max(sum(sizes.values()), 1)
+    draw = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1_000_000_000))
+    share = lambda n: int(min(1.0, SAMPLE_ROWS / max(n, 1)) * 1_000_000_000)
+    some = labels.where(draw(F.col("doc_id").cast("string"), F.lit("toxicity")) < share(total)).limit(2 * SAMPLE_ROWS)
+    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    sample = rows.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "h"])  # a bounded number of labels
+    calibrate = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibration")), F.lit(4)) == 0
+    sample = keep(sample.withColumn("calibrate", calibrate), "toxicity-sample")
+    many = sample.count()
+    if many > 2 * SAMPLE_ROWS:  # labelled ids of many different texts
+        sample = sample.where(draw("h", F.lit("toxicity")) < share(many))
+    sizes = {(r.toxic, r.calibrate): r["count"] for r in sample.groupBy("toxic", "calibrate").count().collect()}
+    yes, no = sizes.get((1, False), 0), sizes.get((0, False), 0)
+    if min(yes, no) < 8 or not sizes.get((1, True)) or not sizes.get((0, True)):
+        return sum(n for (k, _), n in sizes.items() if k) / max(sum(sizes.values()), 1)
 
     def words(batches):
         import pyarrow as pa
@@ -209,18 +216,16 @@ def train(docs: DataFrame, labels: DataFrame):
                 tox += [y] * len(found)
             yield pa.record_batch([pa.array(out, pa.string()), pa.array(tox, pa.int32())], names=["word", "toxic"])
 
-    yes, no = sizes[1], sizes[0]
-    counts = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = sample.where(~F.col("calibrate")).select("text", "toxic").mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     ratio = F.log(((F.col("a") + 0.5) / (yes + 1)) / ((F.col("b") + 0.5) / (no + 1)))
     top = counts.withColumn("ratio", ratio).where((F.col("a") >= max(4, yes // 200)) & (F.col("ratio") > 2.0)).orderBy(F.desc(F.col("a") * F.col("ratio")), "word").limit(LEXICON_WORDS).collect()
     keys, weights = word_hash([r.word for r in top]), np.array([r.ratio for r in top], np.float64)
     order = np.argsort(keys)
     lexicon = keys[order], weights[order]
-    step = lambda b: {"doc_id": b.column("doc_id"), "x": features(b.column("text"), lexicon).tolist(), "toxic": b.column("toxic")}
-    got = map_arrow(sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), step, "doc_id bigint, x array<double>, toxic int").collect()
-    got.sort(key=lambda r: (r.doc_id, r.x))
-    x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got])
-    return lexicon, Trees(x, y, tm.mix(np.arange(len(x), dtype=np.uint64)) % np.uint64(4) == 0)
+    step = lambda b: {"h": b.column("h"), "x": features(b.column("text"), lexicon).tolist(), "toxic": b.column("toxic"), "calibrate": b.column("calibrate")}
+    got = map_arrow(sample.select("h", "text", "toxic", "calibrate"), step, "h bigint, x array<double>, toxic int, calibrate boolean").collect()
+    got.sort(key=lambda r: (r.h, r.x, r.toxic))
+    return lexicon, Trees(np.array([r.x for r in got]), np.array([r.toxic for r in got]), np.array([r.calibrate for r in got]))
 
 
 def score(docs: DataFrame, model) -> DataFrame:

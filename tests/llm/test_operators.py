@@ -173,6 +173,45 @@ def test_quality(spark, empty):
     assert {r.keep for r in qual.select(odd, ratings.where("quality = 7")).collect()} == {True}
 
 
+def test_quality_against_plain_python():
+    """Tails are those of the cumulative link, weight by weight, and fitting raises the likelihood of ordered grades."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    made = [(" ".join(["bad"] * (4 - g) + ["good"] * g) + f" {prose(3, 10 * i + g)}", g) for i in range(60) for g in range(4)]
+    f = qual.features(pa.array([t for t, _ in made]))
+    y = np.array([g for _, g in made])
+    m = qual.Ordinal([0, 1, 2, 5])
+
+    def loss():
+        keys, value, per = f
+        total, at = 0.0, 0
+        for g, n in zip(y, per):
+            z = sum(m.w[k] * v for k, v in zip(keys[at : at + n], value[at : at + n]))
+            at += n
+            over = [1.0, *(1 / (1 + math.exp(t - z)) for t in m.thresholds()), 0.0]
+            assert m.tails((keys[at - n : at], value[at - n : at], np.array([n])))[0] == pytest.approx(over[1:-1])
+            total -= math.log(over[g] - over[g + 1])
+        return total
+
+    before = loss()
+    m.fit(f, y)
+    assert loss() < 0.5 * before and list(m.thresholds()) == sorted(m.thresholds())
+
+
+def test_quality_odd_ratings(spark):
+    """Ids as text, repeated and clashing ratings, and more grades than there may be."""
+    rows = [(f"d{i}", prose(40, i) if i % 2 else "%%% " * 40) for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:5] + [(None, None)], "doc_id string, text string")
+    lab = spark.createDataFrame([(f"d{i}", 3 * (i % 2)) for i in range(200)] + [("d1", 0)] * 3, "doc_id string, quality int").select("*", F.lit(9).alias("Quality2"), F.lit("x").alias("DOC_ID2"))
+    got = qual.select(df, lab.withColumnRenamed("Quality2", "text"))
+    assert got.count() == 206 and got.where("held_out AND keep <> (pmod(CAST(substring(doc_id, 2) AS INT), 2) = 1)").count() <= 2
+    with pytest.raises(ValueError):
+        qual.train(df, spark.range(300).selectExpr("concat('d', id) AS doc_id", "CAST(id AS INT) AS quality"))
+
+
 # 3 token ids
 
 
@@ -452,7 +491,7 @@ def test_language_bits_are_those_of_the_trees():
 
     import pyarrow as pa
 
-    trees = lid.ContextTrees({"a": ["abab abba", "abc"], "b": ["xyz xyy", "zzx"]})
+    trees = lid.ContextTrees.of({"a": ["abab abba", "abc"], "b": ["xyz xyy", "zzx"]})
 
     def bits(text, samples):
         size = trees.size
@@ -620,6 +659,43 @@ def test_toxicity(spark, docs, empty):
     assert {x.predicted for x in tox.judge(docs, lab.limit(0)).collect()} == {0}
 
 
+def test_toxicity_odd_labels(spark):
+    """Labels other than 0 and 1, ids as text, rows and labels that repeat, and clashing columns."""
+    rows = [(f"t{i}", prose(30, i) + (" you grolk you snarb" if i % 3 == 0 else "")) for i in range(600)]
+    df = spark.createDataFrame(rows + rows[:9] + [(None, "x")], "doc_id string, text string").select("*", F.lit(1).alias("h"), F.lit(True).alias("calibrate"))
+    lab = spark.createDataFrame([(f"t{i}", 2 * (i % 3 == 0)) for i in range(600)] * 2, "doc_id string, toxic int").withColumn("text", F.lit("clash"))
+    got = tox.judge(df, lab).collect()
+    assert len(got) == 610
+    held = [x for x in got if x.held_out]
+    assert sum(x.predicted == (int(x.doc_id[1:]) % 3 == 0) for x in held) / len(held) > 0.95
+
+
+def test_toxicity_trees_against_plain_python():
+    """Sums of the trees node by node, and a calibration that ascends with them."""
+    import numpy as np
+
+    g = np.random.default_rng(2)
+    x = g.normal(size=(600, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.3).astype(int)
+    trees = tox.Trees(x, y, np.arange(600) % 4 == 0)
+
+    def plain(row):
+        bins = [sum(c <= v for c in cuts) for cuts, v in zip(trees.cuts, row)]
+        total = trees.base
+        for feature, cut, value in trees.trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + (bins[feature[node]] > cut[node])
+            total += value[node - len(feature)]
+        return total
+
+    raw = trees._raw(trees._bins(x[:80]))
+    assert raw == pytest.approx([plain(r) for r in x[:80]])
+    order = np.argsort(raw)
+    assert (np.diff(trees.share) > 0).all() and (np.diff(trees.score(x[:80])[order]) >= -1e-12).all()
+    assert ((trees.score(x) >= 0.5) == y).mean() > 0.9
+
+
 # 10 benchmark passages
 
 
@@ -652,4 +728,6 @@ def test_decontamination(spark, docs, empty):
     got = keyed(dec.decontaminate(df, b).collect(), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == plain_decontamination([tuple(r) for r in texts(df)], bench)
     assert dec.decontaminate(empty, b).count() == 0
+    clash = b.select("*", F.lit("x").alias("Item"), F.lit(1).alias("win"), F.lit("y").alias("doc_id"), F.lit("z").alias("h"))
+    assert keyed(dec.decontaminate(df, clash).collect(), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == got
     assert {r.n_hit for r in dec.decontaminate(df, b.limit(0)).collect()} == {0}

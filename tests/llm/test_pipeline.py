@@ -1,12 +1,12 @@
 """Each stage of the pipeline against a plain version, and the whole over the smallest tables."""
 
-import re
-
 import corpus_pipeline as p
 
 from lodestone.llm import pii_crf, toxicity_gbt
 from lodestone.llm.common import table
 
+from .test_operators import weighted_classes
+
 
 def ids(df):
     return sorted(r.doc_id for r in df.collect())
@@ -23,28 +23,17 @@ def test_stages(spark, sf):
     one = p.near_dedup(spark, docs.union(docs.limit(5)), sf)
     assert one.columns == p.COLUMNS
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
-    sets = {}
-    for i, t in rows:
-        w = re.findall(r"[a-z0-9_\u0080-\U0010ffff]+", t.lower())
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))}
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in sets:
-        for j in sets:
-            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert ids(one) == sorted({find(i) for i in root})
+    from lodestone.llm.icws_dedup import inverse_frequency
+
+    place = weighted_classes(rows, inverse_frequency(docs.union(docs.limit(5)).select("text")))
+    assert ids(one) == sorted(set(place.values()))
 
     clean = p.decontamination(spark, docs, sf)
     from lodestone.llm.decontaminate import decontaminate
 
-    assert ids(clean) == ids(decontaminate(docs, table(spark, sf, "benchmark")).where("NOT contaminated"))
+    bench = table(spark, sf, "benchmark")
+    assert ids(clean) == ids(decontaminate(docs, bench).where("n_hit = 0")) and len(ids(clean)) < docs.count()
+    assert decontaminate(clean, bench).where("n_hit > 0").count() == 0  # no window survives
 
     redacted = {r.doc_id: r for r in p.personal_data(spark, docs, sf).collect()}
     assert len(redacted) == len(rows)
