@@ -1,4 +1,5 @@
-"""Cutting files into size-bounded chunks, one file at a time: Markdown sections, Python definitions, else runs of lines.
+"""Cutting files into size-bounded chunks, one file at a time: Markdown sections, definitions of Python and of languages
+with braces, else runs of lines.
 
 A segmenter is a function of (text, path) that yields segments; register() adds one for an extension.
 """
@@ -12,8 +13,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from . import braces
+
 TARGET_CHARS, LEAST_BYTES, MOST_BYTES, OVERLAP = 4500, 300, 6000, 5
-MOST_NAMES, LEAST_LITERAL = 200, 6
+MOST_NAMES, MOST_VARIANTS, LEAST_LITERAL = 200, 8, 6
 SCHEMA = "path string, language string, chunk_type string, name string, start_line int, end_line int, content string, calls array<struct<name:string,receiver:string,arity:int>>, imports array<string>, inherits array<string>, literals array<struct<text:string,line:int>>"
 
 
@@ -109,6 +112,122 @@ def python(text: str, path: str = "") -> Iterator[Segment]:
         yield _with_refs(s, ast.Module([n for n in loose if s.start_line <= n.lineno <= s.end_line], []))
 
 
+def _variants(calls) -> list:
+    """Distinct calls in order: MOST_NAMES names at most, and MOST_VARIANTS of each."""
+    by: dict[str, list] = {}
+    out = []
+    for c in calls:
+        own = by.get(c[0])
+        if own is None and len(by) < MOST_NAMES:
+            own = by[c[0]] = []
+        if own is not None and c not in own and len(own) < MOST_VARIANTS:
+            own.append(c)
+            out.append(c)
+    return out
+
+
+def braced(text: str, path: str) -> Iterator[Segment]:
+    """Types and functions with the comments right above them (members apart where a type is too long), and what is left as <module>."""
+    language = braces.LANGUAGES["." + path.rpartition(".")[2].lower()]
+    tokens = braces.lex(text, language)
+    found = braces.blocks(tokens, language)
+    own = braces.names_at(tokens, found)
+    lines = text.splitlines(keepends=True)
+    between = lambda a, b: "".join(lines[a - 1 : b])
+
+    def refs(s: Segment, bases: list[str]) -> Segment:
+        at = [i for i, t in enumerate(tokens) if s.start_line <= t.line <= s.end_line]
+        if at:
+            calls, s.imports, literals = braces.references(tokens[at[0] : at[-1] + 1], {i - at[0] for i in own if i >= at[0]})
+            s.calls, s.imports, s.literals = _variants(calls), s.imports[:MOST_NAMES], literals[:MOST_NAMES]
+        s.inherits = list(dict.fromkeys(bases))[:MOST_NAMES]
+        return s
+
+    def every_base(b) -> list[str]:
+        return b.bases + [x for c in b.inner for x in every_base(c)]
+
+    def visit(b, a: int) -> Iterator[Segment]:
+        part = between(a, b.end)
+        if len(part.encode()) <= MOST_BYTES:
+            yield refs(Segment(b.kind, b.name, a, b.end, part), every_base(b))
+            return
+        end, bases = a, b.bases
+        for c in b.inner if b.kind == "class" else []:
+            start = max(braces.attached(tokens, c), end)
+            if c.end < start:
+                continue
+            if between(end, start - 1).strip():
+                for s in tile(between(end, start - 1), end, b.kind, b.name):
+                    yield refs(s, bases)
+                    bases = []
+            yield from visit(c, start)
+            end = c.end + 1
+        if end <= b.end and between(end, b.end).strip():
+            for s in tile(between(end, b.end), end, b.kind, b.name):
+                yield refs(s, bases)
+                bases = []
+
+    end = 1
+    for b in [*found, None]:
+        start = max(braces.attached(tokens, b), end) if b else len(lines) + 1
+        if start > end and between(end, start - 1).strip():
+            yield from (refs(s, []) for s in tile(between(end, start - 1), end, "module", "<module>"))
+        if b and b.end >= start:
+            yield from visit(b, start)
+            end = b.end + 1
+        else:
+            end = max(end, start)
+
+
+def symbols(text: str, path: str) -> list[tuple[str, str, int, int]]:
+    """(name, kind, start, end) of every named definition, also inner ones, and of types that are only named; kind is class, function or forward_declaration."""
+    ext = "." + path.rpartition("/")[2].rpartition(".")[2].lower()
+    out: list[tuple[str, str, int, int]] = []
+    if ext == ".py":
+
+        def walk(node, outer: str) -> None:
+            for n in ast.iter_child_nodes(node):
+                if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                    name = f"{outer}.{n.name}" if outer else n.name
+                    out.append((name, "class" if isinstance(n, ast.ClassDef) else "function", min([n.lineno, *(d.lineno for d in n.decorator_list)]), n.end_lineno))
+                    walk(n, name)
+                else:
+                    walk(n, outer)
+
+        walk(ast.parse(text), "")
+    elif ext in braces.LANGUAGES:
+        tokens = braces.lex(text, braces.LANGUAGES[ext])
+        found = braces.blocks(tokens, braces.LANGUAGES[ext])
+
+        def down(blocks) -> None:
+            for b in blocks:
+                out.append((b.name, b.kind, b.start, b.end))
+                down(b.inner)
+
+        down(found)
+        out += [(name, "forward_declaration", line, line) for name, line in braces.forward(tokens, found)]
+    return out
+
+
+def symbol_table(files: DataFrame) -> DataFrame:
+    """path, name, kind, start_line and end_line of the symbols of files (path, content); files that can't be read have none."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    got = symbols(text or "", path or "")
+                except (SyntaxError, ValueError, RecursionError):
+                    got = []
+                if got:
+                    columns = [[path] * len(got), *zip(*got)]
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["path", "name", "kind", "start_line", "end_line"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, kind string, start_line int, end_line int")
+
+
 def _dotted(node) -> str | None:
     if isinstance(node, ast.Name):
         return node.id
@@ -120,20 +239,17 @@ def _dotted(node) -> str | None:
 
 def _with_refs(s: Segment, node) -> Segment:
     """Calls with receiver and arity (none where it isn't fixed), imports, bases and string literals of a node."""
-    seen = set()
+    calls = []
     for n in ast.walk(node):
         line = getattr(n, "lineno", s.start_line)
         if not s.start_line <= line <= s.end_line:
             continue
         if isinstance(n, ast.Call):
             name = _dotted(n.func)
-            if name and len(s.calls) < MOST_NAMES:
+            if name:
                 left, _, last = name.rpartition(".")
                 fixed = not n.keywords and not any(isinstance(a, ast.Starred) for a in n.args)
-                key = (last, left, len(n.args) if fixed else None)
-                if key not in seen:
-                    seen.add(key)
-                    s.calls.append(key)
+                calls.append((last, left, len(n.args) if fixed else None))
         elif isinstance(n, ast.Import):
             s.imports += [a.name for a in n.names]
         elif isinstance(n, ast.ImportFrom):
@@ -142,6 +258,7 @@ def _with_refs(s: Segment, node) -> Segment:
             s.inherits += [b for b in map(_dotted, n.bases) if b]
         elif isinstance(n, ast.Constant) and isinstance(n.value, str) and len(n.value) >= LEAST_LITERAL and any(c.isalpha() for c in n.value) and len(s.literals) < MOST_NAMES:
             s.literals.append((n.value, line))
+    s.calls = _variants(calls)
     s.imports, s.inherits = list(dict.fromkeys(s.imports))[:MOST_NAMES], list(dict.fromkeys(s.inherits))[:MOST_NAMES]
     return s
 
@@ -178,7 +295,7 @@ def ceiling(s: Segment) -> Iterator[Segment]:
         a, line = b, last + (part.endswith("\n"))
 
 
-SEGMENTERS: dict[str, tuple[str, Callable[[str, str], Iterator[Segment]]]] = {".md": ("markdown", markdown), ".markdown": ("markdown", markdown), ".py": ("python", python)}
+SEGMENTERS: dict[str, tuple[str, Callable[[str, str], Iterator[Segment]]]] = {".md": ("markdown", markdown), ".markdown": ("markdown", markdown), ".py": ("python", python), **{ext: (language, braced) for ext, language in braces.LANGUAGES.items()}}
 
 
 def register(extension: str, language: str, segmenter: Callable[[str, str], Iterator[Segment]]) -> None:

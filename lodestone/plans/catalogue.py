@@ -839,3 +839,33 @@ def subsystem_of_path(spark, d):
     named = spark.createDataFrame([("src1", "first"), ("src1/en", "english"), ("src2/de", "german"), ("src", "no segment")], "prefix string, name string")
     doc = R.table(spark, d, "documents")
     return report.subsystems(doc.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path")), named)
+
+
+# segments of code: a small file made of each part
+
+
+def _code(spark, d):
+    k, z = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit('#include "h'), z, F.lit('.h"\n// about '), k, F.lit("\nclass C"), k, F.lit(" : public B"), z, F.lit(" {\n  int run(int a) { return my.call"), z,
+        F.when(F.col("p_partkey") % 2 == 0, "(a, 1)").otherwise("(a)"), F.lit("; }\n};\nvoid go"), k, F.lit('() { say("part number " "'), k, F.lit('"); }\n'),
+    )
+    return R.table(spark, d, "part").select(F.concat(F.lit("p"), k, F.lit(".cpp")).alias("path"), text.alias("content"))
+
+
+@query("code_calls", "SELECT 'p'||p_partkey||'.cpp' AS path, 'call'||p_size AS name, 'my' AS receiver, CASE WHEN p_partkey%2=0 THEN 2 ELSE 1 END::BIGINT AS arity FROM part UNION ALL SELECT 'p'||p_partkey||'.cpp', 'say', '', 1 FROM part")
+def code_calls(spark, d):
+    return whole(segment.segment_files(_code(spark, d)).select("path", F.explode("calls").alias("c")).select("path", "c.*"))
+
+
+@query("code_refs", "SELECT 'p'||p_partkey||'.cpp' AS path, 'imports' AS kind, 'h'||p_size||'.h' AS value FROM part UNION ALL SELECT 'p'||p_partkey||'.cpp', 'inherits', 'B'||p_size FROM part UNION ALL SELECT 'p'||p_partkey||'.cpp', 'literals', 'part number '||p_partkey||' line 6' FROM part")
+def code_refs(spark, d):
+    rows = segment.segment_files(_code(spark, d))
+    literals = F.transform("literals", lambda x: F.concat(x["text"], F.lit(" line "), x["line"].cast("string")))
+    kinds = F.create_map(F.lit("imports"), F.col("imports"), F.lit("inherits"), F.col("inherits"), F.lit("literals"), literals)
+    return rows.select("path", F.explode(kinds).alias("kind", "values")).select("path", "kind", F.explode("values").alias("value"))
+
+
+@query("code_symbols", "SELECT 'p'||p_partkey||'.cpp' AS path, unnest(['C'||p_partkey, 'C'||p_partkey||'::run', 'go'||p_partkey]) AS name, unnest(['class','function','function']) AS kind, unnest([3,4,6])::BIGINT AS start_line, unnest([5,4,6])::BIGINT AS end_line FROM part")
+def code_symbols(spark, d):
+    return whole(segment.symbol_table(_code(spark, d)))

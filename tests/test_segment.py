@@ -61,3 +61,89 @@ def test_globs(spark, path, ok):
 
     df = spark.createDataFrame([(path,)], "path string")
     assert df.select(files.allowed(F.col("path"), ["vendor/keep"], ["node_modules", "vendor", "build?"])).first()[0] == ok
+
+
+CPP = """#include <vector>
+#include "a/b.h"
+
+class Fwd;
+
+// Loads things.
+// In two lines.
+namespace gfx {
+/* A texture. */
+template <typename T>
+class Texture : public Base<T>, private other::Thing {
+public:
+    Texture(int w, int h) : w_(w) { init(w, h); }
+    ~Texture();
+    void load(const char* path) { auto x = open(path, "rb" "mode"); x->read(1, {2, 3}); log("could not load %s" + name); }
+};
+int Texture<int>::size(int a) const { return std::max(a, 3); }
+static const int table[] = {1, 2, 3};
+}  // namespace gfx
+int main() { if (x) { run(); } return 0; }
+"""
+TS = """import { a } from "./mod";
+const b = require('other');
+
+/** Adds. */
+export async function add(x: number, ...rest: number[]): Promise<void> {
+  await foo.bar?.baz(x, ...rest);
+}
+export const sub = (x, y) => {
+  return add(x);
+};
+class A extends B implements C, D {
+  constructor(x) { super(x); this.go(`long template`, 2); }
+  private go(s: string, n = {a: 1}) { if (n) { call(); } }
+}
+const table = { one: 1, two: { three: 3 } };
+"""
+
+
+def test_braces_cpp():
+    parts = {p.name: p for p in s.braced(CPP, "x.cpp")}
+    t = parts["Texture"]
+    assert (t.start_line, t.end_line, t.inherits) == (9, 16, ["Base", "other::Thing"])
+    assert {("init", "", 2), ("open", "", 2), ("read", "x", 2), ("log", "", 1)} <= set(t.calls)
+    assert t.literals == [("rbmode", 15), ("could not load %s", 15)]
+    assert parts["Texture::size"].calls == [("max", "std", 2)] and parts["main"].calls == [("run", "", 0)]
+    first = next(iter(s.braced(CPP, "x.cpp")))
+    assert first.name == "<module>" and first.imports == ["vector", "a/b.h"]
+    assert s.symbols(CPP, "x.cpp") == [("Texture", "class", 10, 16), ("Texture::Texture", "function", 13, 13), ("Texture::load", "function", 15, 15), ("Texture::size", "function", 17, 17), ("main", "function", 20, 20), ("Fwd", "forward_declaration", 4, 4)]
+
+
+def test_braces_scripts_and_csharp():
+    parts = {p.name: p for p in s.braced(TS, "x.ts")}
+    assert (parts["add"].start_line, parts["add"].end_line, parts["add"].calls) == (4, 7, [("baz", "foo.bar", None)])
+    assert parts["A"].inherits == ["B", "C", "D"] and parts["A"].literals == [("long template", 12)]
+    assert ("go", "this", 2) in parts["A"].calls and ("call", "", 0) in parts["A"].calls
+    assert [x[:2] for x in s.symbols(TS, "x.ts")] == [("add", "function"), ("sub", "function"), ("A", "class"), ("A.constructor", "function"), ("A.go", "function")]
+    cs = 'using System.Text;\nnamespace N {\n  public class P : Q, IR<T> where T : new() {\n    public int X { get; set; }\n    public override void Run(string s) { Console.WriteLine(@"a ""b"" c:\\dir", s); }\n  }\n}\n'
+    p = next(x for x in s.braced(cs, "x.cs") if x.name == "P")
+    assert p.inherits == ["Q", "IR"] and ("WriteLine", "Console", 2) in p.calls and p.literals == [('a "b" c:\\dir', 5)]
+    assert s.symbols("class A:\n    def f(self):\n        def g(): pass\n", "x.py") == [("A", "class", 1, 3), ("A.f", "function", 2, 3), ("A.f.g", "function", 3, 3)]
+
+
+def test_braces_cover_the_file_and_refuse_what_is_broken():
+    r = random.Random(7)
+    for n in range(60):
+        code = "".join(r.choice([CPP, TS.replace("`", '"'), "struct S" + str(n) + " { int a; };\n", "// c\n", "\n", "int f() {\n" + "  g(1);\n" * r.randint(0, 900) + "}\n", "enum E { A, B };\n"]) for _ in range(4))
+        parts = list(s.braced(code, "x.cpp"))
+        lines = code.splitlines(keepends=True)
+        covered = set()
+        for p in parts:
+            covered |= set(range(p.start_line, p.end_line + 1))
+        assert all(i + 1 in covered or not x.strip() for i, x in enumerate(lines))
+    assert [p.chunk_type for p in s.segment("int f() { {", "x.c")[1]] == ["text"]
+    assert [p.chunk_type for p in s.segment("} int f();", "x.c")[1]] == ["text"]
+    assert s.segment("", "x.js") == ("javascript", [])
+    big = "class Big {\n" + "".join(f"  void m{i}() {{ call{i}(); }}\n" for i in range(400)) + "};\n"
+    got = s.segment(big, "x.hpp")[1]
+    assert all(len(p.content.encode()) <= s.MOST_BYTES for p in got) and got[0].name == "Big" and any((p.name or "").startswith("Big::m") for p in got)
+
+
+def test_calls_have_eight_variants_of_a_name_at_most():
+    text = "int f() { " + " ".join(f"g({', '.join('x' * (i + 1))});" for i in range(20)) + " }"
+    assert len(next(iter(s.braced(text, "x.c"))).calls) == s.MOST_VARIANTS
