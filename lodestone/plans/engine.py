@@ -57,14 +57,25 @@ class Engine:
             vecs = graph.keep(c.read("vectors").join(chunks.select("id"), "id", "left_semi").join(vecs.select("id"), "id", "left_anti").unionByName(vecs))
         edges = graph.keep(self._edges(chunks))
         ids = chunks.select("id")
-        near = vectors.knn_graph(vecs.where("embedding IS NOT NULL"))
+        now = vecs.where("embedding IS NOT NULL")
+        new, total, meta, ranks = chunks.limit(0).select("id"), ids.count(), c.meta(), None
+        if not first:
+            was = c.read("vectors").where("embedding IS NOT NULL").select("id")
+            new, gone = graph.keep(now.select("id").join(was, "id", "left_anti")), graph.keep(was.join(now.select("id"), "id", "left_anti"))
+            changed = new.count() + gone.count()
+        if first or incremental.full_rebuild(changed, total):
+            near, degree, stale = vectors.knn_graph(now), graph.indegree(edges), 0
+        else:
+            near = vectors.knn_incremental(c.read("neighbours"), now, new, gone)
+            degree = incremental.indegree_refresh(c.read("indegree"), edges, graph.keep(incremental.edge_delta(c.read("edges"), edges).select("to_id").distinct()))
+            stale, due = incremental.stale_after(int(meta.get("stale", 0)), changed, total)
+            ranks = None if due else c.read("pagerank").join(ids, "id", "left_semi")  # new chunks have no score until it is due
         c.write(
-            files=found.select("path", "size", "modified", "content_hash"), chunks=chunks, vectors=vecs, edges=edges, neighbours=near, indegree=graph.indegree(edges), pagerank=graph.pagerank(edges, ids),
-            hierarchy=graph.hierarchy(found.select("path")), folders=report.folder_hash(chunks),
+            files=found.select("path", "size", "modified", "content_hash"), chunks=chunks, vectors=vecs, edges=edges, neighbours=near, indegree=degree, pagerank=graph.pagerank(edges, ids) if ranks is None else ranks,
+            hierarchy=graph.hierarchy(found.select("path")), folders=report.folder_hash(chunks), symbols=segment.symbol_table(found.select("path", "content")),
             literals=chunks.select(F.col("id").alias("chunk_id"), F.explode("literals").alias("l")).select("chunk_id", "l.text", "l.line").withColumn("skeleton", X.skeleton(F.col("text"))),
         )
-        meta = c.meta()
-        c.set_meta(chunker=files_.provenance(None if first else meta.get("chunker"), CHUNKER), embedding_model=self.embedder_name, indexed_root=root, literal_index="1")
+        c.set_meta(chunker=files_.provenance(None if first else meta.get("chunker"), CHUNKER), embedding_model=self.embedder_name, indexed_root=root, literal_index="1", stale=str(stale))
         return counts
 
     def _edges(self, chunks: DataFrame) -> DataFrame:

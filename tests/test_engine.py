@@ -110,3 +110,33 @@ def test_scoped_keyword_search_reads_all_hits(spark):
     got = {(r.id, r.literal_id) for r in message.occurrences(lits, msgs).collect()}
     want = {(m.id, x.literal_id) for m in msgs.collect() for x in lits.collect() if x.text in m.content}
     assert got == want
+
+
+def test_small_changes_are_folded_in(spark, tmp_path):
+    """Where few chunks change, neighbours and in-degrees come from the change, and equal an index made anew; scores wait."""
+    from lodestone.plans import engine as module
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    body = lambda i, extra="": f"def function_{i}(x):\n    # {'filler words ' * 30}{i}\n    return function_{(i + 1) % 24}(x, {i}){extra}\n"
+    for i in range(24):
+        (root / f"m{i}.py").write_text(body(i))
+    e = Engine(spark, str(tmp_path / "tables"))
+    e.index(str(root))
+    ranks = {(r.id, r.score) for r in e.catalog.read("pagerank").collect()}
+    (root / "m3.py").write_text(body(3, " + function_9(x)"))
+    rebuilt, module.vectors.knn_graph = module.vectors.knn_graph, None
+    calls = []
+    try:
+        module.vectors.knn_graph = lambda v, k=10, rows=None, **kw: calls.append(rows is not None) or rebuilt(v, k, rows, **kw)
+        assert e.index(str(root)) == {"update": 1}
+    finally:
+        module.vectors.knn_graph = rebuilt
+    assert calls == [True]  # only rows that lost or changed a neighbour
+    anew = Engine(spark, str(tmp_path / "anew"))
+    anew.index(str(root))
+    for name in ("neighbours", "indegree", "edges"):
+        rows = lambda x, n=name: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in x.catalog.read(n).select(*sorted(x.catalog.read(n).columns)).collect())
+        assert rows(e) == rows(anew), name
+    assert {(r.id, r.score) for r in e.catalog.read("pagerank").collect()} < ranks and int(e.catalog.meta()["stale"]) > 0
+    assert {r.name for r in e.catalog.read("symbols").collect()} == {f"function_{i}" for i in range(24)}
