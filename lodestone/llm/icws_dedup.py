@@ -290,7 +290,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mor
     met = keep(shared.groupBy("h").agg(F.sum("size").alias("met"), F.min("first").alias("first")), "met")
     hubs = shared.select("key", "h").join(met.select("h", "met"), "h").groupBy("key").agg(F.max_by("h", F.struct("met", "h")).alias("hub"))
     tried = keep(shared.select("key", "h").join(hubs, "key").where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "tried")
-    ends = met.select(F.col("h").alias("h2"), F.col("first").alias("d2"))
+    # one plan at every size: a small table would be broadcast, and what is shuffled would not tell what a large one takes
+    ends = met.select(F.col("h").alias("h2"), F.col("first").alias("d2")).hint("merge")
     same: Column = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))
     texts = keep(docs.join(ends, same, "left_semi").select("h", "text").dropDuplicates(["h"]), "candidates")
     judged = keep(_judged(_with_texts(tried, texts), idf, True), "judged")
