@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..functions.scratch import keep
 
 MOST_DEFINERS, SHORTEST = 8, 3
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df written to the folder that the session names for checkpoints, and read back: cuts lineage and survives executors."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-checkpoints"
-    path = f"{root.rstrip('/')}/lodestone-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # names and mentions
 
 
@@ -55,7 +45,21 @@ def pmi(pairs: DataFrame, fraction: float = 0.02) -> DataFrame:
     n = pairs.groupBy("id").agg(F.count("*").alias("n"))
     df = pairs.groupBy("name").agg(F.count("*").alias("df"))
     scored = pairs.join(n, "id").join(df, "name").select("id", "name", F.log2(F.lit(float(total)) / (F.col("n") * F.col("df"))).alias("score"))
-    return scored.orderBy(F.desc("score"), "name", "id").limit(int(fraction * total))
+    return first_rows(scored, [F.desc("score"), F.asc("name"), F.asc("id")], int(fraction * total))
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows, where n grows with the data: rows are dealt by ranges of the order, and only one range is cut."""
+    part = keep(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    before, cut, left = 0, -1, 0
+    for r in sorted(part.groupBy("part").count().collect(), key=lambda r: r.part):  # a row for each range
+        if before + r["count"] > n:
+            cut, left = r.part, n - before
+            break
+        before += r["count"]
+    if cut < 0:
+        return part.drop("part")
+    return part.where(F.col("part") < cut).drop("part").unionByName(part.where(F.col("part") == cut).drop("part").orderBy(*order).limit(left))
 
 
 def xlang(definers: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def find_symbol(symbols: DataFrame, name: str, prefix: bool = False) -> DataFram
         suffix = F.lit(False) if ("::" in name or "." in name) else F.col("name").endswith("::" + name) | F.col("name").endswith("." + name)
         hits = symbols.where(exact | suffix).withColumn("priority", F.when(exact, 0).otherwise(1))
         # where an exact definition exists, the qualified ones are not asked for
-        hits = hits.withColumn("best", F.min("priority").over(Window.partitionBy(F.lit(0)))).where(F.col("priority") == F.col("best")).drop("best") if not prefix else hits
+        hits = hits.join(F.broadcast(hits.agg(F.min("priority").alias("priority"))), "priority", "left_semi")  # one row
     return definitions_first(hits)
 
 
@@ -94,7 +94,7 @@ def qualified_lookup(members: DataFrame, bases: DataFrame, owner: str, name: str
     own = members.where((F.col("owner") == owner) & (F.col("name") == name)).withColumn("depth", F.lit(0))
     above = bases_closure(bases).where(F.col("owner") == owner).select(F.col("base").alias("owner"), "depth").join(members.where(F.col("name") == name), "owner")
     both = own.unionByName(above.select(*own.columns))
-    return both.withColumn("least", F.min("depth").over(Window.partitionBy(F.lit(0)))).where(F.col("depth") == F.col("least")).drop("least")
+    return both.join(F.broadcast(both.agg(F.min("depth").alias("depth"))), "depth", "left_semi")  # one row
 
 
 def stitch(pieces: DataFrame) -> DataFrame:
