@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import forget, keep, shared_dir
+
+__all__ = ["forget", "keep", "lengths", "map_arrow", "pick", "release", "shared_dir", "steps", "table"]
+
 #: Bytes of text that one vectorised step handles at once; a longer document is handled alone, whole.
 STEP_BYTES = 1 << 20
 
@@ -32,58 +34,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(cols))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names, strict=True)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it.
-
-    Where none is named, a local session takes one under the warehouse; a cluster's session is refused.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodestone-checkpoints"
-    return named.rstrip("/")
-
-
-_written: dict[str, SparkSession] = {}
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
-    return out
-
-
-def _delete(path: str) -> None:
-    spark = _written.pop(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def forget(*kept: DataFrame) -> None:
-    """Deletes what keep() wrote, once all that is read from it is itself kept."""
-    for df in kept:
-        if (path := getattr(df, "kept_at", None)) in _written:
-            _delete(path)
-
-
-def drop_kept() -> None:
-    """Deletes what keep() wrote and is still there; runs by itself when the driver ends."""
-    while _written:
-        try:
-            _delete(next(iter(_written)))
-        except Exception:  # noqa: BLE001  the JVM may be gone already; then the folder's owner cleans up
-            return
-
-
-atexit.register(drop_kept)
-
-
 def steps(n_bytes: Iterable[int], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``most`` bytes together, one row at least."""
     start, total, i = 0, 0, -1
