@@ -15,7 +15,8 @@
   x and y are linked only if dx and dy agree in weight by o = (|dx| + |dy| - (Wx + Wy) / 9) / 2. Differences that no other
   text of the hub has can't agree; the others are put in order, those of fewest texts first. By the prefix filter a
   pair that can hold shares a difference that has o or more at and behind it on both sides, which is the condition of
-  the join; what the pair shares, and the least that lies behind the last of it, bounds the agreement and prunes pairs
+  the join. A text's difference goes before the join if no other text that has it, of another component, can need so
+  little. What the pair shares, and the least that lies behind the last of it, bounds the agreement and prunes pairs
   before their texts are verified. The filter is exact: it drops no link between texts that were tried with one hub.
 
 Classes are the connected components; a class's id is the least doc_id in it.
@@ -229,6 +230,25 @@ def _judged(pairs: DataFrame, idf, tokens: bool) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, good boolean" + more)
 
 
+def _needed(u: Column, v: Column) -> Column:
+    """The least agreement of linked texts, from the parts of both; it grows with each."""
+    return (u + v) * (1 - 1e-9) - 1e-6
+
+
+def _met(first: DataFrame, who: str) -> DataFrame:
+    """Rows of _possible that can meet one of another ``who``: what lies at and behind the row suffices with the least u of those.
+
+    It drops no row that the join on a and token would match, and is one pass over the rows of a token, not over their pairs.
+    """
+    token, parts = Window.partitionBy("a", "token"), {"any": F.col("u"), "bad": F.when(~F.col("good"), F.col("u"))}
+    least = {k: F.min(F.when(u.isNotNull(), F.struct(u.alias("u"), F.col(who).alias("who")))).over(token) for k, u in parts.items()}
+    second = {f"{k}2": F.min(F.when(F.col(who) != F.col(f"{k}.who"), u)).over(token) for k, u in parts.items()}
+    other = {k: F.when(F.col(f"{k}.who") == F.col(who), F.col(f"{k}2")).otherwise(F.col(f"{k}.u")) for k in parts}
+    # two texts that are linked to the hub are linked already
+    u = F.when(F.col("good"), other["bad"]).otherwise(other["any"])
+    return first.withColumns(least).withColumns(second).where(F.col("behind") >= _needed(F.col("u"), u)).drop(*least, *second)
+
+
 def _possible(judged: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts with one hub, in different components, that may be linked, by the prefix filter on their differences."""
     rows = judged.select("a", "b", "good", "need", "u", F.explode(F.arrays_zip("token", "weight")).alias("t")).select("a", "b", "good", "need", "u", "t.*")
@@ -236,9 +256,10 @@ def _possible(judged: DataFrame, roots: DataFrame) -> DataFrame:
     rarest = Window.partitionBy("a", "b").orderBy(F.desc("often"), F.desc("token"))
     first = rows.join(often, ["a", "token"]).withColumn("behind", F.sum("weight").over(rarest.rowsBetween(Window.unboundedPreceding, 0)))
     first = first.where(F.col("behind") >= F.col("need") * (1 - 1e-9) - 1e-6).select("a", "token", "b", "good", "u", "weight", "behind")
-    first = keep(first.join(roots.withColumnsRenamed({"h": "b"}), "b", "left").withColumn("root", F.coalesce("root", "b")), "first")
+    first = _met(first, "b").join(roots.withColumnsRenamed({"h": "b"}), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    first = keep(_met(first, "root"), "first")
     p, q = first.where("NOT good").alias("p"), first.alias("q")
-    needed = (F.col("p.u") + F.col("q.u")) * (1 - 1e-9) - 1e-6
+    needed = _needed(F.col("p.u"), F.col("q.u"))
     on = (F.col("p.a") == F.col("q.a")) & (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root")) & (F.col("q.good") | (F.col("p.b") < F.col("q.b")))
     both = p.join(q, on & (F.least("p.behind", "q.behind") >= needed))
     rest = F.least(F.col("p.behind") - F.col("p.weight"), F.col("q.behind") - F.col("q.weight"))

@@ -446,6 +446,38 @@ def test_near_dedup_differences_bound_every_link():
     assert checked > 20
 
 
+def test_near_dedup_candidates_of_a_large_group(spark, monkeypatch):
+    """Rows that no other text can meet are gone before the join on differences, and no link is lost with them."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(7)
+    base = prose(160, 77).split(" ")
+    group = []
+    for _ in range(240):
+        w = list(base)
+        for at in r.sample(range(4, 160, 12), r.choice([2, 4, 7, 7, 7, 7])):
+            w[at] = VOCAB[r.randrange(2)] if r.random() < 0.4 else f"own{r.randrange(10**9)}"
+        group.append(" ".join(w))
+    group = sorted({*group, *(" ".join([*x.split(" ")[:-1], "last"]) for x in group[:5])})
+    idf = spark.sparkContext.broadcast((1 + np.random.default_rng(1).random(1 << icws.BUCKET_BITS)).astype(np.float32))
+    names = [f"{i:03d}".encode() for i in range(len(group))]
+    pairs = spark.createDataFrame([(b"hub", n, " ".join(base), t) for n, t in zip(names, group)], "a binary, b binary, ta string, tb string")
+    judged = icws._judged(pairs, idf, True).cache()
+    roots = icws.components(judged.where("good").select("a", "b"))
+    first = []
+    monkeypatch.setattr(icws, "keep", lambda df, name: first.append(df.cache()) or first[-1])
+    got = {(bytes(x.a), bytes(x.b)) for x in icws._possible(judged, roots).collect()}
+    good = {bytes(x.b) for x in judged.where("good").collect()}
+    links = set()
+    for i, t in enumerate(group):
+        linked = icws.differences(pa.array([t] * len(group), pa.large_string()), pa.array(group, pa.large_string()), idf.value)["good"]
+        links |= {(names[i], names[j]) for j in np.flatnonzero(linked).tolist() if i < j and not {names[i], names[j]} <= good}
+    assert good and links and links <= got
+    often = collections.Counter(x.token for x in first[0].collect())
+    assert sum(n * (n - 1) // 2 for n in often.values()) < 100 * len(group)
+
+
 def test_near_dedup_sampling_follows_weighted_jaccard():
     import numpy as np
     import pyarrow as pa
