@@ -76,6 +76,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle_manifest import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .product_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1_pii that SQL can state."""
     return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -108,7 +126,63 @@ _TEXT = "doc_id, coalesce(text, '') AS t FROM documents"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')".format
+_LEAF = "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "{0}", "text"))) + ")"
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"""
+_PAIRS = "list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))"
+_STEP = "CASE WHEN nodes[xor({0} >> level, 1) + 1] IS NULL THEN '-' ELSE ['R', 'L'][({0} >> level) % 2 + 1] || nodes[xor({0} >> level, 1) + 1] END".format
+
+_MERKLE = f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('+' || lang, '') AS k, {_LEAF.format("n_chars")} AS leaf, {_LEAF.format("(n_chars + 1)")} AS forged, n_chars IS NOT NULL AND {_CRC} % 7 = 0 AS chosen FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+lv(k, level, nodes) AS (SELECT k, 0, list(leaf ORDER BY pos) FROM p GROUP BY k UNION ALL SELECT k, level + 1, {_PAIRS} FROM lv WHERE len(nodes) > 1),
+sub AS (SELECT k, nodes[1] AS subroot, row_number() OVER (ORDER BY k) - 1 AS place FROM lv WHERE len(nodes) = 1),
+up(level, nodes) AS (SELECT 0, list(subroot ORDER BY place) FROM sub UNION ALL SELECT level + 1, {_PAIRS} FROM up WHERE len(nodes) > 1),
+s AS (SELECT k, pos, level, {_STEP("pos")} AS step FROM p JOIN lv USING (k) WHERE len(nodes) > 1
+      UNION ALL SELECT k, pos, level + 1000, {_STEP("place")} FROM p JOIN sub USING (k), up WHERE len(nodes) > 1),
+proof AS (SELECT k, pos, list(step ORDER BY level) AS steps FROM s GROUP BY k, pos),
+f AS (SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM up WHERE len(nodes) = 1) AS root, sha256(coalesce(array_to_string(list_transform(steps, lambda x: x[2:]), ''), '')) AS proof_sha256,
+             list_reduce(list_prepend(CASE WHEN chosen THEN forged ELSE leaf END, coalesce(steps, [])),
+                         lambda d, x: CASE x[1] WHEN '-' THEN sha256(d) WHEN 'R' THEN sha256(d || x[2:]) ELSE sha256(x[2:] || d) END) AS folded_root
+      FROM p JOIN sub USING (k) LEFT JOIN proof USING (k, pos))
+SELECT *, folded_root = root AS verified FROM f"""
+
+_REPEATS = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
+
+def _codes(rounds: int = 6) -> str:
+    """SQL of the vector codes: the rounds one after another."""
+    nearest = """a{0} AS (SELECT rid, p, min({{'d': d, 'e': e}}) AS m FROM (SELECT rid, b.p, e, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d
+    FROM b JOIN c{0} USING (p)) GROUP BY rid, p)""".format
+    move = """g{0} AS (SELECT p, m.e AS e, i, sum(x[i]) AS s, count(*) AS n FROM a{0} JOIN b USING (rid, p), (SELECT unnest(range(1, max(w) + 1)) AS i FROM v) GROUP BY p, m.e, i),
+m{0} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM g{0} GROUP BY p, e),
+c{1} AS (SELECT p, e, coalesce(m.c, o.c) AS c FROM c{0} o LEFT JOIN m{0} m USING (p, e))""".format
+    steps = [s for r in range(rounds) for s in (nearest(r), move(r, r + 1))]
+    return ",\n".join(
+        [
+            """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, len(embedding) // 8 AS w, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            "b AS (SELECT rid, p, x[p * w + 1:(p + 1) * w] AS x FROM v, (SELECT unnest(range(8)) AS p))",
+            "c0 AS (SELECT p, rid - 1 AS e, x AS c FROM b WHERE rid <= 16)",
+            *steps,
+            nearest(rounds),
+            "r AS (SELECT rid, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{0} GROUP BY rid)".format(rounds),
+            "h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{0})".format(rounds),
+        ]
+    ) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN r USING (rid), h"
+
+
 ORACLES = {
+    "op11_merkle_manifest": _MERKLE,
+    "op12_substring_dedup": _REPEATS,
+    "op13_vector_codes": _codes(),
     "op10_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
@@ -165,5 +239,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for what it can state: one query whole, and columns of others by a query beside them that reads the operator's own result."""
+    """SQL for what it can state: four queries whole, and columns of others by a query beside them that reads the operator's own result."""
     return dict(ORACLES)
