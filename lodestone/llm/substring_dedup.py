@@ -209,8 +209,9 @@ def sketch(docs: DataFrame, most_cells: int = MOST_CELLS) -> np.ndarray:
     cells = min(max(LEAST_CELLS, 1 << (int(total) // 8).bit_length()), max(most_cells, BLOCK))
     merged = docs.select("text").mapInArrow(_partial(cells), "block long, one binary, two binary").groupBy("block").applyInArrow(_merge, "block long, bits binary")
     out = np.zeros((DEPTH * cells // BLOCK, BLOCK // 8), np.uint8)
-    for r in merged.toLocalIterator():
-        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    got = merged.toArrow()
+    for at, bits in zip(got.column("block").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[at] = np.frombuffer(bits, np.uint8)
     return out.ravel()
 
 
