@@ -34,8 +34,9 @@ def word(df: DataFrame, name: str) -> DataFrame:
 
 def definitions_first(symbols: DataFrame) -> DataFrame:
     """Without forward declarations of names that have a definition."""
-    defined = F.max((F.col("kind") != "forward_declaration").cast("int")).over(Window.partitionBy("name"))
-    return symbols.withColumn("defined", defined).where((F.col("kind") != "forward_declaration") | (F.col("defined") == 0)).drop("defined")
+    forward = F.coalesce(F.col("kind") == "forward_declaration", F.lit(False))
+    defined = symbols.where(~forward).select("name").distinct()
+    return symbols.where(~forward).unionByName(symbols.where(forward).join(defined, "name", "left_anti").select(*symbols.columns))
 
 
 def line_range(df: DataFrame, path: str, after: int, upto: int) -> DataFrame:

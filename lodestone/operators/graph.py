@@ -9,6 +9,7 @@ from ..functions import scalars as X
 from ..functions.scratch import keep
 
 MOST_DEFINERS, SHORTEST = 8, 3
+BUCKETS_PER_DOUBLING = 4
 
 
 # names and mentions
@@ -23,8 +24,8 @@ def name_index(names: DataFrame) -> DataFrame:
     own = names.distinct()
     bare = names.select(X.bare_name(F.col("name")).alias("name"), "id").where("name IS NOT NULL")
     everyone = own.union(bare).distinct()
-    n = F.count("*").over(Window.partitionBy("name"))
-    return everyone.withColumn("n", n).where(F.col("n") <= MOST_DEFINERS).select("name", "id")
+    few = everyone.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_DEFINERS)
+    return everyone.join(few, "name", "left_semi").select("name", "id")
 
 
 def words(chunks: DataFrame) -> DataFrame:
@@ -38,14 +39,41 @@ def mentions(chunks: DataFrame, index: DataFrame, own: DataFrame) -> DataFrame:
     return found.join(own.select(F.col("id").alias("from_id"), "name"), ["from_id", "name"], "left_anti").select("from_id", "to_id", "name")
 
 
-def pmi(pairs: DataFrame, fraction: float = 0.02) -> DataFrame:
-    """id, name and score of the surest share of (id, name) pairs by pointwise mutual information."""
+def keyed(pairs: DataFrame) -> DataFrame:
+    """id, name, n (names of the id) and df (ids of the name) of distinct (id, name) pairs.
+
+    Pointwise mutual information is log(all pairs / (n * df)): the pairs of the least n * df are the surest, at any total.
+    """
     pairs = pairs.select("id", "name").distinct()
-    total = pairs.count()
     n = pairs.groupBy("id").agg(F.count("*").alias("n"))
     df = pairs.groupBy("name").agg(F.count("*").alias("df"))
-    scored = pairs.join(n, "id").join(df, "name").select("id", "name", F.log2(F.lit(float(total)) / (F.col("n") * F.col("df"))).alias("score"))
-    return first_rows(scored, [F.desc("score"), F.asc("name"), F.asc("id")], int(fraction * total))
+    return pairs.join(n, "id").join(df, "name").select("id", "name", "n", "df")
+
+
+def surest(pairs: DataFrame, fraction: float = 0.02) -> DataFrame:
+    """The surest share of keyed pairs, ties by name, then id.
+
+    Counts by bucket of n * df find the bucket in which the share ends; only that one is put in order.
+    """
+    bucket = F.floor(F.log2(F.col("n") * F.col("df")) * BUCKETS_PER_DOUBLING)
+    rows = pairs.withColumn("bucket", bucket)
+    counts = sorted((r.bucket, r["count"]) for r in rows.groupBy("bucket").count().collect())  # some hundred at most
+    left = int(fraction * sum(c for _, c in counts))
+    for cut, c in counts:
+        if c > left:
+            break
+        left -= c
+    else:
+        return pairs
+    last = first_rows(rows.where(F.col("bucket") == cut), [F.col("n") * F.col("df"), F.asc("name"), F.asc("id")], left)
+    return rows.where(F.col("bucket") < cut).unionByName(last).drop("bucket")
+
+
+def pmi(pairs: DataFrame, fraction: float = 0.02) -> DataFrame:
+    """id, name and score of the surest share of (id, name) pairs by pointwise mutual information."""
+    pairs = keep(keyed(pairs), "pairs")
+    total = pairs.count()
+    return surest(pairs, fraction).select("id", "name", F.log2(F.lit(float(total)) / (F.col("n") * F.col("df"))).alias("score"))
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -62,12 +90,18 @@ def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return part.where(F.col("part") < cut).drop("part").unionByName(part.where(F.col("part") == cut).drop("part").orderBy(*order).limit(left))
 
 
-def xlang(definers: DataFrame) -> DataFrame:
-    """from_id, to_id: definers of one name in different languages, where the name has 8 definers at most."""
-    n = F.count("*").over(Window.partitionBy("name"))
-    d = definers.select("name", "id", "language").distinct().withColumn("n", n).where((F.col("n") <= MOST_DEFINERS) & (F.col("n") > 1))
+def xlang_named(definers: DataFrame) -> DataFrame:
+    """name, from_id, to_id: definers of one name in different languages, where the name has 8 definers at most."""
+    d = definers.select("name", "id", "language").distinct()
+    few = d.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n").between(2, MOST_DEFINERS))
+    d = d.join(few, "name", "left_semi")
     a, b = d.select("name", F.col("id").alias("from_id"), F.col("language").alias("la")), d.select("name", F.col("id").alias("to_id"), F.col("language").alias("lb"))
-    return a.join(b, "name").where("la <> lb AND from_id <> to_id").select("from_id", "to_id").distinct()
+    return a.join(b, "name").where("la <> lb AND from_id <> to_id").select("name", "from_id", "to_id").distinct()
+
+
+def xlang(definers: DataFrame) -> DataFrame:
+    """from_id, to_id of xlang_named."""
+    return xlang_named(definers).select("from_id", "to_id").distinct()
 
 
 def typed_edges(entries: DataFrame, definers: DataFrame, reach: DataFrame) -> DataFrame:
@@ -223,3 +257,51 @@ def path_to(seen: DataFrame, goal: DataFrame) -> list:
         out.append(end.id)
         end = seen.where(F.col("id") == end.parent).first() if end.parent is not None else None
     return out[::-1]
+
+
+def trace_pairs(edges: DataFrame, ends: DataFrame, most: int = 6, fan_out: int | None = 25) -> DataFrame:
+    """pair, hops and path (ids) of a shortest way between the two sides of each pair, against or along edges.
+
+    ends: pair, side (0 or 1) and id; a side may have several ids, and the way leads from any of side 0 to any of side 1.
+    All pairs are searched at once, each from both ends: a level expands the end with the smaller frontier, and a pair ends
+    when its sides meet. Of each node the fan_out edges of the surest type are followed. A pair has at most ``most`` hops or no row.
+    Only edges of frontiers are ranked; both sides keep parents, from which the paths are put together.
+    """
+    both = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "edge_type").unionByName(edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"), "edge_type"))
+    both = both.select("a", "b", X.trace_rank(F.col("edge_type")).alias("rank"))
+    ends = ends.select("pair", "side", "id").where("id IS NOT NULL").distinct()
+    front = keep(ends.select("pair", "side", "id", F.lit(0).alias("depth"), F.lit(None).cast(ends.schema["id"].dataType).alias("parent")), "front")
+    common = front.groupBy("pair", "id").agg(F.count("*").alias("n")).where("n = 2")
+    seen, met = front, keep(common.groupBy("pair").agg(F.min("id").alias("id")).select("pair", F.lit(0).alias("hops"), "id"), "met")
+    front = front.join(met, "pair", "left_anti")
+    for _ in range(most):
+        sizes = front.groupBy("pair", "side").agg(F.count("*").alias("n"))
+        turn = sizes.groupBy("pair").agg(F.min(F.struct("n", "side")).alias("s"), F.count("*").alias("sides")).where("sides = 2").select("pair", F.col("s.side").alias("side"))
+        turn = keep(turn, "turn")
+        if turn.isEmpty():
+            break
+        steps = front.join(turn, ["pair", "side"]).select("pair", "side", F.col("id").alias("a"), "depth").join(both, "a")
+        steps = steps.groupBy("pair", "side", "a", "b", "depth").agg(F.min("rank").alias("rank"))
+        if fan_out is not None:
+            place = F.row_number().over(Window.partitionBy("pair", "side", "a").orderBy("rank", "b"))
+            steps = steps.withColumn("place", place).where(F.col("place") <= fan_out)
+        found = steps.groupBy("pair", "side", F.col("b").alias("id")).agg((F.min("depth") + 1).alias("depth"), F.min("a").alias("parent"))
+        found = keep(found.join(seen.select("pair", "side", "id"), ["pair", "side", "id"], "left_anti"), "front")
+        other = seen.select("pair", (F.lit(1) - F.col("side")).alias("side"), "id", F.col("depth").alias("beyond"))
+        now = found.join(other, ["pair", "side", "id"]).groupBy("pair").agg(F.min(F.struct((F.col("depth") + F.col("beyond")).alias("hops"), "id")).alias("m"))
+        now = keep(now.select("pair", "m.hops", "m.id"), "met")
+        seen, met = seen.unionByName(found), met.unionByName(now)
+        waiting = front.join(turn.select("pair", (F.lit(1) - F.col("side")).alias("side")), ["pair", "side"])
+        front = keep(waiting.unionByName(found).join(now, "pair", "left_anti"), "front")
+    path = met.select("pair", "hops", F.array("id").alias("path"), F.col("id").alias("head"), F.col("id").alias("tail"))
+    parents = seen.where("parent IS NOT NULL").select("pair", "side", "id", "parent")
+    for _ in range(most):
+        up = parents.where("side = 0").select("pair", F.col("id").alias("head"), F.col("parent").alias("before"))
+        down = parents.where("side = 1").select("pair", F.col("id").alias("tail"), F.col("parent").alias("after"))
+        path = path.join(up, ["pair", "head"], "left").join(down, ["pair", "tail"], "left")
+        grown = F.concat(F.when(F.col("before").isNotNull(), F.array("before")).otherwise(F.array().cast(path.schema["path"].dataType)), "path", F.when(F.col("after").isNotNull(), F.array("after")).otherwise(F.array().cast(path.schema["path"].dataType)))
+        # an end whose parent is not known is the start or the goal: a null finds nothing from then on
+        path = keep(path.select("pair", "hops", grown.alias("path"), F.col("before").alias("head"), F.col("after").alias("tail")), "paths")
+        if path.where("head IS NOT NULL OR tail IS NOT NULL").isEmpty():
+            break
+    return path.select("pair", "hops", "path")

@@ -115,8 +115,9 @@ def parse(text: str) -> Query:
     return got
 
 
-def _leaves(q: Query) -> list[Query]:
-    return [q] if q.op in ("term", "phrase", "prefix", "near") else [x for p in (q.parts[:1] if q.op == "not" else q.parts) for x in _leaves(p)]
+def leaves_of(q: Query, negated: bool = False) -> list[Query]:
+    """The leaves of a query; with or without those after a NOT."""
+    return [q] if q.op in ("term", "phrase", "prefix", "near") else [x for p in (q.parts[:1] if q.op == "not" and not negated else q.parts) for x in leaves_of(p, negated)]
 
 
 def _leaf_count(bag: Column, q: Query) -> Column:
@@ -125,7 +126,7 @@ def _leaf_count(bag: Column, q: Query) -> Column:
     if q.op == "near":
         near = F.lit(1)
         for w in q.parts[1:]:
-            close = F.exists(F.transform(bag, lambda x, i: F.when(x == q.parts[0], F.exists(F.slice(bag, F.greatest(i + 1 - q.distance, F.lit(1)), 2 * q.distance + 1), _is(w))).otherwise(False)), lambda x: x)
+            close = F.exists(F.transform(bag, lambda x, i: F.when(x == q.parts[0], F.exists(F.slice(bag, F.greatest(i + 1 - q.distance, F.lit(1)), F.least(i, F.lit(q.distance)) + (q.distance + 1)), _is(w))).otherwise(False)), lambda x: x)
             near = near * close.cast("int")
         return near * F.size(F.filter(bag, _is(q.parts[0])))
     return _phrase_count(bag, q.parts)
@@ -201,7 +202,7 @@ def bm25(df: DataFrame, terms: list[str], every: bool = True, weights: dict[str,
 def search(df: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, top_k: int | None = 20) -> DataFrame:
     """id and score for a query in the boolean language; leaves count as terms of BM25."""
     q = parse(query)
-    return _ranked(df, _leaves(q), lambda bags: _holds(q, bags), weights, False, top_k)
+    return _ranked(df, leaves_of(q), lambda bags: _holds(q, bags), weights, False, top_k)
 
 
 def fts(df: DataFrame, query: str, **kw) -> tuple[DataFrame, list[str]]:

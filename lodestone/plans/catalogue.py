@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import classmodel, evalkit, filters, fusion, graph, incremental, message, navigation, report, segment, text, vectors
+from ..operators import classmodel, evalkit, filters, fusion, graph, incremental, message, navigation, postings, report, segment, text, vectors
 from ..sources import relations as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,18 @@ def whole(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(kinds[k]).alias(c) if k in kinds else F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
+_INDEXES: dict[tuple, postings.Index] = {}
+
+
+def chunk_index(spark: SparkSession, d: str) -> postings.Index:
+    """The stored index of the chunks' names and contents: built once for a session and the files of the table, then read by every search."""
+    chunks = R.chunks(spark, d)
+    key = (spark.sparkContext.applicationId, *sorted(chunks.inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.build(chunks)
+    return _INDEXES[key]
+
+
 def bm25_sql(terms: list[str], every: bool, weights: dict[str, float], limit: int | None = 20, prefix: str = "") -> str:
     """CTEs that end in {prefix}hits(id, score)."""
     p, held = prefix, (" AND " if every else " OR ").join(f"t{i}>0" for i in range(len(terms)))
@@ -180,7 +192,7 @@ def extension_histogram(spark, d):
 def _bm25(name: str, terms, every, weights, limit=20):
     @query(name, f"WITH {CHUNKS}, {bm25_sql(terms, every, weights, limit)} SELECT id, round(score,6) AS score FROM hits")
     def run(spark, d):
-        return whole(text.bm25(R.chunks(spark, d), terms, every, weights, limit))
+        return whole(postings.bm25(chunk_index(spark, d), terms, every, weights, limit))
 
 
 _bm25("fts_and_bm25", TERMS[:2], True, {"content": 1.0})
@@ -195,7 +207,7 @@ _bm25("fts_weighted_bm25", ["the", "is"], True, {"name": 5.0, "content": 1.0}, N
  SELECT id, round(-greatest(ln((r-d+0.5)/(d+0.5)),1e-6)*t*2.2/(t+1.2*(0.25+0.75*n/m)),6) AS score FROM counted, s WHERE t>0""",
 )
 def fts_phrase(spark, d):
-    return whole(text.search(R.chunks(spark, d), '"of the"', {"content": 1.0}, None))
+    return whole(postings.search(chunk_index(spark, d), '"of the"', {"content": 1.0}, None))
 
 
 @query(
@@ -207,12 +219,12 @@ def fts_phrase(spark, d):
  FROM counted, s WHERE (t0>0 OR t1>0) AND NOT t2>0""",
 )
 def fts_boolean(spark, d):
-    return whole(text.search(R.chunks(spark, d), "(license OR apach*) NOT version", {"content": 1.0}, None))
+    return whole(postings.search(chunk_index(spark, d), "(license OR apach*) NOT version", {"content": 1.0}, None))
 
 
 @query("fts_or_any", f"WITH {CHUNKS}, {bm25_sql(['idiot', 'zzzz'], False, {'content': 1.0}, 20)} SELECT id, round(score,6) AS score FROM hits")
 def fts_or_any(spark, d):
-    return whole(text.fts_or_any(R.chunks(spark, d), "idiot zzzz", weights={"content": 1.0}, top_k=20)[0])
+    return whole(postings.fts_or_any(chunk_index(spark, d), "idiot zzzz", weights={"content": 1.0}, top_k=20)[0])
 
 
 @query(
@@ -221,13 +233,40 @@ def fts_or_any(spark, d):
  u AS (SELECT id, score, 0 AS branch FROM a_hits UNION ALL SELECT id, score, 1 FROM o_hits WHERE id NOT IN (SELECT id FROM a_hits)) SELECT id, round(score,6) AS score, branch::BIGINT AS branch FROM u ORDER BY branch, score, id LIMIT 30""",
 )
 def keyword_fill(spark, d):
-    return whole(text.keyword_fill(R.chunks(spark, d), ["idiot", "scum"], 30).select("id", "score", "branch"))
+    return whole(postings.keyword_fill(chunk_index(spark, d), ["idiot", "scum"], 30).select("id", "score", "branch"))
 
 
 @query("postings_stats", rf"""WITH {CHUNKS}, w AS (SELECT id, unnest(regexp_extract_all(lower(content),'[\p{{L}}\p{{N}}]+')) AS term FROM chunks) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM w GROUP BY term""")
 def postings_stats(spark, d):
-    p = text.postings(R.chunks(spark, d), ("content",))
-    return whole(p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf")))
+    p = chunk_index(spark, d).postings.where("df_content > 0")
+    cf = F.aggregate("docs", F.lit(0).cast("long"), lambda n, x: n + x["tf_content"])
+    return whole(p.groupBy("term").agg(F.sum("df_content").alias("df"), F.sum(cf).alias("cf")))
+
+
+NAMED = r"""named AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:3], ' ') AS name FROM benchmark)"""
+
+
+@query(
+    "phrase_referencers",
+    rf"""WITH {CHUNKS}, {NAMED}, b AS (SELECT id, ' '||array_to_string(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+'), ' ')||' ' AS t FROM chunks)
+ SELECT name, id FROM named JOIN b ON contains(t, ' '||name||' ') WHERE name <> ''""",
+)
+def phrase_referencers(spark, d):
+    """All chunks that hold a name's words in a row, for all names at once: the first three words of each benchmark item."""
+    names = R.table(spark, d, "benchmark").select(F.array_join(F.slice(text.tokens(F.col("text")), 1, 3), " ").alias("name"))
+    return postings.phrases(chunk_index(spark, d), names)
+
+
+_CHANGED = f"""{CHUNKS.replace("chunks AS", "before AS", 1)}, chunks AS (SELECT id, name, CASE id % 7 WHEN 1 THEN 'Zebra '||content||' token' ELSE content END AS content FROM before WHERE id % 7 <> 0)"""
+
+
+@query("postings_update", f"WITH {_CHANGED}, {bm25_sql(['zebra', 'token', 'the'], False, {'name': 5.0, 'content': 1.0}, None)} SELECT id, round(score,6) AS score FROM hits")
+def postings_update(spark, d):
+    """A search after a seventh of the chunks has gone and a seventh has changed: only what they touch is indexed anew."""
+    chunks = R.chunks(spark, d)
+    fresh = chunks.where("id % 7 = 1").withColumn("content", F.concat(F.lit("Zebra "), "content", F.lit(" token")))
+    index = postings.update(chunk_index(spark, d), chunks.where("id % 7 = 0"), fresh)
+    return whole(postings.bm25(index, ["zebra", "token", "the"], False, top_k=None))
 
 
 # vectors
@@ -328,7 +367,7 @@ HYBRID = f"""{SCORES}, s AS (SELECT id, row_number() OVER (ORDER BY score DESC,
 
 def _branches(spark, d):
     sem = fusion.ranked(vectors.knn(R.vectors(spark, d), _seed(spark, d), 40), F.desc("score"), "id")
-    key = fusion.ranked(text.bm25(R.chunks(spark, d), ["the", "with"], True, {"content": 1.0}, 40), "score", "id")
+    key = fusion.ranked(postings.bm25(chunk_index(spark, d), ["the", "with"], True, {"content": 1.0}, 40), "score", "id")
     return sem, key
 
 
@@ -792,9 +831,13 @@ def equal_graphs(spark, d):
     return evalkit.equal_graphs(vectors.knn_graph(v), vectors.knn_graph(v, block_rows=100)).select("id", "neighbor_id")
 
 
-@query("postings_join", rf"""WITH {CHUNKS}, w AS (SELECT id, unnest(regexp_extract_all(lower(name),'[\p{{L}}\p{{N}}]+')) AS term FROM chunks) SELECT term, id, count(*) AS tf FROM w GROUP BY ALL""")
+@query(
+    "postings_join",
+    rf"""WITH {CHUNKS}, w AS (SELECT id, unnest(regexp_extract_all(lower(name),'[\p{{L}}\p{{N}}]+')) AS term, 1 AS a, 0 AS b FROM chunks UNION ALL SELECT id, unnest(regexp_extract_all(lower(content),'[\p{{L}}\p{{N}}]+')), 0, 1 FROM chunks)
+ SELECT term, id, sum(a)::BIGINT AS tf_name, sum(b)::BIGINT AS tf_content FROM w GROUP BY ALL""",
+)
 def postings_join(spark, d):
-    return whole(text.postings(R.chunks(spark, d), ("name",)).select("term", "id", F.size("positions").alias("tf")))
+    return whole(chunk_index(spark, d).postings.select("term", F.explode("docs").alias("x")).select("term", "x.id", "x.tf_name", "x.tf_content"))
 
 
 # entries, class model and subsystems

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions.embed import Embedder, embedded, hashing_embedder, reranked
-from ..operators import filters, fusion, graph, incremental, message, navigation, report, segment, text, vectors
+from ..operators import classmodel, edgeset, filters, fusion, graph, incremental, message, navigation, postings, report, segment, text, usages, vectors
 from ..operators import research as research_
 from ..sources import files as files_
 from .requests import Search
@@ -55,7 +55,7 @@ class Engine:
         else:
             chunks = graph.keep(c.read("chunks").join(delta.select("path"), "path", "left_anti").unionByName(fresh))
             vecs = graph.keep(c.read("vectors").join(chunks.select("id"), "id", "left_semi").join(vecs.select("id"), "id", "left_anti").unionByName(vecs))
-        edges = graph.keep(self._edges(chunks))
+        members = graph.keep(self._members(found, chunks))
         ids = chunks.select("id")
         now = vecs.where("embedding IS NOT NULL")
         new, total, meta, ranks = chunks.limit(0).select("id"), ids.count(), c.meta(), None
@@ -63,9 +63,16 @@ class Engine:
             was = c.read("vectors").where("embedding IS NOT NULL").select("id")
             new, gone = graph.keep(now.select("id").join(was, "id", "left_anti")), graph.keep(was.join(now.select("id"), "id", "left_anti"))
             changed = new.count() + gone.count()
-        if first or incremental.full_rebuild(changed, total):
+        if first or incremental.full_rebuild(changed, total) or not all(c.has(t) for t in ("postings", "members", *edgeset.PARTS)):
+            parts, how, index = edgeset.build(chunks, members), "built", postings.build(chunks)
+            edges = graph.keep(edgeset.edges(parts))
             near, degree, stale = vectors.knn_graph(now), graph.indegree(edges), 0
         else:
+            before = c.read("chunks")
+            parts, edges, by_change = edgeset.refresh({t: c.read(t) for t in edgeset.PARTS}, c.read("edges"), before, chunks, (c.read("members"), members))
+            how = "refreshed" if by_change else "built"
+            gone_chunks = before.join(ids, "id", "left_anti").select("id")
+            index = postings.update(self._index(), gone_chunks, chunks.join(before.select("id"), "id", "left_anti"))
             near = vectors.knn_incremental(c.read("neighbours"), now, new, gone)
             degree = incremental.indegree_refresh(c.read("indegree"), edges, graph.keep(incremental.edge_delta(c.read("edges"), edges).select("to_id").distinct()))
             stale, due = incremental.stale_after(int(meta.get("stale", 0)), changed, total)
@@ -74,22 +81,20 @@ class Engine:
             files=found.select("path", "size", "modified", "content_hash"), chunks=chunks, vectors=vecs, edges=edges, neighbours=near, indegree=degree, pagerank=graph.pagerank(edges, ids) if ranks is None else ranks,
             hierarchy=graph.hierarchy(found.select("path")), folders=report.folder_hash(chunks), symbols=segment.symbol_table(found.select("path", "content")),
             literals=chunks.select(F.col("id").alias("chunk_id"), F.explode("literals").alias("l")).select("chunk_id", "l.text", "l.line").withColumn("skeleton", X.skeleton(F.col("text"))),
+            members=members, **parts, **index.tables(),
+            meta=c.meta_table(chunker=files_.provenance(None if first else meta.get("chunker"), CHUNKER), embedding_model=self.embedder_name, indexed_root=root, literal_index="1", stale=str(stale), edges=how),
         )
-        c.set_meta(chunker=files_.provenance(None if first else meta.get("chunker"), CHUNKER), embedding_model=self.embedder_name, indexed_root=root, literal_index="1", stale=str(stale))
         return counts
 
-    def _edges(self, chunks: DataFrame) -> DataFrame:
-        named = chunks.where("name IS NOT NULL AND name <> '<module>'")
-        definers = named.select(F.coalesce(X.bare_name(F.col("name")), F.col("name")).alias("name"), "id", F.coalesce("language", F.lit("text")).alias("language")).distinct()
-        bucket = lambda col, kind: chunks.select("id", F.coalesce("language", F.lit("text")).alias("language"), F.lit(kind).alias("edge_type"), F.explode(col).alias("name"))
-        entries = bucket(F.col("calls.name"), "calls").unionByName(bucket(F.col("imports"), "imports").withColumn("name", F.substring_index("name", ".", -1))).unionByName(bucket(F.col("inherits"), "inherits").withColumn("name", F.substring_index("name", ".", -1)))
-        languages = definers.select("language").distinct()
-        typed = graph.typed_edges(entries, definers, languages.select("language", F.col("language").alias("target")))
-        own = definers.select("id", "name")
-        ment = graph.mentions(chunks, graph.name_index(named.select("name", "id")), own)
-        related = graph.associated(ment, graph.pmi(ment.select(F.col("from_id").alias("id"), "name")))
-        paired = graph.xlang(definers).withColumn("edge_type", F.lit("xlang"))
-        return graph.merge(typed.unionByName(related).unionByName(paired))
+    @staticmethod
+    def _members(files: DataFrame, chunks: DataFrame) -> DataFrame:
+        """Members of classes with the chunk that holds their line."""
+        at = chunks.where("name IS NOT NULL").select(F.col("path").alias("in_path"), F.col("id").alias("chunk_id"), "start_line", "end_line")
+        m = classmodel.members(files.select("path", "content"))
+        return m.join(at, (F.col("path") == F.col("in_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).select("chunk_id", *m.columns)
+
+    def _index(self) -> postings.Index:
+        return postings.Index(*(self._t(t) for t in ("postings", "terms", "lengths", "stats")))
 
     # reading
 
@@ -113,7 +118,7 @@ class Engine:
         if narrow:
             vecs = vecs.join(chunks.select("id"), "id", "left_semi")
         if request.mode == "fts":
-            hits, more = text.fts(self._t("chunks"), request.query, top_k=None if narrow else k * times)
+            hits, more = postings.fts(self._index(), request.query, top_k=None if narrow else k * times)
             hits = inside(hits).orderBy("score", "id").limit(k * times).withColumn("score", -F.col("score"))
             notes += more
         else:
@@ -123,10 +128,11 @@ class Engine:
             else:
                 words = text.query_tokens(request.query)
                 sem = fusion.ranked(vectors.knn(vecs, query, 2 * k), F.desc("score"), "id")
-                every = inside(text.bm25(self._t("chunks"), words, True, top_k=None)).orderBy("score", "id").limit(2 * k)
+                index = self._index()
+                every = inside(postings.bm25(index, words, True, top_k=None)).orderBy("score", "id").limit(2 * k)
                 any_ = None
                 if every.count() < k:
-                    any_ = fusion.ranked(inside(text.bm25(self._t("chunks"), words, False, top_k=None)).orderBy("score", "id").limit(fusion.OR_RANKS), "score", "id")
+                    any_ = fusion.ranked(inside(postings.bm25(index, words, False, top_k=None)).orderBy("score", "id").limit(fusion.OR_RANKS), "score", "id")
                     notes.append("few rows have all words; rows with any of them count where vectors find them too")
                 hits = fusion.rrf(sem, fusion.ranked(every, "score", "id"), any_, k * times)
         if request.min_score is not None:
@@ -164,12 +170,16 @@ class Engine:
         return navigation.find_symbol(self._symbols(), name).select(F.col("chunk_id").alias("id")).distinct()
 
     def find_usages(self, name: str, limit: int = 50) -> Answer:
-        hits = graph.keep(navigation.usages(self._t("edges"), self._targets(name)))
+        """Callers whose recorded references explain their edge into the name's definitions, the surest first."""
+        targets = self._targets(name).select(F.lit(name).alias("query"), F.col("id").alias("to_id"))
+        chunks = self._t("chunks")
+        hits = usages.explained(self._t("edges"), targets, self._t("references"), self._t("members"), chunks.select("id", "name", "content"))
+        hits = graph.keep(usages.collapsed(hits).drop("query"))
         notes = [f"{r.omitted} more by {r.edge_type}" for r in navigation.omitted(hits, limit).where("omitted > 0").collect()]
         if not hits.limit(1).count():
-            scan = filters.word(self._t("chunks"), name).join(self._targets(name), "id", "left_anti").select(F.col("id").alias("from_id"), F.lit("content").alias("edge_type"), F.lit(9).alias("rank"))
+            scan = filters.word(chunks, name).join(self._targets(name), "id", "left_anti").select(F.col("id").alias("from_id"), F.lit("content").alias("edge_type"), F.lit(9).alias("rank"))
             return Answer(scan.orderBy("from_id").limit(limit), ["no edges; found by the word in the content"])
-        return Answer(hits.join(self._t("chunks").select(F.col("id").alias("from_id"), "path", "start_line"), "from_id").orderBy("rank", "path", "start_line", "from_id").limit(limit), notes)
+        return Answer(hits.join(chunks.select(F.col("id").alias("from_id"), "path", "start_line"), "from_id").orderBy("rank", ~F.col("verified"), "path", "start_line", "from_id").limit(limit), notes)
 
     def find_outgoing(self, name: str) -> Answer:
         return Answer(navigation.outgoing(self._t("edges"), self._targets(name)).join(self._t("chunks").select(F.col("id").alias("to_id"), "path", "name"), "to_id"))
@@ -188,13 +198,14 @@ class Engine:
         a, b = self._targets(start), self._targets(goal)
         if a.join(b, "id").limit(1).count():
             return [a.join(b, "id").orderBy("id").first().id], ["both names are of one chunk"]
-        edges = self._t("edges")
-        path = graph.path_to(graph.trace(edges, a, b, most), b)
-        if not path:
+        ends = a.select(F.lit(0).alias("pair"), F.lit(0).alias("side"), "id").unionByName(b.select(F.lit(0).alias("pair"), F.lit(1).alias("side"), "id"))
+        edges = self._t("edges").select("from_id", "to_id", "edge_type")
+        found = graph.trace_pairs(edges, ends, most).first()
+        if found is None:
             near = self._t("neighbours").select(F.col("id").alias("from_id"), F.col("neighbor_id").alias("to_id"), F.lit("semantic").alias("edge_type"))
-            path = graph.path_to(graph.trace(edges.select(*near.columns).unionByName(near), a, b, most), b)
-            return path, ["by likeness too"] if path else ["no path"]
-        return path, []
+            found = graph.trace_pairs(edges.unionByName(near), ends, most).first()
+            return (list(found.path), ["by likeness too"]) if found else ([], ["no path"])
+        return list(found.path), []
 
     def investigate(self, name: str) -> dict[str, Answer]:
         pieces = self._t("chunks").join(self._targets(name), "id", "left_semi").select("path", "name", "start_line", "end_line", "content")

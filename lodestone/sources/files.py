@@ -88,9 +88,11 @@ class Catalog:
         return sorted(int(m[1]) for m in (re.fullmatch(r"current-(\d+)\.json", n) for n in names) if m)
 
     def versions(self) -> dict[str, str]:
-        if not (at := self._pointers()):
-            return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/current-{at[-1]}.json").collect()))
+        at = self._pointers()
+        return self._pointer(at[-1]) if at else {}
+
+    def _pointer(self, number: int) -> dict[str, str]:
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/current-{number}.json").collect()))
 
     def has(self, name: str) -> bool:
         return name in self.versions()
@@ -103,7 +105,7 @@ class Catalog:
         now = self.versions()
         for name, df in tables.items():
             now[name] = f"{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.folder}/{now[name]}")
+            df.write.partitionBy(*[x for x in ("bucket",) if x in df.columns]).parquet(f"{self.folder}/{now[name]}")
         fs, path = self._fs()
         fresh = path(f"{self.folder}/next-{uuid.uuid4().hex}")
         out = fs.create(fresh, True)
@@ -119,9 +121,26 @@ class Catalog:
     def meta(self) -> dict[str, str]:
         return {r.key: r.value for r in self.read("meta").collect()} if self.has("meta") else {}
 
+    def meta_table(self, **values: str) -> DataFrame:
+        """What is noted, with some values anew: to be written with the tables that they are about."""
+        return self.spark.createDataFrame(sorted((self.meta() | values).items()), "key string, value string")
+
     def set_meta(self, **values: str) -> None:
-        both = self.meta() | values
-        self.write(meta=self.spark.createDataFrame(sorted(both.items()), "key string, value string"))
+        self.write(meta=self.meta_table(**values))
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Deletes table versions that none of the last ``keep`` pointers names, and returns them. Readers of older ones lose them."""
+        fs, path = self._fs()
+        held = {v for at in self._pointers()[-keep:] for v in self._pointer(at).values()}
+        gone = []
+        for table in fs.listStatus(path(self.folder)) if fs.exists(path(self.folder)) else []:
+            if table.isDirectory():
+                for version in fs.listStatus(table.getPath()):
+                    name = f"{table.getPath().getName()}/{version.getPath().getName()}"
+                    if version.isDirectory() and name not in held:
+                        fs.delete(version.getPath(), True)
+                        gone.append(name)
+        return sorted(gone)
 
 
 def provenance(old: str | None, new: str) -> str:

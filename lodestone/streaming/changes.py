@@ -40,7 +40,7 @@ class Index:
         fresh = graph.keep(chunked(files.select("path", "content")))
         if not c.has("files"):
             chunks = fresh
-            c.write(files=files.select("path", "content_hash"), chunks=chunks, mentions=self._mentions(chunks))
+            c.write(files=files.select("path", "content_hash"), chunks=chunks, mentions=self._mentions(chunks), meta=c.meta_table(batch=str(batch_id)))
         else:
             chunks = graph.keep(old_chunks.join(paths, "path", "left_anti").unionByName(fresh))
             gone = old_chunks.join(paths, "path", "left_semi").select("id")
@@ -49,8 +49,7 @@ class Index:
             kept = old_mentions.join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id", "name")
             mentions = incremental.mentions_refresh(kept, graph.words(chunks), index(old_chunks), index(chunks), changed).distinct()
             now = old_files.join(paths, "path", "left_anti").unionByName(files.select("path", "content_hash"))
-            c.write(files=now, chunks=chunks, mentions=mentions)
-        c.set_meta(batch=str(batch_id))
+            c.write(files=now, chunks=chunks, mentions=mentions, meta=c.meta_table(batch=str(batch_id)))
 
     @staticmethod
     def _mentions(chunks: DataFrame) -> DataFrame:
