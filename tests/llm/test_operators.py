@@ -101,7 +101,7 @@ def test_pii_repetition_shares_a_label():
     assert len(g.skip) == 1
     clean = pii.find([prose(200, 77)], params)[0]
     assert clean == ([], [])
-    base, added = pii.find([f"a +493012345678 b {far} c 493012345678 d"], ([pii.np.zeros((pii.WIDTH, 5)), pii.np.zeros((5, 5)), 6 * pii.np.eye(5)]))[0]
+    base, added = pii.find([f"a +493012345678 b {far} c 493012345678 d"], ([pii.np.zeros((pii.WIDTH, 5)), pii.np.zeros((5, 5)), pii.np.zeros((5, 5)), 6 * pii.np.eye(5)]))[0]
     assert len(base) == 1 and [k for k, *_ in added] == [3]
 
 
@@ -121,6 +121,67 @@ def test_pii_far_repetitions_share_a_label():
     assert [text[a:b] for _, a, b in added] == ["49123456789"] * 50
     clean = text.replace("+49123456789", "nobody")
     assert pii.find([clean], params)[0] == ([], [])
+    # without potentials nothing is carried, whatever repeats
+    nothing = [pii.np.zeros_like(p) for p in params]
+    assert pii.find([text], nothing)[0] == (base, [])
+    assert pii.find([text], [params[0], *nothing[1:]])[0] == (base, [])
+
+
+def enumerated(g, params):
+    """Exact marginals of the nodes by all labellings of those that are not observed."""
+    import itertools
+
+    np = pii.np
+    own, free = g.unary(params[0]), np.flatnonzero(~g.seen)
+    labels, total = g.given.copy(), np.zeros((len(g.spans), pii.LABELS))
+    for some in itertools.product(range(pii.LABELS), repeat=len(free)):
+        labels[free] = some
+        score = own[np.arange(len(labels)), labels][free].sum()
+        for edges, pot in ((g.chain, params[1]), (g.skip, params[2]), (g.star, params[3])):
+            score += sum(pot[labels[a], labels[b]] for a, b in edges)
+        total[np.arange(len(labels)), labels] += np.exp(score)
+    return total / total.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pii_marginals_against_enumeration(seed):
+    """Exact where the graph has no loop, and close where it has; some nodes are observed."""
+    np, r = pii.np, np_random(seed)
+    params = [r.normal(size=(pii.WIDTH, 5)) * 0.3, *(pii._contracting(r.normal(size=(5, 5))) for _ in range(2)), 3 * r.normal(size=(5, 5))]
+    params[2] = (params[2] + params[2].T) / 2
+    trees = ["a 12 34 b 56 c 77", "1234567 x 1234567 y 1234567 z", "call +493012345678 or 493012345678 12", "a@b.org 5 6 and 7"]
+    for text in trees:
+        g = pii.Graph([text])
+        assert np.allclose(g.marginals(*params), enumerated(g, params), atol=1e-4), text
+    loop = pii.Graph(["12 34 12 34 x 12 34"])
+    assert len(loop.skip) == 4 and len(loop.chain) == 4
+    assert np.abs(loop.marginals(*params) - enumerated(loop, params)).max() < 0.06
+
+
+def np_random(seed):
+    return pii.np.random.default_rng(seed)
+
+
+def test_pii_potentials_contract():
+    np, r = pii.np, np_random(1)
+    for _ in range(20):
+        p = pii._contracting(10 * r.normal(size=(5, 5)))
+        odds = max(p[a, c] - p[b, c] - p[a, d] + p[b, d] for a in range(5) for b in range(5) for c in range(5) for d in range(5))
+        assert (pii.NEIGHBOURS - 1) * np.tanh(odds / 4) <= pii.CONTRACTION + 1e-9
+
+
+def test_pii_long_documents_settle():
+    """100,000 tokens that repeat and stand in rows, in seconds, beside short documents that settle sooner."""
+    import time
+
+    r = random.Random(2)
+    forms = [str(r.randint(10**5, 10**9)) for _ in range(7)]
+    text = " ".join(r.choice(forms) for _ in range(100_000))
+    params = [np_random(3).normal(size=(pii.WIDTH, 5)), *(pii._contracting(5 * pii.np.eye(5) + np_random(k).normal(size=(5, 5))) for k in (4, 5)), 5 * pii.np.eye(5)]
+    start = time.time()
+    got = pii.find(["one 12 two", text, "+493012345678 then 493012345678"], params)
+    assert time.time() - start < 60  # 10 s on an idle machine
+    assert len(got) == 3
 
 
 def test_pii_similar_forms_share_a_label():
@@ -134,12 +195,13 @@ def test_pii_similar_forms_share_a_label():
 
 
 def test_pii_field_recovers_held_back_forms(sf):
-    """On documents that were not fitted to, without clamps and without the patterns' own tests."""
+    """On documents that were not fitted to: further mentions of found forms that look like tokens that were not found."""
     import pyarrow.parquet as pq
 
     rows = [t or "" for t in pq.read_table(sf.replace("0.001", "0.1") + "/documents.parquet", columns=["text"])["text"].to_pylist()]
-    found, alike, others = pii.recovered(rows[4000:], pii.fit(rows[:4000]))
-    assert found > 400 and alike >= 0.75 * found and others <= 0.02 * found
+    mentions, alike, others = pii.recovered(rows[4000:], pii.fit(rows[:4000]))
+    print(mentions, alike, others)
+    assert mentions > 300 and alike >= 0.9 * mentions and others <= 0.02 * mentions
 
 
 def test_pii_query_and_redaction(spark, docs, empty):
