@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import classmodel, evalkit, filters, fusion, graph, incremental, message, navigation, postings, report, segment, text, vectors
+from ..operators import chains, classmodel, edgeset, evalkit, filters, fusion, graph, incremental, message, navigation, postings, report, segment, text, usages, vectors
 from ..sources import relations as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -912,3 +912,136 @@ def code_refs(spark, d):
 @query("code_symbols", "SELECT 'p'||p_partkey||'.cpp' AS path, unnest(['C'||p_partkey, 'C'||p_partkey||'::run', 'go'||p_partkey]) AS name, unnest(['class','function','function']) AS kind, unnest([3,4,6])::BIGINT AS start_line, unnest([5,4,6])::BIGINT AS end_line FROM part")
 def code_symbols(spark, d):
     return whole(segment.symbol_table(_code(spark, d)))
+
+
+# references, usages, chains, and edges kept up by changes
+
+_ENTRIES = """entries AS (SELECT l_orderkey||':'||l_linenumber AS entry_id, 'c'||o_custkey AS from_id, CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'R' THEN 'imports' ELSE 'inherits' END AS kind, 'n'||(l_partkey//5) AS name,
+ CASE l_linenumber%3 WHEN 0 THEN p_brand WHEN 1 THEN substr(lower(p_brand),2) END AS receiver, CAST(l_quantity AS INT)%4 AS arity FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey),
+ definers AS (SELECT 'n'||(p_partkey//5) AS name, 'p'||p_partkey AS to_id, p_brand AS qualifier, p_size%3 AS lo, p_size%3+p_size%2 AS hi, count(*) OVER (PARTITION BY p_partkey//5) AS n FROM part)"""
+
+
+def _entries(spark, d):
+    li, o, p = R.table(spark, d, "lineitem"), R.table(spark, d, "orders"), R.table(spark, d, "part")
+    both = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
+    return both.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("entry_id"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("from_id"),
+        F.lit("a").alias("language"),
+        F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "R", "imports").otherwise("inherits").alias("kind"),
+        F.concat(F.lit("n"), F.expr("l_partkey div 5").cast("string")).alias("name"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.col("p_brand")).when(F.col("l_linenumber") % 3 == 1, F.expr("substr(lower(p_brand), 2)")).alias("receiver"),
+        (F.col("l_quantity").cast("int") % 4).alias("arity"),
+    )
+
+
+def _definers(spark, d):
+    least = F.col("p_size") % 3
+    return R.table(spark, d, "part").select(
+        F.concat(F.lit("n"), F.expr("p_partkey div 5").cast("string")).alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("to_id"), F.lit("a").alias("language"),
+        F.col("p_brand").alias("qualifier"), least.alias("arity_min"), (least + F.col("p_size") % 2).alias("arity_max"), F.lit(False).alias("variadic"),
+    )
+
+
+_RESOLVED = f"""{_ENTRIES}, hit AS (SELECT e.*, to_id, CASE WHEN receiver=qualifier THEN 0 WHEN receiver<>'' AND ends_with(lower(qualifier), lower(receiver)) THEN 1 ELSE 2 END AS tier, coalesce(arity BETWEEN lo AND hi, true) AS fits, n
+  FROM entries e JOIN definers USING (name)), best AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY entry_id) AS b FROM hit) WHERE tier=b),
+ fit AS (SELECT *, bool_or(fits) OVER (PARTITION BY entry_id) AS fit_any, bool_and(fits) OVER (PARTITION BY entry_id) AS fit_all FROM best),
+ resolved AS (SELECT entry_id, from_id, kind, name, to_id, CASE tier WHEN 0 THEN 'receiver' WHEN 1 THEN 'suffix' ELSE CASE WHEN n=1 THEN 'only' ELSE 'name' END END || CASE WHEN fit_any AND NOT fit_all THEN '+arity' ELSE '' END AS how FROM fit WHERE fits OR NOT fit_any)"""
+
+
+@query("reference_tiers", f"WITH {_RESOLVED} SELECT DISTINCT * FROM resolved")
+def reference_tiers(spark, d):
+    """Every recorded reference with the definers of its best tier, and how they were told apart."""
+    return usages.resolved(_entries(spark, d), _definers(spark, d))
+
+
+_EXPLAINED = f"""{EDGES}, t AS (SELECT p_brand||'::'||p_type AS query, p_type AS member, 'p'||p_partkey AS to_id FROM part), e AS (SELECT query, member, from_id, to_id, edge_type FROM edges JOIN t USING (to_id)),
+ ch AS (SELECT 'c'||c_custkey AS from_id, CASE c_custkey%5 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN c_mktsegment END AS own, CASE c_custkey%3 WHEN 0 THEN 'STANDARD ECONOMY' WHEN 1 THEN 'uses PROMO, LARGE' ELSE 'SMALL_x MEDIUM' END AS content FROM customer),
+ al AS (SELECT query, to_id, unnest([query, member]) AS ref FROM t UNION SELECT p_brand||'::'||p_type, 'p'||p_partkey, split_part(p_name,' ',2) FROM part WHERE p_partkey%2=1),
+ r AS (SELECT DISTINCT 'c'||o_custkey AS from_id, CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'R' THEN 'imports' ELSE 'inherits' END AS kind,
+  CASE l_linenumber%4 WHEN 0 THEN p_brand||'::'||p_type WHEN 1 THEN p_type WHEN 2 THEN split_part(p_name,' ',2) ELSE 'other' END AS name, CASE l_partkey%3 WHEN 0 THEN NULL WHEN 1 THEN ['p'||l_partkey] ELSE [] END AS placed
+  FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey),
+ one AS (SELECT query, from_id, to_id, edge_type, CASE WHEN edge_type='calls' THEN coalesce(bool_or(list_contains(placed, to_id)), false) END AS verified FROM e JOIN al USING (query, to_id) JOIN r USING (from_id)
+  WHERE r.name=al.ref AND edge_type<>'mentions' GROUP BY query, from_id, to_id, edge_type HAVING coalesce(bool_or(list_contains(placed, to_id)), false) OR bool_or(placed IS NULL)),
+ two AS (SELECT query, from_id, to_id, edge_type, NULL::BOOLEAN AS verified FROM (SELECT query, e.from_id, to_id, edge_type, own, member, count(r.name) AS n, coalesce(bool_and(placed IS NOT NULL AND NOT list_contains(placed, to_id)) FILTER (r.name IS NOT NULL), false) AS away
+  FROM e JOIN ch USING (from_id) LEFT JOIN r ON r.from_id=e.from_id AND r.name=e.member AND r.kind='calls' WHERE edge_type='mentions' AND regexp_matches(content, '(^|[^A-Za-z0-9_])'||member||'($|[^A-Za-z0-9_])') GROUP BY ALL)
+  WHERE NOT ((n=0 AND coalesce(own=member, false)) OR (n>0 AND away))),
+ ex AS (SELECT * FROM one UNION ALL SELECT * FROM two)"""
+
+
+@query(
+    "usages_explained",
+    f"""WITH {_EXPLAINED} SELECT query, from_id, substr(min((CASE edge_type WHEN 'mentions' THEN 2 ELSE 0 END)||edge_type),2) AS edge_type, min(CASE edge_type WHEN 'mentions' THEN 2 ELSE 0 END)::BIGINT AS rank,
+ coalesce(bool_or(verified), false) AS verified, count(DISTINCT to_id) AS n_targets FROM ex GROUP BY query, from_id""",
+)
+def usages_explained(spark, d):
+    """Callers of every name at once, kept where their recorded references explain the edge."""
+    li, o, p, c = (R.table(spark, d, t) for t in ("lineitem", "orders", "part", "customer"))
+    pid, query_ = F.concat(F.lit("p"), F.col("p_partkey").cast("string")), F.concat("p_brand", F.lit("::"), "p_type")
+    word = F.element_at(F.split("p_name", " "), 2)
+    of = F.col("l_linenumber") % 4
+    name = F.when(of == 0, query_).when(of == 1, F.col("p_type")).when(of == 2, word).otherwise("other")
+    kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "R", "imports").otherwise("inherits")
+    placed = F.when(F.col("l_partkey") % 3 == 1, F.array(pid)).when(F.col("l_partkey") % 3 == 2, F.array().cast("array<string>"))
+    refs = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"]).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("from_id"), kind.alias("kind"), name.alias("name"), placed.alias("placed")).distinct()
+    k = F.col("c_custkey")
+    content = F.when(k % 3 == 0, "STANDARD ECONOMY").when(k % 3 == 1, "uses PROMO, LARGE").otherwise("SMALL_x MEDIUM")
+    chunks = c.select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.when(k % 5 == 0, "ECONOMY").when(k % 5 == 1, F.col("c_mktsegment")).alias("name"), content.alias("content"))
+    members = p.where("p_partkey % 2 = 1").select(pid.alias("chunk_id"), query_.alias("owner"), word.alias("name"))
+    got = usages.explained(graph.merge(R.typed_refs(spark, d)), p.select(query_.alias("query"), pid.alias("to_id")), refs, members, chunks)
+    return whole(usages.collapsed(got))
+
+
+@query(
+    "trace_pairs",
+    f"""WITH RECURSIVE {EDGES}, b AS (SELECT from_id AS a, to_id AS b FROM edges UNION ALL SELECT to_id, from_id FROM edges), n AS (SELECT count(*) AS n FROM part),
+ pairs AS (SELECT c_custkey AS pair, 'c'||c_custkey AS start, 'p'||((c_custkey*13)%n) AS goal FROM customer, n WHERE c_custkey%50=0),
+ reach(pair, id, hops) AS (SELECT pair, start, 0 FROM pairs UNION SELECT pair, b, hops+1 FROM reach JOIN b ON id=a WHERE hops<3)
+ SELECT pair, min(hops)::BIGINT AS hops FROM pairs JOIN reach USING (pair) WHERE id=goal GROUP BY pair""",
+)
+def trace_pairs(spark, d):
+    """From every customer whose key is divisible by 50 to a part: the least number of hops, three at most."""
+    n = F.lit(R.table(spark, d, "part").count())
+    k = F.col("c_custkey")
+    pairs = R.table(spark, d, "customer").where(k % 50 == 0).select(k.alias("pair"), F.posexplode(F.array(F.concat(F.lit("c"), k.cast("string")), F.concat(F.lit("p"), ((k * 13) % n).cast("string")))).alias("side", "id"))
+    return whole(graph.trace_pairs(graph.merge(R.typed_refs(spark, d)), pairs, 3, None).select("pair", "hops"))
+
+
+@query(
+    "edges_refreshed",
+    f"""WITH {PMI.replace(CHUNKS, CHUNKS.replace("FROM documents)", "FROM documents WHERE doc_id%20<>4)"))}, dd AS (SELECT name, id, language, count(*) OVER (PARTITION BY name) AS n FROM (SELECT DISTINCT name, id, language FROM chunks)),
+ every AS (SELECT m.from_id, m.to_id, CASE WHEN t.id IS NULL THEN 'mentions' ELSE 'associated' END AS edge_type FROM ment m LEFT JOIN top t ON m.from_id=t.id AND m.name=t.name
+  UNION ALL SELECT a.id, b.id, 'xlang' FROM dd a JOIN dd b ON a.name=b.name WHERE a.n BETWEEN 2 AND 8 AND a.language<>b.language AND a.id<>b.id)
+ SELECT from_id, to_id, substr(min(({RANK})||edge_type),2) AS edge_type FROM every GROUP BY from_id, to_id""",
+)
+def edges_refreshed(spark, d):
+    """Edges after a twentieth of the chunks has gone and another has come, from the edges before and what the change touches."""
+    none = {"calls": "array<struct<name:string,receiver:string,arity:int>>", "imports": "array<string>", "inherits": "array<string>"}
+    chunks = R.chunks(spark, d).select("id", "path", "language", "name", "content", *[F.array().cast(t).alias(c) for c, t in none.items()])
+    old, new = chunks.where("id % 20 <> 3"), chunks.where("id % 20 <> 4")
+    parts = edgeset.build(old)
+    return edgeset.refresh(parts, graph.keep(edgeset.edges(parts)), old, new)[1]
+
+
+@query("member_chains")
+def member_chains(spark, d):
+    """Every order as a call through a chain of typed receivers, on a class model made of all parts."""
+    p, o = R.table(spark, d, "part"), R.table(spark, d, "orders")
+    n = p.count()
+    cls = lambda k: F.concat(F.lit("ns::K"), k.cast("string"))
+    k = F.col("p_partkey")
+    kind = F.when(F.col("p_size") % 4 == 0, "field").when(F.col("p_size") % 4 == 1, "method_decl").otherwise("method_def")
+    type_ = F.concat(F.lit("K"), ((k * 7 + 3) % n).cast("string"), F.when(k % 3 == 0, "*").otherwise(""))
+    members = p.select(cls(F.expr("p_partkey div 4")).alias("owner"), F.lower("p_type").alias("name"), kind.alias("kind"), type_.alias("type_text"), (F.col("p_size") % 2).alias("arity_min"), (F.col("p_size") % 3 + 1).alias("arity_max"), F.lit(False).alias("variadic"), F.concat(F.lit("p"), k.cast("string")).alias("chunk_id"))
+    bases = p.where("p_partkey >= 4").select(cls(k).alias("owner"), F.concat(F.lit("K"), F.expr("p_partkey div 4").cast("string")).alias("base"))
+    model = chains.Model(p.select(cls(k).alias("name")), members, bases)
+    key = F.col("o_orderkey")
+    words = F.array(*[F.lit(w) for w in ("economy()", "standard", "[]", "promo()", "->", "large", "small()", "medium")])
+    step = lambda i: F.get(words, ((key * (2 * i + 3) + i) % 8).cast("int"))
+    access = F.when(key % 4 == 1, "->").when(key % 4 == 2, "::").when(key % 4 == 3, ".")
+    calls = o.select(
+        key.alias("call_id"), cls(F.col("o_custkey") % n).alias("cls"), access.alias("access"), F.when(key % 3 == 0, "this").otherwise("typed").alias("via"), F.concat(F.lit("K"), ((key * 11) % n).cast("string"), F.when(key % 5 == 0, "*").otherwise("")).alias("head"),
+        F.slice(F.array(step(0), step(1)), 1, (key % 3).cast("int")).alias("steps"), F.regexp_replace(step(2), r"\(\)|\[\]|->", "").alias("name"), (key % 3).cast("int").alias("arity"),
+    )
+    got = chains.resolve(calls, model)
+    return got.select("call_id", "outcome", F.array_join("targets", ",").alias("targets"))
