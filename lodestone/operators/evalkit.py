@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import placed
+
 
 def first_hits(results: DataFrame, gold: DataFrame) -> DataFrame:
     """query_id, mode and the rank of the first gold hit (null without one). results: (query_id, mode, id, rank); gold: (query_id, id)."""
@@ -69,8 +71,7 @@ def resolve_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def sample_targets(chunks: DataFrame, stratum: str, stride: int) -> DataFrame:
     """Every stride-th row of each stratum in order of path and id."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy("path", "id"))
-    return chunks.withColumn("place", place).where(F.pmod(F.col("place") - 1, F.lit(stride)) == 0)
+    return placed(chunks, stratum, "path", "id").where(F.pmod(F.col("place") - 1, F.lit(stride)) == 0)
 
 
 def interval_owner(points: DataFrame, spans: DataFrame) -> DataFrame:

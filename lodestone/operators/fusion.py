@@ -9,9 +9,24 @@ K = 60
 OR_RANKS = 20
 
 
-def ranked(df: DataFrame, *order) -> DataFrame:
-    """With rank from 1. For lists that a cut has made short: one task ranks them."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def ranked(df: DataFrame, *order, by: tuple[str, ...] = ()) -> DataFrame:
+    """With rank from 1, within each of ``by``. A list of its own is one that a cut has made short: one task ranks it."""
+    return df.withColumn("rank", F.row_number().over((Window.partitionBy(*by) if by else Window).orderBy(*order)))
+
+
+def _first(df: DataFrame, top_k: int, by: tuple[str, ...], *order) -> DataFrame:
+    """The first top_k rows, of each of ``by``."""
+    if not by:
+        return df.orderBy(*order).limit(top_k)
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= top_k).drop("place")
+
+
+def rrf_many(semantic: DataFrame, keyword: DataFrame, top_k: int, by: tuple[str, ...]) -> DataFrame:
+    """rrf() of many queries at once: both lists have the columns of ``by``."""
+    s, w = semantic.select(*by, "id", F.col("rank").alias("rs")), keyword.select(*by, "id", F.col("rank").alias("rk"))
+    one = lambda c: F.coalesce(1.0 / (K + F.col(c)), F.lit(0.0))
+    both = s.join(w, [*by, "id"], "full_outer").select(*by, "id", F.round(one("rs") + one("rk"), 12).alias("score"))
+    return _first(both, top_k, by, F.desc("score"), "id")
 
 
 def rrf(semantic: DataFrame, keyword: DataFrame, starved: DataFrame | None, top_k: int) -> DataFrame:
@@ -29,28 +44,28 @@ def rrf(semantic: DataFrame, keyword: DataFrame, starved: DataFrame | None, top_
     return s.join(w, "id", "full_outer").select("id", (one("rs") + one("rk")).alias("score")).orderBy(F.desc("score"), "id").limit(top_k)
 
 
-def rerank_fuse(first: DataFrame, second: DataFrame, weight: float = 2.0, candidates: int = 50) -> DataFrame:
+def rerank_fuse(first: DataFrame, second: DataFrame, weight: float = 2.0, candidates: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
     """Order of a first list (rank) corrected by another scorer's (rank): 1/(60+i) + weight/(60+r)."""
-    a = first.where(F.col("rank") <= candidates).select("id", F.col("rank").alias("i"))
-    both = a.join(second.select("id", F.col("rank").alias("r")), "id", "left")
-    return both.select("id", (1.0 / (K + F.col("i")) + F.coalesce(weight / (K + F.col("r")), F.lit(0.0))).alias("score"))
+    a = first.where(F.col("rank") <= candidates).select(*by, "id", F.col("rank").alias("i"))
+    both = a.join(second.select(*by, "id", F.col("rank").alias("r")), [*by, "id"], "left")
+    return both.select(*by, "id", (1.0 / (K + F.col("i")) + F.coalesce(weight / (K + F.col("r")), F.lit(0.0))).alias("score"))
 
 
-def folder_blend(hits: DataFrame, folders: DataFrame, alpha: float = 1.0, beta: float = 0.2) -> DataFrame:
+def folder_blend(hits: DataFrame, folders: DataFrame, alpha: float = 1.0, beta: float = 0.2, by: tuple[str, ...] = ()) -> DataFrame:
     """Hits' score (with dirname) blended with their folder's score."""
-    both = hits.join(folders.select(F.col("path").alias("dirname"), F.col("score").alias("folder_score")), "dirname", "left")
+    both = hits.join(folders.select(*by, F.col("path").alias("dirname"), F.col("score").alias("folder_score")), [*by, "dirname"], "left")
     return both.withColumn("score", alpha * F.col("score") + beta * F.coalesce("folder_score", F.lit(0.0))).drop("folder_score")
 
 
-def file_cap(hits: DataFrame, cap: int, top_k: int) -> DataFrame:
-    """At most ``cap`` rows of each path in rank order, then top_k."""
-    place = F.row_number().over(Window.partitionBy("path").orderBy("rank", "id"))
-    return hits.withColumn("place", place).where(F.col("place") <= cap).drop("place").orderBy("rank", "id").limit(top_k)
+def file_cap(hits: DataFrame, cap: int, top_k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``cap`` rows of each path in rank order, then top_k; ``by``: of each query."""
+    place = F.row_number().over(Window.partitionBy(*by, "path").orderBy("rank", "id"))
+    return _first(hits.withColumn("place", place).where(F.col("place") <= cap).drop("place"), top_k, by, "rank", "id")
 
 
-def file_ranking(hits: DataFrame) -> DataFrame:
+def file_ranking(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """path with its best score, number of hits and first rank."""
-    return hits.groupBy("path").agg(F.max("score").alias("best"), F.count("*").alias("hits"), F.min("rank").alias("first_rank"))
+    return hits.groupBy(*by, "path").agg(F.max("score").alias("best"), F.count("*").alias("hits"), F.min("rank").alias("first_rank"))
 
 
 def pool(candidates: DataFrame, cap: int = 500) -> DataFrame:

@@ -90,6 +90,19 @@ def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return part.where(F.col("part") < cut).drop("part").unionByName(part.where(F.col("part") == cut).drop("part").orderBy(*order).limit(left))
 
 
+def placed(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """With place from 1 within each value of ``by``, ascending by order, where a value may have any share of all rows.
+
+    Rows are dealt by ranges and numbered as they lie; only the counts of each range are summed up.
+    """
+    rows = keep(df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("at", 33)  # the partition; the rest is the place in it
+    parts = rows.groupBy(F.col(by).alias("of"), part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    parts = keep(parts.select("of", "part", "first", before.alias("before")), "ranges")
+    return rows.join(parts, F.col(by).eqNullSafe(F.col("of")) & (part == F.col("part"))).withColumn("place", F.col("at") - F.col("first") + F.col("before") + 1).drop("at", "of", "part", "first", "before")
+
+
 def xlang_named(definers: DataFrame) -> DataFrame:
     """name, from_id, to_id: definers of one name in different languages, where the name has 8 definers at most."""
     d = definers.select("name", "id", "language").distinct()

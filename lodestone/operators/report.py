@@ -81,18 +81,42 @@ def budgeted(lines: DataFrame, tokens: int, top: int = 10_000) -> DataFrame:
     return used.where((F.col("used") <= tokens) | (F.col("rank") == 1))
 
 
+def symbol_map(symbols: DataFrame, scores: DataFrame, tokens: int = 1000) -> DataFrame:
+    """rank, path, score, block and used: files by the sum of their symbols' scores, each with its symbols by score, while they fit.
+
+    symbols: path, name, kind, start_line, chunk_id; scores: id, score. A symbol without a score counts as the mean of its
+    file, or of all. A block's cost is its characters and a blank line; the first that does not fit ends the map, but one
+    file is always shown. Blocks are built for no more files than the budget could hold if each had but a short line.
+    """
+    chars = tokens * CHARS_PER_TOKEN
+    both = symbols.join(scores.select(F.col("id").alias("chunk_id"), "score"), "chunk_id", "left")
+    per = both.groupBy("path").agg(F.avg("score").alias("file_mean"), F.sum("score").alias("known"), F.count("score").alias("n_known"), F.count("*").alias("n"))
+    mean = both.agg(F.avg("score").alias("mean"))
+    per = per.crossJoin(F.broadcast(mean)).withColumn("other", F.coalesce("file_mean", "mean", F.lit(1.0)))  # one row
+    total = F.round(F.coalesce("known", F.lit(0.0)) + (F.col("n") - F.col("n_known")) * F.col("other"), 4)
+    first = per.select("path", total.alias("file_score"), "other").orderBy(F.desc("file_score"), "path").limit(max(chars // 4, 1))
+    own = both.join(first, "path").withColumn("score", F.round(F.coalesce("score", "other"), 6))
+    line = F.concat(F.lit("  "), F.when(F.col("kind").isNotNull(), F.concat("kind", F.lit(" "))).otherwise(""), "name", F.lit("  (line "), F.col("start_line").cast("string"), F.lit(")"))
+    lines = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "start_line", "name", line.alias("text"))))
+    blocks = own.groupBy("path", "file_score").agg(F.concat("path", F.lit("\n"), F.array_join(F.transform(lines, lambda x: x["text"]), "\n")).alias("block"))
+    order = Window.orderBy(F.desc("file_score"), "path")  # the short list of files above
+    blocks = blocks.select("path", F.col("file_score").alias("score"), "block", F.row_number().over(order).alias("rank"), F.sum(F.char_length("block") + 2).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("used"))
+    return blocks.where((F.col("used") <= chars) | (F.col("rank") == 1))
+
+
 def repomap(chunks: DataFrame, scores: DataFrame, tokens: int = 1000) -> str:
-    """Overview of directories, then files by score with their best names, cut to a token budget."""
-    files = file_scores(chunks, scores)
+    """Overview of directories, then files by score with their names by score, cut to a token budget, and what was left out."""
     dirs = chunks.select("path").distinct().select(F.explode(X.ancestors(F.col("path"))).alias("dir")).groupBy("dir").agg(F.count("*").alias("n")).where(F.size(F.split("dir", "/")) <= 2)
     head = [f"{r.dir}/ ({r.n} files)" for r in dirs.orderBy(F.desc("n"), "dir").limit(20).collect()]
     while head and sum(map(len, head)) > tokens * CHARS_PER_TOKEN // 4:
         head.pop()
-    rows = files.orderBy(F.desc("score"), "path").limit(tokens)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path"))).select("rank", F.col("path").alias("text"))
-    body = [r.text for r in budgeted(ranked, tokens - sum(map(len, head)) // CHARS_PER_TOKEN).orderBy("rank").collect()]
-    left = files.count() - len(body)
-    return "\n".join([*head, *body, *([f"… {left} more files"] if left else [])])
+    symbols = chunks.where("name IS NOT NULL").select("path", "name", F.lit(None).cast("string").alias("kind"), "start_line", F.col("id").alias("chunk_id"))
+    body = symbol_map(symbols, scores, max(tokens - sum(map(len, head)) // CHARS_PER_TOKEN, 1)).orderBy("rank").collect()  # as many as fit
+    paths = chunks.select("path").distinct()
+    left = paths.where(~F.col("path").isin(*[r.path for r in body])) if body else paths
+    n = left.count()
+    told = ", ".join(f"{r.subtree} ({r.n})" for r in omitted_subtrees(left).orderBy(F.col("subtree") == "(rest)", F.desc("n"), "subtree").collect()) if n else ""
+    return "\n\n".join(["\n".join(head), *(r.block for r in body), *([f"… {n} more files: {told}"] if n else [])])
 
 
 def vitals(chunks: DataFrame) -> DataFrame:

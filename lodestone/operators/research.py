@@ -11,6 +11,8 @@ from ..functions import scalars as X
 from . import fusion, graph, text, vectors
 
 CAP, SEEDS, NEAR, HUB, TOP_TEXTS, SYMBOLS, PER_SYMBOL, STOP = 500, 20, 5, 50, 30, 10, 10, 0.15
+# Endings of names that stand for a kind of thing.
+KINDS = ("Manager", "Handler", "Controller", "Service", "Factory", "Builder", "Provider", "Processor", "Runner", "Worker", "Loader", "Parser")
 WEIGHTS = {"calls": 1.0, "imports": 0.7, "inherits": 0.9, "xlang": 0.6, "associated": 0.5, "mentions": 0.3}
 
 
@@ -23,12 +25,20 @@ class Result:
 
 
 def symbols_in(texts: DataFrame, most: int = SYMBOLS) -> list[str]:
-    """Names in the texts of a short ranked list: qualified, of two capitals, or of a manager's kind; the first by rank."""
-    found = F.regexp_extract_all("content", F.lit(r"\b(?:[A-Za-z_]\w*(?:::\w+)+|[A-Z][a-z0-9]+[A-Z]\w*|[A-Z]\w*(?:Manager|Handler|Service|Controller|Factory))\b"), F.lit(0))
+    """Names in the texts of a short ranked list: qualified, with a second capital, or ending in one of KINDS; the first by rank."""
+    name = r"\b(?:[A-Z]\w+(?:::\w+)+|[A-Z][a-z0-9_]*[A-Z]\w*|[A-Za-z]\w{2,}(?:%s))\b" % "|".join(KINDS)
+    found = F.filter(F.regexp_extract_all("content", F.lit(name), F.lit(0)), lambda x: F.char_length(x) > 2)
     rows = texts.select("rank", F.posexplode(found).alias("pos", "name")).groupBy("name").agg(F.min(F.struct("rank", "pos")).alias("at")).orderBy("at", "name").limit(most)
     return [r.name for r in rows.collect()]
 
 
+def holders(chunks: DataFrame, names: list[str], each: int = PER_SYMBOL) -> DataFrame:
+    """id and name of the first chunks that hold each of a few names as a whole word, in one pass over the texts."""
+    word = lambda n: F.col("content").contains(n) & F.rlike("content", F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), n, F.lit(r"\E(?![A-Za-z0-9_])")))
+    hits = chunks.select("id", F.explode(F.filter(F.array(*[F.lit(n) for n in names]), word)).alias("name"))
+    return hits.withColumn("place", F.row_number().over(graph.Window.partitionBy("name").orderBy("id"))).where(F.col("place") <= each).select("id", "name")
+
+
 def expand(seeds: DataFrame, edges: DataFrame, neighbours: DataFrame, degrees: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """id and evidence: nearest chunks and chunks referred to of the seeds, without hubs and the seeds themselves."""
     place = F.row_number().over(graph.Window.partitionBy("donor").orderBy("distance", "id"))
@@ -62,8 +72,8 @@ def research(
         new = scored(expand(seeds, edges, neighbours, degrees)).withColumn("seq", F.lit(2 * i + 1))
         top = fusion.ranked(pool.orderBy(F.desc("score"), "id").limit(TOP_TEXTS), F.desc("score"), "id").join(chunks.select("id", "content"), "id")
         names = symbols_in(top)
-        for name in names:
-            more = chunks.where(F.col("content").contains(name)).where(X.whole_word(F.col("content"), name)).orderBy("id").limit(PER_SYMBOL).select("id", F.lit("symbol").alias("evidence"))
+        if names:
+            more = holders(chunks, names).select("id", F.lit("symbol").alias("evidence")).distinct()
             new = new.unionByName(scored(more).withColumn("seq", F.lit(2 * i + 2)))
         pool = graph.keep(fusion.pool(pool.unionByName(new.select(*pool.columns)), CAP))
         now = pool.orderBy(F.desc("score"), "id").limit(5).agg(F.avg("score")).first()[0] or 0.0

@@ -23,6 +23,7 @@ EDGES = f"{REFS}, edges AS (SELECT from_id, to_id, substr(min(({RANK})||edge_typ
 MODULES = "modules AS (SELECT 'c'||c_custkey AS id, 'nation'||c_nationkey AS module FROM customer UNION ALL SELECT 'p'||p_partkey, p_brand FROM part)"
 COSINE = "list_dot_product(a::DOUBLE[],b::DOUBLE[])/sqrt(list_dot_product(a::DOUBLE[],a::DOUBLE[])*list_dot_product(b::DOUBLE[],b::DOUBLE[]))"
 SCORES = f"scored AS (SELECT v.vec_id AS id, v.label AS family, round({COSINE.replace('a::', 'v.embedding::').replace('b::', 'q.embedding::')},9) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id=7) q)"
+ALL_SCORES = f"scored AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label AS family, round({COSINE.replace('a::', 'v.embedding::').replace('b::', 'q.embedding::')},9) AS score FROM embeddings v, embeddings q WHERE q.vec_id%50=0)"
 TERMS = ["the", "with", "tion"]
 WHOLE = r"list_transform(embedding, lambda x: CASE WHEN x<0 THEN -floor(-x::DOUBLE*127+0.5) ELSE floor(x::DOUBLE*127+0.5) END)"
 GRAPH = f"""whole AS (SELECT vec_id AS id, {WHOLE} AS w FROM embeddings),
@@ -276,20 +277,37 @@ def _seed(spark, d) -> list[float]:
     return R.vectors(spark, d).where("id = 7").first().embedding
 
 
-@query("knn_query", f"WITH {SCORES} SELECT id, round(score,6) AS score FROM scored ORDER BY score DESC, id LIMIT 10")
+def _queries(spark, d) -> DataFrame:
+    """The query set of all searches by vector: every row whose id is divisible by 50."""
+    return R.vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
+BY = ("query_id",)
+NEAREST = f"{ALL_SCORES}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)"
+
+
+@query("knn_query", f"WITH {NEAREST} SELECT query_id, id, round(score,6) AS score, rank FROM near WHERE rank<=10")
 def knn_query(spark, d):
-    return whole(vectors.knn(R.vectors(spark, d), _seed(spark, d), 10))
+    return whole(vectors.knn_many(R.vectors(spark, d), _queries(spark, d), 10))
 
 
-@query("knn_scoped", f"WITH {SCORES} SELECT id, round(score,6) AS score FROM scored WHERE family IN (1,2,3) ORDER BY score DESC, id LIMIT 10")
+@query("knn_scoped", f"WITH {ALL_SCORES}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE family IN (1,2,3)) SELECT query_id, id, round(score,6) AS score, rank FROM near WHERE rank<=10")
 def knn_scoped(spark, d):
-    return whole(vectors.knn(R.vectors(spark, d), _seed(spark, d), 10, F.col("family").isin(1, 2, 3)))
+    return whole(vectors.knn_many(R.vectors(spark, d), _queries(spark, d), 10, F.col("family").isin(1, 2, 3)))
 
 
-@query("min_score", f"WITH {SCORES} SELECT id, round(score,6) AS score FROM scored WHERE score>=0.2")
+@query("min_score", f"WITH {NEAREST} SELECT query_id, id, round(score,6) AS score FROM near WHERE rank<=100 AND score>=0.2")
 def min_score(spark, d):
-    q = F.array(*[F.lit(float(x)) for x in _seed(spark, d)])
-    return whole(R.vectors(spark, d).select("id", F.round(X.cosine(F.col("embedding"), q), 9).alias("score")).where("score >= 0.2"))
+    return whole(vectors.knn_many(R.vectors(spark, d), _queries(spark, d), 100).where("score >= 0.2").select("query_id", "id", "score"))
+
+
+def _all_ranked(spark, d) -> DataFrame:
+    """The first hundred of every query, their families as paths."""
+    near = vectors.knn_many(R.vectors(spark, d), _queries(spark, d), 100)
+    return near.join(R.vectors(spark, d).select("id", F.col("family").cast("string").alias("path")), "id")
+
+
+ALL_RANKED = f"{NEAREST}, ranked AS (SELECT query_id, id, family::VARCHAR AS path, score, rank FROM near WHERE rank<=100)"
 
 
 def _ranked(spark, d) -> DataFrame:
@@ -300,14 +318,14 @@ def _ranked(spark, d) -> DataFrame:
 RANKED = f"{SCORES}, ranked AS (SELECT id, family::VARCHAR AS path, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 100))"
 
 
-@query("file_cap", f"WITH {RANKED} SELECT id, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank, id) AS place FROM ranked) WHERE place<=3 ORDER BY rank LIMIT 20")
+@query("file_cap", f"WITH {ALL_RANKED}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY rank, id) AS place FROM ranked) SELECT query_id, id, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM c WHERE place<=3) WHERE n<=20")
 def file_cap(spark, d):
-    return whole(fusion.file_cap(_ranked(spark, d), 3, 20).select("id", "path", "rank"))
+    return whole(fusion.file_cap(_all_ranked(spark, d), 3, 20, BY).select("query_id", "id", "path", "rank"))
 
 
-@query("file_ranking", f"WITH {RANKED} SELECT path, round(max(score),6) AS best, count(*) AS hits, min(rank) AS first_rank FROM ranked GROUP BY path")
+@query("file_ranking", f"WITH {ALL_RANKED} SELECT query_id, path, round(max(score),6) AS best, count(*) AS hits, min(rank) AS first_rank FROM ranked GROUP BY query_id, path")
 def file_ranking(spark, d):
-    return whole(fusion.file_ranking(_ranked(spark, d)))
+    return whole(fusion.file_ranking(_all_ranked(spark, d), BY))
 
 
 @query("knn_graph", f"WITH {GRAPH} SELECT id, neighbor_id, round(distance,6) AS distance FROM graph")
@@ -320,10 +338,10 @@ def worst_neighbour(spark, d):
     return whole(vectors.worst_neighbour(vectors.knn_graph(R.vectors(spark, d))))
 
 
-@query("near_dup_pairs", f"WITH {RANKED}, t AS (SELECT r.id, e.embedding FROM ranked r JOIN embeddings e ON e.vec_id=r.id WHERE rank<=50) SELECT x.id AS a, y.id AS b, round({COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')},6) AS cosine FROM t x JOIN t y ON x.id<y.id WHERE {COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')}>=0.3")
+@query("near_dup_pairs", f"WITH {ALL_RANKED}, t AS (SELECT query_id, r.id, e.embedding FROM ranked r JOIN embeddings e ON e.vec_id=r.id WHERE rank<=50) SELECT x.query_id, x.id AS a, y.id AS b, round({COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')},6) AS cosine FROM t x JOIN t y ON x.query_id=y.query_id AND x.id<y.id WHERE {COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')}>=0.3")
 def near_dup_pairs(spark, d):
-    top = _ranked(spark, d).where("rank <= 50").join(R.vectors(spark, d).select("id", "embedding"), "id")
-    return whole(vectors.near_pairs(top, 0.3))
+    top = _all_ranked(spark, d).where("rank <= 50").join(R.vectors(spark, d).select("id", "embedding"), "id")
+    return whole(vectors.near_pairs(top, 0.3, BY))
 
 
 @query(
@@ -352,38 +370,40 @@ def suggest_clusters(spark, d):
 
 @query(
     "folder_blend",
-    f"WITH {RANKED}, f AS (SELECT path, avg(score) AS fs FROM ranked GROUP BY path) SELECT id, path AS dirname, round(score+0.2*fs,6) AS score FROM ranked JOIN f USING (path)",
+    f"WITH {ALL_RANKED}, f AS (SELECT query_id, path, avg(score) AS fs FROM ranked GROUP BY query_id, path) SELECT query_id, id, path AS dirname, round(score+0.2*fs,6) AS score FROM ranked JOIN f USING (query_id, path)",
 )
 def folder_blend(spark, d):
-    hits = _ranked(spark, d)
-    folders = hits.groupBy("path").agg(F.avg("score").alias("score"))
-    return whole(fusion.folder_blend(hits.select("id", F.col("path").alias("dirname"), "score"), folders))
+    hits = _all_ranked(spark, d)
+    folders = hits.groupBy("query_id", "path").agg(F.avg("score").alias("score"))
+    return whole(fusion.folder_blend(hits.select("query_id", "id", F.col("path").alias("dirname"), "score"), folders, by=BY))
 
 
-HYBRID = f"""{SCORES}, s AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 40)),
- {CHUNKS}, {bm25_sql(['the', 'with'], True, {'content': 1.0}, 40)}, k AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM hits),
- fused AS (SELECT coalesce(s.id,k.id) AS id, coalesce(1.0/(60+s.rank),0)+coalesce(1.0/(60+k.rank),0) AS score FROM s FULL OUTER JOIN k ON s.id=k.id)"""
+ALL_HYBRID = f"""{NEAREST}, s AS (SELECT query_id, id, rank FROM near WHERE rank<=40), {CHUNKS}, {bm25_sql(['the', 'with'], True, {'content': 1.0}, 40)},
+ k AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM hits), w AS (SELECT query_id, k.* FROM k, (SELECT DISTINCT query_id FROM s)),
+ fused AS (SELECT coalesce(s.query_id,w.query_id) AS query_id, coalesce(s.id,w.id) AS id, round(coalesce(1.0/(60+s.rank),0)+coalesce(1.0/(60+w.rank),0),12) AS score FROM s FULL OUTER JOIN w ON s.id=w.id AND s.query_id=w.query_id)"""
 
 
-def _branches(spark, d):
-    sem = fusion.ranked(vectors.knn(R.vectors(spark, d), _seed(spark, d), 40), F.desc("score"), "id")
-    key = fusion.ranked(postings.bm25(chunk_index(spark, d), ["the", "with"], True, {"content": 1.0}, 40), "score", "id")
-    return sem, key
+def _all_branches(spark, d):
+    """The semantic list of every query, and one keyword list, which each of them is fused with."""
+    queries = _queries(spark, d)
+    sem = vectors.knn_many(R.vectors(spark, d), queries, 40)
+    key = postings.bm25(chunk_index(spark, d), ["the", "with"], True, {"content": 1.0}, 40)
+    key = fusion.ranked(key, "score", "id").agg(F.collect_list(F.struct("id", "rank")).alias("list"))  # one row of 40
+    return sem, queries.select("query_id").crossJoin(F.broadcast(key)).select("query_id", F.explode("list").alias("x")).select("query_id", "x.*")
 
 
-@query("hybrid_search", f"WITH {HYBRID} SELECT id, round(score,6) AS score FROM (SELECT id, round(score,12) AS score FROM fused) ORDER BY score DESC, id LIMIT 20")
+@query("hybrid_search", f"WITH {ALL_HYBRID} SELECT query_id, id, round(score,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM fused) WHERE n<=20")
 def hybrid_search(spark, d):
-    sem, key = _branches(spark, d)
-    return whole(fusion.rrf(sem, key, None, 20))
+    return whole(fusion.rrf_many(*_all_branches(spark, d), 20, BY))
 
 
 @query(
     "rerank_fuse",
-    f"WITH {HYBRID}, a AS (SELECT id, row_number() OVER (ORDER BY rs) AS i FROM (SELECT id, rank AS rs FROM s)), r AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM s) SELECT id, round(1.0/(60+i)+coalesce(2.0/(60+r),0),6) AS score FROM a LEFT JOIN r USING (id)",
+    f"WITH {NEAREST}, s AS (SELECT query_id, id, rank FROM near WHERE rank<=40), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM s) SELECT query_id, id, round(1.0/(60+rank)+coalesce(2.0/(60+r),0),6) AS score FROM s LEFT JOIN r USING (query_id, id)",
 )
 def rerank_fuse(spark, d):
-    sem, _ = _branches(spark, d)
-    return whole(fusion.rerank_fuse(sem, fusion.ranked(sem.select("id"), "id")))
+    sem = vectors.knn_many(R.vectors(spark, d), _queries(spark, d), 40)
+    return whole(fusion.rerank_fuse(sem, fusion.ranked(sem.select("query_id", "id"), "id", by=BY), by=BY))
 
 
 LINKS = f"{RANKED}, {GRAPH}, links AS (SELECT g.neighbor_id AS id, g.id AS donor, 1-g.distance AS weight, r.score AS seed FROM graph g JOIN ranked r ON r.id=g.id WHERE r.rank<=30)"
@@ -1045,3 +1065,20 @@ def member_chains(spark, d):
     )
     got = chains.resolve(calls, model)
     return got.select("call_id", "outcome", F.array_join("targets", ",").alias("targets"))
+
+
+@query(
+    "symbol_map",
+    """WITH s AS (SELECT p_brand||'/'||p_type||'.h' AS path, p_name AS name, CASE p_partkey%2 WHEN 1 THEN 'definition' END AS kind, p_size AS line, CASE WHEN p_partkey%3<>0 THEN p_retailprice END AS sc FROM part),
+ t AS (SELECT *, coalesce(sc, avg(sc) OVER (PARTITION BY path), (SELECT avg(sc) FROM s), 1.0) AS score FROM s),
+ f AS (SELECT path, round(sum(score),4) AS score, path||chr(10)||string_agg('  '||coalesce(kind||' ','')||name||'  (line '||line||')', chr(10) ORDER BY round(score,6) DESC, line, name, kind NULLS FIRST) AS block FROM t GROUP BY path),
+ u AS (SELECT path, score, block, row_number() OVER (ORDER BY score DESC, path) AS rank, sum(length(block)+2) OVER (ORDER BY score DESC, path)::BIGINT AS used FROM f)
+ SELECT path, round(score,4) AS score, block, rank, used FROM u WHERE used<=16000 OR rank=1""",
+)
+def symbol_map(spark, d):
+    """Files by the score of all their symbols, with these symbols, cut to a budget (which is the feature)."""
+    p = R.table(spark, d, "part")
+    pid = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    symbols = p.select(F.concat("p_brand", F.lit("/"), "p_type", F.lit(".h")).alias("path"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 1, "definition").alias("kind"), F.col("p_size").alias("start_line"), pid.alias("chunk_id"))
+    scores = p.where("p_partkey % 3 <> 0").select(pid.alias("id"), F.col("p_retailprice").alias("score"))
+    return whole(report.symbol_map(symbols, scores, 4000))

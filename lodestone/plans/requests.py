@@ -44,10 +44,18 @@ def check(ok: bool, why: str) -> None:
 
 
 def identifiers(text: str, most: int = 20) -> list[str]:
-    """Names in a text: paths and dotted names, constants, names with underscores and of mixed case, each at its longest."""
-    pattern = r"[A-Za-z_][\w]*(?:(?:::|[./])[A-Za-z_][\w]*)+|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|[a-z]+[A-Z]\w*|[A-Z][a-z0-9]+[A-Z]\w*"
-    found = [m for m in re.findall(pattern, text) if m.lower() not in ("e.g", "i.e")]
-    return list(dict.fromkeys(found))[:most]
+    """Names in a text: paths and dotted names, constants, names with underscores and of mixed case, each at its longest.
+
+    Abbreviations (e.g) and numbers with points (3.10) are no names.
+    """
+    segment = r"[A-Za-z0-9_-]+"
+    pattern = rf"\b{segment}(?:(?:::|[./]){segment})+|\b[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z0-9]+[A-Z]\w*"
+
+    def is_name(found: str) -> bool:
+        parts = re.split(r"::|[./]", found)
+        return len(parts) == 1 or not (all(len(p) == 1 and p.isalpha() for p in parts) or all(p.isdigit() for p in parts))
+
+    return list(dict.fromkeys(filter(is_name, re.findall(pattern, text))))[:most]
 
 
 def augmented(query: str, budget: int = MOST_QUERY) -> str:
@@ -85,19 +93,26 @@ def config(paths: list[str]) -> tuple[dict, list[str]]:
     return {}, problems
 
 
-def commit_gold(log: str, known: dict[str, str], least: int = 2, most: int = 20) -> list[dict]:
-    """Commits of `git log --numstat --format=commit:%H:%s` as queries with the files they touch, of known extensions."""
-    skip = ("merge", "revert", "bump", "release", "version", "typo", "format", "lint", "wip")
-    out, now = [], None
+# Subjects with one of these tell of no feature.
+SKIPPED_SUBJECTS = ("nfc", "revert", "reformat", "clang-format", "typo", "whitespace", "rename", "bump", "regenerate")
+
+
+def commit_gold(log: str, known: dict[str, str], least: int = 2, most: int = 20, several_languages: bool = False) -> list[dict]:
+    """Commits of `git log --no-merges --numstat --format=commit:%H:%s` as queries with the files they touch and these files' languages.
+
+    known: language by extension. Commits of too few or too many files of known extensions are left out, and, if asked for,
+    those of one language.
+    """
+    commits: list[dict] = []
     for line in log.splitlines():
         if line.startswith("commit:"):
             _, sha, subject = line.split(":", 2)
-            now = {"sha": sha, "query": subject, "gold_files": []}
-            if not any(re.search(rf"\b{w}", subject.lower()) for w in skip):
-                out.append(now)
-        elif now is not None and (m := re.match(r"(?:\d+|-)\t(?:\d+|-)\t(.+)", line)) and os.path.splitext(m[1])[1].lower() in known:
-            now["gold_files"].append(m[1])
-    return [c for c in out if least <= len(c["gold_files"]) <= most]
+            commits.append({"sha": sha, "query": subject, "gold_files": [], "languages": set()})
+        elif commits and (m := re.match(r"(?:\d+|-)\t(?:\d+|-)\t(.+)", line)) and (language := known.get(os.path.splitext(m[1])[1].lower())):
+            commits[-1]["gold_files"].append(m[1])
+            commits[-1]["languages"].add(language)
+    told = (c for c in commits if not any(w in c["query"].lower() for w in SKIPPED_SUBJECTS))
+    return [c | {"gold_files": sorted(c["gold_files"]), "languages": sorted(c["languages"])} for c in told if least <= len(c["gold_files"]) <= most and len(c["languages"]) > int(several_languages)]
 
 
 #: Edge weights for exploring: typed edges first.

@@ -56,6 +56,16 @@ def test_navigation(engine):
     assert engine.research("load texture", 5).hits.count() > 0
     assert "app/loader.py" in engine.repomap(200)
     assert "## Vitals" in engine.report()
+    used = {r.path: r for r in engine.find_usages("load_texture").rows.collect()}
+    assert used and all(r.edge_type in ("calls", "associated", "mentions") for r in used.values())
+
+
+def test_usages_are_explained(engine):
+    """A caller whose reference is placed at the definition is verified; all tables of an index move by one pointer."""
+    rows = {r.path: (r.edge_type, r.verified) for r in engine.find_usages("open_settings").rows.collect()}
+    assert rows["app/main.py"] == ("calls", True)
+    assert engine.catalog.meta()["edges"] == "built"
+    assert {"postings", "terms", "references", "members", "meta"} <= set(engine.catalog.versions())
 
 
 def test_change_equals_a_new_index(spark, engine, tree, tmp_path_factory):
@@ -68,6 +78,28 @@ def test_change_equals_a_new_index(spark, engine, tree, tmp_path_factory):
         rows = lambda e: sorted(map(str, e.catalog.read(t).select(*sorted(e.catalog.read(t).columns)).collect()))  # noqa: B023, E731
         assert rows(engine) == rows(fresh), t
     assert engine.index(str(tree), excludes=["node_modules"]) == {}
+    gone = engine.catalog.vacuum(keep=1)
+    assert gone and engine.catalog.vacuum(keep=1) == [] and engine.catalog.read("chunks").count() == fresh.catalog.read("chunks").count()
+
+
+def test_small_changes_are_folded_in(spark, tmp_path):
+    """Few changes in many files take the edges and the index from the change, and give what a new index gives."""
+    root = tmp_path / "many"
+    root.mkdir()
+    for i in range(40):
+        (root / f"m{i}.py").write_text(f"from m{(i + 1) % 40} import work{(i + 1) % 40}\n\n\ndef work{i}(x):\n    return work{(i + 1) % 40}(x) + shared_name{i % 3}(x)\n")
+    a, b = Engine(spark, str(tmp_path / "a")), Engine(spark, str(tmp_path / "b"))
+    a.index(str(root))
+    (root / "m7.py").write_text("def work7(x, y):\n    return work20(x)\n")
+    (root / "m31.py").unlink()
+    assert a.index(str(root)) == {"update": 1, "delete": 1}
+    assert a.catalog.meta()["edges"] == "refreshed"
+    b.index(str(root))
+    flat = lambda e, t, *drop: sorted(map(str, e.catalog.read(t).drop(*drop).select(*sorted(set(e.catalog.read(t).columns) - set(drop))).collect()))
+    for t in ("edges", "references", "typed", "mentions", "pairs", "xlang", "words", "lengths", "terms", "members", "indegree"):
+        assert flat(a, t) == flat(b, t), t
+    hits = lambda e: [(r.path, round(r.score, 9)) for r in e.search(Search("work20", "fts", 9)).rows.collect()]
+    assert hits(a) == hits(b) and hits(a)
 
 
 def test_requests(tmp_path):
@@ -81,8 +113,11 @@ def test_requests(tmp_path):
     (tmp_path / "ok.json").write_text('{"a": 1}')
     got, problems = config([str(tmp_path / n) for n in ("none.json", "bad.json", "ok.json")])
     assert got == {"a": 1} and len(problems) == 1
-    log = "commit:1:Add loader\n1\t2\ta.py\n3\t0\tb.py\n1\t1\tc.png\ncommit:2:Merge x\n1\t1\ta.py\n1\t1\tb.py\ncommit:3:One\n1\t1\ta.py\n"
-    assert commit_gold(log, {".py": "python"}) == [{"sha": "1", "query": "Add loader", "gold_files": ["a.py", "b.py"]}]
+    log = "commit:1:Add loader\n1\t2\ta.py\n3\t0\tb.py\n1\t1\tc.png\ncommit:2:Revert x\n1\t1\ta.py\n1\t1\tb.py\ncommit:3:One\n1\t1\ta.py\n"
+    assert commit_gold(log, {".py": "python"}) == [{"sha": "1", "query": "Add loader", "gold_files": ["a.py", "b.py"], "languages": ["python"]}]
+    assert commit_gold(log, {".py": "python"}, several_languages=True) == []
+    assert len(commit_gold(log, {".py": "python", ".png": "image"}, several_languages=True)) == 1
+    assert identifiers("scene/3d/light_3d.cpp, my-dir/file-name.py at 1.2/3") == ["scene/3d/light_3d.cpp", "my-dir/file-name.py"]
 
 
 def test_catalog_always_has_a_whole_pointer(spark, tmp_path):

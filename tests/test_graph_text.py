@@ -147,3 +147,30 @@ def test_kinds_and_caps(spark):
     df = spark.createDataFrame([(1, "en", "p"), (2, None, "p"), (3, "fr", "p")], "id int, language string, path string")
     assert [r.id for r in filters.kind(df, "docs", ("en",)).orderBy("id").collect()] == [2, 3]
     assert filters.cap(df, "path", 2, F.col("id")).count() == 2
+
+
+def test_nearest_of_many_queries(spark):
+    """As one query at a time, with ties, a filter, several blocks, and fewer rows than asked for."""
+    import random
+
+    r = random.Random(6)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(4)], i % 3) for i in range(60)] + [(60, [0.0] * 4, 0), (61, [1.0, 0.0, 0.0, 0.0], 1), (62, [2.0, 0.0, 0.0, 0.0], 1)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>, family int").repartition(3)
+    queries = v.where("id % 10 = 1").select(F.col("id").alias("query_id"), "embedding")
+    for where, k in ((None, 5), (F.col("family") == 1, 30)):
+        got = {}
+        for x in vectors.knn_many(v, queries, k, where, block=2).collect():
+            got.setdefault(x.query_id, []).append((x.rank, x.id, round(x.score, 9)))
+        for q in queries.collect():
+            cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5 or 1)
+            want = sorted((-round(cosine(q.embedding, e), 9), i) for i, e, f in rows if where is None or f == 1)[:k]
+            assert sorted(got[q.query_id]) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+
+
+def test_names_in_texts(spark):
+    from lodestone.operators import research
+
+    t = spark.createDataFrame([(1, "see ns::Tex::load and parserRunner, TexLoader or Manager; Alpha"), (2, "TexLoader httpHandler X")], "rank int, content string")
+    assert research.symbols_in(t) == ["Tex::load", "parserRunner", "TexLoader", "httpHandler"]
+    c = spark.createDataFrame([(i, f"x TexLoader{'s' if i % 2 else ''} y_") for i in range(30)], "id int, content string")
+    assert {(r.id, r.name) for r in research.holders(c, ["TexLoader", "none"], 3).collect()} == {(0, "TexLoader"), (2, "TexLoader"), (4, "TexLoader")}
