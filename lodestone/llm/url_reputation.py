@@ -5,11 +5,12 @@ shrunk through a beta-binomial prior towards the rate of the level above (host,
 prior's strength is fitted to the spread of the level's rates by moments. A page whose host is bad with a posterior
 lower bound above one half is blocked.
 
-Outcomes are given by the caller (page_id, bad), or else are weak labels that the pages carry: a page is bad if a word of
-its url is one that advertising, betting, pharmacy and adult pages use (BAD_WORDS), or if what it shows has no letters, or
-more than a tenth of it without space is signs that prose does not use. A null url has an empty host and path, no rule,
-and the verdict of the reputation of the empty host. A page with null url words and null html has no outcome, nor has one
-that the caller does not list; hosts without outcomes take the rate of their domain. Repeated rows are judged, and count, each.
+Outcomes are given by the caller (page_id, bad), or else are weak labels that the pages' contents carry, never their
+urls: a page is bad if what it shows has no letters, or more than a tenth of it without space is signs that prose does not
+use. A null url has an empty host and path, no rule, and the verdict of the reputation of the empty host. A page of null
+html has no outcome, nor has one that the caller does not list; hosts without outcomes take the rate of their domain.
+Repeated rows are judged, and count, each. held_out() tells how well a verdict learnt from half of the pages foretells the
+outcomes of the other half. Rows of hosts with a thousandth of all pages or more are spread over SALT keys in the join.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Second-level suffixes under which domains are registered.
 SECOND_LEVEL = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Url words of pages that are not wanted.
-BAD_WORDS = ("adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "pharmacy", "pills", "poker", "porn", "sex", "slots", "spam", "tracker", "viagra", "xxx")
 #: Standard deviations below the posterior mean, and the bad share above which a host is blocked.
 BOUND, BAD = 1.645, 0.5
+#: Share of all pages from which on a host counts as hot (so there are 1,000 at most), and keys that its rows go to.
+HOT, SALT = 0.001, 64
 
 
 def host_of(url: Column) -> Column:
@@ -67,9 +68,8 @@ def shown(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]*+>", " ")
 
 
-def outcome(url: Column, html: Column) -> Column:
+def outcome(html: Column) -> Column:
     """1 for a bad page, 0 for a good one, null for none: the weak labels."""
-    named = F.arrays_overlap(F.split(F.lower(url), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in BAD_WORDS]))
     poor = F.element_at(
         F.transform(
             F.array(shown(html)),
@@ -77,7 +77,7 @@ def outcome(url: Column, html: Column) -> Column:
         ),
         1,
     )
-    return F.when(F.coalesce(named, F.lit(False)), 1).when(html.isNotNull(), poor.cast("int")).when(url.isNotNull(), 0)
+    return F.when(html.isNotNull(), poor.cast("int"))
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
@@ -111,12 +111,40 @@ def judge(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None) -> D
     """
     rows = pick(pages, "page_id", "url", "html")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    if outcomes is None:
-        seen = rows.select(host.alias("host"), outcome(F.col("url"), F.col("html")).alias("bad"))
-    else:
-        listed = pick(outcomes, "page_id", "bad").select(F.col("page_id").alias("labelled"), F.col("bad").cast("int").alias("bad"))
-        seen = rows.select("page_id", host.alias("host")).join(listed, F.col("page_id") == F.col("labelled"), "left").select("host", "bad")
-    seen = keep(reputations(seen).select("host", F.col("p").alias("bad_rate"), F.col("low").alias("bad_bound")), "reputations")
+    seen = keep(reputations(_outcomes(rows, outcomes)).select("host", F.col("p").alias("bad_rate"), F.col("low").alias("bad_bound")), "reputations")
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r")).join(seen, "host")
+    rows = _with_host(rows.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r")), seen)
     return rows.select("page_id", "host", "path", "r.rule", F.coalesce("r.verdict", F.when(F.col("bad_bound") > BAD, "block").otherwise("allow")).alias("verdict"), "bad_rate", "bad_bound")
+
+
+def _outcomes(rows: DataFrame, outcomes: DataFrame | None) -> DataFrame:
+    """page_id, host and bad of each page: by the caller's table, or the weak label."""
+    rows = rows.select("page_id", host_of(F.col("url")).alias("host"), "html")
+    if outcomes is None:
+        return rows.select("page_id", "host", outcome(F.col("html")).alias("bad"))
+    listed = pick(outcomes, "page_id", "bad").select(F.col("page_id").alias("labelled"), F.col("bad").cast("int").alias("bad"))
+    return rows.join(listed, F.col("page_id") == F.col("labelled"), "left").select("page_id", "host", "bad")
+
+
+def _with_host(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """rows joined to their host's row in seen, hot hosts by several keys."""
+    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    hot = pages.crossJoin(F.broadcast(rows.agg(F.count("*").alias("all")))).where(F.col("pages") >= HOT * F.col("all"))  # one row
+    hot = F.broadcast(keep(hot.select("host", F.lit(True).alias("hot")), "hot-hosts"))  # 1 / HOT rows at most
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT))).otherwise(0)
+    keys = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    salted = rows.join(hot, "host", "left").withColumn("salt", salt.cast("int")).drop("hot")
+    spread = seen.join(hot, "host", "left").withColumn("salt", F.explode(keys)).drop("hot")
+    return salted.join(spread, ["host", "salt"]).drop("salt")
+
+
+def held_out(pages: DataFrame, outcomes: DataFrame | None = None, parts: int = 2) -> DataFrame:
+    """One row: of the pages with an outcome that were not learnt from, how many are bad, judged bad, and both.
+
+    Pages whose CRC of page_id is divisible by ``parts`` are held out; hosts that were not learnt from are judged good.
+    """
+    every = _outcomes(pick(pages, "page_id", "url", "html"), outcomes).withColumn("held", F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")) % parts == 0)
+    learnt = keep(reputations(every.where("NOT held")).where(F.col("low") > BAD).select("host", F.lit(1).alias("judged")), "blocked")
+    seen = every.where("held AND bad IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).join(learnt, "host", "left")
+    judged = F.col("judged").isNotNull()
+    return seen.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in (("n", F.col("n")), ("n_bad", F.col("bad")), ("n_judged", F.when(judged, F.col("n"))), ("n_both", F.when(judged, F.col("bad"))))])
