@@ -165,7 +165,9 @@ def labelled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     spark = docs.sparkSession
     total = max(docs.count(), 1)
     share = min(1.0, sample_rows / total)
-    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("secrets")), F.lit(1_000_000)) < max(int(share * 1_000_000), 1)).limit(sample_rows).select(_clean(F.col("text")).alias("text"))
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("secrets")), F.lit(1_000_000))
+    # the cut is by the draw, so that each run learns from the same rows, also where one id has many
+    sample = docs.where(draw < max(int(share * 1_000_000), 1)).orderBy(draw, "doc_id", "text").limit(sample_rows).select(_clean(F.col("text")).alias("text"))
     values = F.concat(
         F.transform(F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(0)), _long_value), lambda m: F.regexp_extract(m, ASSIGN, 2)),
         F.regexp_extract_all("text", F.lit(f"{ACCESS}|{HEX}"), F.lit(0)),

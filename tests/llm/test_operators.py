@@ -365,6 +365,29 @@ def test_secrets_models_on_held_out_tokens(spark, sf):
     assert sec.scan(real, model).where("n_markov > 0").count() == 0  # the tables hold no secrets but those of the patterns
 
 
+def test_secret_ratio_against_plain_python(spark, docs):
+    """The log-likelihood ratio of each pair, from all labelled tokens that are not held out; and the same in every run."""
+    import math
+
+    df = docs.select("doc_id", "text")
+    model = sec.train(df, 20)
+    assert sec.train(df.repartition(7), 20).ratio == model.ratio
+    tokens = sec.labelled(df, 20).where("pmod(xxhash64(token, 'held'), 2) = 0").collect()
+    count = [collections.Counter(), collections.Counter()]
+    place = lambda c: sec.ALPHABET.find(c) + 1
+    for t in tokens:
+        for a, b in zip(t.token, t.token[1:]):
+            count[t.random][place(a), place(b)] += t.weight
+    for _ in range(200):
+        a, b = rng.randrange(sec.WIDE), rng.randrange(sec.WIDE)
+        p = [(c[a, b] + 0.5) / sum(c[a, x] + 0.5 for x in range(sec.WIDE)) for c in count]
+        assert math.isclose(model.ratio[a * sec.WIDE + b], math.log(p[1] / p[0]), abs_tol=1e-9)
+    text = "key Zq8Lw2Xv9Rt4Bn7Kd3Hs6Fg1 and more"
+    score = sum(model.ratio[place(x) * sec.WIDE + place(y)] for x, y in zip("Zq8Lw2Xv9Rt4Bn7Kd3Hs6Fg1", "q8Lw2Xv9Rt4Bn7Kd3Hs6Fg1"))
+    got = sec.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert (got.n_markov == 1) == (score >= sec.TOTAL and score >= model.margin * 23)
+
+
 # 5 fingerprints
 
 
@@ -698,11 +721,10 @@ def test_url_reputation_chain_against_plain_python(spark):
 
 
 def test_url_weak_labels(spark):
+    """Outcomes come from what a page shows, whatever its url."""
     made = [
-        ("http://casino-win.a.net/1", "<p>words</p>", 1),
-        ("http://a.net/free/BETS.html", None, 1),
-        ("http://a.net/alphabets", "<p>words</p>", 0),
-        ("http://a.net/1", None, 0),
+        ("http://casino-win.a.net/1", "<p>words</p>", 0),
+        ("http://a.net/free/BETS.html", None, None),
         (None, None, None),
         (None, "<p>words</p>", 0),
         ("", "", 1),
@@ -713,16 +735,33 @@ def test_url_weak_labels(spark):
         ("http://a.net/", "<script></script>" * 50_000 + "<p>good words</p>", 0),
     ]
     df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(made)], "i long, url string, html string")
-    assert {r.i: r.bad for r in df.select("i", url.outcome(F.col("url"), F.col("html")).alias("bad")).collect()} == {i: b for i, (*_, b) in enumerate(made)}
-
-
-def test_url_method_blocks_hosts_of_the_tables(spark, sf):
-    """Hosts of unwanted pages are blocked where no rule decides, and no other host is."""
+    assert {r.i: r.bad for r in df.select("i", url.outcome(F.col("html")).alias("bad")).collect()} == {i: b for i, (*_, b) in enumerate(made)}
+
+
+def test_url_held_out_pages(spark, monkeypatch):
+    """Hosts that are bad by half of their pages are bad by the other half; hot hosts, repeated rows and clashing columns change nothing."""
+    r = random.Random(13)
+    rates = {f"h{i}.{d}": q for i, (d, q) in enumerate([("a.org", 0.02), ("b.org", 0.9), ("c.info", 0.97), ("d.info", 0.05), ("e.co.uk", 0.5)] * 3)}
+    rows = [(f"http://{h}/", int(r.random() < q)) for h, q in rates.items() for _ in range(60)] + [("http://h1.b.org/", 1)] * 600
+    df = spark.createDataFrame([(i, u, "<p>fine words</p>", b) for i, (u, b) in enumerate(rows)], "page_id long, url string, html string, bad int").select("*", F.lit(1).alias("Host"), F.lit("x").alias("salt"), F.lit(2).alias("hot"), F.lit(3).alias("hot"))
+    labels = df.select("page_id", "bad")
+    got = url.held_out(df, labels).first()
+    assert got.n_both >= 0.9 * got.n_judged > 0 and got.n_both >= 0.75 * got.n_bad and got.n == sum(zlib.crc32(str(i).encode()) % 2 == 0 for i in range(len(rows)))
+    rows_of = lambda: {(x.page_id, x.verdict, round(x.bad_bound, 9)) for x in url.judge(df, (), labels).collect()}
+    usual = rows_of()
+    assert {h for h, q in rates.items() if q > 0.8} == {x.host for x in url.judge(df, (), labels).where("verdict = 'block'").collect()}
+    monkeypatch.setattr(url, "HOT", 0.2)
+    assert rows_of() == usual and len(usual) == len(rows)
+    again = url.judge(df.union(df), (), labels)
+    assert again.count() == 2 * len(rows)
+
+
+def test_url_hosts_of_the_tables_are_alike_in_content(spark, sf):
+    """On the test tables hosts do not differ by what their pages show, so none is blocked but by a rule."""
     pages = spark.read.parquet(sf.replace("0.001", "0.1") + "/pages.parquet")
-    rows = url.judge(pages, rules=()).collect()
-    blocked = {r.host for r in rows if r.verdict == "block"}
-    assert blocked and all(set(re.split("[^a-z0-9]+", h)) & set(url.BAD_WORDS) for h in blocked)
-    assert blocked == {r.host for r in rows if set(re.split("[^a-z0-9]+", r.host)) & set(url.BAD_WORDS)}
+    got = url.held_out(pages).first()
+    assert got.n > 1000 and 0 < got.n_bad < 0.1 * got.n and got.n_judged == 0
+    assert url.judge(pages, rules=()).where("verdict = 'block'").count() == 0
 
 
 # 9 toxicity
