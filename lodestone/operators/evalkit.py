@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import keep
 from .graph import placed
 
 
@@ -95,11 +96,36 @@ def neighbourhood(returned: DataFrame, gold: DataFrame, anchors: DataFrame, ks=(
 
 
 def definition_of(references: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Each reference (ref_id, symbol, path, line) with one definition of its symbol: of the same file first, then the nearest line."""
-    d = definitions.select("symbol", F.col("path").alias("def_path"), F.col("line").alias("def_line"), "def_id")
-    both = references.join(d, "symbol")
-    order = Window.partitionBy("ref_id").orderBy(F.desc(F.col("path") == F.col("def_path")), F.abs(F.col("line") - F.col("def_line")), "def_id")
-    return both.withColumn("place", F.row_number().over(order)).where("place = 1").select("ref_id", "def_id")
+    """Each reference (ref_id, symbol, path, line) with one definition of its symbol: of the same file first, then the nearest line.
+
+    A reference looks in one scope of its symbol: its file, else the definitions that have a file, else all of them. The
+    nearest line above and below come from one pass over a scope's distinct lines, so no symbol makes pairs.
+    """
+    d = definitions.where("symbol IS NOT NULL").groupBy("symbol", "path", "line").agg(F.min("def_id").alias("def_id")).where("def_id IS NOT NULL")
+    scope = lambda kind, path=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if path is None else path).alias("of"))
+    filed = F.col("path").isNotNull()
+    scopes = F.array(F.when(filed, scope("file", F.col("path"))), F.when(filed, scope("files")), scope("all"))
+    d = d.select("symbol", F.explode(F.filter(scopes, lambda s: s.isNotNull())).alias("scope"), "line", "def_id").groupBy("symbol", "scope", "line").agg(F.min("def_id").alias("def_id"))
+    keys = references.where("symbol IS NOT NULL").select("symbol", "path", "line").distinct()
+    files = d.where("scope.kind = 'file'").select("symbol", F.col("scope.of").alias("path"), F.lit(True).alias("same")).distinct()
+    named = d.where("scope.kind = 'files'").select("symbol", F.lit(True).alias("named")).distinct()
+    keys = keys.join(files, ["symbol", "path"], "left").join(named, "symbol", "left")
+    tier = F.when(~filed, 2).when(F.col("same"), 0).when(F.col("named"), 1).otherwise(2)
+    own = F.when(filed & F.col("same"), scope("file", F.col("path"))).when(filed & F.col("named"), scope("files")).otherwise(scope("all"))
+    keys = keep(keys.select("symbol", "path", "line", own.alias("scope"), tier.alias("tier")), "lookups")
+    asked = keys.select("symbol", "scope", "line").distinct().withColumn("def_id", F.lit(None).cast(d.schema["def_id"].dataType))
+    lines = asked.unionByName(d).groupBy("symbol", "scope", "line").agg(F.min("def_id").alias("def_id"))
+    here = F.when(F.col("def_id").isNotNull() & F.col("line").isNotNull(), F.struct("line", "def_id"))
+    reached = lambda order: F.last(here, ignorenulls=True).over(Window.partitionBy("symbol", "scope").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("above", reached(F.asc("line"))).withColumn("below", reached(F.desc("line")))
+    found = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("line") - F.col(f"{c}.line")).alias("away"), F.col(f"{c}.def_id").alias("def_id")))
+    lines = lines.where("line IS NOT NULL").select("symbol", "scope", "line", F.least(found("above"), found("below")).alias("near"))
+    least = d.groupBy("symbol", "scope").agg(F.min("def_id").alias("any"))  # where no line tells them apart
+    got = keys.join(lines, ["symbol", "scope", "line"], "left").join(least, ["symbol", "scope"], "left")
+    got = got.select(F.col("symbol").alias("s"), F.col("path").alias("p"), F.col("line").alias("l"), "tier", F.col("near.away").alias("away"), F.coalesce("near.def_id", "any").alias("def_id")).where("def_id IS NOT NULL")
+    both = references.join(got, (F.col("symbol") == F.col("s")) & F.col("path").eqNullSafe(F.col("p")) & F.col("line").eqNullSafe(F.col("l")))
+    best = F.min(F.struct("tier", F.col("away").isNull().alias("far"), "away", "def_id"))
+    return both.groupBy("ref_id").agg(best.alias("b")).select("ref_id", "b.def_id")
 
 
 def equal_graphs(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFrame:
