@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import keep
@@ -61,13 +61,32 @@ def interval_union(spans: DataFrame) -> DataFrame:
 
 
 def resolve_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
-    """key_id, n and id: a gold key (path, name, chunk_type, content_hash) narrowed by name, then type, then hash; ambiguous ones have no id."""
-    both = gold.join(chunks.select("id", "path", "name", F.col("chunk_type").alias("ct"), F.col("content_hash").alias("ch")), ["path", "name"], "left")
+    """key_id, n and id: a gold key (path, name, chunk_type, content_hash) narrowed by name, then type, then hash; ambiguous ones have no id.
+
+    A key meets counts of the chunks of its name, of that name and type, and so on, never the chunks themselves: a name of
+    many chunks and many keys makes no pairs.
+    """
+    c = chunks.where("id IS NOT NULL").select("id", "path", "name", F.col("chunk_type").alias("ct"), F.col("content_hash").alias("ch"))
+    finest = c.groupBy("path", "name", "ct", "ch").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    both = gold.select("key_id", "path", "name", "chunk_type", "content_hash")
+    for at, more in (("named", []), ("typed", [("ct", "chunk_type")]), ("hashed", [("ch", "content_hash")]), ("exact", [("ct", "chunk_type"), ("ch", "content_hash")])):
+        part = finest.groupBy(F.col("path").alias("p"), F.col("name").alias("m"), *[F.col(x).alias(f"of_{x}") for x, _ in more]).agg(F.struct(F.sum("n").alias("n"), F.min("id").alias("id")).alias(at))
+        same = (F.col("path") == F.col("p")) & (F.col("name") == F.col("m"))
+        for x, y in more:
+            same = same & F.col(f"of_{x}").eqNullSafe(F.col(y))
+        both = both.join(part, same, "left").drop("p", "m", *[f"of_{x}" for x, _ in more])
     w = Window.partitionBy("key_id")
-    for flag in (F.col("ct").eqNullSafe(F.col("chunk_type")), F.col("ch").eqNullSafe(F.col("content_hash"))):
-        both = both.withColumn("ok", flag & F.col("id").isNotNull()).withColumn("some", F.max(F.col("ok").cast("int")).over(w)).withColumn("n", F.count("id").over(w))
-        both = both.where((F.col("n") <= 1) | (F.col("some") == 0) | F.col("ok")).drop("ok", "some", "n")
-    return both.groupBy("key_id").agg(F.count("id").alias("n"), F.when(F.count("id") == 1, F.min("id")).alias("id"))
+    n = lambda c: F.coalesce(F.col(f"{c}.n"), F.lit(0))
+
+    def narrowed(wide: str, narrow: str) -> Column:
+        """Whether a key keeps only what ``narrow`` counts: it has several of ``wide``, and some of these."""
+        return (F.sum(n(wide)).over(w) > 1) & (F.max(n(narrow)).over(w) > 0)
+
+    both = both.withColumn("by_type", narrowed("named", "typed"))
+    both = both.withColumn("wide", F.when(F.col("by_type"), F.col("typed")).otherwise(F.col("named"))).withColumn("narrow", F.when(F.col("by_type"), F.col("exact")).otherwise(F.col("hashed")))
+    both = both.withColumn("by_hash", narrowed("wide", "narrow"))
+    both = both.withColumn("got", F.when(F.col("by_hash"), F.col("narrow")).otherwise(F.col("wide")))
+    return both.groupBy("key_id").agg(F.sum(n("got")).alias("n"), F.when(F.sum(n("got")) == 1, F.min("got.id")).alias("id"))
 
 
 def sample_targets(chunks: DataFrame, stratum: str, stride: int) -> DataFrame:

@@ -47,3 +47,26 @@ def test_definition_of_makes_no_pairs(spark):
     refs = spark.range(600).selectExpr("id AS ref_id", "'s' AS symbol", "'x' AS path", "int(id % 50) AS line")
     defs = spark.range(400).selectExpr("'s' AS symbol", "'y' AS path", "int(id) AS line", "id AS def_id")
     assert largest_join(evalkit.definition_of(refs, defs)) <= 600
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gold_resolution_equals_all_pairs(spark, seed):
+    r = random.Random(seed)
+    row = lambda i: (i, r.choice(["x", "y", None]), r.choice(["f", "g", "h", None]), r.choice(["t", "u", None]), r.choice(["1", "2", "3", None]))
+    gold = [row(i) for i in range(60)] + [row(i) for i in range(4)]  # a key of several rows
+    chunks = [row(i) for i in range(r.choice([8, 40]))] + [(None, "x", "f", "t", "1")]
+    want = {}
+    for key in {g[0] for g in gold}:
+        left = [(g, c) for g in gold for c in chunks if g[0] == key and c[0] is not None and None not in g[1:3] and g[1:3] == c[1:3]]
+        for k in (3, 4):
+            ok = [(g, c) for g, c in left if g[k] == c[k]]
+            left = ok if len(left) > 1 and ok else left
+        want[key] = (len(left), left[0][1][0] if len(left) == 1 else None)
+    kinds = "path string, name string, chunk_type string, content_hash string"
+    got = evalkit.resolve_gold(spark.createDataFrame(gold, f"key_id long, {kinds}"), spark.createDataFrame(chunks, f"id long, {kinds}"))
+    assert sorted(got.collect()) == sorted((k, *v) for k, v in want.items())
+
+
+def test_gold_resolution_makes_no_pairs(spark):
+    row = lambda k: spark.range(300).selectExpr(f"id AS {k}", "'x' AS path", "'f' AS name", "'t' AS chunk_type", "string(id) AS content_hash")
+    assert largest_join(evalkit.resolve_gold(row("key_id"), row("id"))) <= 300
