@@ -82,7 +82,7 @@ def budgeted(lines: DataFrame, tokens: int, top: int = 10_000) -> DataFrame:
 
 
 def symbol_map(symbols: DataFrame, scores: DataFrame, tokens: int = 1000) -> DataFrame:
-    """rank, path, score, block and used: files by the sum of their symbols' scores, each with its symbols by score, while they fit.
+    """rank, path, score, block and used: files by the sum of their symbols' scores, each with its symbols by score, line, name and kind (none first), while they fit.
 
     symbols: path, name, kind, start_line, chunk_id; scores: id, score. A symbol without a score counts as the mean of its
     file, or of all. A block's cost is its characters and a blank line; the first that does not fit ends the map, but one
@@ -97,7 +97,7 @@ def symbol_map(symbols: DataFrame, scores: DataFrame, tokens: int = 1000) -> Dat
     first = per.select("path", total.alias("file_score"), "other").orderBy(F.desc("file_score"), "path").limit(max(chars // 4, 1))
     own = both.join(first, "path").withColumn("score", F.round(F.coalesce("score", "other"), 6))
     line = F.concat(F.lit("  "), F.when(F.col("kind").isNotNull(), F.concat("kind", F.lit(" "))).otherwise(""), "name", F.lit("  (line "), F.col("start_line").cast("string"), F.lit(")"))
-    lines = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "start_line", "name", line.alias("text"))))
+    lines = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "start_line", "name", "kind", line.alias("text"))))
     blocks = own.groupBy("path", "file_score").agg(F.concat("path", F.lit("\n"), F.array_join(F.transform(lines, lambda x: x["text"]), "\n")).alias("block"))
     order = Window.orderBy(F.desc("file_score"), "path")  # the short list of files above
     blocks = blocks.select("path", F.col("file_score").alias("score"), "block", F.row_number().over(order).alias("rank"), F.sum(F.char_length("block") + 2).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("used"))

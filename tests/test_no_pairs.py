@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lodestone.operators import evalkit
+from lodestone.operators import evalkit, report
 
 
 def largest_join(df):
@@ -70,3 +70,9 @@ def test_gold_resolution_equals_all_pairs(spark, seed):
 def test_gold_resolution_makes_no_pairs(spark):
     row = lambda k: spark.range(300).selectExpr(f"id AS {k}", "'x' AS path", "'f' AS name", "'t' AS chunk_type", "string(id) AS content_hash")
     assert largest_join(evalkit.resolve_gold(row("key_id"), row("id"))) <= 300
+
+
+def test_symbols_of_a_file_without_kind_come_first(spark):
+    symbols = spark.createDataFrame([("f", "zeta", "definition", 3, "a"), ("f", "zeta", None, 3, "b")], "path string, name string, kind string, start_line int, chunk_id string")
+    scores = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "id string, score double")
+    assert report.symbol_map(symbols, scores).first().block == "f\n  zeta  (line 3)\n  definition zeta  (line 3)"
