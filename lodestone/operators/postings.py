@@ -15,14 +15,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scratch import keep
 from .filters import first_then_fill
 from .text import K1, LEAST_IDF, WEIGHTS, B, Query, leaves_of, parse, query_tokens, tokens
 
 BLOCK, BUCKETS = 1024, 64
+#: A block of long documents has about so many tokens instead; a task puts so many blocks together, one at a time.
+BLOCK_TOKENS, BLOCKS_OF_A_TASK = 1 << 20, 8
 #: Blocks that are scored first, and how many there must be for bounds to pay.
 SEED_BLOCKS, PRUNE_FROM = 16, 64
 
@@ -57,39 +62,92 @@ class Index:
         return {f"{prefix}{n}": getattr(self, n) for n in ("postings", "terms", "lengths", "stats")}
 
 
-def _documents(df: DataFrame, columns: tuple[str, ...], blocks: int) -> DataFrame:
-    """block, term and doc (id, and for each column length, count and positions): one row for each term of each document."""
-    rows = df.select("id", block(F.col("id"), blocks).alias("block"), *columns).repartition("block")  # all that follows stays in its partition
-    placed = lambda k: lambda w, i: F.struct(w.alias("term"), F.lit(k).alias("col"), i.alias("pos"))
-    words = F.flatten(F.array(*[F.transform(tokens(F.col(c)), placed(k)) for k, c in enumerate(columns)]))
-    rows = rows.select("block", "id", F.explode(words).alias("w")).select("block", "id", "w.*")
-    at = [F.array_sort(F.collect_list(F.when(F.col("col") == k, F.col("pos")))).alias(f"at_{c}") for k, c in enumerate(columns)]
-    one = rows.groupBy("block", "id", "term").agg(*at)
-    return one.select("block", "term", F.struct("id", *[F.size(f"at_{c}").alias(f"tf_{c}") for c in columns], *[F.col(f"at_{c}") for c in columns]).alias("doc"))
+def _schema(id_type: str, columns: tuple[str, ...]) -> str:
+    """Columns of postings, but for the bucket."""
+    doc = ", ".join([f"id: {id_type}", *[f"tf_{c}: int" for c in columns], *[f"at_{c}: array<int>" for c in columns], *[f"n_{c}: int" for c in columns]])
+    counts = ", ".join([f"most_{c} int" for c in columns] + [f"least_{c} int" for c in columns] + ["df long"] + [f"df_{c} long" for c in columns])
+    return f"term string, block long, docs array<struct<{doc}>>, {counts}"
+
+
+def _tokenised(columns: tuple[str, ...]) -> list[Column]:
+    return [tokens(F.col(c)).alias(c) for c in columns]
 
 
 def _lengths(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.select("id", *[F.size(tokens(F.col(c))).alias(f"n_{c}") for c in columns])
 
 
-def _blocked(docs: DataFrame, lengths: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """postings of rows (block, term, doc), each document's lengths put in."""
-    known = lengths.select(F.col("id").alias("of"), *[f"n_{c}" for c in columns])
-    both = docs.join(known, F.col("doc.id") == F.col("of"))
-    fields = ["id", *[f"tf_{c}" for c in columns], *[f"at_{c}" for c in columns]]
-    doc = F.struct(*[F.col(f"doc.{f}").alias(f) for f in fields], *[F.col(f"n_{c}") for c in columns])
-    return both.groupBy("term", "block").agg(
-        F.array_sort(F.collect_list(doc)).alias("docs"),
-        *[F.max(f"doc.tf_{c}").alias(f"most_{c}") for c in columns],
-        *[F.min(f"n_{c}").alias(f"least_{c}") for c in columns],
-        F.count("*").alias("df"),
-        *[F.count_if(F.col(f"doc.tf_{c}") > 0).alias(f"df_{c}") for c in columns],
-    )
+def _pairs(rows, columns: tuple[str, ...]):
+    """An Arrow table of each term of each document (term and the fields of a doc) from rows of ids and tokens."""
+    import pyarrow as pa
+
+    ids, flat, doc, col, at, n = rows["id"].combine_chunks(), [], [], [], [], []
+    for k, c in enumerate(columns):
+        words = rows[c].combine_chunks()
+        size = words.value_lengths().to_numpy(zero_copy_only=False)
+        flat.append(words.flatten())
+        doc.append(np.repeat(np.arange(len(size)), size))
+        at.append(np.arange(len(doc[-1])) - np.repeat(np.cumsum(size) - size, size))
+        col.append(np.full(len(doc[-1]), k))
+        n.append(size)
+    coded = pa.concat_arrays(flat).dictionary_encode()
+    doc, col, at = np.concatenate(doc), np.concatenate(col), np.concatenate(at)
+    key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(ids), 1) + doc
+    order = np.argsort(key, kind="stable")  # within a pair by column, then place
+    key, col, at = key[order], col[order], at[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    of = key[starts] % max(len(ids), 1)
+    out = {"term": coded.dictionary.take(pa.array(key[starts] // max(len(ids), 1))), "id": ids.take(pa.array(of))}
+    tf = [np.add.reduceat(col == k, starts, dtype=np.int32) if len(starts) else np.zeros(0, np.int32) for k in range(len(columns))]
+    out |= {f"tf_{c}": pa.array(tf[k]) for k, c in enumerate(columns)}
+    out |= {f"at_{c}": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(tf[k])]).astype(np.int32), at[col == k].astype(np.int32)) for k, c in enumerate(columns)}
+    return pa.table(out | {f"n_{c}": pa.array(n[k][of].astype(np.int32)) for k, c in enumerate(columns)})
+
+
+def _rows(pairs, block: int, columns: tuple[str, ...], schema):
+    """Rows of postings, as an Arrow table, from the pairs of a block."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if not len(pairs):
+        return schema.empty_table()
+    pairs = pairs.combine_chunks()
+    one = lambda c: pairs[c].chunk(0)
+    coded, known = one("term").dictionary_encode(), pc.unique(one("id"))
+    rank = pc.index_in(one("id"), value_set=known.take(pc.sort_indices(known))).to_numpy()
+    key = coded.indices.to_numpy().astype(np.int64) * len(known) + rank
+    order = np.argsort(key, kind="stable")
+    code, pairs = key[order] // len(known), pairs.take(pa.array(order)).combine_chunks()
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    fields = ["id", *[f"{x}_{c}" for x in ("tf", "at", "n") for c in columns]]
+    docs = pa.StructArray.from_arrays([one(f) for f in fields], names=fields)
+    out = [coded.dictionary.take(pa.array(code[starts])), pa.array(np.full(len(starts), block)), pa.ListArray.from_arrays(np.append(starts, len(code)).astype(np.int32), docs)]
+    tf, n = ([one(f"{x}_{c}").to_numpy() for c in columns] for x in ("tf", "n"))
+    out += [np.maximum.reduceat(x, starts) for x in tf] + [np.minimum.reduceat(x, starts) for x in n] + [np.diff(np.append(starts, len(code)))]
+    out += [np.add.reduceat(x > 0, starts, dtype=np.int64) for x in tf]
+    return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=schema.names).cast(schema)
+
+
+def _in_blocks(df: DataFrame, columns: tuple[str, ...], blocks: int) -> DataFrame:
+    """postings of the documents of df. The texts are dealt out by block once, and each block is put together by itself."""
+    made = _schema(dict(df.dtypes)["id"], columns)
+    schema = to_arrow_schema(StructType.fromDDL(made))
+    rows = df.select("id", block(F.col("id"), blocks).alias("block"), *columns).repartition(_tasks(blocks), "block").sortWithinPartitions("block")
+
+    def whole(key, rows):
+        return _rows(_pairs(rows, columns), key[0].as_py(), columns, schema)
+
+    return rows.select("block", "id", *_tokenised(columns)).groupBy("block").applyInArrow(whole, made)
+
+
+def _tasks(blocks: int) -> int:
+    return -(-blocks // BLOCKS_OF_A_TASK)
 
 
 def _whole(postings: DataFrame, lengths: DataFrame, blocks: int, columns: tuple[str, ...], name: str) -> Index:
+    """The tables of postings, which are written as they lie: each task has its blocks' rows of all buckets."""
     counts = ["df", *[f"df_{c}" for c in columns]]
-    laid = postings.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+    laid = postings.withColumn("bucket", bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "block")
     postings = keep(laid, f"{name}-postings", "bucket")
     terms = keep(postings.groupBy("bucket", "term").agg(*[F.sum(c).alias(c) for c in counts]).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), f"{name}-terms", "bucket")
     stats = lengths.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(f"total_{c}") for c in columns]).withColumn("blocks", F.lit(blocks).cast("long"))
@@ -97,10 +155,11 @@ def _whole(postings: DataFrame, lengths: DataFrame, blocks: int, columns: tuple[
 
 
 def build(df: DataFrame, columns: tuple[str, ...] = ("name", "content"), block_size: int = BLOCK, name: str = "index") -> Index:
-    """The index of df (id, columns), written to the shared folder."""
+    """The index of df (id, columns), written to the shared folder. A block has ``block_size`` documents on average, or BLOCK_TOKENS tokens."""
     lengths = keep(_lengths(df, columns), f"{name}-lengths")
-    blocks = max(1, -(-lengths.count() // block_size))
-    return _whole(_blocked(_documents(df, columns, blocks), lengths, columns), lengths, blocks, columns, name)
+    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum(sum((F.col(f"n_{c}") for c in columns), F.lit(0)).cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_size), -(-total // BLOCK_TOKENS))
+    return _whole(_in_blocks(df, columns, blocks), lengths, blocks, columns, name)
 
 
 def update(index: Index, gone: DataFrame, fresh: DataFrame, name: str = "index") -> Index:
@@ -110,14 +169,38 @@ def update(index: Index, gone: DataFrame, fresh: DataFrame, name: str = "index")
     """
     columns, blocks = index.columns, int(index.sums["blocks"])
     out = gone.select("id").union(fresh.select("id")).distinct()
-    lengths = keep(index.lengths.join(out, "id", "left_anti").unionByName(_lengths(fresh, columns)), f"{name}-lengths")
-    touched = keep(out.select(block(F.col("id"), blocks).alias("block")).distinct(), f"{name}-touched")
-    old = index.postings.join(touched, "block", "left_semi").select("block", "term", F.explode("docs").alias("doc"))
-    old = old.join(out.withColumnRenamed("id", "of"), F.col("doc.id") == F.col("of"), "left_anti")
-    old = old.select("block", "term", F.col("doc").dropFields(*[f"n_{c}" for c in columns]).alias("doc"))
-    anew = _blocked(old.unionByName(_documents(fresh, columns, blocks)), lengths, columns)
+    stay = index.lengths.join(out, "id", "left_anti")
+    lengths = keep(stay.unionByName(_lengths(fresh, columns)), f"{name}-lengths")
+    touched = F.broadcast(keep(out.select(block(F.col("id"), blocks).alias("block")).distinct(), f"{name}-touched"))  # a row for each block
+    made = _schema(dict(index.lengths.dtypes)["id"], columns)
+    schema = to_arrow_schema(StructType.fromDDL(made))
+    moved = ["id", *[f"{x}_{c}" for x in ("tf", "at") for c in columns]]  # lengths are known from their own table
+
+    def anew(key, old, new):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        flat = {c: old[c].combine_chunks() for c in old.column_names if c not in ("block", "term")}
+        terms = old["term"].combine_chunks().take(pa.array(np.repeat(np.arange(len(old)), flat["id"].value_lengths().to_numpy())))
+        flat = {c: x.flatten() for c, x in flat.items()}
+        lists = {f"at_{c}": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(flat[f"tf_{c}"].to_numpy())]).astype(np.int32), flat[f"at_{c}"]) for c in columns}
+        pairs = pa.table([terms, *[lists[f] if f in lists else flat[f] for f in moved]], names=["term", *moved])
+        known = new.filter(pc.invert(new["fresh"])).combine_chunks()
+        of = pc.index_in(pairs["id"], value_set=known["id"].combine_chunks())
+        pairs, of = pairs.filter(of.is_valid()), of.drop_null()
+        for c in columns:
+            pairs = pairs.append_column(f"n_{c}", known[f"n_{c}"].take(of))
+        more = _pairs(new.filter(new["fresh"]), columns).select(pairs.column_names).cast(pairs.schema)
+        return _rows(pa.concat_tables([pairs, more]), key[0].as_py(), columns, schema)
+
+    fresh = fresh.select("id", F.lit(True).alias("fresh"), *columns).unionByName(stay.withColumn("fresh", F.lit(False)), allowMissingColumns=True)
+    fresh = fresh.withColumn("block", block(F.col("id"), blocks)).join(touched, "block", "left_semi").repartition(_tasks(blocks), "block")
+    # plain arrays, which take a third of the room of arrays of documents
+    plain = [F.flatten(F.col(f"docs.{f}")).alias(f) if f.startswith("at_") else F.col(f"docs.{f}").alias(f) for f in moved]
+    old = index.postings.join(touched, "block", "left_semi").select("block", "term", *plain).repartition(_tasks(blocks), "block")
+    now = old.groupBy("block").cogroup(fresh.select("block", "id", "fresh", *[f"n_{c}" for c in columns], *_tokenised(columns)).groupBy("block")).applyInArrow(anew, made)
     same = index.postings.join(touched, "block", "left_anti")
-    return _whole(same.select(*anew.columns).unionByName(anew), lengths, blocks, columns, name)
+    return _whole(same.select(*now.columns).unionByName(now), lengths, blocks, columns, name)
 
 
 # search

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lodestone.operators import evalkit, report
+from lodestone.operators import evalkit, postings, report
 
 
 def largest_join(df):
@@ -76,3 +76,28 @@ def test_symbols_of_a_file_without_kind_come_first(spark):
     symbols = spark.createDataFrame([("f", "zeta", "definition", 3, "a"), ("f", "zeta", None, 3, "b")], "path string, name string, kind string, start_line int, chunk_id string")
     scores = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "id string, score double")
     assert report.symbol_map(symbols, scores).first().block == "f\n  zeta  (line 3)\n  definition zeta  (line 3)"
+
+
+def test_an_index_moves_the_texts_once_and_an_update_the_postings_once(spark, monkeypatch):
+    plans, real = {}, postings.keep
+
+    def keep(df, name="table", *folders):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name, *folders)
+
+    monkeypatch.setattr(postings, "keep", keep)
+    monkeypatch.setattr(postings, "BLOCKS_OF_A_TASK", 1, raising=False)
+    rows = spark.createDataFrame([(i, "name", f"w{i % 7} w{i % 5} alpha") for i in range(40)], "id long, name string, content string")
+    index = postings.build(rows, block_size=8)
+    assert plans["index-postings"].count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plans["index-postings"]
+    assert "Aggregate" not in plans["index-postings"]
+    postings.update(index, rows.where("id % 3 = 0").select("id"), rows.where("id % 3 = 1"))
+    moved = [x for x in plans["index-postings"].split("\n") if "Exchange hashpartitioning(block" in x]
+    assert len(moved) == 2 and "Exchange rangepartitioning" not in plans["index-postings"]  # the postings, and what changes them
+
+
+def test_blocks_of_long_documents_have_fewer(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_TOKENS", 50, raising=False)
+    rows = spark.createDataFrame([(i, None, "alpha " * 20) for i in range(20)], "id long, name string, content string")
+    index = postings.build(rows)
+    assert index.sums["blocks"] == 8 and index.postings.selectExpr("sum(df)").first()[0] == 20
