@@ -147,3 +147,10 @@ def test_braces_cover_the_file_and_refuse_what_is_broken():
 def test_calls_have_eight_variants_of_a_name_at_most():
     text = "int f() { " + " ".join(f"g({', '.join('x' * (i + 1))});" for i in range(20)) + " }"
     assert len(next(iter(s.braced(text, "x.c"))).calls) == s.MOST_VARIANTS
+
+
+@pytest.mark.parametrize("read", [s.segment_files, s.symbol_table])
+def test_files_of_one_part_are_dealt_out(spark, read):
+    files = spark.range(0, 40, 1, 1).selectExpr("concat('f', id, '.cpp') AS path", "concat('void go', id, '() { }') AS content")
+    got = read(files)
+    assert got.rdd.getNumPartitions() > 1 and got.where("name IS NOT NULL").count() == 40
