@@ -30,6 +30,8 @@ BLOCK, BUCKETS = 1024, 64
 BLOCK_TOKENS, BLOCKS_OF_A_TASK = 1 << 20, 8
 #: Blocks that are scored first, and how many there must be for bounds to pay.
 SEED_BLOCKS, PRUNE_FROM = 16, 64
+#: Words of names, and bytes of their texts, up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
 def bucket(term: Column) -> Column:
@@ -348,22 +350,60 @@ def keyword_fill(index: Index, terms: list[str], top_k: int) -> DataFrame:
 # many phrases at once
 
 
+def _sent(df: DataFrame, texts: Column) -> DataFrame:
+    """df, to be broadcast if it is counted to be small: BROADCAST_ROWS and BROADCAST_BYTES of texts at most."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(texts)), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def _matches(rows, names, schema):
+    """An Arrow table of name and id: rows of a block's postings (term, id, at) in which the words (w) of names stand in a row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ids = pa.chunked_array([x.flatten() for x in rows["id"].chunks], rows.schema.field("id").type.value_type)
+    known = pc.unique(ids)
+    known = known.take(pc.sort_indices(known))
+    of, keys, a = pc.index_in(ids, value_set=known).to_numpy(), {}, 0
+    for term, lists in zip(rows["term"].to_pylist(), (x for c in rows["at"].chunks for x in c), strict=True):
+        at, n = lists.values, len(lists.values)
+        at_doc = np.repeat(of[a : a + n], at.value_lengths().to_numpy().astype(np.int64)).astype(np.int64)
+        keys[term] = np.sort((at_doc << 32) | at.flatten().to_numpy())  # by document, then place
+        a += n
+    found_name, found_id = [], []
+    for name, w in zip(names["name"].to_pylist(), names["w"].to_pylist(), strict=True):
+        k = min(range(len(w)), key=lambda i: len(keys[w[i]]))  # the rarest word; the others are looked up beside it
+        start = keys[w[k]]
+        start = start[(start & 0xFFFFFFFF) >= k] - k
+        for j, word in enumerate(w):
+            if j != k and len(start):
+                there = keys[word]
+                start = start[there[np.minimum(np.searchsorted(there, start + j), len(there) - 1)] == start + j]
+        docs = np.unique(start >> 32)
+        found_id.append(docs)
+        found_name += [name] * len(docs)
+    found = np.concatenate(found_id).astype(np.int64) if found_id else np.zeros(0, np.int64)
+    return pa.table([pa.array(found_name, pa.string()), known.take(pa.array(found))], names=schema.names).cast(schema)
+
+
 def phrases(index: Index, names: DataFrame, column: str = "content") -> DataFrame:
     """name and id: documents that hold all words of a name (one column, ``name``) in a row, for any number of names.
 
-    The name's rarest word finds candidates; a candidate stays if every other word stands at its place from there.
+    Of the postings only those of the names' words are moved, as they lie and once: to their block. There the places of a name's
+    rarest word are held against those of its other words. A block is sent the names all of whose words it has.
     """
     words = names.select("name").distinct().withColumn("w", tokens(F.col("name"))).where(F.size("w") > 0)
-    words = words.select("name", F.size("w").alias("size"), F.posexplode("w").alias("off", "term")).withColumn("bucket", bucket(F.col("term")))
-    counted = words.join(index.terms.select("bucket", "term", F.col(f"df_{column}").alias("n")), ["bucket", "term"])
-    whole = counted.groupBy("name", "size").agg(F.count("*").alias("known"), F.min(F.struct("n", "off", "bucket", "term")).alias("r")).where("known = size")
-    places = index.postings.select("bucket", "term", "block", F.explode("docs").alias("d")).where(F.size(F.col(f"d.at_{column}")) > 0).select("bucket", "term", "block", F.col("d.id").alias("id"), F.col(f"d.at_{column}").alias("at"))
-    rare = whole.select("name", "size", "r.off", "r.bucket", "r.term")
-    found = rare.join(places, ["bucket", "term"]).select("name", "size", "off", "block", "id", F.transform("at", lambda p: p - F.col("off")).alias("starts"))
-    found = keep(found, "phrase-candidates")
-    single = found.where("size = 1").select("name", "id")
-    others = words.select("name", "bucket", "term", F.col("off").alias("off2"))
-    more = found.where("size > 1").join(others, "name").where("off2 <> off").select("name", "size", "block", "id", "starts", "bucket", "term", "off2")
-    held = more.join(places, ["bucket", "term", "block", "id"]).select("name", "size", "id", "off2", F.explode(F.array_intersect("starts", F.transform("at", lambda p: p - F.col("off2")))).alias("start"))
-    whole_ = held.groupBy("name", "size", "id", "start").agg(F.count("*").alias("n")).where("n = size - 1").select("name", "id")
-    return single.union(whole_).distinct()
+    each = words.select("name", "w", F.explode("w").alias("term")).withColumn("bucket", bucket(F.col("term")))
+    each = _sent(keep(each, "phrase-words"), F.concat("name", "name", "term"))
+    held = index.postings.where(F.col(f"df_{column}") > 0)
+    asked = held.select("bucket", "term", "block").join(each, ["bucket", "term"]).groupBy("name", "w", "block").agg(F.count("*").alias("n")).where(F.col("n") == F.size("w"))
+    asked = keep(asked.select("block", "name", "w"), "phrase-names")
+    some = held.join(each.select("bucket", "term"), ["bucket", "term"], "left_semi")
+    rows = some.select("block", "term", F.col("docs.id").alias("id"), F.col(f"docs.at_{column}").alias("at"))
+    made = StructType.fromDDL(f"name string, id {dict(index.lengths.dtypes)['id']}")
+    schema = to_arrow_schema(made)
+
+    def match(rows, names):
+        return _matches(rows, names, schema)
+
+    return rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(match, made)

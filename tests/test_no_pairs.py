@@ -112,3 +112,17 @@ def test_recall_of_a_class_makes_no_pairs(spark):
     assert largest_join(got) <= 240
     pairs = queries.join(members, "family").where("query_id <> id").select("query_id", "id")
     assert sorted(got.collect()) == sorted(evalkit.set_recall(returned, pairs).collect())
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_phrases_move_the_words_postings_once_as_they_lie(spark, monkeypatch, most):
+    monkeypatch.setattr(postings, "BROADCAST_ROWS", most, raising=False)
+    r = random.Random(5)
+    texts = {f"d{i}": [r.choice("abcdef") for _ in range(r.randrange(30))] for i in range(60)}
+    index = postings.build(spark.createDataFrame([(k, "a b", " ".join(t)) for k, t in texts.items()], "id string, name string, content string"), block_size=9)
+    names = [("a",), ("a a",), ("a b a b",), ("f e d",), ("b zzz",), (None,), ("a",)]
+    got = postings.phrases(index, spark.createDataFrame(names, "name string"))
+    want = sorted((n, k) for n in {n for (n,) in names if n} for k, t in texts.items() if f" {n} " in f" {' '.join(t)} ")
+    assert sorted(got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "df_content" in plan  # no document's places are dealt out one by one
