@@ -6,7 +6,10 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows, and bytes of their texts, of a table up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
 _written: dict[str, SparkSession] = {}
 
 
@@ -35,6 +38,13 @@ def keep(df: DataFrame, name: str = "table", *folders: str) -> DataFrame:
     return out
 
 
+def sent(df: DataFrame, *texts: str) -> DataFrame:
+    """A kept df, to be broadcast if it is counted to be small: BROADCAST_ROWS, and BROADCAST_BYTES of texts (columns), at most."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in texts), F.lit(0)).cast("long")
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
 def _delete(path: str) -> None:
     spark = _written.pop(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

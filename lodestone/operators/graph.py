@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..functions.scratch import keep
+from ..functions.scratch import keep, sent
 
 MOST_DEFINERS, SHORTEST = 8, 3
 BUCKETS_PER_DOUBLING = 4
@@ -28,15 +28,28 @@ def name_index(names: DataFrame) -> DataFrame:
     return everyone.join(few, "name", "left_semi").select("name", "id")
 
 
-def words(chunks: DataFrame) -> DataFrame:
-    """id and each different word of its content, of three characters or more."""
-    return chunks.select("id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("name")).where(F.char_length("name") >= SHORTEST)
+def words(chunks: DataFrame, but: Column | None = None) -> DataFrame:
+    """id and each different word of its content, of three characters or more; without those of an array of the chunk, if given."""
+    found = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    return chunks.select("id", F.explode(found if but is None else F.array_except(found, but)).alias("name")).where(F.char_length("name") >= SHORTEST)
 
 
-def mentions(chunks: DataFrame, index: DataFrame, own: DataFrame) -> DataFrame:
-    """from_id, to_id, name: words of a chunk that another chunk defines and that are not its own names."""
-    found = words(chunks).join(index.withColumnRenamed("id", "to_id"), "name").withColumnRenamed("id", "from_id").where("from_id <> to_id")
-    return found.join(own.select(F.col("id").alias("from_id"), "name"), ["from_id", "name"], "left_anti").select("from_id", "to_id", "name")
+def mentions(chunks: DataFrame, index: DataFrame, own: DataFrame | Column) -> DataFrame:
+    """from_id, to_id, name: words of a chunk that another chunk defines and that are not its own names (a table of id and name, or an array of each chunk)."""
+    index = sent(keep(index.select("name", "id"), "index"), "name", "id")
+    return mentioned(words(chunks), index, own) if isinstance(own, DataFrame) else mentioned(words(chunks, own), index)
+
+
+def mentioned(words: DataFrame, index: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """mentions of words (id, name)."""
+    found = words.join(index.withColumnRenamed("id", "to_id"), "name").withColumnRenamed("id", "from_id").where("from_id <> to_id").select("from_id", "to_id", "name")
+    return without(found, own.withColumnRenamed("id", "from_id"), "from_id", "name") if own is not None else found
+
+
+def without(found: DataFrame, own: DataFrame, *keys: str) -> DataFrame:
+    """found without the rows whose keys own has. An anti join would be made before the joins that make found, on all words."""
+    own = own.select(*keys).distinct().withColumn("own", F.lit(True))
+    return found.join(own, list(keys), "left").where("own IS NULL").select(*found.columns)
 
 
 def keyed(pairs: DataFrame) -> DataFrame:
@@ -44,7 +57,7 @@ def keyed(pairs: DataFrame) -> DataFrame:
 
     Pointwise mutual information is log(all pairs / (n * df)): the pairs of the least n * df are the surest, at any total.
     """
-    pairs = pairs.select("id", "name").distinct()
+    pairs = pairs.select("id", "name").where("id IS NOT NULL AND name IS NOT NULL").repartition("id").distinct()  # moved once: an id's rows are counted and met where they lie
     n = pairs.groupBy("id").agg(F.count("*").alias("n"))
     df = pairs.groupBy("name").agg(F.count("*").alias("df"))
     return pairs.join(n, "id").join(df, "name").select("id", "name", "n", "df")
@@ -142,7 +155,7 @@ def merge(edges: DataFrame) -> DataFrame:
 
 def associated(mentions_: DataFrame, top: DataFrame) -> DataFrame:
     """Mention edges, those whose (from_id, name) is among the surest pairs relabelled."""
-    t = top.select(F.col("id").alias("from_id"), "name", F.lit(True).alias("sure"))
+    t = sent(keep(top.select(F.col("id").alias("from_id"), "name", F.lit(True).alias("sure")), "sure"), "from_id", "name")
     return mentions_.join(t, ["from_id", "name"], "left").select("from_id", "to_id", F.when(F.col("sure"), "associated").otherwise("mentions").alias("edge_type"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.scratch import keep
+from ..functions.scratch import keep, sent
 from .filters import first_then_fill
 from .text import K1, LEAST_IDF, WEIGHTS, B, Query, leaves_of, parse, query_tokens, tokens
 
@@ -30,8 +30,6 @@ BLOCK, BUCKETS = 1024, 64
 BLOCK_TOKENS, BLOCKS_OF_A_TASK = 1 << 20, 8
 #: Blocks that are scored first, and how many there must be for bounds to pay.
 SEED_BLOCKS, PRUNE_FROM = 16, 64
-#: Words of names, and bytes of their texts, up to which they are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
 def bucket(term: Column) -> Column:
@@ -350,12 +348,6 @@ def keyword_fill(index: Index, terms: list[str], top_k: int) -> DataFrame:
 # many phrases at once
 
 
-def _sent(df: DataFrame, texts: Column) -> DataFrame:
-    """df, to be broadcast if it is counted to be small: BROADCAST_ROWS and BROADCAST_BYTES of texts at most."""
-    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(texts)), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
-
-
 def _matches(rows, names, schema):
     """An Arrow table of name and id: rows of a block's postings (term, id, at) in which the words (w) of names stand in a row."""
     import pyarrow as pa
@@ -394,7 +386,7 @@ def phrases(index: Index, names: DataFrame, column: str = "content") -> DataFram
     """
     words = names.select("name").distinct().withColumn("w", tokens(F.col("name"))).where(F.size("w") > 0)
     each = words.select("name", "w", F.explode("w").alias("term")).withColumn("bucket", bucket(F.col("term")))
-    each = _sent(keep(each, "phrase-words"), F.concat("name", "name", "term"))
+    each = sent(keep(each, "phrase-words"), "name", "name", "term")
     held = index.postings.where(F.col(f"df_{column}") > 0)
     asked = held.select("bucket", "term", "block").join(each, ["bucket", "term"]).groupBy("name", "w", "block").agg(F.count("*").alias("n")).where(F.col("n") == F.size("w"))
     asked = keep(asked.select("block", "name", "w"), "phrase-names")

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.operators import evalkit, postings, report
+from lodestone.functions import scratch
+from lodestone.operators import evalkit, graph, postings, report
 
 
 def largest_join(df):
@@ -116,7 +118,7 @@ def test_recall_of_a_class_makes_no_pairs(spark):
 
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_phrases_move_the_words_postings_once_as_they_lie(spark, monkeypatch, most):
-    monkeypatch.setattr(postings, "BROADCAST_ROWS", most, raising=False)
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", most, raising=False)
     r = random.Random(5)
     texts = {f"d{i}": [r.choice("abcdef") for _ in range(r.randrange(30))] for i in range(60)}
     index = postings.build(spark.createDataFrame([(k, "a b", " ".join(t)) for k, t in texts.items()], "id string, name string, content string"), block_size=9)
@@ -126,3 +128,21 @@ def test_phrases_move_the_words_postings_once_as_they_lie(spark, monkeypatch, mo
     assert sorted(got.collect()) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "df_content" in plan  # no document's places are dealt out one by one
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_own_names_are_dropped_after_words_meet_definers(spark, monkeypatch, most):
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", most, raising=False)
+    chunks = spark.createDataFrame([(i, f"name{i}" if i % 3 else None, " ".join(f"name{j} w{j}" for j in range(i % 7, i % 7 + 9))) for i in range(40)], "id long, name string, content string")
+    own = chunks.where("name IS NOT NULL").select("id", "name")
+    got = graph.mentions(chunks, graph.name_index(own), own)
+    names = {r.id: r.name for r in own.collect()}
+    want = sorted((r.id, i, n) for r in chunks.collect() for i, n in names.items() if n in r.content.split() and i != r.id and names.get(r.id) != n)
+    assert sorted(got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.index("LeftOuter") < plan.index("Inner")  # words are not moved by their chunk
+    assert sorted(graph.mentions(chunks, graph.name_index(own), F.array("name")).collect()) == want
+    pairs = got.select(F.col("from_id").alias("id"), "name")
+    keyed = graph.keyed(pairs.localCheckpoint())
+    keyed.collect()
+    assert keyed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") >= 2  # pairs are moved once
