@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import edgeset, graph, usages
+from lodestone.operators import edgeset, graph, incremental, usages
 
 ENTRY = "entry_id string, from_id string, language string, kind string, name string, receiver string, arity int"
 DEFINER = "name string, to_id string, language string, qualifier string, arity_min int, arity_max int, variadic boolean"
@@ -124,3 +124,18 @@ def test_surest_pairs_are_the_best_by_pmi(spark):
         assert {(x.id, x.name) for x in got} == set(want)
         assert all(math.isclose(x.score, math.log2(len(pairs) / (n[x.id] * df[x.name]))) for x in got)
     assert graph.pmi(spark.createDataFrame([], "id int, name string").select("id", F.col("name"))).count() == 0
+
+
+def test_a_refresh_meets_words_with_touched_names_before_changed_chunks(spark):
+    words = spark.createDataFrame([(i, f"n{j}") for i in range(30) for j in range(i % 5, i % 5 + 4)], "id long, name string")
+    index = lambda k: spark.createDataFrame([(f"n{j}", 100 + j + (k if j == 3 else 0)) for j in range(8)], "name string, id long")
+    changed = spark.createDataFrame([(2,), (9,)], "id long")
+    full = lambda w, x: {(r.id, t.id, r.name) for r in w.collect() for t in x.collect() if t.name == r.name}
+    stored = spark.createDataFrame(sorted(full(words, index(0))), "from_id long, to_id long, name string")
+    fresh = spark.createDataFrame([(2, "n7"), (9, "n3")], "id long, name string")
+    now = words.where("id NOT IN (2, 9)").unionByName(fresh)
+    got = incremental.mentions_refresh(stored, words, index(0), index(50), changed, fresh)
+    assert sorted(got.collect()) == sorted(full(now, index(50)))
+    plan = incremental.mentions_refresh(stored, words, index(0), index(50), changed, fresh).where("name = 'n3'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan
+    assert sorted(incremental.mentions_refresh(stored, now, index(0), index(50), changed).collect()) == sorted(full(now, index(50)))
