@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..functions.scratch import keep, sent
+from ..functions.scratch import forget, keep, sent
 
 MOST_DEFINERS, SHORTEST = 8, 3
 BUCKETS_PER_DOUBLING = 4
@@ -206,22 +206,28 @@ def pagerank(edges: DataFrame, ids: DataFrame, weights: Column | None = None, al
     Stops when the change is under n·1e-6, or after a fixed number of iterations; each is one join and one sum.
     """
     n = ids.count()
-    w = edges.select("from_id", "to_id", (weights if weights is not None else F.lit(1.0)).cast("double").alias("w")).where("w > 0")
-    out = w.groupBy("from_id").agg(F.sum("w").alias("total"))
-    links = keep(w.join(out, "from_id").select("from_id", "to_id", (F.col("w") / F.col("total")).alias("share")))
-    nodes = keep(ids.select("id").join(out.select(F.col("from_id").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")))
-    x = nodes.withColumn("score", F.lit(1.0 / max(n, 1)))
-    for i in range(iterations or most):
-        lost = x.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        into = x.select(F.col("id").alias("from_id"), "score").join(links, "from_id").groupBy("to_id").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        new = x.withColumnRenamed("score", "before").join(into.withColumnRenamed("to_id", "id"), "id", "left").crossJoin(F.broadcast(lost))  # lost is one row
-        new = new.withColumn("score", alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).select("id", "dangling", "score", "before")
-        if iterations is None or i % 5 == 4 or i == (iterations or 0) - 1:
-            new = keep(new)
+    w = keep(edges.select("from_id", "to_id", (weights if weights is not None else F.lit(1.0)).cast("double").alias("w")).where("w > 0"), "weighted")
+    out = keep(w.groupBy("from_id").agg(F.sum("w").alias("total"), F.count("*").alias("links")), "totals")
+    # a row has some 1,024 links of a node, so that its id and score are met once for all of them
+    part = F.pmod(F.xxhash64("to_id"), F.expr("links div 1024 + 1"))
+    links = w.join(out, "from_id").groupBy("from_id", part.alias("part")).agg(F.collect_list(F.struct("to_id", (F.col("w") / F.col("total")).alias("share"))).alias("links"))
+    links = keep(links.select("from_id", "links"), "links")
+    forget(w)
+    x = ids.select("id").join(out.select(F.col("from_id").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / max(n, 1)).alias("score"))
+    x = keep(x, "scores")
+    for _ in range(iterations if iterations is not None else most):
+        lost = x.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        into = x.select(F.col("id").alias("from_id"), "score").join(links, "from_id").select("score", F.explode("links").alias("l"))
+        into = into.groupBy(F.col("l.to_id").alias("id")).agg(F.sum(F.col("score") * F.col("l.share")).alias("got"))
+        score = alpha * (F.coalesce("got", F.lit(0.0)) + lost / max(n, 1)) + (1 - alpha) / max(n, 1)
+        # kept at each step: the scores are read three times by the next one
+        new = keep(x.withColumnRenamed("score", "before").join(into, "id", "left").select("id", "dangling", score.alias("score"), "before"), "scores")
         if iterations is None and new.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < n * 1e-6:
             return new.select("id", "score")
-        x = new.drop("before")
-    return x.select("id", "score") if iterations else nodes.select("id", F.lit(1.0).alias("score"))
+        forget(x)
+        kept_at, x = new.kept_at, new.drop("before")
+        x.kept_at = kept_at
+    return x.select("id", "score") if iterations else x.select("id", F.lit(1.0).alias("score"))
 
 
 # hierarchy

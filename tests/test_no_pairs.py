@@ -146,3 +146,31 @@ def test_own_names_are_dropped_after_words_meet_definers(spark, monkeypatch, mos
     keyed = graph.keyed(pairs.localCheckpoint())
     keyed.collect()
     assert keyed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") >= 2  # pairs are moved once
+
+
+def kept_names(monkeypatch):
+    names, real = [], graph.keep
+
+    def keep(df, name="table", *folders):
+        names.append(name)
+        return real(df, name, *folders)
+
+    monkeypatch.setattr(graph, "keep", keep)
+    return names
+
+
+def test_pagerank_keeps_each_step(spark, monkeypatch):
+    names = kept_names(monkeypatch)
+    edges = [("hub", f"n{i}") for i in range(1500)] + [(f"n{i}", "hub") for i in range(0, 1500, 2)]
+    ids = ["hub", *[f"n{i}" for i in range(1500)]]
+    got = {r.id: r.score for r in graph.pagerank(spark.createDataFrame(edges, "from_id string, to_id string"), spark.createDataFrame([(i,) for i in ids], "id string"), iterations=3).collect()}
+    x, out = dict.fromkeys(ids, 1 / len(ids)), {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    for _ in range(3):
+        lost, new = sum(s for i, s in x.items() if i not in out), dict.fromkeys(ids, 0.0)
+        for a, to in out.items():
+            for b in to:
+                new[b] += x[a] / len(to)
+        x = {i: 0.85 * (s + lost / len(ids)) + 0.15 / len(ids) for i, s in new.items()}
+    assert got == pytest.approx(x) and names.count("scores") == 4
