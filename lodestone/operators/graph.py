@@ -300,7 +300,7 @@ def trace_pairs(edges: DataFrame, ends: DataFrame, most: int = 6, fan_out: int |
     Only edges of frontiers are ranked; both sides keep parents, from which the paths are put together.
     """
     both = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "edge_type").unionByName(edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"), "edge_type"))
-    both = both.select("a", "b", X.trace_rank(F.col("edge_type")).alias("rank"))
+    both = keep(both.select("a", "b", X.trace_rank(F.col("edge_type")).alias("rank")), "both")
     ends = ends.select("pair", "side", "id").where("id IS NOT NULL").distinct()
     front = keep(ends.select("pair", "side", "id", F.lit(0).alias("depth"), F.lit(None).cast(ends.schema["id"].dataType).alias("parent")), "front")
     common = front.groupBy("pair", "id").agg(F.count("*").alias("n")).where("n = 2")
@@ -312,7 +312,7 @@ def trace_pairs(edges: DataFrame, ends: DataFrame, most: int = 6, fan_out: int |
         turn = keep(turn, "turn")
         if turn.isEmpty():
             break
-        steps = front.join(turn, ["pair", "side"]).select("pair", "side", F.col("id").alias("a"), "depth").join(both, "a")
+        steps = sent(keep(front.join(turn, ["pair", "side"]).select("pair", "side", F.col("id").alias("a"), "depth"), "frontier"), "pair", "a").join(both, "a")
         steps = steps.groupBy("pair", "side", "a", "b", "depth").agg(F.min("rank").alias("rank"))
         if fan_out is not None:
             place = F.row_number().over(Window.partitionBy("pair", "side", "a").orderBy("rank", "b"))

@@ -174,3 +174,11 @@ def test_pagerank_keeps_each_step(spark, monkeypatch):
                 new[b] += x[a] / len(to)
         x = {i: 0.85 * (s + lost / len(ids)) + 0.15 / len(ids) for i, s in new.items()}
     assert got == pytest.approx(x) and names.count("scores") == 4
+
+
+def test_a_trace_makes_its_edges_once(spark, monkeypatch):
+    names = kept_names(monkeypatch)
+    edges = spark.createDataFrame([(i, i + 1, "calls") for i in range(6)], "from_id int, to_id int, edge_type string")
+    ends = spark.createDataFrame([(0, 0, 0), (0, 1, 3)], "pair int, side int, id int")
+    assert [(r.pair, r.hops, r.path) for r in graph.trace_pairs(edges, ends, 4, None).collect()] == [(0, 3, [0, 1, 2, 3])]
+    assert names.count("both") == 1
