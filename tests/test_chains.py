@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import pytest
 
@@ -225,3 +226,42 @@ def test_random_models(spark, seed):
 
 def test_nothing(spark):
     assert run(spark, [], [], [], [(None, ".", "typed", "A", ["x"], "f", None)]) == {0: ("no_class", None)}
+
+
+def test_odd_models(spark):
+    """A name of the same signature on the way, more bases than count, a cycle, and more classes of a name than lie in its row."""
+    twin = next(f"t{i}" for i in range(1000) if zlib.crc32(f"t{i}".encode()) % 64 == zlib.crc32(b"f") % 64)
+    deep, homes = [f"D{i}" for i in range(20)], [f"n{i}::T" for i in range(11)]
+    classes = [*deep, *homes, "n3::U", "n3::T::In", "A", "B", "C"]
+    m = lambda owner, name, type_=None: (owner, name, "method_def", type_, 0, 0, False, f"{owner}.{name}")
+    members = [m("D0", "f"), m("D4", "f"), m("D19", twin), m("D10", twin), m("A", "g"), m("C", "f"), m("B", twin), *[m(h, "f") for h in homes], m("n3::U", "make", "T*"), m("A", "make", "T"), m("n3::T::In", "In")]
+    bases = [*[(f"D{i}", f"D{i - 1}") for i in range(1, 20)], ("A", "B"), ("B", "C"), ("C", "A"), ("n3::U", "n3::T"), ("B", "Gone")]
+    calls = [(c, "->", "this", None, [], n, 0) for c in ("D19", "D16", "D3", "A", "B", "C") for n in ("f", twin, "g", "none")]
+    calls += [(c, ".", "typed", t, s, n, 0) for c in ("n3::U", "A", None) for t, s in (("T", []), ("In", []), ("n3::U", ["make()", "*"]), ("A", ["make()"])) for n in ("f", "In")]
+    calls += [(c, a, None, h, [], n, 0) for c in ("n3::U", "A", "n3::T::In", "T", None) for a, h in ((None, None), ("::", "T"), ("::", "n3::T")) for n in ("f", "In")]
+    got, plain = run(spark, classes, members, bases, calls), Plain(classes, members, bases)
+    wrong = [(c, got[i], plain.resolve(*c)) for i, c in enumerate(calls) if got[i] != plain.resolve(*c)]
+    assert not wrong, wrong[:3]
+
+
+def test_rows_moved_do_not_grow_with_bases(spark):
+    """Rows shuffled for each call of a class with a long way of bases, all of which have the name."""
+    sc = spark.sparkContext
+    store, gateway = sc._jsc.sc().statusStore(), sc._gateway
+
+    def moved(since):
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        stages = [stages.apply(i) for i in range(stages.size())]
+        return max((s.stageId() for s in stages), default=-1), sum(s.shuffleWriteRecords() for s in stages if s.stageId() > since)
+
+    classes = [f"D{i}" for i in range(14)]
+    members = [(c, "f", "method_def", None, 0, 0, False, c) for c in classes]
+    before, limit = moved(1 << 40)[0], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = run(spark, classes, members, [(f"D{i}", f"D{i - 1}") for i in range(1, 14)], [("D13", "->", "this", None, [], "f", 0)] * 1000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(map(str, got.values())) == {"('calling_class', ['D13'])"}
+    assert moved(before)[1] < 9 * 1000
