@@ -75,7 +75,8 @@ def resolve_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
     """key_id, n and id: a gold key (path, name, chunk_type, content_hash) narrowed by name, then type, then hash; ambiguous ones have no id.
 
     A key meets counts of the chunks of its name, of that name and type, and so on, never the chunks themselves: a name of
-    many chunks and many keys makes no pairs.
+    many chunks and many keys makes no pairs. There may be as many hashes as chunks, whatever the size of their files, so
+    counts are met by shuffle and never pass through the driver.
     """
     c = chunks.where("id IS NOT NULL").select("id", "path", "name", F.col("chunk_type").alias("ct"), F.col("content_hash").alias("ch"))
     finest = c.groupBy("path", "name", "ct", "ch").agg(F.count("*").alias("n"), F.min("id").alias("id"))
@@ -85,7 +86,7 @@ def resolve_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
         same = (F.col("path") == F.col("p")) & (F.col("name") == F.col("m"))
         for x, y in more:
             same = same & F.col(f"of_{x}").eqNullSafe(F.col(y))
-        both = both.join(part, same, "left").drop("p", "m", *[f"of_{x}" for x, _ in more])
+        both = both.join(part.hint("merge"), same, "left").drop("p", "m", *[f"of_{x}" for x, _ in more])
     w = Window.partitionBy("key_id")
     n = lambda c: F.coalesce(F.col(f"{c}.n"), F.lit(0))
 

@@ -74,6 +74,13 @@ def test_gold_resolution_makes_no_pairs(spark):
     assert largest_join(evalkit.resolve_gold(row("key_id"), row("id"))) <= 300
 
 
+def test_gold_resolution_sends_no_counts_through_the_driver(spark):
+    row = lambda k: spark.range(300).selectExpr(f"id AS {k}", "string(id % 2) AS path", "string(id % 3) AS name", "string(id % 5) AS chunk_type", "string(id) AS content_hash")
+    got = evalkit.resolve_gold(row("key_id"), row("id"))
+    assert {(r.key_id, r.n, r.id) for r in got.collect()} == {(i, 1, i) for i in range(300)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_symbols_of_a_file_without_kind_come_first(spark):
     symbols = spark.createDataFrame([("f", "zeta", "definition", 3, "a"), ("f", "zeta", None, 3, "b")], "path string, name string, kind string, start_line int, chunk_id string")
     scores = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "id string, score double")
