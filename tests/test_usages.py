@@ -139,3 +139,37 @@ def test_a_refresh_meets_words_with_touched_names_before_changed_chunks(spark):
     plan = incremental.mentions_refresh(stored, words, index(0), index(50), changed, fresh).where("name = 'n3'")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" in plan
     assert sorted(incremental.mentions_refresh(stored, now, index(0), index(50), changed).collect()) == sorted(full(now, index(50)))
+
+
+def test_a_refresh_reads_contents_for_names_once_and_rewrites_neither_words_nor_flags(spark, monkeypatch):
+    plans, real = [], edgeset.keep
+
+    def keep(df, name="table", *folders):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, name, *folders)
+
+    monkeypatch.setattr(edgeset, "keep", keep)
+    r = random.Random(6)
+    rows = [(f"c{i}", f"p{i}", r.choice(["python", "cpp"]), " ".join(r.choice(NAMES) for _ in range(r.randint(1, 6))), [], [], []) for i in range(60)]
+    chunks = spark.createDataFrame(rows, CHUNK.replace("name string, content", "content", 1)).withColumn("name", F.regexp_extract("content", r"^(\w+)", 1))
+    old, new = chunks.where("id NOT IN ('c3', 'c8')"), chunks.where("id NOT IN ('c4', 'c9')")
+    parts = edgeset.build(old)
+    edges = graph.keep(edgeset.edges(parts))
+    plans.clear()
+    got, edges, by_change = edgeset.refresh(parts, edges, old, new, most=1.0)
+    assert by_change and [n for n, p in plans if "regexp_extract(" in p] == ["heads", "heads"]
+    assert "words" not in [n for n, _ in plans] and [n for n, _ in plans].count("pairs") == 1
+    want = edgeset.build(new)
+    flat = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert all(flat(got[p]) == flat(want[p]) for p in edgeset.PARTS) and flat(edges) == flat(edgeset.edges(want))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_counts_of_pairs_go_up_and_down_with_the_change(spark, seed):
+    r = random.Random(seed)
+    old = {(r.randrange(20), f"w{r.randrange(15)}") for _ in range(120)}
+    ids, names = [1, 4, 90, 91], ["w2", "w7", "v0"]
+    new = {p for p in old if p[0] not in ids and p[1] not in names} | {(i, f"w{r.randrange(15)}") for i in (4, 90) for _ in range(6)} | {(r.randrange(24), n) for n in names[1:] for _ in range(9)}
+    df = lambda rows: spark.createDataFrame(sorted(rows), "id int, name string")
+    got = incremental.pairs_refresh(graph.keyed(df(old)), df(new), spark.createDataFrame([(i,) for i in ids], "id int"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted(got.collect()) == sorted(graph.keyed(df(new)).collect())
